@@ -148,7 +148,8 @@ def _found(docs: DataFrame) -> DataFrame:
     """A row per match and kind, with code-point offsets (failing ones too), and one bare row per document without any."""
     text = F.col("text")
     tagged = [_tagged(_parts(text, pattern, group), k) for k, (pattern, group) in enumerate(PATTERNS)]
-    rows = narrowed(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.explode_outer(F.concat(*tagged)).alias("m"))
+    numbered = narrowed(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = numbered.select("row", "doc_id", F.explode_outer(F.concat(*tagged)).alias("m"))
     rows = written(rows.select("row", "doc_id", "m.*").where("kind is null or len is not null"), "secret-parts")
     upto = Window.partitionBy("row", "kind").orderBy("at")
     return rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto)).withColumn("start", F.col("end") - F.col("len"))
