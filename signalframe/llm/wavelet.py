@@ -8,6 +8,7 @@ per plane the packed bits (little bit order, padded to whole 64-bit words) with
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -28,45 +29,54 @@ SHARD_TOKENS = 1 << 21
 ONE = np.uint64(1)
 
 
-class WordEncoder:
-    """Ids of a word-level BPE tokenizer, by the tokenizers library, with a bounded memory of words seen.
+class WordEncoder(dict):
+    """Word (bytes) -> its ids under a word-level BPE tokenizer of the tokenizers library, as little-endian 16-bit numbers.
 
     The file's pre-tokenizer drops white space and its pattern looks at no neighbours, so a text's ids are those of its
-    words one after another. Words made of letters alone go straight to the library's BPE model; any other word, and any
-    with a character beyond ASCII, through its whole pipeline.
+    words one after another. Latin words are lower-cased, cut by that pattern and handed to the library's BPE model; any
+    other word goes through the library's whole pipeline. At most ``most`` words are remembered.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
+    LATIN_END = "\u0250"
 
-        self.whole, self.most, self.known = Tokenizer.from_file(path), most, {}
-        self.model = self.whole.model
+    def __init__(self, path: str, most: int = 500_000):
+        import json
+
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
-    def _learn(self, words: list[bytes]) -> None:
-        other, model, known = [], self.model, self.known
-        for word in words:
-            if word.isalpha():
-                known[word] = np.array([t.id for t in model.tokenize(word.decode().lower())], "<u2").tobytes()
-            elif word[-1:] in (b".", b",") and word[:-1].isalpha():
-                ids = [t.id for part in (word[:-1], word[-1:]) for t in model.tokenize(part.decode().lower())]
-                known[word] = np.array(ids, "<u2").tobytes()
+        super().__init__()
+        self.whole, self.most = Tokenizer.from_file(path), most
+        self.model = self.whole.model
+        self.spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        with open(path, encoding="utf-8") as f:
+            self.cut = regex.compile(json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+
+    def _part(self, part: str) -> bytes:
+        spelt = part if part.isascii() and part.isprintable() else self.spell(part)[0][0]
+        return np.array([t.id for t in self.model.tokenize(spelt)], "<u2").tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "surrogatepass")
+        if not text or max(text) >= self.LATIN_END or "<|" in text:
+            ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        elif text[-1] in ".," and text[:-1].isalpha():
+            ids = self[word[:-1]] + self[word[-1:]]
+        else:
+            low = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
+            if low != text:
+                ids = self[low.encode()]
+            elif low.isalpha() or (parts := self.cut(low)) == [low]:
+                ids = self._part(low)
             else:
-                other.append(word)
-        texts = [word.decode("utf-8", "surrogatepass") for word in other]
-        for word, got in zip(other, self.whole.encode_batch_fast(texts, add_special_tokens=False)):
-            known[word] = np.array(got.ids, "<u2").tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 16-bit numbers."""
-        words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        needed = set().union(*words)
-        new = needed - self.known.keys()
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = needed
-        self._learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+                ids = b"".join([self[p.encode()] for p in parts])
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").split()))
 
 
 def build(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
@@ -201,7 +211,7 @@ def write_shards(docs: DataFrame, tokenizer: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((pid, pa.int32()), (seq, pa.int32()), (held, pa.int64()), (file, pa.binary()))], ["pid", "seq", "n_tokens", "file"])
 
         for batch in pieces(batches, 4 << 20):
-            for doc_id, got in zip(batch.column(0).to_pylist(), encoder(batch.column(1).to_pylist())):
+            for doc_id, got in zip(batch.column(0).to_pylist(), map(encoder.encode, batch.column(1).to_pylist())):
                 ids += [got, end]
                 doc_ids.append(doc_id)
                 counts.append(len(got) // 2 + 1)
