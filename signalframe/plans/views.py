@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-END = F.lit("2024-01-03 00:00:00").cast("timestamp")
+
+def end() -> Column:
+    """The window's end of the stand-in items."""
+    return F.lit("2024-01-03 00:00:00").cast("timestamp")
+
 
 ITEMS = """
 items AS (SELECT CAST(doc_id AS VARCHAR) AS item_key, source AS source_id, source AS source_name, lang AS language,
@@ -26,5 +30,5 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("R"), (F.substring("source", 4, 10).cast("int") % 5).cast("string")).alias("region"),
         F.substring("text", 1, 80).alias("title"), F.substring("text", 81, 320).alias("summary"),
         F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("source_url"),
-        F.timestamp_seconds(start + (F.col("doc_id") * 7919) % 2880 * 60).alias("published_at"), END.alias("fetched_at"),
+        F.timestamp_seconds(start + (F.col("doc_id") * 7919) % 2880 * 60).alias("published_at"), end().alias("fetched_at"),
     )
