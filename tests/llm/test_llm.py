@@ -1,0 +1,325 @@
+"""Each operator against a plain version on small tables with nulls, ties, repeats, long texts and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from signalframe.llm import language, media, minhash, mixing, recurrent, secrets, segment, sharding, simhash, wavelet
+
+tokenizers_dir = pytest.importorskip("public_tokenizers")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, row int, size int, shard int, kind int, m int"
+WORDS = "the of and a house river stone light über straße être maison très niño años word. Other, x=y 123".split()
+
+
+@pytest.fixture(scope="module")
+def rows():
+    r = random.Random(3)
+    body = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
+    out = [(i, body(r.randint(1, 80)), r.choice(["en", "fr", None]), r.choice(["a", "b", "é", None])) for i in range(40)]
+    base = body(120)
+    out += [(100, base, "en", "a"), (101, base + " river", "en", "a"), (102, base, "en", "b"), (103, base, "en", "b")]
+    key = "9f8b2c4d1e7a6f3b5c0d9e8f7a6b5c4d3e2f1a0b"
+    out += [(200, None, None, None), (201, "", "en", "a"), (202, " \n\t ", "fr", "b"), (203, "one two", "en", "a"), (204, f'x password = "abcdEFGH12345678" AKIA{"Q7" * 9} {key} token=short secret=longvalue12345 token: secret = anothervalue99', "en", "a"),
+            (205, "▁ ▁▁ é\U0001f600 漢字", "en", None), (206, body(9000), "en", "a"), (207, "z" * 5000, None, "b"), (5, out[5][1], out[5][2], out[5][3]), (None, "no id here", "en", "a")]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame([(*r, 1, "clash", 1, 2, 3, 4, 5) for r in rows], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def text_of(row):
+    return row[1] or ""
+
+
+def split(text):
+    return re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
+
+
+def plain_simhash(text):
+    w = split(text)
+    if not w:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(docs, rows, empty):
+    fps = [plain_simhash(text_of(r)) for r in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            root[i] = min(root[j] for j in range(len(rows)) if (fps[i] ^ fps[j]).bit_count() <= 3)
+    least = {k: min((rows[i][0] for i in range(len(rows)) if root[i] == k and rows[i][0] is not None), default=None) for k in set(root)}
+    want = sorted((str(r[0]), f"{f:016x}", str(least[k])) for r, f, k in zip(rows, fps, root))
+    got = sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.near_duplicates(docs).collect())
+    assert got == want
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_bit_sliced_pairs_and_crowded_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    centres = rng.integers(0, 2**63, 6, dtype=np.uint64)
+    fps = np.unique(np.array([int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for c in centres for _ in range(40)], np.uint64))
+    want = {(i, j) for i in range(len(fps)) for j in range(len(fps)) if i != j and (int(fps[i]) ^ int(fps[j])).bit_count() <= 3}
+    assert {(int(a), int(b)) for x, y in simhash.close_pairs(fps) for a, b in zip(x, y)} == want
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    from signalframe.operators.components import connected_components
+
+    table = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    got = {r.node: r.root for r in connected_components(simhash.near_links(table)).collect()}
+    roots = simhash.roots_of(fps)
+    groups = lambda label: sorted(sorted(int(fps[i]) for i in range(len(fps)) if label(i) == k) for k in {label(i) for i in range(len(fps))})
+    assert groups(lambda i: got.get(int(fps.view(np.int64)[i]), int(fps.view(np.int64)[i]))) == groups(lambda i: int(roots[i]))
+
+
+def test_lm_counts_and_scores(docs, rows, empty):
+    train = [r for r in rows if r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    counts, n = {}, 0
+    for r in train:
+        for w in [*split(text_of(r)), "end"]:
+            counts[w], n = counts.get(w, 0) + 1, n + 1
+    base = lambda r: sum(np.log10((counts.get(w, 0) + 1) / (n + len(counts) + 1)) for w in [*split(text_of(r)), "end"])
+    got = {(str(r.doc_id), r.n_tokens): r for r in recurrent.scored(docs).collect()}
+    for r in rows:
+        x = got[str(r[0]), len(split(text_of(r))) + 1]
+        assert x.train_tokens == n and x.n_known == sum(counts.get(w, 0) > 0 for w in [*split(text_of(r)), "end"])
+        assert abs(x.base_score - base(r)) < 1e-6 * abs(base(r)) + 1e-9 and x.score < 0
+    assert recurrent.scored(empty).count() == 0
+
+
+def test_lm_is_a_distribution_and_gradients_agree():
+    known = recurrent.Known([b"a", b"b"], np.array([5, 3]), 10, 3, 2, np.zeros(recurrent.SPELLINGS, int), np.zeros(recurrent.SPELLINGS, int))
+    p = {k: v.astype(np.float64) for k, v in recurrent.first_params(known).items()}
+    h = np.full((recurrent.END + 1, recurrent.HIDDEN), 0.3)
+    got, _ = recurrent.log_probs(p, h, np.arange(recurrent.END + 1))
+    assert abs(np.exp(got).sum() - 1) < 1e-6
+    x, y = np.array([[recurrent.END, 3], [1, 2], [2, recurrent.END]]), np.array([1, 2, 2, 7, 2050, recurrent.END])
+
+    def loss(q):
+        states, _ = recurrent.run_window(q, x, np.zeros((2, recurrent.HIDDEN)))
+        return -recurrent.log_probs(q, states.reshape(-1, recurrent.HIDDEN).astype(np.float64), y)[0].sum()
+
+    grads, kept = {k: np.zeros_like(v) for k, v in p.items()}, []
+    states, _ = recurrent.run_window(p, x, np.zeros((2, recurrent.HIDDEN)), kept)
+    _, back = recurrent.log_probs(p, states.reshape(-1, recurrent.HIDDEN).astype(np.float64), y, grads)
+    recurrent.backward(p, grads, x, kept, back.reshape(3, 2, -1))
+    for k, at in (("state", (2, 5)), ("state", (1, 40)), ("gates", (1, 3)), ("outer", (3, 2)), ("bias", (4,)), ("inner", (0, 3, 1))):
+        moved = []
+        for step in (1e-2, -1e-2):
+            q = {n: v.copy() for n, v in p.items()}
+            q[k][at] += step
+            moved.append(loss(q))
+        assert abs((moved[0] - moved[1]) / 2e-2 - grads[k][at]) < 2e-3 + 0.02 * abs(grads[k][at]), k
+
+
+def test_long_document_state_is_carried():
+    known = recurrent.Known([b"a"], np.array([5]), 6, 2, 1, np.zeros(recurrent.SPELLINGS, int), np.zeros(recurrent.SPELLINGS, int))
+    p = recurrent.first_params(known)
+    rng = np.random.default_rng(2)
+    seqs = [np.append(rng.integers(0, recurrent.VOCAB, n), recurrent.END).astype(np.int32) for n in (0, 3, 500, 64, 63)]
+    together = recurrent.document_scores(p, seqs)
+    alone = [recurrent.document_scores(p, [s])[0] for s in seqs]
+    assert np.allclose(together, alone, rtol=1e-5)
+
+
+def test_segments(docs, rows, empty):
+    import sentencepiece
+
+    path = tokenizers_dir.path("piece_bpe_32k.model")
+    vocab, lib = segment.vocabulary(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [text_of(r) for r in rows if "▁" not in text_of(r)]
+    assert [x.tolist() for x in segment.encode_all(vocab, texts, 1, 0.0)] == [lib.encode(t) for t in texts]
+    for rate in (0.0, 0.3):
+        for chunk in {c for t in texts for c in segment.chunked(t) if len(c) < 60}:
+            assert np.frombuffer(segment.agendas(vocab, [chunk], 9, rate)[0], "<u2").tolist() == segment.agenda(vocab, chunk, 9, rate)
+    got = segment.round_trip(docs, path).collect()
+    assert len(got) == len(rows) and all(r.lossless for r in got)
+    sha = {str(r[0]): hashlib.sha256(text_of(r).encode()).hexdigest() for r in rows}
+    assert all(sha[str(r.doc_id)] == r.decoded_sha256 for r in got)
+    assert any(a.tolist() != b.tolist() for a, b in zip(segment.encode_all(vocab, texts, 1), segment.encode_all(vocab, texts, 2)))
+    assert segment.round_trip(empty, path).count() == 0
+
+
+def test_language(spark, docs, rows, empty):
+    got = language.language_of(docs).collect()
+    assert len(got) == len(rows)
+    assert {r.lang_pred for r in got if str(r.doc_id) in ("200", "201", "202")} == {"und"}
+    assert all(0 <= r.score <= 1 and r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    assert language.language_of(empty).count() == 0
+    en, fr = "the house and the river of the light stone ", "la maison est très belle être avec une fenêtre "
+    made = [(i, (en if i % 2 else fr) * 3, "en" if i % 2 else "fr") for i in range(40)] + [(999, en * 10 + fr * 10, None)]
+    out = {r.doc_id: r for r in language.language_of(spark.createDataFrame(made, "doc_id long, text string, lang string")).collect()}
+    assert all(out[i].lang_pred == lang for i, _, lang in made[:-1])
+    assert 0.3 < out[999].score < 0.7 and out[999].mixture.count(":") == 2
+
+
+def test_media(docs, rows, empty):
+    got = {str(r.doc_id): r for r in media.media_features(media.to_media(docs)).collect()}
+    for r in rows:
+        raw = text_of(r).encode()
+        full = media.padded(raw)
+        x = got[str(r[0])]
+        assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
+    assert got["100"].feature == got["102"].feature and got["100"].media_sha256 == got["102"].media_sha256
+    every = bytes(range(256)) * 80 + b"\xff" * 64
+    assert media.read_avi(media.to_avi(every)).payload == every
+    dark, light = np.zeros((60, 32), int), np.zeros((60, 32), int)
+    dark[:, 2] = light[:, 30] = 4096
+    assert media.shots(np.concatenate([dark, light]), 4096) == [(0, 59), (60, 119)]
+    clips = media.clips(media.to_media(docs)).collect()
+    assert all(c.end_s > c.start_s for c in clips) and {str(c.doc_id) for c in clips} == set(got)
+    assert media.media_features(media.to_media(empty)).count() == 0
+    with pytest.raises(ValueError):
+        media.parse_avi(b"RIFFxxxxWAVE")
+
+
+def test_media_idct_matches_definition():
+    blocks = np.random.default_rng(4).integers(0, 256, (5, 64)).astype(np.uint8)
+    value = blocks.astype(float)
+    value[blocks < 128] -= 255
+    grid = np.zeros((5, 8, 8))
+    for i, (r, c) in enumerate(media.ZIGZAG):
+        grid[:, r, c] = value[:, i]
+    k, x = np.meshgrid(np.arange(8), np.arange(8), indexing="ij")
+    one = np.where(k == 0, np.sqrt(1 / 8), 0.5) * np.cos((2 * x + 1) * k * np.pi / 16)
+    want = np.clip(np.rint(one.T @ grid @ one + 128), 0, 255)
+    assert np.abs(media.luma(blocks).reshape(5, 8, 8) - want).max() <= 1
+
+
+def test_minhash(docs, rows, empty):
+    line = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), text_of(r)))
+    want = []
+    for r, nxt in zip(line, [*line[1:], line[0]]):
+        text, half = text_of(r), len(text_of(r)) // 2
+        changed = text[: len(text) - half] + text_of(nxt)[:half]
+        want.append((str(r[0]), len(text), hashlib.sha256(changed.encode()).hexdigest(), minhash.fingerprint(text), minhash.fingerprint(changed)))
+    got = minhash.fingerprinted(docs).collect()
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in got) == sorted(want)
+    assert minhash.fingerprinted(empty).count() == 0
+    r = random.Random(9)
+    words = [f"w{r.random()}" for _ in range(3000)]
+    for keep in (3000, 2400, 1200, 0):
+        other = words[:keep] + [f"v{r.random()}" for _ in range(3000 - keep)]
+        a, b = ({" ".join(x[i : i + 5]) for i in range(len(x) - 4)} for x in (words, other))
+        assert abs(minhash.likeness(minhash.fingerprint(" ".join(words)), minhash.fingerprint(" ".join(other))) - len(a & b) / len(a | b)) < 0.12
+
+
+def test_mixing(docs, rows, empty):
+    sizes = {}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + len(split(text_of(r)))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = dict(zip(order, mixing.targets([sizes[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))])))
+    source = {(str(r[0]), len(split(text_of(r)))): r[3] for r in rows}
+    got, taken = mixing.mixed(docs).collect(), dict.fromkeys(order, 0)
+    assert len(got) == len(rows)
+    for r in got:
+        s = source[str(r.doc_id), r.size]
+        taken[s] += r.taken
+        assert r.source_size == sizes[s] and abs(r.target - want[s]) < 1e-6 and r.taken <= 3 * r.size
+    assert all(abs(taken[s] - want[s]) <= 1 for s in order)
+    assert mixing.mixed(empty).count() == 0
+    assert mixing.targets([10, 1000], [5, 2]) == [30.0, 980.0]
+
+
+def test_token_files(docs, rows, empty):
+    from tokenizers import Tokenizer
+
+    path = tokenizers_dir.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    line, at, want = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, text_of(r))), 0, []
+    for r in line:
+        ids = [*lib.encode(text_of(r), add_special_tokens=False).ids, 1]
+        want.append((str(r[0]), at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in wavelet.encoded(docs, path).collect()) == sorted(want)
+    assert wavelet.encoded(empty, path).count() == 0
+    odd = "It's DON'T x'll 12ab--c ÀÉ éa İ a<|endoftext|>b  x y ΑΣ 漢字abc ½ _a_b \x1c\x85 ª"
+    assert np.frombuffer(wavelet.WordEncoder(path).encode(odd), "<u2").tolist() == lib.encode(odd, add_special_tokens=False).ids
+
+
+def test_wavelet_rank_select():
+    ids = np.random.default_rng(6).choice([1, 7, 9, 500, 40000], 1000).astype(np.uint16)
+    file = wavelet.WaveletFile(wavelet.build([3, None], [400, 600], ids))
+    assert (file.tokens() == ids).all() and file.doc_ids == [3, None]
+    assert [file.access(i) for i in range(0, 1000, 37)] == ids[::37].tolist()
+    for token in (1, 500, 40000, 8):
+        at = np.flatnonzero(ids == token)
+        assert file.rank(token, 777) == (at < 777).sum() and [file.select(token, k) for k in range(0, len(at), 11)] == at[::11].tolist()
+    with pytest.raises(IndexError):
+        file.select(8, 0)
+
+
+def test_sharding(docs, rows, empty):
+    got = sharding.sharded(docs, 5).collect()
+    assert len(got) == len(rows) and {r.law for r in got} == {"bytes"} and all(r.grown_shard is None for r in got)
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == sorted((str(r[0]), len(text_of(r).encode()) + 8, zlib.crc32(text_of(r).encode())) for r in rows)
+    for shard in range(5):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+    assert sharding.sharded(empty).count() == 0
+    weight = np.random.default_rng(7).integers(1, 1000, 4096).astype(float)
+    old = sharding.rebalance(sharding.first_map(4096, 24), weight, 24)
+    load = np.bincount(old, weights=weight)
+    assert load.max() - load.min() < 0.001 * load.mean()
+    grown = sharding.rebalance(old, weight, 25)
+    assert np.bincount(grown, weights=weight).min() > 0.99 * weight.sum() / 25 and (grown != old).mean() < 0.1
+
+
+def plain_spans(text):
+    out = []
+    assign = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    for kind, (name, pattern, ok) in enumerate((("assign", assign, lambda m: len(m[1]) >= 12), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 16))):
+        out += [(m.start(), kind, m.end(), name) for m in re.finditer(pattern, text) if ok(m)]
+    return ",".join(f"{n}:{s}:{e}" for s, _, e, n in sorted(out))
+
+
+def test_secrets(spark, docs, rows, empty):
+    got = {str(r.doc_id): r for r in secrets.secrets(docs).collect()}
+    for r in rows:
+        base = plain_spans(text_of(r))
+        x = got[str(r[0])]
+        assert x.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(base.split(",")) - {""} <= set(x.spans.split(","))
+        assert (x.n_assign, x.n_access, x.n_hex) == tuple(base.count(k) for k in ("assign:", "access:", "hex:"))
+    assert got["204"].n_assign == 2 and got["204"].n_access == 1 and got["204"].n_hex == 1
+    assert secrets.secrets(empty).count() == 0
+    back = {str(r.doc_id): r.text for r in secrets.masked(docs).collect()}
+    assert "abcdEFGH" not in back["204"] and "AKIAQ7" not in back["204"] and back["203"] == "one two" and back["200"] is None
+
+
+def test_random_tokens_stand_out(spark):
+    r = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(r.choice(letters) for _ in range(40)) for _ in range(30)]
+    prose = ["".join(r.choice(["ther", "and", "ing", "tion", "ouse", "ver"]) for _ in range(9)) for _ in range(300)]
+    table = spark.createDataFrame([(i, f"see {t} now") for i, t in enumerate(keys + prose)], "doc_id long, text string")
+    hit = {x.doc_id for x in secrets.secrets(table).where("n_random > 0").collect()}
+    assert len(hit & set(range(30))) >= 27 and len(hit - set(range(30))) <= 1
+
+
+def test_pipeline_stages(spark, docs, rows):
+    import corpus_pipeline as cp
+
+    base = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    kept = cp.keep_languages(spark, base, "")
+    assert {str(r.doc_id) for r in kept.collect()}.isdisjoint({"200", "201", "202"}) and kept.columns == base.columns
+    dedup = cp.drop_near_duplicates(spark, base, "")
+    ids = [r.doc_id for r in dedup.collect()]
+    assert len(ids) == len(set(ids)) and 100 in ids and not {101, 102, 103} & set(ids) and dedup.columns == base.columns
+    mix = cp.mix_sources(spark, base, "")
+    assert mix.columns == base.columns and mix.count() > 0
+    assert all(r.lossless for r in cp.segment_pieces(spark, mix, "").collect())
+    assert cp.mask_secrets(spark, base, "").select(F.count("*")).first()[0] == len(rows)
