@@ -263,3 +263,59 @@ def evaluation_arm_closure(arms: DataFrame, rows: DataFrame) -> DataFrame:
     r = rows.groupBy("arm_id").agg(F.count("*").alias("generated"), F.count_if("terminal").alias("terminal"), F.count_if("selected").alias("selected"), F.count("output_id").alias("outputs"), F.count_distinct("output_id").alias("different"))
     broken = _codes((_n("generated") != _n("terminal"), "NOT_TERMINAL"), (_n("selected") != F.col("k"), "SELECTED_NOT_K"), (_n("outputs") != F.col("k"), "OUTPUTS_NOT_K"), (_n("outputs") != _n("different"), "OUTPUT_REPEATED"))
     return arms.join(r, "arm_id", "left").select("arm_id", F.explode(broken).alias("error"))
+
+
+TERMINAL = ["pass", "fail", "blocked", "not_applicable"]
+
+
+def gate_report(catalogues: DataFrame, required: DataFrame, results: DataFrame) -> DataFrame:
+    """Per catalogue: required, observed, and how many are missing, failed, not applicable, unknown, invalid; then the verdict.
+
+    An unsigned catalogue is blocked whatever its results. Ids stay in ``gate_faults``, so no row grows with the catalogue.
+    """
+    j = _gate_rows(required, results)
+    n = j.groupBy("catalogue_id").agg(F.count("wanted").alias("required"), F.count("seen").alias("observed"), *[F.count_if(F.array_contains("faults", c)).alias(c) for c in ("missing", "failed", "not_applicable", "unknown", "invalid")])
+    counts = ["required", "observed", "missing", "failed", "not_applicable", "unknown", "invalid"]
+    out = catalogues.select("catalogue_id", "signed").join(n, "catalogue_id", "left").withColumns({c: _n(c) for c in counts})
+    bad = sum((F.col(c) for c in counts[3:]), F.col("missing"))
+    signed = F.coalesce("signed", F.lit(False))
+    why = F.when(~signed, "CATALOG_SIGNATURE_UNVERIFIED").otherwise(F.array_join(_codes(
+        (F.col("missing") > 0, "CATALOG_INCOMPLETE"), (F.col("unknown") > 0, "RESULT_ID_OUT_OF_SCOPE"), (F.col("invalid") > 0, "RESULT_STATUS_INVALID"), (F.col("failed") + F.col("not_applicable") > 0, "PHASE_EXIT_BLOCKED"), (bad == 0, "PHASE_EXIT_PASSED")), ","))
+    return out.select("catalogue_id", *counts, why.alias("reason_codes"), F.when(signed & (bad == 0), "pass").otherwise("blocked").alias("decision"))
+
+
+def _gate_rows(required: DataFrame, results: DataFrame) -> DataFrame:
+    keys = ["catalogue_id", "definition_id"]
+    want = required.select(*keys, F.lit(True).alias("wanted")).distinct()
+    j = want.join(results.select(*keys, "result", F.lit(True).alias("seen")), keys, "full_outer")
+    wanted, seen = F.col("wanted").isNotNull(), F.col("seen").isNotNull()
+    r = F.coalesce("result", F.lit(""))
+    return j.withColumn("faults", _codes((~seen, "missing"), (wanted & r.isin("fail", "blocked"), "failed"), (wanted & (r == "not_applicable"), "not_applicable"), (~wanted, "unknown"), (seen & ~r.isin(TERMINAL), "invalid")))
+
+
+def gate_faults(required: DataFrame, results: DataFrame) -> DataFrame:
+    """The ids behind the counts of ``gate_report``, one row a fault."""
+    return _gate_rows(required, results).select("catalogue_id", "definition_id", F.explode("faults").alias("fault"))
+
+
+def catalog_closure(catalogues: DataFrame, definitions: DataFrame, members: DataFrame) -> DataFrame:
+    """Per catalogue (target phase, policy, stated hash): latest definitions up to the phase against its members.
+
+    Members are hashed per catalogue in order of id; a catalogue's member count bounds that group.
+    """
+    latest = definitions.groupBy("catalogue_id", "test_id").agg(F.max_by(F.struct("definition_id", "phase"), "revision").alias("d")).select("catalogue_id", "d.*")
+    due = latest.join(catalogues.select("catalogue_id", "target_phase"), "catalogue_id").where("phase <= target_phase").select("catalogue_id", "definition_id", F.lit(True).alias("due"))
+    v = definitions.select("definition_id", "severity", F.col("policy").alias("own_policy"))
+    m = members.select("catalogue_id", "definition_id", "membership").join(v, "definition_id", "left").withColumn("member", F.lit(True))
+    j = m.join(due, ["catalogue_id", "definition_id"], "full_outer").join(catalogues.select("catalogue_id", "policy"), "catalogue_id")
+    line = F.when(F.col("member"), F.struct("definition_id", F.concat_ws("|", F.col("definition_id").cast("string"), F.col("membership")).alias("l")))
+    n = j.groupBy("catalogue_id").agg(
+        F.count("due").alias("expected"), F.count("member").alias("members"), F.count_if((F.col("membership") == "excluded") & (F.col("severity") == "P0")).alias("p0_excluded"),
+        F.count_if(F.col("own_policy") != F.col("policy")).alias("policy_differs"), F.count_if(F.col("due").isNull() | F.col("member").isNull()).alias("set_differs"),
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]), "\n"), 256).alias("own_hash"),
+    )
+    out = catalogues.select("catalogue_id", "stated_hash").join(n, "catalogue_id", "left")
+    counts = ["expected", "members", "p0_excluded", "policy_differs", "set_differs"]
+    out = out.withColumns({c: _n(c) for c in counts})
+    ok = (F.col("expected") > 0) & (F.col("members") == F.col("expected")) & (F.col("p0_excluded") + F.col("policy_differs") + F.col("set_differs") == 0) & F.col("own_hash").eqNullSafe(F.col("stated_hash"))
+    return out.select("catalogue_id", *counts, ok.alias("closed"))

@@ -213,3 +213,39 @@ def decline_breaker(declines: DataFrame, health: DataFrame, key: str, least: flo
     h = health.select(key, "health", "baseline_available")
     code = _first((F.col("health").isNull() | (F.col("health") < least), "COLLECTION_UNHEALTHY"), (~F.coalesce(F.col("baseline_available"), F.lit(False)), "BASELINE_UNAVAILABLE"))
     return declines.join(h, key, "left").withColumn("suppressed_by", F.when(F.col("decline"), code)).withColumn("reported", F.col("decline") & F.col("suppressed_by").isNull())
+
+
+def raw_evidence_visible(cards: DataFrame) -> DataFrame:
+    """Without the model's judgment; the columns of raw evidence must exist (ValueError), rows are kept as they are."""
+    lacking = {"title", "source", "published_at", "license_scope", "evidence", "coverage_boundary"} - set(cards.columns)
+    if lacking:
+        raise ValueError(f"raw evidence columns missing: {sorted(lacking)}")
+    return cards.withColumn("ai_judgment", F.lit(None).cast("string"))
+
+
+def confidence_passthrough(rows: DataFrame) -> DataFrame:
+    """Both confidences are there; magnitude and allocation pass unchanged whatever they are."""
+    code = _first((~present(F.col("observation_confidence").cast("string")), "OBSERVATION_CONFIDENCE_MISSING"), (~present(F.col("evidence_confidence").cast("string")), "EVIDENCE_CONFIDENCE_MISSING"))
+    return rows.withColumn("error", code)
+
+
+def model_retire(models: DataFrame) -> DataFrame:
+    """Retired with nothing to recompute, if the audit fields are filled; the empty ones are listed otherwise."""
+    lists = ["input_manifest", "output_artifact_ids", "evidence_ids"]
+    empty = [F.when(~present(F.col(c)), c) for c in ("model_id", "config_hash")] + [F.when(F.coalesce(F.size(c), F.lit(0)) < 1, c) for c in lists]
+    out = models.withColumn("missing_fields", F.array_compact(F.array(*empty)))
+    ok = F.size("missing_fields") == 0
+    return out.withColumns({"status": F.when(ok, "retired").otherwise(F.col("status")), "recompute_required": F.when(ok, F.lit(False)).otherwise(F.col("recompute_required"))})
+
+
+def action_stage(baseline: DataFrame, current: DataFrame, key: str) -> DataFrame:
+    """More mentions at the same action stage with the missing evidence named: attention without action."""
+    b = baseline.select(key, F.col("mentions").alias("baseline_mentions"), F.col("stage").alias("baseline_stage"))
+    j = current.join(b, key, "left")
+    code = _first(
+        (F.coalesce(F.col("mentions") <= F.col("baseline_mentions"), F.lit(True)), "ATTENTION_NOT_INCREASED"),
+        (~F.col("stage").eqNullSafe(F.col("baseline_stage")), "ACTION_STAGE_CHANGED"),
+        (F.coalesce(F.size("missing_evidence"), F.lit(0)) < 1, "MISSING_EVIDENCE_NOT_NAMED"),
+    )
+    out = j.withColumn("error", code).withColumn("attention_delta", F.col("mentions") - F.col("baseline_mentions"))
+    return out.withColumn("interpretation", F.when(F.col("error").isNull(), "attention_without_action"))

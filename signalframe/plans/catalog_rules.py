@@ -7,9 +7,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from signalframe.functions.text import time_parse
 from signalframe.operators import bindings, measures, planning, registers, rules
 from signalframe.plans.catalog import op, ts
 from signalframe.plans.views import table
+from signalframe.sources import feeds
 
 
 class View:
@@ -292,7 +294,7 @@ def _(spark, sf):
     return registers.artifact_mode_audit(ARTI(spark, sf), BIND(spark, sf))
 
 
-MIGR = View("mi", "orders", "o_orderkey AS source_id, o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 4 END AS derivative_id, CASE WHEN o_orderkey % 10 = 0 THEN 'Z' ELSE o_orderstatus END AS source_checksum")
+MIGR = View("mi", "orders", "o_orderkey AS source_id, o_orderkey + CASE WHEN o_orderkey % 3 = 0 AND o_custkey % 2 = 0 THEN 4 ELSE 0 END AS derivative_id, CASE WHEN o_orderkey % 10 = 0 THEN 'Z' ELSE o_orderstatus END AS source_checksum")
 
 
 @op("migration_provenance", f"WITH {ARTI.sql}, {MIGR.sql} SELECT source_id, derivative_id FROM mi LEFT JOIN ar s ON s.artifact_id = source_id LEFT JOIN ar d ON d.artifact_id = derivative_id WHERE s.content_checksum IS NULL OR s.content_checksum <> source_checksum OR d.artifact_id IS NULL OR d.derived_from <> source_id")
@@ -477,3 +479,71 @@ def _(spark, sf):
     own = table(spark, sf, "events").select("user_id", "event_id", F.md5(F.col("event_id").cast("string").cast("binary")).alias("hash"))
     chained = own.withColumn("previous_hash", F.when(F.col("event_id") % 50 == 0, "x").otherwise(F.lag("hash").over(Window.partitionBy("user_id").orderBy("event_id"))))
     return measures.ledger_chain(chained, "user_id", "event_id")
+
+
+CATL = View("ct", "supplier", "s_suppkey AS catalogue_id, s_nationkey % 3 <> 0 AS signed, CAST(s_suppkey % 8 AS INT) AS target_phase, CASE WHEN s_suppkey % 5 = 0 THEN 'q' ELSE 'p' END AS policy, CAST('0' AS STRING) AS stated_hash")
+REQD = View("rq", "lineitem WHERE l_suppkey % 3 <> 0 OR l_partkey % 2 = 0", "l_suppkey AS catalogue_id, l_partkey AS definition_id")
+OUTC = View("oc", "lineitem WHERE l_suppkey % 4 <> 0", "l_suppkey AS catalogue_id, l_partkey AS definition_id, CASE WHEN l_suppkey % 7 = 1 THEN 'pass' ELSE CASE l_linenumber WHEN 1 THEN 'fail' WHEN 2 THEN 'not_applicable' WHEN 3 THEN 'odd' ELSE 'pass' END END AS result")
+
+
+@op("phase_gate", f"""WITH {CATL.sql}, {REQD.sql}, {OUTC.sql}, w AS (SELECT DISTINCT catalogue_id, definition_id FROM rq), j AS (SELECT coalesce(w.catalogue_id, oc.catalogue_id) AS catalogue_id, w.definition_id IS NOT NULL AS wanted, oc.definition_id IS NOT NULL AS seen, result FROM w FULL JOIN oc ON w.catalogue_id = oc.catalogue_id AND w.definition_id = oc.definition_id),
+g AS (SELECT catalogue_id, count(*) FILTER (WHERE wanted) AS required, count(*) FILTER (WHERE seen) AS observed, count(*) FILTER (WHERE NOT seen) AS missing, count(*) FILTER (WHERE wanted AND result = 'fail') AS failed, count(*) FILTER (WHERE wanted AND result = 'not_applicable') AS not_applicable, count(*) FILTER (WHERE NOT wanted) AS unknown, count(*) FILTER (WHERE result = 'odd') AS invalid FROM j GROUP BY 1),
+h AS (SELECT ct.catalogue_id, signed, coalesce(required, 0) AS required, coalesce(observed, 0) AS observed, coalesce(missing, 0) AS missing, coalesce(failed, 0) AS failed, coalesce(not_applicable, 0) AS not_applicable, coalesce(unknown, 0) AS unknown, coalesce(invalid, 0) AS invalid FROM ct LEFT JOIN g USING (catalogue_id))
+SELECT * EXCLUDE (signed), CASE WHEN NOT signed THEN 'CATALOG_SIGNATURE_UNVERIFIED' WHEN missing + failed + not_applicable + unknown + invalid = 0 THEN 'PHASE_EXIT_PASSED' ELSE concat_ws(',', CASE WHEN missing > 0 THEN 'CATALOG_INCOMPLETE' END, CASE WHEN unknown > 0 THEN 'RESULT_ID_OUT_OF_SCOPE' END, CASE WHEN invalid > 0 THEN 'RESULT_STATUS_INVALID' END, CASE WHEN failed + not_applicable > 0 THEN 'PHASE_EXIT_BLOCKED' END) END AS reason_codes,
+CASE WHEN signed AND missing + failed + not_applicable + unknown + invalid = 0 THEN 'pass' ELSE 'blocked' END AS decision FROM h""")
+def _(spark, sf):
+    return registers.gate_report(CATL(spark, sf), REQD(spark, sf), OUTC(spark, sf))
+
+
+VERS = View("vs", "orders", "o_custkey % 10 + 1 AS catalogue_id, o_custkey AS test_id, o_orderkey AS revision, o_orderkey AS definition_id, CAST(o_orderkey % 5 AS INT) AS phase, CASE WHEN o_orderstatus = 'P' THEN 'P0' ELSE 'P1' END AS severity, CASE WHEN o_orderkey % 997 = 0 THEN 'q' ELSE 'p' END AS policy")
+CMEM = View("cm", "orders WHERE o_orderkey % 3 <> 0 OR o_custkey % 10 = 3", "o_custkey % 10 + 1 AS catalogue_id, o_orderkey AS definition_id, CASE WHEN o_orderkey % 11 = 0 THEN 'excluded' ELSE 'applicable' END AS membership")
+
+
+@op("catalog_closure", f"""WITH {CATL.sql}, {VERS.sql}, {CMEM.sql}, l AS (SELECT catalogue_id, test_id, max(revision) AS definition_id, arg_max(phase, revision) AS phase FROM vs GROUP BY 1, 2), due AS (SELECT l.catalogue_id, l.definition_id FROM l JOIN ct USING (catalogue_id) WHERE phase <= target_phase),
+e AS (SELECT catalogue_id, count(*) AS n FROM due GROUP BY 1), m AS (SELECT cm.catalogue_id, count(*) AS n, count(*) FILTER (WHERE membership = 'excluded' AND severity = 'P0') AS p0, count(*) FILTER (WHERE vs.policy <> ct.policy) AS pd FROM cm JOIN ct USING (catalogue_id) LEFT JOIN vs ON vs.definition_id = cm.definition_id GROUP BY 1),
+x AS (SELECT catalogue_id, count(*) AS n FROM ((SELECT * FROM due EXCEPT SELECT catalogue_id, definition_id FROM cm) UNION ALL (SELECT catalogue_id, definition_id FROM cm EXCEPT SELECT * FROM due)) GROUP BY 1)
+SELECT ct.catalogue_id, coalesce(e.n, 0) AS expected, coalesce(m.n, 0) AS members, coalesce(p0, 0) AS p0_excluded, coalesce(pd, 0) AS policy_differs, coalesce(x.n, 0) AS set_differs, false AS closed FROM ct LEFT JOIN e USING (catalogue_id) LEFT JOIN m USING (catalogue_id) LEFT JOIN x USING (catalogue_id)""")
+def _(spark, sf):
+    return registers.catalog_closure(CATL(spark, sf), VERS(spark, sf), CMEM(spark, sf))
+
+
+@op("action_stage", "WITH g AS (SELECT user_id, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS b, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') AS c FROM events GROUP BY 1), z AS (SELECT *, CASE WHEN c <= b THEN 'ATTENTION_NOT_INCREASED' WHEN user_id % 4 = 0 THEN 'ACTION_STAGE_CHANGED' WHEN user_id % 3 = 0 THEN 'MISSING_EVIDENCE_NOT_NAMED' END AS error FROM g) SELECT user_id, error, c - b AS attention_delta, CASE WHEN error IS NULL THEN 'attention_without_action' END AS interpretation FROM z")
+def _(spark, sf):
+    late, e = F.col("ts") >= ts("2024-01-16"), table(spark, sf, "events")
+    stage, named = F.when(F.col("user_id") % 4 == 0, "acting").otherwise("talk"), F.when(F.col("user_id") % 3 != 0, F.array(F.lit("filing")))
+    b = e.groupBy("user_id").agg(F.count_if(~late).alias("mentions"), F.lit("talk").alias("stage"))
+    c = e.groupBy("user_id").agg(F.count_if(late).alias("mentions"), stage.alias("stage"), named.alias("missing_evidence"))
+    return rules.action_stage(b, c, "user_id").select("user_id", "error", "attention_delta", "interpretation")
+
+
+@op("confidence_passthrough", "SELECT doc_id, CASE WHEN lang IS NULL OR lang = '' THEN 'OBSERVATION_CONFIDENCE_MISSING' WHEN quality IS NULL THEN 'EVIDENCE_CONFIDENCE_MISSING' END AS error, n_chars AS magnitude, source AS allocation FROM documents LEFT JOIN labels USING (doc_id)")
+def _(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    return rules.confidence_passthrough(d.select("doc_id", F.col("lang").alias("observation_confidence"), F.col("quality").alias("evidence_confidence"), F.col("n_chars").alias("magnitude"), F.col("source").alias("allocation"))).select("doc_id", "error", "magnitude", "allocation")
+
+
+@op("raw_evidence_visible", "SELECT doc_id, title, source, published_at, license_scope, evidence, coverage_boundary, CAST(NULL AS VARCHAR) AS ai_judgment FROM (SELECT doc_id, substring(text, 1, 80) AS title, source, n_chars AS published_at, lang AS license_scope, 'doc://' || CAST(doc_id AS VARCHAR) AS evidence, source AS coverage_boundary FROM documents)")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 80).alias("title"), "source", F.col("n_chars").alias("published_at"), F.col("lang").alias("license_scope"), F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("evidence"), F.col("source").alias("coverage_boundary"), F.lit("model says").alias("ai_judgment"))
+    return rules.raw_evidence_visible(d)
+
+
+@op("model_retire", "WITH g AS (SELECT l_orderkey AS model, list_sort(list(CAST(l_partkey AS VARCHAR)) FILTER (WHERE l_returnflag = 'R')) AS o, count(*) FILTER (WHERE l_returnflag = 'A') AS e FROM lineitem GROUP BY 1), z AS (SELECT model, concat_ws(',', CASE WHEN model % 10 = 0 THEN 'config_hash' END, CASE WHEN o IS NULL THEN 'output_artifact_ids' END, CASE WHEN e = 0 THEN 'evidence_ids' END) AS missing FROM g) SELECT model, missing, CASE WHEN missing = '' THEN 'retired' ELSE 'live' END AS status, missing <> '' AS recompute_required FROM z")
+def _(spark, sf):
+    pick = lambda flag: F.collect_list(F.when(F.col("l_returnflag") == flag, F.col("l_partkey").cast("string")))
+    m = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("model")).agg(pick("R").alias("output_artifact_ids"), pick("A").alias("evidence_ids"))
+    m = m.withColumns({"model_id": F.col("model").cast("string"), "config_hash": F.when(F.col("model") % 10 != 0, "c"), "input_manifest": F.array(F.lit("in")), "status": F.lit("live"), "recompute_required": F.lit(True)})
+    return rules.model_retire(m).select("model", F.array_join("missing_fields", ",").alias("missing"), "status", "recompute_required")
+
+
+@op("time_parse", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE o_orderdate - CASE WHEN o_orderkey % 4 = 1 THEN INTERVAL 8 HOUR ELSE INTERVAL 0 HOUR END END AS at FROM orders")
+def _(spark, sf):
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    text = F.when(k % 4 == 0, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k % 4 == 1, F.date_format(d, "'Tue, 'dd MMM yyyy HH:mm:ss' +0800'")).when(k % 4 == 2, F.date_format(d, "yyyy-MM-dd HH:mm:ss")).otherwise("no date")
+    return table(spark, sf, "orders").select("o_orderkey", time_parse(text).alias("at"))
+
+
+@op("source_upsert", "SELECT l_suppkey, arg_max(l_returnflag, l_orderkey * 10000000 + l_partkey) AS language, arg_max(l_linestatus, l_orderkey * 10000000 + l_partkey) AS region, count(*) AS arrivals FROM lineitem GROUP BY 1")
+def _(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10000000 + F.col("l_partkey")).alias("n"), F.col("l_returnflag").alias("language"), F.col("l_linestatus").alias("region"))
+    return feeds.item_upsert(rows, "n", "l_suppkey", [], ["language", "region"])

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import duckdb
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalframe.functions.text import html_clean, time_parse, tokens_han
-from signalframe.operators import trends
+from signalframe.operators import planning, registers, rules, trends
 from signalframe.operators.components import connected_components
 from signalframe.plans import catalog
 from signalframe.sources import feeds
@@ -102,3 +103,53 @@ def test_components(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(1, 31)}, 100: 50}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_nominal_windows_meet(spark):
+    got = sorted((r.start, r.end, r.edition) for r in planning.nominal_windows("2024-01-02", "2024-01-04", spark).select(F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), "edition").collect())
+    assert got[0] == ("2024-01-01 11:00:00", "2024-01-02 00:00:00", "morning") and got[1] == ("2024-01-02 00:00:00", "2024-01-02 11:00:00", "evening")
+    assert all(a[1] == b[0] for a, b in zip(got, got[1:]))
+
+
+def test_fronts_of_ties_and_nulls(spark):
+    df = spark.createDataFrame([(1, 3.0, 1.0), (2, 3.0, 1.0), (3, 1.0, 3.0), (4, 1.0, 1.0), (5, None, 9.0), (6, 3.0, 0.0), (7, 0.0, 3.0)], "k int, a double, b double")
+    got = {r.k: r.front for r in planning.pareto_fronts(df, "k", "a", "b", 2).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 6: 2, 4: 2, 7: 2}
+    assert planning.pareto_fronts(df.where("k > 9"), "k", "a", "b", 2).count() == 0
+
+
+MEMBERS = [(f"u{i}", f"m{i}", i, None, None, i == 1) for i in (1, 2, 3)]
+DOC = "set_id string, expected_count int, members array<struct<unit_id:string,member_key:string,ordinal:int,page_key:string,shard_key:string,continuation_expected:boolean>>, decisions array<struct<decision_id:string,unit_id:string,outcome:string,reason_code:string,continuation_closed:boolean>>, receipts array<struct<receipt_id:string,decision_id:string,unit_id:string>>, outputs array<struct<artifact_id:string,decision_id:string,receipt_id:string>>"
+
+
+def closed_set():
+    return [3, MEMBERS, [(f"d{i}", f"u{i}", "success", None, True) for i in (1, 2, 3)], [(f"r{i}", f"d{i}", f"u{i}") for i in (1, 2, 3)], [(f"a{i}", f"d{i}", f"r{i}") for i in (1, 2, 3)]]
+
+
+def test_response_set_mutations(spark):
+    """A whole set holds in any order of its arrays; each row left out in turn breaks it."""
+    rows = [("whole", *closed_set()), ("turned", *[x[::-1] if isinstance(x, list) else x for x in closed_set()])]
+    for at in range(1, 5):
+        for i in range(3):
+            parts = closed_set()
+            parts[at] = parts[at][:i] + parts[at][i + 1:]
+            rows.append((f"drop-{at}-{i}", *parts))
+    df = spark.createDataFrame(rows, DOC)
+    stated = df.where("set_id = 'whole'").select(registers.member_set_hash(F.col("members"))).first()[0]
+    broken = {r.set_id for r in registers.response_set_closure(df.withColumn("member_set_hash", F.lit(stated))).collect()}
+    assert broken == {f"drop-{a}-{i}" for a in range(1, 5) for i in range(3)}
+
+
+def test_purposes(spark):
+    df = spark.createDataFrame([("O_model:acme", "allow", ["rights_grant", "authorized_scope", "purpose_authorization", "provider_identity"]), ("O_model:local", "allow", None), ("O_train:a,b", "deny", []), ("O_none", "allow", [])], "purpose string, authorization string, claims array<string>")
+    got = {r.purpose: (r.decision, r.reason_code, len(r.missing_claims)) for r in rules.purpose_eligibility(df).collect()}
+    assert got == {"O_model:acme": ("allow", None, 0), "O_model:local": ("deny", "PURPOSE_MODEL_DENIED", 4), "O_train:a,b": ("deny", "PURPOSE_TRAIN_DENIED", 6), "O_none": ("deny", "PURPOSE_UNKNOWN", 0)}
+
+
+def test_catalog_closes(spark):
+    definitions = spark.createDataFrame([(1, t, r, t * 10 + r, 1, "P0", "p") for t in (1, 2) for r in (1, 2)], "catalogue_id int, test_id int, revision int, definition_id int, phase int, severity string, policy string")
+    members = spark.createDataFrame([(1, 12, "applicable"), (1, 22, "applicable")], "catalogue_id int, definition_id int, membership string")
+    stated = hashlib.sha256(b"12|applicable\n22|applicable").hexdigest()
+    one = spark.createDataFrame([(1, 1, "p", stated)], "catalogue_id int, target_phase int, policy string, stated_hash string")
+    assert registers.catalog_closure(one, definitions, members).first().closed
+    assert not registers.catalog_closure(one, definitions, members.where("definition_id = 12")).first().closed
