@@ -10,6 +10,7 @@ from signalframe.operators import planning, registers, rules, trends
 from signalframe.operators.components import connected_components
 from signalframe.plans import catalog
 from signalframe.sources import feeds
+from signalframe.streaming import streams
 
 SF = "/root/testdata/sf0.001"
 ITEM = "item_key string, source_id string, source_name string, language string, region string, title string, summary string, source_url string, published_at timestamp, fetched_at timestamp"
@@ -153,3 +154,17 @@ def test_catalog_closes(spark):
     one = spark.createDataFrame([(1, 1, "p", stated)], "catalogue_id int, target_phase int, policy string, stated_hash string")
     assert registers.catalog_closure(one, definitions, members).first().closed
     assert not registers.catalog_closure(one, definitions, members.where("definition_id = 12")).first().closed
+
+
+def test_streams(spark, tmp_path):
+    events = spark.createDataFrame([(1, 1, 10), (1, 1, 20), (1, 2, 30), (2, 1, 40)], "item_id int, version_id int, s long").withColumn("ts", F.timestamp_seconds("s"))
+    rows = [(f"k{i}", s, s, "en", "R", "quantum battery", "", f"u{i}", None, None) for i, s in enumerate("aabc")]
+    topics = spark.createDataFrame(rows, ITEM).withColumn("published_at", F.lit("2024-01-02 10:00:00").cast("timestamp"))
+    for name, df, query in (("events", events, streams.replay_dedup_stream), ("topics", topics, streams.trend_stream)):
+        df.write.parquet(f"file://{tmp_path}/{name}")
+        out = query(spark.readStream.schema(df.schema).parquet(f"file://{tmp_path}/{name}"))
+        mode = "append" if name == "events" else "update"
+        out.writeStream.format("memory").queryName(f"s_{name}").outputMode(mode).option("checkpointLocation", f"file://{tmp_path}/c_{name}").trigger(availableNow=True).start().awaitTermination(120)
+    assert {(r.item_id, r.version_id) for r in spark.table("s_events").collect()} == {(1, 1), (1, 2), (2, 1)} and spark.table("s_events").count() == 3
+    got = [(r.mention_count, r.source_count) for r in spark.table("s_topics").where("topic_key = 'en:quantum battery'").collect()]
+    assert len(got) == 4 and set(got) == {(4, 3)}
