@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalframe.llm.common import narrowed, pieces
@@ -53,14 +53,21 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, fp (the 64 bits as a signed long). Null and empty texts have fingerprint 0."""
+    """One row per document: doc_id, text_md5 (null for a null text), fp (the 64 bits as a signed long).
+
+    Null and empty texts have fingerprint 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["doc_id", "text_md5", "fp"])
+
+    return narrowed(docs, _text_md5().alias("text_md5")).mapInArrow(run, "doc_id long, text_md5 string, fp long")
 
-    return narrowed(docs).mapInArrow(run, "doc_id long, fp long")
+
+def _text_md5() -> Column:
+    return F.md5(F.col("text").cast("string"))
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -186,6 +193,16 @@ def near_links(fps: DataFrame) -> DataFrame:
     return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_linked, "u long, v long")
 
 
+def _grouped(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, text_md5, fp, root (a fingerprint that names the group), component_id."""
+    fps = written(fingerprints(docs), "simhash")
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
+    roots = connected_components(near_links(distinct.select("fp")))
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return fps.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
@@ -193,18 +210,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     whose doc_id is null are compared too but never name a component; a component of only such rows has id null.
     An empty table gives an empty result. Other columns are ignored.
     """
-    fps = written(fingerprints(docs), "simhash")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
-    roots = connected_components(near_links(distinct.select("fp")))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    label = rooted.join(named, "root").select("fp", "component_id")
-    return fps.join(label, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return _grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents that bear their component's id, one row each, with all their columns. A doc_id names one document."""
-    kept = near_duplicates(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group, with all its columns: the one of the smallest doc_id, then of the smallest text_md5.
+
+    A document without doc_id stays only where its whole group has none. Rows that share doc_id and text are one
+    document; rows that share doc_id alone are apart.
+    """
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_md5")
+    kept = _grouped(docs).groupBy("root").agg(F.min(first).alias("k")).select("k.doc_id", "k.text_md5")
+    of_row = F.md5(docs["text"].cast("string"))
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]) & of_row.eqNullSafe(kept["text_md5"])
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])

@@ -69,6 +69,14 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_deduplication_keeps_one_of_each_group(spark):
+    a, b, c = ("the quick fox ran over stones " * 9, "une maison au bord de la mer calme " * 9, "years of light and of winter rain " * 9)
+    made = [(None, a, 1), (None, b, 2), (7, c, 3), (7, a, 4), (9, c, 5), (None, c, 6), (None, b, 7), (3, None, 8), (4, "", 9)]
+    kept = simhash.deduplicated(spark.createDataFrame(made, "doc_id long, text string, root int").repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept if r.text) == sorted([("None", b), ("7", c), ("7", a)])
+    assert [r.doc_id for r in kept if not r.text] == [3]
+
+
 def test_bit_sliced_pairs_and_crowded_buckets(spark, monkeypatch):
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 2**63, 6, dtype=np.uint64)
