@@ -28,6 +28,7 @@ DROPOUT = 0.1
 SEED = 97
 VARIANTS = 4
 LONG = 40
+BATCH_BYTES = 4 << 20
 META = "▁"
 #: Stands for a literal meta symbol of the text; no valid text holds it.
 LITERAL = "\udc00"
@@ -262,7 +263,7 @@ KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.bool_()
 def _in_batches(docs: DataFrame, model: str, rate: float, finish, out: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
-        for batch in pieces(batches):
+        for batch in pieces(batches, BATCH_BYTES):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             variant = [_mix(SEED ^ zlib.crc32(str(d).encode())) % VARIANTS for d in ids]
             got: list = [None] * len(ids)
