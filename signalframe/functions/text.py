@@ -50,7 +50,7 @@ def tokens_han(text: Column) -> Column:
         sizes = F.filter(F.array(F.lit(2), F.lit(3), F.lit(4)), lambda n: n <= F.length(run))
         return F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length(run) - n + 1), lambda i: F.substring(run, i, n))))
 
-    every = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"\p{IsHan}{2,}"), F.lit(0)), grams)))
+    every = F.array_distinct(F.flatten(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\p{IsHan}{2,}"), F.lit(0))), grams)))
     bad = "|".join([*STOP_HAN, *FUNCTION_HAN])
     return F.filter(every, lambda t: ((F.length(t) > 2) | t.isin(SHORT_HAN)) & ~t.rlike(bad))
 

@@ -423,4 +423,4 @@ def _(spark, sf):
 def _(spark, sf):
     return signals.concentration(table(spark, sf, "documents"), "lang", "source")
 
-from signalframe.plans import catalog_audits, catalog_rules  # noqa: E402, F401  add their queries
+from signalframe.plans import catalog_audits, catalog_feeds, catalog_rules  # noqa: E402, F401  add their queries

@@ -24,8 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items_of(table(spark, sf_dir, "documents"))
+
+
+def items_of(documents: DataFrame) -> DataFrame:
     start = F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         F.col("doc_id").cast("string").alias("item_key"), F.col("source").alias("source_id"), F.col("source").alias("source_name"), F.col("lang").alias("language"),
         F.concat(F.lit("R"), (F.substring("source", 4, 10).cast("int") % 5).cast("string")).alias("region"),
         F.substring("text", 1, 80).alias("title"), F.substring("text", 81, 320).alias("summary"),

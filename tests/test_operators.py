@@ -168,3 +168,10 @@ def test_streams(spark, tmp_path):
     assert {(r.item_id, r.version_id) for r in spark.table("s_events").collect()} == {(1, 1), (1, 2), (2, 1)} and spark.table("s_events").count() == 3
     got = [(r.mention_count, r.source_count) for r in spark.table("s_topics").where("topic_key = 'en:quantum battery'").collect()]
     assert len(got) == 4 and set(got) == {(4, 3)}
+
+
+def test_source_registry(spark, tmp_path):
+    path = tmp_path / "sources.json"
+    path.write_text('{"sources": [{"id": "a", "url": "u1"}, {"id": "b", "url": "u2", "enabled": false}, {"id": "c", "url": "u3", "enabled": true}]}')
+    ids = lambda wanted=None: sorted(r.id for r in feeds.read_sources(spark, f"file://{path}", wanted).collect())
+    assert ids() == ["a", "c"] and ids(["b"]) == ["b"] and ids(["x"]) == []
