@@ -195,7 +195,7 @@ def masked(docs: DataFrame) -> DataFrame:
     """The documents with every secret replaced by MASK; rows and columns stay. A second pass over the same text."""
     limits = thresholds(_found(docs).where("kind = 3"))
     text = F.col("text")
-    tests = (lambda m: F.length(m["value"]) >= MIN_VALUE, lambda m: F.length(m["token"]) >= MIN_ACCESS, lambda m: F.lit(True), lambda m: accepted(m["token"], limits))
+    tests = (lambda m: F.length(m["value"]) >= MIN_VALUE, lambda m: F.length(m["token"]) >= MIN_ACCESS, lambda m: m["token"].isNotNull(), lambda m: accepted(m["token"], limits))
     out = docs
     for (pattern, group), test in zip(PATTERNS, tests):
         out = out.withColumn("text", F.coalesce(_replaced(_parts(text, pattern, group), test), text))
