@@ -6,6 +6,9 @@ fingerprints stand as vertical bit planes, 64 texts to a machine word. A query's
 carry-save addition of three planes at a time into two-bit counters; words whose 64 texts have all passed three
 are abandoned. A bucket over ``CHUNK`` distinct fingerprints is dealt out as pairs of chunks, each pair one group,
 so no group is unbounded and no link is lost. Buckets yield one edge per member, never all pairs.
+
+The pipeline's stage (``deduplicated``) is wider: 256 bits over the set of five-word shingles, 64 tables keyed by 16
+bits, pairs within 32 of 128 bits as candidates, and a link where the exact shingle Jaccard is 0.8 or more.
 """
 
 from __future__ import annotations
@@ -213,14 +216,183 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns: the one of the smallest doc_id, then of the smallest text_md5.
+#: Near copies of a stage: POSITIONS holds the bits of each table's key, each quarter of the tables using every bit once.
+WIDE_WORDS = 5
+LIKENESS = 0.8
+WIDE_RADIUS = 32
+KEY_BITS = 16
+SMALL = 16
+TILE = 512
+_ROUNDS = np.random.default_rng(SEED)
+POSITIONS = np.concatenate([_ROUNDS.permutation(256).reshape(-1, KEY_BITS) for _ in range(4)])
+
+
+def shingle_set(text: str, words: int = WIDE_WORDS) -> np.ndarray:
+    """Sorted hashes of the text's distinct shingles; a text of fewer words is one shingle, one without words has none."""
+    found = text.encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return np.empty(0, np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    begins = np.concatenate([[0], ends[:-1] + 1])[: max(1, len(found) - words + 1)].tolist()
+    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
+    hashes = (digest(joined[b:e], SEED) for b, e in zip(begins, ends[min(words, len(found)) - 1 :].tolist()))
+    return np.unique(np.fromiter(hashes, np.uint64, len(begins)))
+
+
+def likeness(one: np.ndarray, other: np.ndarray) -> float:
+    """Exact Jaccard of two shingle sets."""
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return both / max(1, len(one) + len(other) - both)
+
+
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """256 bits as four words: SimHash over the set, each shingle counted once."""
+    count = np.zeros(256, np.int64)
+    for at in range(0, len(shingles), 1 << 14):
+        x = shingles[at : at + (1 << 14), None] + np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        count += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(count * 2 > len(shingles), bitorder="little").view(np.uint64)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with near_key, which rows of the same doc_id and text share, null or not."""
+    told = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
+    return docs.withColumn("near_key", F.md5(F.concat(told(F.col("doc_id")), F.lit(" "), told(F.col("text")))))
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """near_key, doc_id, text_md5, sid (a hash of the shingle set), and the wide fingerprint a, b, c, d of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            every = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+            sids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in every], np.uint64)
+            bits = np.array([wide_fingerprint(x) for x in every], np.uint64).reshape(-1, 4).view(np.int64)
+            columns = [batch.column(2), batch.column(0), batch.column(3), pa.array(sids.view(np.int64)), *(pa.array(bits[:, i]) for i in range(4))]
+            yield pa.RecordBatch.from_arrays(columns, ["near_key", "doc_id", "text_md5", "sid", "a", "b", "c", "d"])
+
+    return narrowed(_keyed(docs), "near_key", _text_md5().alias("text_md5")).mapInArrow(run, "near_key string, doc_id long, text_md5 string, sid long, a long, b long, c long, d long")
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """sid, a, b, c, d -> a row per table: slot (table and key), sid, a, b."""
+    weights = 1 << np.arange(KEY_BITS)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            columns = np.stack([c.to_numpy(zero_copy_only=False) for c in whole.slice(at, 1024).columns])
+            bits = np.unpackbits(np.ascontiguousarray(columns[1:].T).view(np.uint8), axis=1, bitorder="little")
+            keys = bits[:, POSITIONS] @ weights + (np.arange(len(POSITIONS)) << KEY_BITS)
+            repeated = [np.repeat(columns[i], len(POSITIONS)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int32)), *map(pa.array, repeated)], ["slot", "sid", "a", "b"])
+
+
+def _apart(a: np.ndarray, b: np.ndarray, i, j) -> np.ndarray:
+    """Differing bits; as unsigned words, since a signed word's count is that of its magnitude."""
+    return np.bitwise_count((a[i] ^ a[j]).view(np.uint64)) + np.bitwise_count((b[i] ^ b[j]).view(np.uint64))
+
+
+def forest(a: np.ndarray, b: np.ndarray, radius: int = WIDE_RADIUS) -> list[tuple[int, int]]:
+    """Index pairs of a minimum spanning forest of the pairs within ``radius``, nearest first from each tree's start."""
+    n, at, out = len(a), 0, []
+    nearest, parent, left = np.full(n, 300, np.int16), np.zeros(n, np.int64), np.ones(n, bool)
+    for _ in range(n - 1):
+        left[at] = False
+        apart = _apart(a, b, slice(None), at)
+        closer = left & (apart < nearest)
+        nearest[closer], parent[closer] = apart[closer], at
+        at = int(np.argmin(np.where(left, nearest, np.int16(301))))
+        if nearest[at] <= radius:
+            out.append((at, int(parent[at])))
+    return out
+
+
+def _candidates(keys: np.ndarray, sids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole buckets -> sid pairs within the radius: all of buckets up to SMALL, a minimum spanning forest of larger ones."""
+    starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+    sizes = np.diff(np.append(starts, len(sids)))
+    ends, left, right = np.repeat(starts + sizes, sizes), [], []
+    small = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
+    for step in range(1, SMALL):
+        small = small[small + step < ends[small]]
+        hit = small[_apart(a, b, small, small + step) <= WIDE_RADIUS]
+        left.append(hit)
+        right.append(hit + step)
+    for begin, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        p, q = a[begin : begin + size], b[begin : begin + size]
+        near = np.zeros(size, bool)
+        for t in range(0, size, TILE):
+            rows = np.arange(t, min(size, t + TILE))
+            near[rows] = (_apart(p, q, rows[:, None], np.arange(size)[None]) <= WIDE_RADIUS).sum(axis=1) > 1
+        near = np.flatnonzero(near)
+        if len(near):
+            pairs = np.array(forest(p[near], q[near]), np.int64).reshape(-1, 2)
+            left.append(begin + near[pairs[:, 0]])
+            right.append(begin + near[pairs[:, 1]])
+    left, right = np.concatenate(left), np.concatenate(right)
+    return np.minimum(sids[left], sids[right]), np.maximum(sids[left], sids[right])
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket -> candidate pairs (u, v)."""
+    held = np.empty((6, 0), np.int64)
+    for batch in batches:
+        held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
+        if held.shape[1]:
+            open_from = int(np.argmax((held[:3] == held[:3, -1:]).all(axis=0)))
+            if open_from:
+                u, v = _candidates(held[:3, :open_from], held[3, :open_from], *held[4:, :open_from])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                held = held[:, open_from:]
+    if held.shape[1]:
+        u, v = _candidates(held[:3], held[3], *held[4:])
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def _alike(words: int, least: float):
+    """(u, v, text, other) -> the (u, v) whose texts' exact Jaccard is ``least`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces([batch]):
+                pairs = zip(part.column(2).to_pylist(), part.column(3).to_pylist())
+                keep = pa.array([likeness(shingle_set(x, words), shingle_set(y, words)) >= least for x, y in pairs], pa.bool_())
+                yield part.select(["u", "v"]).filter(keep)
+
+    return run
+
+
+def _similar(docs: DataFrame, words: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(one row per document with its sid, links (u, v) between sids of likeness ``least`` or more)."""
+    sets = written(_sets(docs, words), "simhash-wide")
+    named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_md5", "near_key")
+    distinct = written(sets.groupBy("sid", "a", "b", "c", "d").agg(F.min(named)["near_key"].alias("near_key")), "simhash-sets")
+    tables = distinct.select("sid", "a", "b", "c", "d").mapInArrow(_dealt, "slot int, sid long, a long, b long")
+    crowded = tables.groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+    shares = tables.join(F.broadcast(crowded), "slot", "left").withColumn("k", F.coalesce(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("long"))
+    shares = shares.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    by = ["slot", "i", "j"]
+    shares = shares.select("slot", F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j"), "sid", "a", "b")
+    close = written(shares.repartition(*by).sortWithinPartitions(*by).mapInArrow(_close, "u long, v long").distinct(), "simhash-close")
+    nodes = close.select(F.explode(F.array("u", "v")).alias("sid")).distinct().join(distinct, "sid").select("sid", "near_key")
+    texts = _keyed(docs).select("near_key", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = written(texts.join(nodes, "near_key").dropDuplicates(["near_key"]).select("sid", "text"), "simhash-texts")
+    both = close.join(texts.withColumnRenamed("sid", "u"), "u").join(texts.select(F.col("sid").alias("v"), F.col("text").alias("other")), "v")
+    return sets, both.select("u", "v", "text", "other").mapInArrow(_alike(words, least), "u long, v long")
+
+
+def deduplicated(docs: DataFrame, words: int = WIDE_WORDS, least: float = LIKENESS) -> DataFrame:
+    """One document of each group of texts linked by a shingle Jaccard of ``least`` or more, with all its columns: the one
+    of the smallest doc_id, then of the smallest text_md5.
 
     A document without doc_id stays only where its whole group has none. Rows that share doc_id and text are one
     document; rows that share doc_id alone are apart.
     """
-    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_md5")
-    kept = _grouped(docs).groupBy("root").agg(F.min(first).alias("k")).select("k.doc_id", "k.text_md5")
-    of_row = F.md5(docs["text"].cast("string"))
-    same = docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]) & of_row.eqNullSafe(kept["text_md5"])
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    sets, links = _similar(docs, words, least)
+    roots = connected_components(links).withColumnRenamed("node", "sid")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_md5", "near_key")
+    best = sets.groupBy("sid").agg(F.min(first).alias("k")).join(roots, "sid", "left")
+    kept = best.groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("k").alias("k")).select(F.col("k.near_key").alias("near_key"))
+    return _keyed(docs).join(kept, "near_key", "left_semi").dropDuplicates(["near_key"]).drop("near_key")
