@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,3 +27,21 @@ def pieces(batches: Iterator[pa.RecordBatch], max_bytes: int = 16 << 20, sized_b
         each = max(1, int(batch.num_rows * max_bytes / max(1, column.nbytes)))
         for at in range(0, batch.num_rows, each):
             yield batch.slice(at, each)
+
+
+class Memory(dict):
+    """key -> make(key), remembering the last ``most`` to twice as many keys."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = got
+        return got

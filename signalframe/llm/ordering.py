@@ -11,7 +11,9 @@ from signalframe.llm.common import narrowed
 def in_order(docs: DataFrame, descending: bool = False) -> DataFrame:
     """doc_id and text, range-partitioned and sorted by doc_id, equal ids by text; partition numbers rise with the order.
 
-    Null doc_ids come last either way.
+    Null doc_ids come last either way. Rows of one doc_id (or none) are cut apart by a hash of the text, equal rows by
+    where they stand, so no doc_id makes one task large; equal ids are in order of that hash, then of the text.
     """
     key = F.col("doc_id").desc_nulls_last() if descending else F.col("doc_id").asc_nulls_last()
-    return narrowed(docs).repartitionByRange(key).sortWithinPartitions(key, "text")
+    numbered = narrowed(docs).select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    return numbered.repartitionByRange(key, "hash", "place").sortWithinPartitions(key, "hash", "text").select("doc_id", "text")
