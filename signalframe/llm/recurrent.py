@@ -5,40 +5,47 @@ The output is class-factored: a softmax over word classes, spelling classes and
 class, or for a spelling class the add-one distribution of the training counts of its words (plus one for all unseen
 words). So every text has a proper probability, and the counts behind it cover the whole training corpus.
 
-Training: every training document gives a span of SPAN words at an offset drawn from its text's hash; replicas, one per
-task, follow truncated backpropagation over windows of WINDOW steps with the state carried from window to window, and
-are averaged by weight after each round. Scoring packs whole documents into lanes and carries the state across all
-windows of a document.
+Texts are turned into symbols once, in a written table that training and scoring both read. Training goes over every
+word of every training text once, by truncated backpropagation over windows of WINDOW steps with the state carried from
+window to window. Texts (cut every SEGMENT words, so that no text is one task) are dealt by hash to replicas, whose
+number follows the corpus alone; a replica packs its texts into LANES side by side. The WARM-th part of the texts makes
+a first round, the rest the second; after each the replicas are averaged by weight, in levels of FAN. So the model does
+not depend on how the input is partitioned. Scoring packs whole documents into lanes too and carries the state across
+all windows of a document.
 """
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby, repeat
+from types import SimpleNamespace
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalframe.llm.common import narrowed, pieces
+from signalframe.llm.common import Memory, narrowed, pieces
 from signalframe.scratch import written
 
 FOLDS, HELD = 7, 2
-VOCAB, PER_CLASS = 2048, 64
+VOCAB, PER_CLASS = 4096, 64
 SPELLINGS = 32
 WORD_CLASSES = VOCAB // PER_CLASS
 END = VOCAB + SPELLINGS
 CLASSES = WORD_CLASSES + SPELLINGS + 1
-HIDDEN, WINDOW, SPAN, LANES, ROUNDS, RATE = 16, 32, 64, 48, 2, 0.01
-SCORE_LANES, SCORE_WINDOW = 512, 64
+HIDDEN, WINDOW, LANES, RATE = 16, 32, 256, 0.02
+SCORE_LANES = 512
+STEPS = 1024  # of a lane that are laid out at once
+BLOCK = 1024  # states that go through a softmax at once
+LARGEST = 4.0  # bound of every output weight, so that no logit leaves what exp can hold
+REPLICA_WORDS, SEGMENT = 1 << 22, 1 << 12
+WARM, FAN = 4, 16
 KEPT = 1 << 18  # words whose counts every task holds; rarer ones are joined
-FOLD_BY = 16
 LN10 = float(np.log(10))
 Params = dict[str, np.ndarray]
 
@@ -52,8 +59,8 @@ def spelling(word: bytes) -> int:
     return zlib.crc32(word.decode("utf-8", "surrogatepass")[:2].encode("utf-8", "surrogatepass")) % SPELLINGS
 
 
-def is_held(doc_id: int | None) -> bool:
-    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD
+def is_training():
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) != HELD, F.lit(True))
 
 
 class Known(NamedTuple):
@@ -69,7 +76,7 @@ class Known(NamedTuple):
 
 
 def gather(docs: DataFrame) -> DataFrame:
-    """From training documents: kind 0 word counts (partial sums), 1 training spans, 2 numbers of texts. Written once."""
+    """From training documents: kind 0 word counts (partial sums), 2 numbers of texts. Written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(kind: int, words: list[str], n: list[int]) -> pa.RecordBatch:
@@ -77,24 +84,17 @@ def gather(docs: DataFrame) -> DataFrame:
 
         counted: Counter = Counter()
         for batch in pieces(batches, 8 << 20):
-            spans = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if is_held(doc_id):
-                    continue
-                words = tokens(text)
-                counted.update(words)
-                first = zlib.crc32(text.encode("utf-8", "surrogatepass")) % max(1, len(words) - SPAN + 1)
-                spans.append((b" ".join(words[first : first + SPAN]) + (b" \n" if first + SPAN >= len(words) else b"")).decode("utf-8", "surrogatepass"))
-            if spans:
-                yield rows(1, spans, [1] * len(spans))
-                yield rows(2, [""], [len(spans)])
+            if batch.num_rows:
+                yield rows(2, [""], [batch.num_rows])
+            for text in batch.column(0).to_pylist():
+                counted.update(tokens(text))
             if len(counted) > 200_000:
                 yield rows(0, [w.decode("utf-8", "surrogatepass") for w in counted], list(counted.values()))
                 counted = Counter()
         if counted:
             yield rows(0, [w.decode("utf-8", "surrogatepass") for w in counted], list(counted.values()))
 
-    return written(narrowed(docs).mapInArrow(run, "kind int, word string, n long"), "lm-gathered")
+    return written(narrowed(docs).where(is_training()).select("text").mapInArrow(run, "kind int, word string, n long"), "lm-gathered")
 
 
 def word_counts(gathered: DataFrame) -> DataFrame:
@@ -147,123 +147,228 @@ def first_params(known: Known) -> Params:
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def packed(sequences: Iterable[np.ndarray], lanes: int) -> Iterator[tuple]:
+    """Sequences one after another in lanes: blocks of (inputs, targets, owners, lanes kept of the block before).
 
-
-def run_window(p: Params, x: np.ndarray, h: np.ndarray, kept: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs (steps, lanes) and the state before -> states (steps, lanes, HIDDEN) and the last. An END input resets it."""
-    out = np.empty((*x.shape, HIDDEN), np.float32)
-    gates = p["gates"][x]
-    fresh = x == END
+    Arrays are (steps, lanes), steps at most STEPS; targets are -1 where a lane has nothing left, owners number the
+    sequences. The input before a sequence's first symbol is END. A lane takes the next sequence when its own ends; lanes
+    left without any are dropped.
+    """
+    source, dry = enumerate(sequences), False
+    rest: list = [None] * lanes
+    last = np.full(lanes, END, np.int32)
+    while True:
+        y, owner = np.full((len(rest), STEPS), -1, np.int32), np.zeros((len(rest), STEPS), np.int32)
+        for lane, held in enumerate(rest):
+            at = 0
+            while at < STEPS:
+                if held is None:
+                    held = None if dry else next(source, None)
+                    if held is None:
+                        dry = True
+                        break
+                number, symbols = held
+                now = symbols[: STEPS - at]
+                y[lane, at : at + len(now)], owner[lane, at : at + len(now)] = now, number
+                at += len(now)
+                held = (number, symbols[len(now) :]) if len(now) < len(symbols) else None
+            rest[lane] = held
+        keep = y[:, 0] >= 0
+        if not keep.any():
+            return
+        y, owner, last, rest = y[keep], owner[keep], last[keep], [r for r, k in zip(rest, keep) if k]
+        steps = int((y >= 0).sum(axis=1).max())
+        x = np.concatenate([last[:, None], y[:, :-1]], axis=1)
+        x[x < 0] = END
+        last = np.where(y[:, -1] < 0, END, y[:, -1])
+        yield (*(np.ascontiguousarray(a.T[:steps]) for a in (x, y, owner)), keep)
+
+
+def by_row(a: np.ndarray) -> np.ndarray:
+    """(steps, features, lanes) -> (steps x lanes, features)."""
+    return np.ascontiguousarray(a.transpose(0, 2, 1)).reshape(-1, a.shape[1])
+
+
+def run_window(p: Params, x: np.ndarray, h: np.ndarray, kept: SimpleNamespace | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs (steps, lanes) and the state before (HIDDEN, lanes) -> states (steps, HIDDEN, lanes) and the last.
+
+    An END input resets the state. ``kept`` gets what backpropagation needs.
+    """
+    gates = np.ascontiguousarray(p["gates"].take(x, axis=0).transpose(0, 2, 1))
+    fresh, state, bias = x == END, np.ascontiguousarray(p["state"].T), p["bias"][:, None]
+    resets, out = fresh.any(axis=1).tolist(), np.empty((len(x), HIDDEN, x.shape[1]), gates.dtype)
+    if kept is not None:
+        kept.h, kept.inner, kept.n, kept.zr = np.empty_like(out), np.empty_like(out), np.empty_like(out), gates
     for t in range(len(x)):
-        if fresh[t].any():
-            h = h * ~fresh[t][:, None]
-        u = h @ p["state"]
-        zr = _sigmoid(gates[t, :, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        inner = u[:, 2 * HIDDEN :] + p["bias"]
-        n = np.tanh(gates[t, :, 2 * HIDDEN :] + r * inner)
+        if resets[t]:
+            h = h * ~fresh[t]
+        u, zr = state @ h, gates[t, : 2 * HIDDEN]
+        zr += u[: 2 * HIDDEN]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        inner = u[2 * HIDDEN :]
+        inner += bias
+        n = zr[HIDDEN:] * inner
+        n += gates[t, 2 * HIDDEN :]
+        np.tanh(n, out=n)
         if kept is not None:
-            kept.append((h, z, r, inner, n))
-        h = n + z * (h - n)
-        out[t] = h
+            kept.h[t], kept.inner[t], kept.n[t] = h, inner, n
+        now = np.subtract(h, n, out=out[t])
+        now *= zr[:HIDDEN]
+        now += n
+        h = now
     return out, h
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
 def class_of(y: np.ndarray) -> np.ndarray:
-    return np.where(y < VOCAB, y // PER_CLASS, y - VOCAB + WORD_CLASSES)
+    return np.where(y < VOCAB, y // PER_CLASS, y - VOCAB + WORD_CLASSES).astype(np.int16)
 
 
 def log_probs(p: Params, h: np.ndarray, y: np.ndarray, grads: Params | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """ln P(target) of states (n, HIDDEN) and targets; with ``grads``, adds the loss's gradients and returns the states'."""
+    """ln P(target) of states (n, HIDDEN) and targets; with ``grads``, adds the loss's gradients and returns the states'.
+
+    Rows go by class, so each word class is one small matrix product. A column of ones carries the biases.
+    """
+    n = len(y)
     cls = class_of(y)
-    outer = _log_softmax(h @ p["outer"] + p["outer_bias"])
-    at = np.arange(len(y))
-    got, back = outer[at, cls].astype(np.float64), None
-    if grads is not None:
-        d = np.exp(outer)
-        d[at, cls] -= 1
-        grads["outer"] += h.T @ d
-        grads["outer_bias"] += d.sum(axis=0)
-        back = d @ p["outer"].T
     order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(WORD_CLASSES + 1))
+    cls, word = cls[order], y[order] % PER_CLASS
+    h = np.concatenate([h[order], np.ones((n, 1), h.dtype)], axis=1)
+    got, whole, at = np.empty(n, h.dtype), np.ones(n, h.dtype), np.arange(BLOCK)
+    outer, ones = np.concatenate([p["outer"], p["outer_bias"][None]]), np.ones(max(CLASSES, PER_CLASS), h.dtype)
+    back, d_outer = (np.empty_like(h), np.zeros_like(outer)) if grads is not None else (None, None)
+    for i in range(0, n, BLOCK):
+        rows = h[i : i + BLOCK]
+        o = rows @ outer
+        got[i : i + BLOCK] = o[at[: len(o)], cls[i : i + BLOCK]]
+        np.exp(o, out=o)
+        total = o @ ones[:CLASSES]
+        whole[i : i + BLOCK] = total
+        if grads is not None:
+            share = (1 / total)[:, None]
+            d_outer += (rows * share).T @ o
+            back[i : i + BLOCK] = (o @ outer.T) * share
+    ends = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+    if grads is not None:
+        back -= outer.T[cls]
+        for c in range(CLASSES):
+            if ends[c] < ends[c + 1]:
+                d_outer[:, c] -= h[ends[c] : ends[c + 1]].sum(axis=0)
+        grads["outer"] += d_outer[:-1]
+        grads["outer_bias"] += d_outer[-1]
     for c in range(WORD_CLASSES):
-        mine = order[ends[c] : ends[c + 1]]
-        if len(mine):
-            inner = _log_softmax(h[mine] @ p["inner"][c] + p["inner_bias"][c])
-            word, row = y[mine] % PER_CLASS, np.arange(len(mine))
-            got[mine] += inner[row, word]
+        if ends[c] == ends[c + 1]:
+            continue
+        inner = np.concatenate([p["inner"][c], p["inner_bias"][c][None]])
+        d_inner = np.zeros_like(inner)
+        for i in range(ends[c], ends[c + 1], BLOCK):
+            j = min(ends[c + 1], i + BLOCK)
+            q, row = h[i:j] @ inner, at[: j - i]
+            got[i:j] += q[row, word[i:j]]
+            np.exp(q, out=q)
+            total = q @ ones[:PER_CLASS]
+            whole[i:j] *= total
             if grads is not None:
-                d = np.exp(inner)
-                d[row, word] -= 1
-                grads["inner"][c] += h[mine].T @ d
-                grads["inner_bias"][c] += d.sum(axis=0)
-                back[mine] += d @ p["inner"][c].T
-    return got, back
-
-
-def backward(p: Params, grads: Params, x: np.ndarray, kept: list, dh_out: np.ndarray) -> None:
+                q *= (1 / total)[:, None]
+                q[row, word[i:j]] -= 1
+                d_inner += h[i:j].T @ q
+                back[i:j] += q @ inner.T
+        if grads is not None:
+            grads["inner"][c] += d_inner[:-1]
+            grads["inner_bias"][c] += d_inner[-1]
+    out = np.empty(n)
+    out[order] = got - np.log(whole)
+    if back is None:
+        return out, None
+    states = np.empty((n, HIDDEN), h.dtype)
+    states[order] = back[:, :-1]
+    return out, states
+
+
+def backward(p: Params, grads: Params, x: np.ndarray, kept: SimpleNamespace, dh_out: np.ndarray) -> None:
     """Backpropagation through one window; the gradient stops at the window's start."""
-    dh = np.zeros_like(kept[0][0])
-    dgates = np.empty((*x.shape, 3 * HIDDEN), np.float32)
-    for t in range(len(x) - 1, -1, -1):
-        h, z, r, inner, n = kept[t]
-        dh = dh + dh_out[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (h - n) * z * (1 - z)
-        dr = dn * inner * r * (1 - r)
-        du = np.concatenate([dz, dr, dn * r], axis=1)
-        dgates[t] = np.concatenate([dz, dr, dn], axis=1)
-        grads["state"] += h.T @ du
-        grads["bias"] += (dn * r).sum(axis=0)
-        dh = dh * z + du @ p["state"].T
-        dh *= (x[t] != END)[:, None]
-    order = np.argsort(x.ravel(), kind="stable")
-    seen = x.ravel()[order]
-    first = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
-    grads["gates"][seen[first]] += np.add.reduceat(dgates.reshape(-1, 3 * HIDDEN)[order], first)
+    steps, lanes = x.shape
+    live, state = x != END, np.ascontiguousarray(p["state"])
+    resets = (~live).any(axis=1).tolist()
+    dgates, du = np.empty((steps, 3 * HIDDEN, lanes), dh_out.dtype), np.empty((3 * HIDDEN, lanes), dh_out.dtype)
+    dh, d_state, d_bias = np.zeros((HIDDEN, lanes), dh_out.dtype), np.zeros((3 * HIDDEN, HIDDEN), dh_out.dtype), np.zeros(HIDDEN, dh_out.dtype)
+    for t in range(steps - 1, -1, -1):
+        h, inner, n = kept.h[t], kept.inner[t], kept.n[t]
+        z, r = kept.zr[t, :HIDDEN], kept.zr[t, HIDDEN : 2 * HIDDEN]
+        dz, dr, dn = dgates[t, :HIDDEN], dgates[t, HIDDEN : 2 * HIDDEN], dgates[t, 2 * HIDDEN :]
+        dh += dh_out[t]
+        other = 1 - z
+        np.multiply(n, n, out=dn)
+        np.subtract(1, dn, out=dn)
+        dn *= dh
+        dn *= other
+        np.subtract(h, n, out=dz)
+        for factor in (dh, z, other):
+            dz *= factor
+        np.subtract(1, r, out=dr)
+        for factor in (r, inner, dn):
+            dr *= factor
+        du[: 2 * HIDDEN] = dgates[t, : 2 * HIDDEN]
+        np.multiply(dn, r, out=du[2 * HIDDEN :])
+        d_state += du @ h.T
+        d_bias += du[2 * HIDDEN :].sum(axis=1)
+        dh *= z
+        dh += state @ du
+        if resets[t]:
+            dh *= live[t]
+    grads["state"] += d_state.T
+    grads["bias"] += d_bias
+    seen = x.ravel()
+    for k in range(3 * HIDDEN):
+        grads["gates"][:, k] += np.bincount(seen, dgates[:, k].ravel(), END + 1)
 
 
 class Adam:
     def __init__(self, p: Params):
         self.m, self.v, self.t = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
 
-    def step(self, p: Params, grads: Params) -> None:
+    def step(self, p: Params, grads: Params, rate: float) -> None:
+        """Uses up ``grads``."""
         self.t += 1
-        scale = RATE * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
+        scale = np.float32(rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
         for k, g in grads.items():
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            p[k] -= (scale * self.m[k] / (np.sqrt(self.v[k]) + 1e-6)).astype(np.float32)
-
-
-def learn(p: Params, adam: Adam, sequences: list[np.ndarray]) -> None:
-    """One pass over equal-length windows of up to LANES sequences (symbols; the first input is END)."""
-    longest = max(map(len, sequences))
-    y = np.full((longest, len(sequences)), -1, np.int64)
-    for lane, s in enumerate(sequences):
-        y[: len(s), lane] = s
-    x = np.concatenate([np.full((1, len(sequences)), END), np.where(y[:-1] < 0, END, y[:-1])])
-    h = np.zeros((len(sequences), HIDDEN), np.float32)
-    for at in range(0, longest, WINDOW):
-        xs, ys = x[at : at + WINDOW], y[at : at + WINDOW]
-        kept: list = []
-        states, h = run_window(p, xs, h, kept)
-        live = ys.ravel() >= 0
-        grads = {k: np.zeros_like(a) for k, a in p.items()}
-        _, back = log_probs(p, states.reshape(-1, HIDDEN)[live], ys.ravel()[live], grads)
-        dh = np.zeros((ys.size, HIDDEN), np.float32)
-        dh[live] = back
-        backward(p, grads, xs, kept, dh.reshape(*xs.shape, HIDDEN))
-        count = np.float32(live.sum())
-        adam.step(p, {k: g / count for k, g in grads.items()})
+            m, v = self.m[k], self.v[k]
+            m += np.float32(0.1) * (g - m)
+            g *= g
+            g -= v
+            g *= np.float32(0.01)
+            v += g
+            np.sqrt(v, out=g)
+            g += np.float32(1e-6)
+            np.divide(m, g, out=g)
+            g *= scale
+            p[k] -= g
+        for k in ("outer", "inner"):
+            np.clip(p[k], -LARGEST, LARGEST, out=p[k])
+
+
+def learn(p: Params, sequences: Iterable[np.ndarray], expected: float) -> int:
+    """One pass; returns the number of symbols. The rate rises over the first updates and falls as ``expected`` comes near."""
+    adam, seen, h = Adam(p), 0, np.zeros((HIDDEN, LANES), np.float32)
+    for xs, ys, _, keep in packed(sequences, LANES):
+        h = np.ascontiguousarray(h[:, keep])
+        for at in range(0, len(xs), WINDOW):
+            x, y, kept = xs[at : at + WINDOW], ys[at : at + WINDOW], SimpleNamespace()
+            states, h = run_window(p, x, h, kept)
+            flat, target = by_row(states), y.ravel()
+            live = target >= 0
+            grads = {k: np.zeros_like(a) for k, a in p.items()}
+            dh = np.zeros_like(flat)
+            dh[live] = log_probs(p, flat[live], target[live], grads)[1]
+            backward(p, grads, x, kept, np.ascontiguousarray(dh.reshape(*x.shape, HIDDEN).transpose(0, 2, 1)))
+            count = int(live.sum())
+            for g in grads.values():
+                g /= np.float32(count)
+            adam.step(p, grads, RATE * min(1.0, (adam.t + 1) / 20) * max(0.1, 1 - seen / max(1.0, expected)))
+            seen += count
+    return seen
 
 
 def _packed(p: Params) -> bytes:
@@ -278,122 +383,173 @@ def _unpacked(raw: np.ndarray, like: Params) -> Params:
     return out
 
 
-def train(gathered: DataFrame, known: Known) -> Params:
-    """ROUNDS rounds of local training and weighted averaging. Each round returns FOLD_BY sums of fixed size."""
-    spans, p = gathered.where("kind = 1").select("word"), first_params(known)
-    number = {w: i for i, w in enumerate(known.words[:VOCAB])}
-    for _ in range(ROUNDS):
-        start = p
+ENCODED = "row long, doc_id long, key long, n_tokens long, n_known long, base_score double, score double, ids binary, word string, spelling int, n long"
+KINDS = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "string": pa.string(), "int": pa.int32()}
+SCORED = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double"
 
-        def replica(batches: Iterator[pa.RecordBatch], start: Params = start) -> Iterator[pa.RecordBatch]:
-            mine, seen, waiting = {k: a.copy() for k, a in start.items()}, 0, []
-            adam = Adam(mine)
-            for batch in batches:
-                for span in batch.column(0).to_pylist():
-                    closed = span.endswith("\n")
-                    words = tokens(span)
-                    ids = [number[w] if w in number else VOCAB + spelling(w) for w in words] + [END] * closed
-                    if ids:
-                        waiting.append(np.array(ids))
-                        seen += len(ids)
-                    if len(waiting) == LANES:
-                        learn(mine, adam, waiting)
-                        waiting = []
-            if waiting:
-                learn(mine, adam, waiting)
-            if seen:
-                pid = TaskContext.get().partitionId()
-                yield pa.RecordBatch.from_arrays([pa.array([pid % FOLD_BY], pa.int32()), pa.array([seen], pa.int64()), pa.array([_packed(mine)], pa.binary())], ["fold", "n", "params"])
-
-        def add(rows: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(b, np.float32).astype(np.float64) * n for b, n in zip(rows["params"], rows["n"]))
-            return pd.DataFrame({"n": [int(rows["n"].sum())], "params": [total.tobytes()]})
-
-        trained = spans.mapInArrow(replica, "fold int, n long, params binary")
-        sums = trained.groupBy("fold").applyInPandas(add, "n long, params binary").collect()
-        if sums:
-            p = _unpacked(sum(np.frombuffer(r["params"]) for r in sums) / sum(r["n"] for r in sums), p)
-    return p
 
+def _batch(ddl: str, columns: dict[str, object], n: int) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in ddl.split(", ")))
+    given = [columns.get(name) for name in names]
+    return pa.RecordBatch.from_arrays([pa.nulls(n, KINDS[k]) if c is None else c if isinstance(c, pa.Array) else pa.array(c, KINDS[k]) for c, k in zip(given, kinds)], list(names))
 
-def document_scores(p: Params, sequences: list[np.ndarray]) -> np.ndarray:
-    """ln probability of each whole sequence (each ends in END). Documents share lanes; the state passes from window to window."""
-    total = sum(map(len, sequences))
-    lanes = max(1, min(SCORE_LANES, len(sequences), total // max(1, max(map(len, sequences), default=1)) + 1))
-    heap, rows = [(0, i) for i in range(lanes)], [[] for _ in range(lanes)]
-    for i in sorted(range(len(sequences)), key=lambda i: -len(sequences[i])):
-        load, lane = heapq.heappop(heap)
-        rows[lane].append(i)
-        heapq.heappush(heap, (load + len(sequences[i]), lane))
-    steps = max(load for load, _ in heap)
-    y, owner = np.full((steps, lanes), -1, np.int32), np.zeros((steps, lanes), np.int32)
-    for lane, held in enumerate(rows):
-        line = np.concatenate([sequences[i] for i in held]) if held else np.empty(0, np.int32)
-        y[: len(line), lane] = line
-        owner[: len(line), lane] = np.repeat(held, [len(sequences[i]) for i in held]) if held else 0
-    score, h = np.zeros(len(sequences)), np.zeros((lanes, HIDDEN), np.float32)
-    last = np.full((1, lanes), END, np.int32)
-    for at in range(0, steps, SCORE_WINDOW):
-        ys = y[at : at + SCORE_WINDOW]
-        x = np.where((shifted := np.concatenate([last, ys[:-1]])) < 0, END, shifted)
-        last = ys[-1:]
-        states, h = run_window(p, x, h)
-        live = ys.ravel() >= 0
-        got, _ = log_probs(p, states.reshape(-1, HIDDEN)[live], ys.ravel()[live])
-        score += np.bincount(owner[at : at + SCORE_WINDOW].ravel()[live], got, minlength=len(sequences))
-    return score
-
-
-OUT = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, word string, spelling int, n long"
-KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.int64()]
-
-
-def _score_rows(docs: DataFrame, known: Known, params: Params) -> DataFrame:
-    """Per document its scores without the words outside KEPT, and a row (row, word, spelling, n) for each of those."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((known, params))  # KEPT words and one model, whatever the input
+
+def encode(docs: DataFrame, known: Known) -> DataFrame:
+    """Every document as symbols (ids, 16 bits each, END last) with its counts; a row per (row, word) outside KEPT.
+
+    base_score is without those words; score is so far that of words within their spelling classes. Written once.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # KEPT words, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, params = shared.value
+        known, spelled_as = shared.value, Memory(spelling, 200_000)
         index = {w: i for i, w in enumerate(known.words)}
         spelled = np.array([spelling(w) for w in known.words], np.int32)
-        symbol = np.where(np.arange(len(known.words)) < VOCAB, np.arange(len(known.words)), VOCAB + spelled).astype(np.int32)
-        base = np.log10((known.counts + 1) / (known.total + known.distinct + 1))
-        within = np.log10((known.counts + 1) / (known.class_tokens + known.class_words + 1)[spelled])
-        within[:VOCAB] = 0
+        symbol = np.append(np.where(np.arange(len(known.words)) < VOCAB, np.arange(len(known.words)), VOCAB + spelled), END).astype("<u2")
+        base = np.append(np.log10((known.counts + 1) / (known.total + known.distinct + 1)), 0)
+        within = np.append(np.log10((known.counts + 1) / (known.class_tokens + known.class_words + 1)[spelled]), 0)
+        within[: min(VOCAB, len(known.words))] = 0
         base_end = float(np.log10((known.texts + 1) / (known.total + known.distinct + 1)))
-        names = [x.split()[0] for x in OUT.split(", ")]
         for batch in pieces(batches, 6 << 20):
-            sequences, rows, missed = [], [], []
-            for row, doc_id, text in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                words = tokens(text)
-                code = np.fromiter((index.get(w, -1) for w in words), np.int32, len(words))
-                hit = code >= 0
-                ids = np.empty(len(words) + 1, np.int32)
-                ids[:-1] = symbol[code] if len(symbol) else END
-                ids[-1] = END
-                found = code[hit]
-                if len(found) < len(words):
-                    gone = np.flatnonzero(~hit).tolist()
-                    ids[gone] = [VOCAB + spelling(words[i]) for i in gone]
-                    missed += [(row, w, spelling(w), n) for w, n in Counter(words[i] for i in gone).items()]
-                sequences.append(ids)
-                rows.append((row, doc_id, len(ids), len(found) + (known.texts > 0), float(base[found].sum()) + base_end, float(within[found].sum())))
-            if not rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            score = document_scores(params, sequences) / LN10
-            columns = [list(c) for c in zip(*rows)]
-            columns[5] = (np.array(columns[5]) + score).tolist()
-            none = [None] * len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*columns, none, none, none], KINDS)], names)
-            if missed:
-                row, word, spell, n = zip(*missed)
-                none = [None] * len(missed)
-                word = [w.decode("utf-8", "surrogatepass") for w in word]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([row, none, none, none, none, none, word, spell, n], KINDS)], names)
+            found = [tokens(t) for t in batch.column(2).to_pylist()]
+            sizes = np.fromiter(map(len, found), np.int64, n)
+            flat, owner = list(chain.from_iterable(found)), np.repeat(np.arange(n), sizes)
+            code = np.fromiter(map(index.get, flat, repeat(-1)), np.int32, len(flat))
+            ids, place = np.full(len(flat) + n, END, "<u2"), np.arange(len(flat)) + owner
+            ids[place] = symbol[code]
+            gone = np.flatnonzero(code < 0)
+            words = [flat[i] for i in gone.tolist()]
+            ids[place[gone]] = VOCAB + np.fromiter(map(spelled_as.__getitem__, words), np.int64, len(words))
+            sums = lambda values: np.bincount(owner, values, n)
+            ends = np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int32) * 2
+            yield _batch(ENCODED, {
+                "row": batch.column(0), "doc_id": batch.column(1), "key": batch.column(3), "n_tokens": sizes + 1,
+                "n_known": sums(code >= 0).astype(np.int64) + (known.texts > 0), "base_score": sums(base[code]) + base_end, "score": sums(within[code]),
+                "ids": pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids.tobytes())]),
+            }, n)
+            if words:
+                times = Counter(zip(owner[gone].tolist(), words))
+                at, word = zip(*times)
+                rows = batch.column(0).to_numpy()[list(at)]
+                yield _batch(ENCODED, {"row": rows, "word": [w.decode("utf-8", "surrogatepass") for w in word], "spelling": [spelled_as[w] for w in word], "n": list(times.values())}, len(word))
+
+    numbered = narrowed(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    return written(numbered.mapInArrow(run, ENCODED), "lm-encoded")
+
+
+def training_parts(encoded: DataFrame, replicas: int) -> DataFrame:
+    """A row per SEGMENT of each training text: round, replica, place (its order there) and ids.
+
+    Rows that repeat are put apart by a number, so that they spread over replicas wherever they stand.
+    """
+    rows = encoded.where("word is null").where(is_training()).select("key", "n_tokens", "ids")
+    repeats = written(rows.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"), "lm-repeats")
+    if repeats.isEmpty():
+        rows = rows.withColumn("copy", F.lit(0).cast("long"))
+    else:
+        many = rows.join(repeats, "key").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n_tokens", "ids", "times")])
+        many = many.select("key", "n_tokens", "ids", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("copy"))
+        rows = rows.join(repeats, "key", "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(many)
+    parts = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / SEGMENT))))
+    drawn = lambda seed: F.xxhash64(F.lit(seed), "key", "copy", "part")
+    return parts.select(
+        F.when(F.pmod(drawn(1), F.lit(WARM)) == 0, 0).otherwise(1).alias("round"), F.pmod(drawn(2), F.lit(replicas)).cast("int").alias("replica"),
+        drawn(3).alias("place"), F.expr(f"substring(ids, cast(part * {2 * SEGMENT} + 1 as int), {2 * SEGMENT})").alias("ids"),
+    )
+
+
+def averaged(trained: DataFrame, replicas: int, like: Params) -> Params:
+    """The weighted mean of the replicas' parameters, summed in levels of FAN; FAN sums at most reach the driver."""
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("replica")
+        total = sum(np.frombuffer(b, np.float64) for b in rows["params"])
+        return pd.DataFrame({"replica": [int(rows["replica"].iloc[0]) // FAN], "n": [int(rows["n"].sum())], "params": [total.tobytes()]})
+
+    while replicas > FAN:
+        trained = trained.groupBy(F.floor(F.col("replica") / FAN)).applyInPandas(add, "replica int, n long, params binary")
+        replicas = -(-replicas // FAN)
+    sums = sorted(trained.collect(), key=lambda r: r["replica"])
+    return _unpacked(sum(np.frombuffer(r["params"]) for r in sums) / sum(r["n"] for r in sums), like) if sums else like
+
+
+def train(encoded: DataFrame, known: Known, replica_words: int = REPLICA_WORDS) -> Params:
+    """Two rounds over every training word, once each; replicas as many as the corpus holds ``replica_words``."""
+    replicas, p = max(1, -(-known.total // replica_words)), first_params(known)
+    parts = training_parts(encoded, replicas)
+    for number, share in ((0, 1 / WARM), (1, 1 - 1 / WARM)):
+        start, expected = encoded.sparkSession.sparkContext.broadcast(p), known.total * share / replicas  # one model
+
+        def replica(batches: Iterator[pa.RecordBatch], start=start, expected: float = expected) -> Iterator[pa.RecordBatch]:
+            rows = ((r, ids) for batch in batches for r, ids in zip(batch.column(0).to_pylist(), batch.column(1)))
+            for r, mine in groupby(rows, key=lambda row: row[0]):
+                p = {k: a.copy() for k, a in start.value.items()}
+                n = learn(p, (np.frombuffer(ids.as_buffer(), "<u2") for _, ids in mine), expected)
+                params = (np.frombuffer(_packed(p), np.float32).astype(np.float64) * n).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([n], pa.int64()), pa.array([params], pa.binary())], ["replica", "n", "params"])
+
+        mine = parts.where(F.col("round") == number).repartitionByRange(replicas, "replica").sortWithinPartitions("replica", "place", "ids")
+        trained = written(mine.select("replica", "ids").mapInArrow(replica, "replica int, n long, params binary"), "lm-trained")
+        p = averaged(trained, replicas, p)
+    return p
+
+
+def sequence_scores(p: Params, sequences: Iterable[np.ndarray], lanes: int = SCORE_LANES) -> Iterator[tuple[int, float]]:
+    """(number, ln probability) of each whole sequence, as it ends. The state passes from window to window."""
+    h, sums = np.zeros((HIDDEN, lanes), np.float32), Counter()
+    for xs, ys, owners, keep in packed(sequences, lanes):
+        h, got = np.ascontiguousarray(h[:, keep]), np.zeros(ys.shape)
+        for at in range(0, len(xs), WINDOW):
+            y = ys[at : at + WINDOW]
+            states, h = run_window(p, xs[at : at + WINDOW], h)
+            live = y >= 0
+            got[at : at + WINDOW][live] = log_probs(p, by_row(states)[live.ravel()], y[live])[0]
+        live, least = (ys >= 0).T, int(owners.min())
+        owner, ended = owners.T[live], owners.T[(ys == END).T].tolist()
+        more = np.bincount(owner - least, got.T[live])
+        for number in np.unique(owner).tolist():
+            sums[number] += more[number - least]
+        for number in ended:
+            yield number, float(sums.pop(number))
+
+
+def document_scores(p: Params, sequences: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(sequences))
+    for number, score in sequence_scores(p, sequences):
+        out[number] = score
+    return out
+
+
+def score(encoded: DataFrame, params: Params) -> DataFrame:
+    """The documents of ``encoded`` with the model's score (log10) added. Written once."""
+    shared = encoded.sparkSession.sparkContext.broadcast(params)  # one model, whatever the input
+    names = [x.split()[0] for x in SCORED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, tuple] = {}
+
+        def sequences() -> Iterator[np.ndarray]:
+            number = 0
+            for batch in batches:
+                for *row, ids in zip(*[c.to_pylist() for c in batch.columns]):
+                    waiting[number] = row
+                    number += 1
+                    yield np.frombuffer(ids, "<u2")
+
+        done = []
+        for number, got in sequence_scores(shared.value, sequences()):
+            row = waiting.pop(number)
+            done.append((*row[:-1], row[-1] + got / LN10))
+            if len(done) == 4096:
+                yield _batch(SCORED, dict(zip(names, zip(*done))), len(done))
+                done = []
+        if done:
+            yield _batch(SCORED, dict(zip(names, zip(*done))), len(done))
 
-    numbered = narrowed(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return written(numbered.mapInArrow(run, OUT), "lm-scored")
+    return written(encoded.where("word is null").select(*names, "ids").mapInArrow(run, SCORED), "lm-scored")
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -405,10 +561,11 @@ def scored(docs: DataFrame) -> DataFrame:
     gathered = gather(docs)
     counts = word_counts(gathered)
     known = known_of(gathered, counts)
-    rows = _score_rows(docs, known, train(gathered, known))
+    encoded = encode(docs, known)
+    rows = score(encoded, train(encoded, known))
     spark = docs.sparkSession
     classes = spark.createDataFrame([(i, float(a + b + 1)) for i, (a, b) in enumerate(zip(known.class_tokens.tolist(), known.class_words.tolist()))], "spelling int, class_size double")
-    rare = rows.where("word is not null").select("row", "word", "spelling", F.col("n").alias("times"))
+    rare = encoded.where("word is not null").select("row", "word", "spelling", F.col("n").alias("times"))
     c = F.coalesce(F.col("n"), F.lit(0))
     more = (
         rare.join(counts.select("word", "n"), "word", "left").join(F.broadcast(classes), "spelling")  # SPELLINGS rows
@@ -418,9 +575,8 @@ def scored(docs: DataFrame) -> DataFrame:
             F.sum(F.col("times") * F.log10((c + 1) / F.col("class_size"))).alias("more_score"),
         )
     )
-    rest = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS))
-    return rows.where("word is null").join(more, "row", "left").select(
-        "doc_id", F.coalesce(rest == HELD, F.lit(False)).alias("held_out"), "n_tokens",
+    return rows.join(more, "row", "left").select(
+        "doc_id", (~is_training()).alias("held_out"), "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(known.total).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -134,39 +135,76 @@ def test_lm_counts_and_scores(docs, rows, empty):
     assert recurrent.scored(empty).count() == 0
 
 
+def small_known(words=(b"a", b"b"), counts=(5, 3)):
+    return recurrent.Known(list(words), np.array(counts), 10, 3, 2, np.zeros(recurrent.SPELLINGS, int), np.zeros(recurrent.SPELLINGS, int))
+
+
 def test_lm_is_a_distribution_and_gradients_agree():
-    known = recurrent.Known([b"a", b"b"], np.array([5, 3]), 10, 3, 2, np.zeros(recurrent.SPELLINGS, int), np.zeros(recurrent.SPELLINGS, int))
-    p = {k: v.astype(np.float64) for k, v in recurrent.first_params(known).items()}
+    p = {k: v.astype(np.float64) for k, v in recurrent.first_params(small_known()).items()}
     h = np.full((recurrent.END + 1, recurrent.HIDDEN), 0.3)
     got, _ = recurrent.log_probs(p, h, np.arange(recurrent.END + 1))
     assert abs(np.exp(got).sum() - 1) < 1e-6
     x, y = np.array([[recurrent.END, 3], [1, 2], [2, recurrent.END]]), np.array([1, 2, 2, 7, 2050, recurrent.END])
 
     def loss(q):
-        states, _ = recurrent.run_window(q, x, np.zeros((2, recurrent.HIDDEN)))
-        return -recurrent.log_probs(q, states.reshape(-1, recurrent.HIDDEN).astype(np.float64), y)[0].sum()
-
-    grads, kept = {k: np.zeros_like(v) for k, v in p.items()}, []
-    states, _ = recurrent.run_window(p, x, np.zeros((2, recurrent.HIDDEN)), kept)
-    _, back = recurrent.log_probs(p, states.reshape(-1, recurrent.HIDDEN).astype(np.float64), y, grads)
-    recurrent.backward(p, grads, x, kept, back.reshape(3, 2, -1))
-    for k, at in (("state", (2, 5)), ("state", (1, 40)), ("gates", (1, 3)), ("outer", (3, 2)), ("bias", (4,)), ("inner", (0, 3, 1))):
+        states, _ = recurrent.run_window(q, x, np.zeros((recurrent.HIDDEN, 2)))
+        return -recurrent.log_probs(q, recurrent.by_row(states), y)[0].sum()
+
+    grads, kept = {k: np.zeros_like(v) for k, v in p.items()}, SimpleNamespace()
+    states, _ = recurrent.run_window(p, x, np.zeros((recurrent.HIDDEN, 2)), kept)
+    _, back = recurrent.log_probs(p, recurrent.by_row(states), y, grads)
+    recurrent.backward(p, grads, x, kept, np.ascontiguousarray(back.reshape(3, 2, -1).transpose(0, 2, 1)))
+    for k, at in (("state", (2, 5)), ("state", (1, 40)), ("gates", (1, 3)), ("gates", (recurrent.END, 20)), ("outer", (3, 2)), ("outer_bias", (0,)), ("bias", (4,)), ("inner", (0, 3, 1)), ("inner_bias", (0, 2))):
         moved = []
-        for step in (1e-2, -1e-2):
+        for step in (1e-4, -1e-4):
             q = {n: v.copy() for n, v in p.items()}
             q[k][at] += step
             moved.append(loss(q))
-        assert abs((moved[0] - moved[1]) / 2e-2 - grads[k][at]) < 2e-3 + 0.02 * abs(grads[k][at]), k
+        assert abs((moved[0] - moved[1]) / 2e-4 - grads[k][at]) < 1e-6 + 1e-4 * abs(grads[k][at]), k
 
 
 def test_long_document_state_is_carried():
-    known = recurrent.Known([b"a"], np.array([5]), 6, 2, 1, np.zeros(recurrent.SPELLINGS, int), np.zeros(recurrent.SPELLINGS, int))
-    p = recurrent.first_params(known)
+    p = recurrent.first_params(small_known([b"a"], [5]))
     rng = np.random.default_rng(2)
-    seqs = [np.append(rng.integers(0, recurrent.VOCAB, n), recurrent.END).astype(np.int32) for n in (0, 3, 500, 64, 63)]
+    seqs = [np.append(rng.integers(0, recurrent.VOCAB, n), recurrent.END).astype(np.uint16) for n in (0, 3, 5000, 64, 63, 1023, 1024, 2048, 1)]
     together = recurrent.document_scores(p, seqs)
     alone = [recurrent.document_scores(p, [s])[0] for s in seqs]
     assert np.allclose(together, alone, rtol=1e-5)
+    plain, h = 0.0, np.zeros((recurrent.HIDDEN, 1), np.float32)  # one step at a time
+    for before, now in zip([recurrent.END, *seqs[2].tolist()], seqs[2].tolist()):
+        states, h = recurrent.run_window(p, np.array([[before]]), h)
+        plain += recurrent.log_probs(p, recurrent.by_row(states), np.array([now]))[0][0]
+    assert abs(plain - together[2]) < 1e-3 * abs(plain)
+    crowd = [np.append(rng.integers(0, recurrent.VOCAB, rng.integers(0, 90)), recurrent.END).astype(np.uint16) for _ in range(700)]
+    few = recurrent.sequence_scores(p, crowd, lanes=7)
+    assert np.allclose(recurrent.document_scores(p, crowd), [x for _, x in sorted(few)], rtol=1e-5)
+
+
+def test_lm_does_not_depend_on_partitions_and_gains_with_data(spark, monkeypatch):
+    monkeypatch.setattr(recurrent, "REPLICA_WORDS", 20_000)
+    monkeypatch.setattr(recurrent, "SEGMENT", 500)
+    monkeypatch.setattr(recurrent.train, "__defaults__", (20_000,))
+    r = random.Random(4)
+    follows = {k: [f"w{(7 * k + j) % 300}" for j in range(1, 4)] for k in range(300)}
+
+    def text(n):
+        k, out = r.randrange(300), []
+        for _ in range(n):
+            out.append(r.choice(follows[k]))
+            k = int(out[-1][1:])
+        return " ".join(out)
+
+    made = [(i, text(r.choice([5, 40, 60, 900]))) for i in range(500)]
+    made += [(9000, made[3][1])] * 40 + [(None, made[4][1])] * 30 + [(None, None), (7, "")]
+
+    def scores(rows, parts):
+        got = recurrent.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        return sorted((str(x.doc_id), x.n_tokens, x.score, x.base_score, x.held_out) for x in got)
+
+    two, eight = scores(made, 2), scores(made, 8)
+    assert len(two) == len(made) and all(a[:2] == b[:2] and abs(a[2] - b[2]) <= 1e-4 * abs(a[2]) for a, b in zip(two, eight))
+    gain = lambda got: (lambda rows: sum(x[2] - x[3] for x in rows) / sum(x[1] for x in rows))([x for x in got if x[4] and x[1] > 1])
+    assert gain(two) > max(0.05, gain(scores(made[:100], 3)))
 
 
 def test_segments(docs, rows, empty):
