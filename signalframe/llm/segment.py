@@ -2,11 +2,15 @@
 
 Encoding follows the model: white space becomes the meta symbol, a leading one is added, characters merge by piece
 score (best first, leftmost on a tie), what is left outside the vocabulary becomes bytes. A candidate merge on the
-agenda is skipped when its keyed hash, over (key, start, split, end) in characters, falls under the dropout rate. A
-document's key is one of VARIANTS, chosen by hash of its id, so that each distinct chunk of a batch is segmented once
-per key. No piece reaches over a chunk's end (a chunk is a run of meta symbols and the characters up to the next), so
-chunks are independent. Short chunks run their agendas side by side in arrays; long ones use a heap. Both skip the same
-candidates.
+agenda is skipped when its keyed hash, over (key, start, split, end) in characters, falls under the dropout rate. The
+key is that of the occurrence: it hashes (seed, doc_id, the chunk's place in the text), so a word is segmented anew
+wherever it stands. No piece reaches over a chunk's end (a chunk is a run of meta symbols and the characters up to the
+next), so chunks are independent.
+
+Occurrences of a batch go side by side. Those of a frequent chunk share its walks: a walk is the agenda under one set of
+skipped candidates, known with the candidates that it still draws; an occurrence whose draws skip none of them ends
+with the walk's pieces, any other goes on to the walk that skips its first one too. All other occurrences run their own
+agendas, short chunks in arrays, long ones with a heap. All ways skip the same candidates.
 """
 
 from __future__ import annotations
@@ -15,20 +19,24 @@ import hashlib
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
-from signalframe.llm.common import narrowed, pieces
+from signalframe.llm.common import Memory, narrowed, pieces
 
 DROPOUT = 0.1
 SEED = 97
-VARIANTS = 4
 LONG = 40
-BATCH_BYTES = 4 << 20
+FREQUENT, AGAIN = 6, 3  # occurrences in a batch from which a first and a further walk are worth their making
+MOST_CHUNKS, MOST_WALKS = 40_000, 200_000
+SIDE_BY_SIDE = 1 << 16
+BATCH_BYTES = 8 << 20
 META = "▁"
 #: Stands for a literal meta symbol of the text; no valid text holds it.
 LITERAL = "\udc00"
@@ -93,7 +101,8 @@ class Vocabulary:
         """(rank or NEVER, merged piece) of each pair."""
         keys = left.astype(np.int64) << 20 | right
         rank, merged = np.full(len(keys), NEVER), np.zeros(len(keys), np.int32)
-        todo, slot = np.arange(len(keys)), self._slot(keys)
+        todo = np.flatnonzero((left >= 0) & (right >= 0))  # characters outside the vocabulary merge with nothing
+        slot = self._slot(keys[todo])
         while len(todo):
             seen = self._keys[slot]
             hit = seen == keys[todo]
@@ -128,23 +137,31 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def key_of(variant: int) -> int:
-    return _mix(SEED * 0x9E3779B97F4A7C15 + variant & MASK)
+def key_of(doc_id: int | None, place: int) -> int:
+    return _mix(_document_key(doc_id) + place & MASK)
 
 
-def skipped(key: int, start: int, split: int, end: int, rate: float) -> bool:
-    return _mix(key ^ (start << 42 | split << 21 | end)) >> 11 < rate * (1 << 53)
+def _document_key(doc_id: int | None) -> int:
+    return _mix(xxhash.xxh64_intdigest(str(doc_id), SEED))
 
 
-def agenda(vocab: Vocabulary, chunk: str, key: int, rate: float) -> list[int]:
-    """One chunk by a heap of candidate merges."""
+def _candidate(start: int, split: int, end: int) -> int:
+    return (start << 42 | split << 21 | end) & MASK
+
+
+def skipped(key: int, candidate: int, rate: float) -> bool:
+    return _mix(key ^ candidate) >> 11 < rate * (1 << 53)
+
+
+def agenda(vocab: Vocabulary, chunk: str, skip: Callable[[int], bool]) -> list[int]:
+    """One chunk by a heap of candidate merges; ``skip`` is asked once for each candidate that comes up."""
     symbols, ends = [vocab.unit(c) for c in chunk], list(range(1, len(chunk) + 1))
     before, after = list(range(-1, len(chunk) - 1)), [*range(1, len(chunk)), -1]
     heap: list[tuple] = []
 
     def offer(i: int) -> None:
         j = after[i]
-        if j >= 0 and (got := vocab.merges.get((symbols[i], symbols[j]))) and not skipped(key, i, ends[i], ends[j], rate):
+        if j >= 0 and (got := vocab.merges.get((symbols[i], symbols[j]))) and not skip(_candidate(i, ends[i], ends[j])):
             heapq.heappush(heap, (got[0], i, ends[i], ends[j], got[1]))
 
     for i in range(len(chunk) - 1):
@@ -163,19 +180,38 @@ def agenda(vocab: Vocabulary, chunk: str, key: int, rate: float) -> list[int]:
     return vocab.emit([s for s in symbols if s is not None])
 
 
-def _ranks(vocab: Vocabulary, sym, start, end, at, key: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
+class Walk:
+    """The agenda of a chunk that skips ``skips`` and nothing after: the candidates it draws after the last of these, in
+    order, the ids it ends with, and the walks that skip one of those candidates too."""
+
+    made = 0
+
+    def __init__(self, vocab: Vocabulary, chunk: str, skips: tuple[int, ...] = ()):
+        asked: list[int] = []
+
+        def skip(candidate: int) -> bool:
+            asked.append(candidate)
+            return candidate in skips
+
+        self.chunk, self.skips, self.next = chunk, skips, {}
+        self.ids = packed(agenda(vocab, chunk, skip))
+        self.draws = np.array(asked[asked.index(skips[-1]) + 1 :] if skips else asked, np.uint64)
+        Walk.made += 1
+
+
+def _ranks(vocab: Vocabulary, sym, start, end, at, key: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Rank and merged piece of the candidates (at, at + 1); skipped ones have rank NEVER."""
     rank, merged = vocab.lookup(sym[at], sym[at + 1])
     live = np.flatnonzero(rank < NEVER)
     if rate and len(live):
         s, m, e = (x.astype(np.uint64) for x in (start[at[live]], end[at[live]], end[at[live] + 1]))
-        h = _mixes(np.uint64(key) ^ (s << np.uint64(42) | m << np.uint64(21) | e))
+        h = _mixes(key[at[live]] ^ (s << np.uint64(42) | m << np.uint64(21) | e))
         rank[live[h >> np.uint64(11) < np.uint64(rate * (1 << 53))]] = NEVER
     return rank, merged
 
 
-def agendas(vocab: Vocabulary, chunks: list[str], key: int, rate: float) -> list[bytes]:
-    """Many chunks side by side: in each round every chunk carries out the best candidate of its agenda.
+def agendas(vocab: Vocabulary, chunks: list[str], keys: np.ndarray, rate: float) -> list[bytes]:
+    """Many chunks, each with its key, side by side: in each round every chunk carries out the best candidate of its agenda.
 
     Returns each chunk's ids as little-endian unsigned 16-bit numbers.
     """
@@ -183,7 +219,7 @@ def agendas(vocab: Vocabulary, chunks: list[str], key: int, rate: float) -> list
     sym = vocab.units("".join(chunks))
     owner = np.repeat(np.arange(len(chunks)), lengths)
     start = np.arange(len(sym)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    end = start + 1
+    end, key = start + 1, keys[owner]
     rank, merged = np.full(len(sym), NEVER), np.zeros(len(sym), np.int32)
     at = np.flatnonzero(owner[:-1] == owner[1:])
     rank[at], merged[at] = _ranks(vocab, sym, start, end, at, key, rate)
@@ -197,7 +233,7 @@ def agendas(vocab: Vocabulary, chunks: list[str], key: int, rate: float) -> list
             gone = np.repeat(over, sizes)
             done.append((owner[gone], sym[gone]))
             stay = ~gone
-            sym, owner, start, end, rank, merged = (x[stay] for x in (sym, owner, start, end, rank, merged))
+            sym, owner, start, end, rank, merged, key = (x[stay] for x in (sym, owner, start, end, rank, merged, key))
             if not len(sym):
                 break
             first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
@@ -209,7 +245,7 @@ def agendas(vocab: Vocabulary, chunks: list[str], key: int, rate: float) -> list
         stay = np.ones(len(sym), bool)
         stay[i + 1] = False
         i -= np.arange(len(i))  # one symbol fewer for each chunk before
-        sym, owner, start, end, rank, merged = (x[stay] for x in (sym, owner, start, end, rank, merged))
+        sym, owner, start, end, rank, merged, key = (x[stay] for x in (sym, owner, start, end, rank, merged, key))
         near = np.zeros(len(sym), bool)
         near[i] = near[i[i > 0] - 1] = True
         rank[near] = NEVER
@@ -238,17 +274,83 @@ def chunked(text: str) -> list[str]:
     return CHUNKS.findall(META + text.replace(META, LITERAL).replace(" ", META)) if text else []
 
 
-def encode_all(vocab: Vocabulary, texts: list[str], key: int, rate: float = DROPOUT) -> list[np.ndarray]:
-    """Ids of each text under one key; each distinct chunk is segmented once."""
+@cache
+def walks(path: str) -> Memory:
+    """Chunk -> its first walk, one memory a Python worker."""
+    return Memory(lambda chunk: Walk(vocabulary(path), chunk), MOST_CHUNKS)
+
+
+def _walked(vocab: Vocabulary, start: dict[int, Walk], code: np.ndarray, key: np.ndarray, rate: float, out: np.ndarray) -> np.ndarray:
+    """Sends occurrences (code: their chunk, of those in ``start``) down the walks, writes the ids of those that end on one
+    to ``out``, and returns the others (walks that too few of them ask for are not made)."""
+    left, at = [], np.flatnonzero(np.isin(code, np.fromiter(start, np.int64, len(start))))
+    number = {c: i for i, c in enumerate(start)}
+    known, on = list(start.values()), np.array([number[c] for c in code[at].tolist()], np.int64)
+    while len(at):
+        ids = np.empty(len(known), object)
+        ids[:] = [w.ids for w in known]
+        sizes = np.array([len(w.draws) for w in known], np.int64)
+        draws, first = np.concatenate([w.draws for w in known]), np.cumsum(sizes) - sizes
+        each = sizes[on]
+        which = np.repeat(np.arange(len(at)), each)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
+        skip = np.flatnonzero(_mixes(key[at][which] ^ draws[first[on][which] + step]) >> np.uint64(11) < np.uint64(rate * (1 << 53)))
+        hit, one = np.unique(which[skip], return_index=True)
+        through = np.ones(len(at), bool)
+        through[hit] = False
+        out[at[through]] = ids[on[through]]
+        pair = on[hit] << 32 | step[skip[one]]
+        asked, which, times = np.unique(pair, return_inverse=True, return_counts=True)
+        made, place = [], np.full(len(asked), -1, np.int64)
+        for i, (p, n) in enumerate(zip(asked.tolist(), times.tolist())):
+            walk, draw = known[p >> 32], p & (1 << 32) - 1
+            then = walk.next.get(draw)
+            if then is None and n >= AGAIN:
+                then = walk.next[draw] = Walk(vocab, walk.chunk, (*walk.skips, int(walk.draws[draw])))
+            if then is not None:
+                place[i] = len(made)
+                made.append(then)
+        at, on, known = at[hit], place[which], made
+        left.append(at[on < 0])
+        at, on = at[on >= 0], on[on >= 0]
+    return np.concatenate(left) if left else at
+
+
+def encode_all(path: str, texts: list[str], doc_ids: list[int | None], rate: float = DROPOUT) -> list[np.ndarray]:
+    """Ids of each text; every chunk is drawn under the key of its document and place."""
+    vocab, memory = vocabulary(path), walks(path)
+    if Walk.made > MOST_WALKS:
+        memory.clear()
+        memory.older, Walk.made = {}, 0
     split = [chunked(t) for t in texts]
-    distinct = list(set().union(*split))
-    short = [c for c in distinct if len(c) <= LONG]
-    known = dict(zip(short, agendas(vocab, short, key, rate)))
-    for c in distinct:
-        if len(c) > LONG:
-            known[c] = packed(agenda(vocab, c, key, rate))
-    get = known.__getitem__
-    return [np.frombuffer(b"".join(map(get, s)), "<u2") for s in split]
+    flat = list(chain.from_iterable(split))
+    number = {c: i for i, c in enumerate(dict.fromkeys(flat))}
+    distinct = list(number)
+    code = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+    counts = np.array(list(map(len, split)), np.int64)
+    ends = np.cumsum(counts)
+    size = np.fromiter(map(len, distinct), np.int64, len(distinct))
+    place = np.cumsum(size[code]) - size[code]
+    begins = np.append(place, 0)[np.minimum(ends - counts, len(flat))]  # of a text without chunks: unused
+    own = np.array([_document_key(d) for d in doc_ids], np.uint64)
+    key = _mixes(np.repeat(own, counts) + (place - np.repeat(begins, counts)).astype(np.uint64))
+    out = np.empty(len(flat), object)
+    often = (np.bincount(code, minlength=len(distinct)) >= FREQUENT) | np.fromiter((c in memory or c in memory.older for c in distinct), bool, len(distinct))
+    often &= size <= LONG
+    alone = np.flatnonzero(~often[code])
+    start = {c: memory[distinct[c]] for c in np.flatnonzero(often).tolist()}
+    rest = np.concatenate([alone, _walked(vocab, start, code, key, rate, out)]) if start else alone
+    long = size[code[rest]] > LONG
+    for i in rest[long].tolist():
+        out[i] = packed(agenda(vocab, flat[i], lambda c, k=int(key[i]): skipped(k, c, rate)))
+    rest = rest[~long]
+    for first in range(0, len(rest), SIDE_BY_SIDE):
+        some = rest[first : first + SIDE_BY_SIDE]
+        got = np.empty(len(some), object)
+        got[:] = agendas(vocab, [flat[i] for i in some.tolist()], key[some], rate)
+        out[some] = got
+    line = out.tolist()
+    return [np.frombuffer(b"".join(line[e - n : e]), "<u2") for e, n in zip(ends.tolist(), counts.tolist())]
 
 
 def decode(vocab: Vocabulary, ids: np.ndarray) -> str:
@@ -256,8 +358,8 @@ def decode(vocab: Vocabulary, ids: np.ndarray) -> str:
     return b"".join(map(vocab.bytes.__getitem__, ids.tolist()))[1:].decode("utf-8", "surrogatepass")
 
 
-OUT = "doc_id long, variant int, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean"
-KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+OUT = "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean"
+KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
 
 
 def _in_batches(docs: DataFrame, model: str, rate: float, finish, out: str) -> DataFrame:
@@ -265,39 +367,33 @@ def _in_batches(docs: DataFrame, model: str, rate: float, finish, out: str) -> D
         vocab = vocabulary(model)
         for batch in pieces(batches, BATCH_BYTES):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            variant = [_mix(SEED ^ zlib.crc32(str(d).encode())) % VARIANTS for d in ids]
-            got: list = [None] * len(ids)
-            for v in sorted(set(variant)):
-                mine = [i for i, x in enumerate(variant) if x == v]
-                for i, x in zip(mine, encode_all(vocab, [texts[i] for i in mine], key_of(v), rate)):
-                    got[i] = x
-            yield finish(vocab, ids, texts, variant, got)
+            yield finish(vocab, ids, texts, encode_all(model, texts, ids, rate))
 
     return narrowed(docs).mapInArrow(run, out)
 
 
 def segmented(docs: DataFrame, model: str, rate: float = DROPOUT) -> DataFrame:
-    """doc_id, variant, ids (array of int) of every document."""
+    """doc_id and ids (array of int) of every document."""
 
-    def finish(vocab, ids, texts, variant, got) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(variant, pa.int32()), pa.array([x.tolist() for x in got], pa.list_(pa.int32()))], ["doc_id", "variant", "ids"])
+    def finish(vocab, ids, texts, got) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x.tolist() for x in got], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return _in_batches(docs, model, rate, finish, "doc_id long, variant int, ids array<int>")
+    return _in_batches(docs, model, rate, finish, "doc_id long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, model: str, rate: float = DROPOUT) -> DataFrame:
     """One row per document: n_tokens, crc32 of the ids as little-endian unsigned 32-bit, the decoded text's sha256, and
     whether it equals the text.
 
-    Null and empty texts have no ids. Repeated rows get the same ids (the key depends on doc_id). A literal meta symbol
+    Null and empty texts have no ids. Repeated rows get the same ids (the keys depend on doc_id and place). A literal meta symbol
     becomes bytes, so it comes back. An empty table gives an empty result.
     """
 
-    def finish(vocab, ids, texts, variant, got) -> pa.RecordBatch:
+    def finish(vocab, ids, texts, got) -> pa.RecordBatch:
         back = [decode(vocab, x) for x in got]
         crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in got]
         sha = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back]
-        columns = [ids, variant, [len(x) for x in got], crc, sha, [a == b for a, b in zip(back, texts)]]
+        columns = [ids, [len(x) for x in got], crc, sha, [a == b for a, b in zip(back, texts)]]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS)], [x.split()[0] for x in OUT.split(", ")])
 
     return _in_batches(docs, model, rate, finish, OUT)
