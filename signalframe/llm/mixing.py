@@ -46,10 +46,11 @@ def targets(sizes: list[int], weights: list[float]) -> list[float]:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, and a row number that later steps keep apart repeated rows by."""
+    """doc_id, source, size in words, key (a hash of doc_id and text: the shuffled order, whatever the partitions), and a
+    row number that later steps keep apart repeated rows by; these are alike, so it does not matter which is which."""
     return written(
         narrowed(docs, F.col("source").cast("string").alias("source")).select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", "source",
+            F.monotonically_increasing_id().alias("row"), "doc_id", "source", F.xxhash64(F.lit(SEED), "doc_id", "text").alias("key"),
             F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
         ),
         "mix-sizes",
@@ -109,8 +110,8 @@ def schedule(plan: DataFrame) -> DataFrame:
 
 def streams(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     """Each document that has words, with the word its shuffled source stream reaches it at (``begins``)."""
-    keyed = sizes.where("size > 0").join(F.broadcast(plan.select("src", "source")), sizes["source"].eqNullSafe(plan["source"])).select("src", "row", "doc_id", "size", F.xxhash64(F.lit(SEED), "doc_id", "row").alias("key"))
-    dealt = written(keyed.repartitionByRange("src", "key").withColumn("pid", F.spark_partition_id()), "mix-streams")
+    keyed = sizes.where("size > 0").join(F.broadcast(plan.select("src", "source")), sizes["source"].eqNullSafe(plan["source"])).select("src", "row", "doc_id", "size", "key")
+    dealt = written(keyed.repartitionByRange("src", "key", "row").withColumn("pid", F.spark_partition_id()), "mix-streams")
     ahead = Window.partitionBy("src").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     base = dealt.groupBy("src", "pid").agg(F.sum("size").alias("n")).select("src", "pid", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
     inner = Window.partitionBy("src", "pid").orderBy("key", "row").rowsBetween(Window.unboundedPreceding, -1)
@@ -132,24 +133,30 @@ def taken(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted).
+    """One row per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted), key.
 
     Texts that are null or have no words have size 0 and nothing taken. A null source is a source, last in order.
-    Repeated rows are apart: each is taken in its own place. An empty table gives an empty result.
+    Repeated rows are apart: each is taken in its own place. An empty table gives an empty result. Sources are at most
+    MOST_SOURCES, since their targets are settled on the driver; more are refused.
     """
     rows, plan = taken(docs)
     rows = rows.withColumnRenamed("source", "of")
     return rows.join(F.broadcast(plan), rows["of"].eqNullSafe(plan["source"])).select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "key"
     )
 
 
 def resampled(docs: DataFrame) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it, to the nearest whole (0 to MOST_TIMES), all columns kept."""
-    times = mixed(docs).where("size > 0").groupBy("doc_id", "size").agg(
-        F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("mix_times")
-    )
-    size = F.regexp_count(F.coalesce(docs["text"].cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["doc_id"]) & (size == times["size"])).where("mix_times > 0")
-    again = joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times"))))
-    return again.select(*[docs[c] for c in docs.columns])
+    """The documents themselves, each as often as the mix takes it, to the nearest whole (0 to MOST_TIMES), all columns kept.
+
+    A source's blocks are taken in order, pass after pass, so but for one document where its last pass ends every
+    document is taken a whole number of times: sources end on their targets to within half a document. Rows that share
+    doc_id and text share the rounded mean of what is taken of them. Null and empty texts are not taken. Columns may have
+    any name.
+    """
+    times = mixed(docs).where("size > 0").groupBy("key").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("times")).where("times > 0")
+    own = [f"mix column {i}" for i in range(len(docs.columns))]  # apart from ours, whatever they are called
+    key = F.xxhash64(F.lit(SEED), docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")))
+    renamed = docs.select(key.alias("key"), *[docs[c].alias(o) for c, o in zip(docs.columns, own)])
+    again = renamed.join(times, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return again.select(*[F.col(o).alias(c) for o, c in zip(own, docs.columns)])
