@@ -1,32 +1,45 @@
 """Fixed virtual slots: records hash into SLOTS slots for good; a versioned map sends slots to shards.
 
 Only the map changes when data or shards change: bytes are summed per slot, and slots move from the fullest to the
-emptiest shard until the shards are as even as slots allow. The map has SLOTS rows whatever the input, so it is
-edited on the driver and broadcast; records never pass through it.
+emptiest shard until the shards are as even as slots allow. The map is a table with a folder per version; a run takes
+the latest version, edits it and stores the next. It has SLOTS rows whatever the input, so it is edited on the driver
+and broadcast; records never pass through it.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalframe.llm.common import narrowed
-from signalframe.scratch import written
+from signalframe.scratch import shared_dir, written
 
 SLOTS = 8192
 SEED = 2024
 LAW = "bytes"
+CROWD = 16
 
 
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus 8), text_crc32 and the record's fixed virtual slot (a hash of doc_id)."""
-    return narrowed(docs).select(
-        "doc_id",
-        (F.octet_length("text") + 8).cast("long").alias("size"),
-        F.crc32("text").alias("text_crc32"),
-        F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(slots)).cast("int").alias("vslot"),
+    """doc_id, size (UTF-8 bytes plus 8), text_crc32 and the record's fixed virtual slot (a hash of doc_id and text).
+
+    Rows of one doc_id, or of none, so spread by their texts. Records that repeat more than CROWD times in all columns
+    are alike and spread by where they stand.
+    """
+    rows = written(
+        narrowed(docs).select(
+            "doc_id", (F.octet_length("text") + 8).cast("long").alias("size"), F.crc32("text").alias("text_crc32"),
+            F.xxhash64(F.lit(SEED), "doc_id", "text").alias("hash"), F.monotonically_increasing_id().alias("place"),
+        ),
+        "shard-records",
     )
+    crowds = rows.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("hash", F.lit(True).alias("crowded"))
+    spread = F.when(F.col("crowded"), F.xxhash64("hash", "place")).otherwise(F.col("hash"))
+    return rows.join(crowds, "hash", "left").select("doc_id", "size", "text_crc32", F.pmod(spread, F.lit(slots)).cast("int").alias("vslot"))
 
 
 def first_map(slots: int, shards: int) -> np.ndarray:
@@ -68,43 +81,69 @@ def rebalance(held: np.ndarray, weight: np.ndarray, shards: int) -> np.ndarray:
             return held
 
 
-def shard_map(records: DataFrame, shards: int, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
-    """(all versions of the map, slot table): version 0 deals slots round, version 1 evens out bytes.
+def stored_map(spark: SparkSession, folder: str, version: int | None = None) -> tuple[int, np.ndarray] | None:
+    """(version, shard of each slot): the latest or the named version of the map in ``folder``; none there gives None."""
+    try:
+        table = spark.read.parquet(folder)
+    except AnalysisException:
+        return None
+    at = table.agg(F.max("version")).first()[0] if version is None else version
+    held = table.where(F.col("version") == at).select("vslot", "shard").orderBy("vslot").collect()
+    return int(at), np.array([r["shard"] for r in held])
+
 
-    The second has one row per slot of version 1: shard and the rows that stand before the slot in its shard.
+def store_map(spark: SparkSession, folder: str, version: int, held: np.ndarray) -> None:
+    """Writes one version; a retry writes the same folder again."""
+    rows = spark.createDataFrame([(s, int(x)) for s, x in enumerate(held)], "vslot int, shard int")
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{folder}/version={version}")
+
+
+def next_map(records: DataFrame, folder: str, shards: int, slots: int = SLOTS) -> tuple[int, DataFrame]:
+    """Edits the latest stored version for these records and shards, stores the next and reads it back.
+
+    Returns (its number, a row per slot: vslot, shard, before: the rows that stand ahead of the slot in its shard). A
+    folder without a map first gets version 0, which deals slots round. A map that needs no edit keeps its version.
     """
-    spark: SparkSession = records.sparkSession
-    got = records.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
+    spark = records.sparkSession
+    got = records.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()  # SLOTS rows at most
     weight, n = np.zeros(slots), np.zeros(slots, np.int64)
     for row in got:
         weight[row["vslot"]], n[row["vslot"]] = row["bytes"], row["n"]
-    versions = [first_map(slots, shards)]
-    versions.append(rebalance(versions[0], weight, shards))
-    table = spark.createDataFrame(
-        [(v, s, int(x)) for v, held in enumerate(versions) for s, x in enumerate(held)], "version int, vslot int, shard int"
-    )
+    latest = stored_map(spark, folder)
+    if latest is None:
+        store_map(spark, folder, 0, first_map(slots, shards))
+        latest = stored_map(spark, folder)
+    version, held = latest
+    if len(held) != slots or held.max() >= shards:
+        raise ValueError(f"the stored map has {len(held)} slots over {held.max() + 1} shards; slots are fixed and shards only grow")
+    edited = rebalance(held, weight, shards)
+    if not np.array_equal(edited, held):
+        store_map(spark, folder, version + 1, edited)
+        version, held = stored_map(spark, folder, version + 1)
     before, filled = np.zeros(slots, np.int64), np.zeros(shards, np.int64)
-    for s, shard in enumerate(versions[-1]):
+    for s, shard in enumerate(held):
         before[s] = filled[shard]
         filled[shard] += n[s]
-    places = [(s, int(x), int(before[s])) for s, x in enumerate(versions[-1])]
-    return table, spark.createDataFrame(places, "vslot int, shard int, before long")
+    places = [(s, int(x), int(before[s])) for s, x in enumerate(held)]
+    return version, spark.createDataFrame(places, "vslot int, shard int, before long")
 
 
-def sharded(docs: DataFrame, shards: int = 24) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 24, folder: str | None = None) -> DataFrame:
     """Each document's shard under law ``bytes``, and its place there, gapless from 0.
 
-    Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law), vslot. Null and empty texts
-    have size 8; null doc_ids share one virtual slot; repeated rows take neighbouring places. Other columns are ignored.
+    Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law), vslot, map_version. The map is
+    kept in ``folder`` (a new one in the shared folder if not named): a later call with it, over grown tables or more
+    shards, edits the latest version. Null and empty texts have size 8; null doc_ids are spread by their texts; repeated
+    rows each have a place. Other columns are ignored. An empty table gives an empty result and leaves the map as it is.
     """
     records = written(slotted(docs), "slotted")
-    _, places = shard_map(records, shards)
+    version, places = next_map(records, folder or f"{shared_dir(docs.sparkSession)}/slot-map-{uuid.uuid4().hex}", shards)
     within = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
     return (
         records.withColumn("at", F.row_number().over(within))
         .join(F.broadcast(places), "vslot")  # SLOTS rows, always
         .select(
-            "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard",
-            (F.col("before") + F.col("at") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot",
+            "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", (F.col("before") + F.col("at") - 1).alias("slot"),
+            F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(version).alias("map_version"),
         )
     )
