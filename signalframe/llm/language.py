@@ -25,7 +25,6 @@ BUCKETS = 1 << 15
 FOLDS, HELD = 4, 2
 ALPHA = 0.5
 ROUNDS = 12
-MOST_SET = 4
 PENALTY = 3.0
 MOST_LANGUAGES = 512
 MOST_CHARS = 1 << 22  # of a text at once; counts of its pieces add up
@@ -43,23 +42,22 @@ def _folded() -> np.ndarray:
 
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of the text's letter trigrams; empty without a letter."""
-    total = None
+    total, ahead = np.zeros(BUCKETS, np.int64), np.array([32], np.uint32)
     for at in range(0, max(1, len(text)), MOST_CHARS):
-        points = np.frombuffer(text[max(0, at - 2) : at + MOST_CHARS].encode("utf-32-le", "surrogatepass"), "<u4")
-        low = np.concatenate([[np.uint32(32)], _folded()[points], [np.uint32(32)]])
+        points = np.frombuffer(text[at : at + MOST_CHARS].encode("utf-32-le", "surrogatepass"), "<u4")
+        end = [np.array([32], np.uint32)] if at + MOST_CHARS >= len(text) else []
+        low = np.concatenate([ahead, _folded()[points], *end])
         keep = np.ones(len(low), bool)
         keep[1:] = (low[1:] != 32) | (low[:-1] != 32)
         low = low[keep]
+        ahead = low[-2:]  # the next piece's trigrams begin with these
         if len(low) < 3:
             continue
         mixed = low[:-2] * np.uint32(0x9E3779B1) ^ low[1:-1] * np.uint32(0x85EBCA6B) ^ low[2:] * np.uint32(0xC2B2AE35)
         mixed = (mixed ^ mixed >> np.uint32(15)) * np.uint32(0x27D4EB2F) >> np.uint32(17)
-        if len(mixed) < 4096 and total is None and len(text) <= MOST_CHARS:
+        if len(mixed) < 4096 and len(text) <= MOST_CHARS:
             return np.unique(mixed, return_counts=True)
-        counts = np.bincount(mixed, minlength=BUCKETS)
-        total = counts if total is None else total + counts
-    if total is None:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        total += np.bincount(mixed, minlength=BUCKETS)
     found = np.flatnonzero(total)
     return found, total[found]
 
@@ -73,8 +71,8 @@ def fit_mixture(p: np.ndarray, count: np.ndarray, start: np.ndarray) -> tuple[np
     return share, float(np.log(share @ p) @ count)
 
 
-def mixture(logp: np.ndarray, buckets: np.ndarray, count: np.ndarray) -> dict[int, float]:
-    """Language number -> proportion for the chosen set."""
+def mixture(logp: np.ndarray, buckets: np.ndarray, count: np.ndarray) -> tuple[dict[int, float], float]:
+    """(language number -> proportion for the chosen set, log-likelihood per trigram). The penalty alone ends the set."""
     lp = logp[:, buckets]
     top = lp.max(axis=0)
     p, count = np.exp(lp - top).astype(np.float64), count.astype(np.float64)
@@ -82,7 +80,7 @@ def mixture(logp: np.ndarray, buckets: np.ndarray, count: np.ndarray) -> dict[in
     single = np.log(p) @ count
     chosen = [int(np.argmax(single))]
     share, best = np.ones(1), float(single[chosen[0]])
-    while len(chosen) < min(MOST_SET, len(p)):
+    while len(chosen) < len(p):
         gain = (p / (share @ p[chosen])) @ count / n
         gain[chosen] = 0
         new = int(np.argmax(gain))
@@ -93,7 +91,7 @@ def mixture(logp: np.ndarray, buckets: np.ndarray, count: np.ndarray) -> dict[in
         if reached - best <= PENALTY * 0.5 * np.log(n + 1) * (1 + np.log(len(p))):
             break
         chosen, share, best = [*chosen, new], refit, reached
-    return dict(zip(chosen, share.tolist()))
+    return dict(zip(chosen, share.tolist())), (best + float(top.astype(np.float64) @ count)) / n
 
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -126,31 +124,32 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return languages, np.log((table + ALPHA) / (table.sum(axis=1, keepdims=True) + ALPHA * BUCKETS)).astype(np.float32)
 
 
-OUT = "doc_id long, held_out boolean, lang_pred string, score double, mixture string"
+OUT = "doc_id long, held_out boolean, lang_pred string, score double, mixture string, fit double"
 
 
-def judged(texts: list[str | None], languages: list[str], logp: np.ndarray) -> list[tuple[str, float, str]]:
-    """(language, its proportion, mixture such as "en:0.81,fr:0.19") of each text."""
+def judged(texts: list[str | None], languages: list[str], logp: np.ndarray) -> list[tuple[str, float, str, float | None]]:
+    """(language, its proportion, mixture such as "en:0.81,fr:0.19", log-likelihood per trigram) of each text."""
     out = []
     for text in texts:
         buckets, count = trigrams(text or "")
         if not len(count) or not languages:
-            out.append(("und", 0.0, ""))
+            out.append(("und", 0.0, "", None))
             continue
-        found = sorted(mixture(logp, buckets, count).items(), key=lambda kv: (-kv[1], kv[0]))
+        shares, fit = mixture(logp, buckets, count)
+        found = sorted(shares.items(), key=lambda kv: (-kv[1], kv[0]))
         share = min(1.0, max(0.0, found[0][1]))
-        out.append((languages[found[0][0]], share, ",".join(f"{languages[k]}:{v:.2f}" for k, v in found)))
+        out.append((languages[found[0][0]], share, ",".join(f"{languages[k]}:{v:.2f}" for k, v in found), fit))
     return out
 
 
 def predict(rows: DataFrame, languages: list[str], logp: np.ndarray) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, mixture; predictions see the text alone."""
+    """doc_id, held_out, lang_pred, score, mixture, fit; predictions see the text alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 8 << 20):
-            pred, score, mix = zip(*judged(batch.column(1).to_pylist(), languages, logp)) if batch.num_rows else ((), (), ())
+            pred, score, mix, fit = zip(*judged(batch.column(1).to_pylist(), languages, logp)) if batch.num_rows else ((), (), (), ())
             held = [d is not None and zlib.crc32(str(d).encode()) % FOLDS == HELD for d in batch.column(0).to_pylist()]
-            columns = [batch.column(0), pa.array(held, pa.bool_()), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mix, pa.string())]
+            columns = [batch.column(0), pa.array(held, pa.bool_()), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mix, pa.string()), pa.array(fit, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in OUT.split(", ")])
 
     return rows.mapInArrow(run, OUT)
@@ -165,13 +164,17 @@ def language_of(docs: DataFrame) -> DataFrame:
     return predict(narrowed(docs), *train(docs))
 
 
-def accepted(docs: DataFrame, least_share: float = 0.4) -> DataFrame:
-    """The documents whose text has letters and a language with at least ``least_share`` of it; all columns, all repeats."""
+def accepted(docs: DataFrame) -> DataFrame:
+    """The documents whose text has letters that some mixture of the languages explains better than chance does, that is,
+    than trigrams drawn evenly from all buckets. All columns, all repeats.
+
+    Null and empty texts go; a text of many languages stays. If nothing is labelled, every text goes.
+    """
     languages, logp = train(docs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 8 << 20):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([lang != "und" and share >= least_share for lang, share, _ in judged(texts, languages, logp)], pa.bool_()))
+            yield batch.filter(pa.array([fit is not None and fit > -np.log(BUCKETS) for *_, fit in judged(texts, languages, logp)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from signalframe.llm.common import narrowed, pieces
+from signalframe.scratch import written
 
 BLOCK = 64
 MOST_ACROSS = 8
@@ -260,14 +261,18 @@ def read_avi(media: bytes) -> Read:
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: each text's UTF-8 bytes, zero-padded to 64, as an AVI file. Null is empty."""
+    """doc_id, n_bytes, media: each text's UTF-8 bytes, zero-padded to 64, as an AVI file, written as a table. Null is empty.
+
+    A RIFF size has 32 bits, so a file ends at 4 GiB; a text of Spark's 2 GiB at most would pass that only by its 9/8
+    growth and frame headers together, and then packing it raises an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 8 << 20):
             raw = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([to_avi(padded(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return narrowed(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return written(narrowed(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media", "zstd")
 
 
 def clips(media: DataFrame) -> DataFrame:

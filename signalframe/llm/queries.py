@@ -34,12 +34,17 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.to_media(documents(spark, sf_dir)))
 
 
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timed clip rows of the media that op5 stores."""
+    return media.clips(media.to_media(documents(spark, sf_dir)))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprinted(documents(spark, sf_dir))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(documents(spark, sf_dir))
+    return mixing.mixed(documents(spark, sf_dir)).drop("key")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +65,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_scoring, op3_sentencepiece, op4_language_id, op5_media, op6_minhash, op7_mixing, op8_token_files, op9_sharding, op10_secrets, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_scoring, op3_sentencepiece, op4_language_id, op5_media, op6_minhash, op7_mixing, op8_token_files, op9_sharding, op10_secrets, pipeline, media_clips)}
 #: None of these can be said in SQL alone; tests/llm compares each with a brute-force version.
 ORACLE_SQL: dict[str, str] = {}

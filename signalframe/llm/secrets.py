@@ -1,14 +1,15 @@
 """Secret scans in DataFrame expressions only.
 
 Base spans come from three patterns. The method adds tokens that a randomness battery tells from prose. For each
-token of 20 or more key characters the narrowest encoding that holds it is inferred; then, per encoding,
+token of 20 or more key characters (shorter mixed ones, such as dates and numbered names, are beyond what these tests can
+tell from keys) the narrowest encoding that holds it is inferred; then, per encoding,
 
 * chi-squared uniformity of its alphabet: X2 as low as the token's would be rare for text of that length,
 * a runs test on character classes: as many changes of class would be rare for text of that length (Chernoff bound),
 * lag-1 serial correlation and runs about the alphabet's middle: neither may contradict a uniform source.
 
 The first two are p-values under "this is prose", joined by Fisher's method. Benjamini-Hochberg control runs within
-bands of token length, over counts of p-values on a fixed grid, so corpora of any size need only the counts.
+bands of token length (tokens of digits alone count there but are never accepted, since numbers are as even), over counts of p-values on a fixed grid, so corpora of any size need only the counts.
 """
 
 from __future__ import annotations
