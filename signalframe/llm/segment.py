@@ -34,9 +34,9 @@ DROPOUT = 0.1
 SEED = 97
 LONG = 40
 FREQUENT, AGAIN = 6, 3  # occurrences in a batch from which a first and a further walk are worth their making
-MOST_CHUNKS, MOST_WALKS = 40_000, 200_000
+MOST_CHUNKS, MOST_WALKS = 25_000, 120_000
 SIDE_BY_SIDE = 1 << 16
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 META = "▁"
 #: Stands for a literal meta symbol of the text; no valid text holds it.
 LITERAL = "\udc00"
