@@ -11,7 +11,7 @@ about after again against being between could first from have into more most oth
 over said says should than that their there these they this those through under were
 what when where which while with would world news latest report reports people
 killed fire police president shooting article articles story stories government
-before office return update updates call calls day years year years time times
+before office return update updates call calls days year years time times
 child three four near amid been home authorities major live takes
 start started died death kill attack
 department announced provide assistance administration plans security

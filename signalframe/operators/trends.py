@@ -30,14 +30,20 @@ def topic_tokens(items: DataFrame) -> DataFrame:
 
 
 def trend_aggregate(items: DataFrame, end: Column, hours: int = 48, recent_hours: int = 12, mentions: int = 2, sources: int = 2) -> DataFrame:
-    """Topics with enough mentions and sources and any recent mention; items are filtered before tokens explode."""
+    """Topics with enough mentions and sources and any recent mention; items are filtered before tokens explode.
+
+    Mentions are first counted per topic and source (with its name, region and language), so the sets that follow hold
+    sources, not mentions.
+    """
     recent = F.unix_timestamp("published_at") >= F.unix_timestamp(end) - recent_hours * 3600
+    topic, of = ["topic_key", "topic", "topic_language", "topic_kind"], ["source_id", "source_name", "region", "language"]
     set_of = lambda c: F.array_sort(F.collect_set(F.coalesce(c, F.lit(UNSET))))
+    per_source = topic_tokens(in_window(items, end, hours)).groupBy(*topic, *of).agg(F.count("*").alias("n"), F.count_if(recent).alias("r"), F.count_if(~recent).alias("p"))
     return (
-        topic_tokens(in_window(items, end, hours)).groupBy("topic_key", "topic", "topic_language", "topic_kind")
+        per_source.groupBy(*topic)
         .agg(
-            F.count("*").alias("mention_count"), F.count_if(recent).alias("recent_mention_count"), F.count_if(~recent).alias("prior_mention_count"),
-            F.count_distinct("source_id").alias("source_count"), set_of("source_name").alias("source_names"), set_of("region").alias("regions"), set_of("language").alias("languages"),
+            F.sum("n").alias("mention_count"), F.sum("r").alias("recent_mention_count"), F.sum("p").alias("prior_mention_count"),
+            F.size(F.collect_set("source_id")).cast("long").alias("source_count"), set_of("source_name").alias("source_names"), set_of("region").alias("regions"), set_of("language").alias("languages"),
         )
         .where((F.col("mention_count") >= mentions) & (F.col("source_count") >= sources) & (F.col("recent_mention_count") > 0))
         .withColumn("region_count", F.size("regions")).withColumn("language_count", F.size("languages"))
@@ -68,29 +74,37 @@ def evidence_urls(items: DataFrame, end: Column, hours: int = 48, most: int = 4)
 def fragment_consolidation(trends: DataFrame, tie_mode: str = "reference") -> DataFrame:
     """Drops topics that a longer, or equal and better, topic of the same sources covers.
 
-    Blocked: each topic offers its substrings (Han overlap: its 3-grams, or 2-grams for two characters), so coverage
-    is an equi-join. Every topic is compared with all others, survivors or not. ``stable`` keeps the smaller of two
-    that would drop each other.
+    Blocked: each topic offers those of its substrings that could be topics (one word or two of four characters and
+    more; Han overlap: its 3-grams, or 2-grams for two characters), so coverage is an equi-join. Every topic is compared
+    with all others, survivors or not. Names of sources join the pairs that are left. ``stable`` keeps the smaller of
+    two that would drop each other.
     """
     han = F.col("topic").rlike(r"^\p{IsHan}+$")
-    base = trends.select("topic_key", "topic", "topic_language", "source_names", "source_count", "mention_count", F.length("topic").alias("len"), han.alias("han"))
-    spans = lambda least: F.flatten(F.transform(F.sequence(F.lit(1), F.length("topic")), lambda i: F.transform(F.sequence(F.lit(least), F.greatest(F.length("topic") - i + 1, F.lit(least))), lambda n: F.substring(F.col("topic"), i, n))))
+    base = trends.select("topic_key", "topic", "topic_language", "source_count", "mention_count", F.length("topic").alias("len"), han.alias("han"))
     grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("topic") - n + 1, F.lit(1))), lambda i: F.substring(F.col("topic"), i, F.lit(n)))
-    words = F.split("topic", " ")
+    cut = lambda w, i, n: F.substring(w, i, n)
+    places = lambda w: F.sequence(F.lit(1), F.greatest(F.length(w) - 3, F.lit(1)))
+    inside = lambda w: F.flatten(F.transform(places(w), lambda i: F.transform(F.sequence(F.lit(4), F.greatest(F.length(w) - i + 1, F.lit(4))), lambda n: cut(w, i, n))))
+    tails = lambda w: F.transform(places(w), lambda i: cut(w, i, F.length(w)))
+    heads = lambda w: F.transform(F.sequence(F.lit(4), F.greatest(F.length(w), F.lit(4))), lambda n: cut(w, F.lit(1), n))
+    one, two = F.split_part("topic", F.lit(" "), F.lit(1)), F.split_part("topic", F.lit(" "), F.lit(2))
+    across = F.flatten(F.transform(tails(one), lambda a: F.transform(heads(two), lambda b: F.concat_ws(" ", a, b))))
+    latin = F.when(two == "", inside(one)).otherwise(F.concat(inside(one), inside(two), across))
     own = F.when(F.col("han"), F.when(F.length("topic") >= 3, grams(3)).otherwise(grams(2))).otherwise(F.array("topic"))
-    # A Latin topic is one or two words; a part of it that is a topic has four characters or more.
-    offered = F.when(F.col("han"), F.concat(grams(3), grams(2))).otherwise(F.when(F.length("topic") >= 4, spans(4)).otherwise(F.array("topic")))
+    # A Latin topic that another holds is shorter than that one and starts with a letter.
+    offered = F.when(F.col("han"), F.concat(grams(3), grams(2))).otherwise(F.filter(latin, lambda p: (F.length(p) < F.length("topic")) & p.rlike("^[a-z]")))
     a = base.withColumn("part", F.explode(F.array_distinct(own)))
     b = base.select(*[F.col(c).alias(f"b_{c}") for c in base.columns], F.explode(F.array_distinct(offered)).alias("part"))
     better = (F.col("b_source_count") > F.col("source_count")) | ((F.col("b_source_count") == F.col("source_count")) & (F.col("b_mention_count") >= F.col("mention_count")))
     if tie_mode == "stable":
         tied = (F.col("b_source_count") == F.col("source_count")) & (F.col("b_mention_count") == F.col("mention_count"))
         better = better & (~tied | (F.col("b_topic") < F.col("topic")))
-    covered = a.join(b, (a["part"] == b["part"]) & (a["topic_language"] == b["b_topic_language"])).where(
-        (F.col("topic_key") != F.col("b_topic_key")) & (F.col("source_count") <= F.col("b_source_count"))
-        & (F.col("han") == F.col("b_han")) & ((F.col("b_len") > F.col("len")) | ((F.col("b_len") == F.col("len")) & better))
-        & (F.size(F.array_except("source_names", "b_source_names")) == 0)
-    )
+    pairs = a.join(b, (a["part"] == b["part"]) & (a["topic_language"] == b["b_topic_language"])).where(
+        (F.col("topic_key") != F.col("b_topic_key")) & (F.col("han") == F.col("b_han")) & ((F.col("b_len") > F.col("len")) | ((F.col("b_len") == F.col("len")) & better))
+    ).select("topic_key", "b_topic_key").distinct()
+    names = trends.select("topic_key", "source_names")
+    covered = pairs.join(names, "topic_key").join(names.select(F.col("topic_key").alias("b_topic_key"), F.col("source_names").alias("b_source_names")), "b_topic_key")
+    covered = covered.where(F.size(F.array_except("source_names", "b_source_names")) == 0)
     return trends.join(covered.select("topic_key"), "topic_key", "left_anti")
 
 

@@ -13,7 +13,7 @@ def end() -> Column:
 
 ITEMS = """
 items AS (SELECT CAST(doc_id AS VARCHAR) AS item_key, source AS source_id, source AS source_name, lang AS language,
-  'R' || CAST(CAST(substring(source, 4) AS INTEGER) % 5 AS VARCHAR) AS region, substring(text, 1, 80) AS title, substring(text, 81, 320) AS summary,
+  'R' || CAST(CAST(substring(source, 4) AS INTEGER) % 5 AS VARCHAR) AS region, substring(text, 1, 80) AS title, substring(text, 81) AS summary,
   'doc://' || CAST(doc_id AS VARCHAR) AS source_url,
   TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST((doc_id * 7919) % 2880 AS INTEGER)) AS published_at,
   TIMESTAMP '2024-01-03 00:00:00' AS fetched_at FROM documents)"""
@@ -32,7 +32,7 @@ def items_of(documents: DataFrame) -> DataFrame:
     return documents.select(
         F.col("doc_id").cast("string").alias("item_key"), F.col("source").alias("source_id"), F.col("source").alias("source_name"), F.col("lang").alias("language"),
         F.concat(F.lit("R"), (F.substring("source", 4, 10).cast("int") % 5).cast("string")).alias("region"),
-        F.substring("text", 1, 80).alias("title"), F.substring("text", 81, 320).alias("summary"),
+        F.substring("text", 1, 80).alias("title"), F.expr("substring(text, 81)").alias("summary"),
         F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("source_url"),
         F.timestamp_seconds(start + (F.col("doc_id") * 7919) % 2880 * 60).alias("published_at"), end().alias("fetched_at"),
     )
