@@ -32,7 +32,7 @@ def purpose_asof(requests: DataFrame, grants: DataFrame) -> DataFrame:
 
 def credential_usable(requests: DataFrame, credentials: DataFrame, states: DataFrame) -> DataFrame:
     """Latest state (by revision) active, audience equal, scope listed, inside its time."""
-    now = states.groupBy("credential_id").agg(F.max_by("state", "revision").alias("current_state"))
+    now = states.groupBy("credential_id").agg(F.max_by("state", F.struct("revision", "state")).alias("current_state"))
     c = credentials.select("credential_id", F.col("audience").alias("own_audience"), "allowed_scopes", "effective_from", "expires_at")
     j = requests.join(c, "credential_id", "left").join(now, "credential_id", "left")
     ok = (F.col("current_state") == "active") & (F.col("own_audience") == F.col("audience")) & F.array_contains("allowed_scopes", F.col("scope")) & (F.col("at") >= F.col("effective_from")) & (F.col("at") < F.col("expires_at"))

@@ -35,15 +35,16 @@ def chain_audit(rows: DataFrame, key: str, revision: str, own_id: str, predecess
 
 
 def current_state(rows: DataFrame, key: str, revision: str) -> DataFrame:
+    """The row of the highest revision; of equal ones, that of the highest hash, whatever the order."""
     rest = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(revision)).alias("s")).select(key, "s.*")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.col(revision), F.xxhash64(*rest))).alias("s")).select(key, "s.*")
 
 
 def transition_audit(log: DataFrame, allowed: DataFrame, initial: list[str]) -> DataFrame:
     """From states follow the state before; (from, to) is registered; the first enters an initial state from none."""
     w = Window.partitionBy("aggregate_id").orderBy("revision")
     before = F.lag("to_state").over(w)
-    checked = log.withColumn("before", before).join(F.broadcast(allowed.withColumn("legal", F.lit(True))), ["from_state", "to_state"], "left")
+    checked = log.withColumn("before", before).join(allowed.withColumn("legal", F.lit(True)), ["from_state", "to_state"], "left")
     code = F.when(F.col("before").isNull() & (F.col("from_state").isNotNull() | ~F.col("to_state").isin(initial)), "BAD_INITIAL").when(F.col("before").isNotNull() & ~F.col("from_state").eqNullSafe(F.col("before")), "BAD_FROM").when(F.col("before").isNotNull() & F.col("legal").isNull(), "UNREGISTERED")
     return checked.withColumn("error", code).where("error is not null").select("aggregate_id", "revision", "error")
 
@@ -56,7 +57,7 @@ def range_overlap(rows: DataFrame, series: str, begin: str, end: str, own_id: st
 
 
 def ordered_hash(rows: DataFrame, group: str, order: str, line: Column) -> DataFrame:
-    """sha256 of each group's lines in order, joined by newlines. Groups are bounded by their member count."""
+    """sha256 of each group's lines in order, joined by newlines. A group's lines meet in one row, so a group must fit in a task."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda s: s["l"])
     return rows.groupBy(group).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("set_hash"), F.count("*").alias("members"))
 
@@ -95,18 +96,73 @@ def causal_edges(edges: DataFrame, events: DataFrame) -> DataFrame:
     return j.withColumn("error", code).where("error is not null").select("event_id", "parent_event_id", "error")
 
 
-def causal_cycle(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """Edges on or between cycles: edges whose child is no parent, or whose parent is no child, are peeled until none is left.
-
-    Each round is written; ``max_rounds`` is an error, not a silent stop.
-    """
-    left = written(edges.select("event_id", "parent_event_id").distinct(), "cycle")
+def _ends(links: DataFrame, own: str, to: str) -> DataFrame:
+    """``own`` nodes whose links, each node's only one, lead to a node without any. Paths double, so a chain of n links
+    takes log n rounds; a round that settles nothing new shows that only cycles are left."""
+    only = links.groupBy(own).agg(F.min(to).alias("at"), F.max(to).alias("other")).where(F.col("at") == F.col("other")).select(F.col(own).alias("node"), "at")
+    every = links.select(F.col(own).alias("at")).distinct().withColumn("goes_on", F.lit(True))
+    paths = written(only.join(every, "at", "left").select("node", "at", F.col("goes_on").isNull().alias("ended")), "paths")
+    before = paths.where("not ended").count()
+    while before:
+        then = paths.select(F.col("node").alias("at"), F.col("at").alias("on"), F.col("ended").alias("on_ended"))
+        paths = written(paths.join(then, "at", "left").select("node", F.when(F.col("ended"), F.col("at")).otherwise(F.coalesce("on", "at")).alias("at"), (F.col("ended") | F.coalesce("on_ended", F.lit(False))).alias("ended")), "paths")
+        now = paths.where("not ended").count()
+        if now == before:
+            break
+        before = now
+    return paths.where("ended").select(F.col("node").alias(own))
+
+
+def _peeled(left: DataFrame) -> DataFrame:
+    """Without the edges that only lead to an end or only come from one; what stays is on or between cycles."""
     n = left.count()
-    for _ in range(max_rounds):
-        parents, children = left.select(F.col("parent_event_id").alias("event_id")).distinct(), left.select(F.col("event_id").alias("parent_event_id")).distinct()
-        left = written(left.join(parents, "event_id", "left_semi").join(children, "parent_event_id", "left_semi"), "cycle")
+    while n:
+        for own, to in (("event_id", "parent_event_id"), ("parent_event_id", "event_id")):
+            kept = left.join(_ends(left, own, to), own, "left_anti")
+            left = written(kept.join(kept.select(F.col(own).alias(to)).distinct(), to, "left_semi"), "cycle")
         now = left.count()
         if now == n:
-            return left
+            break
         n = now
-    raise RuntimeError(f"peeling did not settle in {max_rounds} rounds")
+    return left
+
+
+def _highest(edges: DataFrame, own: str, to: str) -> DataFrame:
+    """(node, label): the highest node, in an order by hash, that ``own`` -> ``to`` links lead to a node from. What reaches
+    the label reaches the node too, so labels jump to their label's label."""
+    rank = lambda c: F.struct(F.xxhash64(c).alias("h"), c.alias("id"))
+    edges = edges.select(own, to)
+    both = edges.select(F.explode(F.array(own, to)).alias("node")).distinct()
+    labels, changed = written(both.select("node", rank(F.col("node")).alias("label")), "labels"), 1
+    while changed:
+        near = edges.join(labels, edges[own] == labels["node"]).groupBy(to).agg(F.max("label").alias("near")).withColumnRenamed(to, "node")
+        met = labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.greatest("label", "near").alias("label"))
+        far = labels.select(F.col("node").alias("through"), F.col("label").alias("far"))
+        met = met.join(far, F.col("label.id") == F.col("through"), "left").select("node", "was", F.greatest("label", "far").alias("label"))
+        met = written(met, "labels")
+        changed = met.where("was <> label").limit(1).count()
+        labels = met.select("node", "label")
+    return labels.select("node", F.col("label.id").alias("label"))
+
+
+def causal_cycle(edges: DataFrame) -> DataFrame:
+    """Edges on a cycle: those whose child is among its parent's ancestors, that is, both lie in one strongly connected part.
+
+    Ends are peeled off first. Then, until no edge is left, every node is labelled by the highest node that reaches it
+    and, within a label, by the highest that it reaches: where both agree the node is in its label's part. Edges between
+    labels are on no cycle. Every step is a written table, so lineage does not grow with rounds.
+    """
+    left = written(edges.select("event_id", "parent_event_id").where("event_id is not null and parent_event_id is not null").distinct(), "cycle")
+    found = left.limit(0)
+    left = _peeled(left)
+    while not left.isEmpty():
+        down = _highest(left, "parent_event_id", "event_id")
+        of = lambda labels, end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+        within = left.join(of(down, "event_id"), "event_id").join(of(down, "parent_event_id"), "parent_event_id").where("event_id_label = parent_event_id_label")
+        within = written(within.select("event_id", "parent_event_id", F.col("event_id_label").alias("label")), "cycle")
+        up = _highest(within, "event_id", "parent_event_id")
+        marked = within.join(of(up, "event_id"), "event_id").join(of(up, "parent_event_id"), "parent_event_id")
+        marked = written(marked.select("event_id", "parent_event_id", (F.col("event_id_label") == F.col("label")).alias("a"), (F.col("parent_event_id_label") == F.col("label")).alias("b")), "cycle")
+        found = written(found.unionByName(marked.where("a and b").select("event_id", "parent_event_id")), "cycle")
+        left = _peeled(written(marked.where("not a and not b").select("event_id", "parent_event_id"), "cycle"))
+    return found

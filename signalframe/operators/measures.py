@@ -75,7 +75,7 @@ def lane_budget(rows: DataFrame, lane: str, order: list[Column], budget: dict[st
 
 
 def state_as_of(log: DataFrame, at: Column) -> DataFrame:
-    return log.where(F.col("available_at") <= at).groupBy("aggregate_id").agg(F.max_by("to_state", "revision").alias("state"))
+    return log.where(F.col("available_at") <= at).groupBy("aggregate_id").agg(F.max_by("to_state", F.struct("revision", "to_state")).alias("state"))
 
 
 def processing_frontier(inputs: DataFrame, key: str) -> DataFrame:

@@ -303,7 +303,7 @@ def catalog_closure(catalogues: DataFrame, definitions: DataFrame, members: Data
 
     Members are hashed per catalogue in order of id; a catalogue's member count bounds that group.
     """
-    latest = definitions.groupBy("catalogue_id", "test_id").agg(F.max_by(F.struct("definition_id", "phase"), "revision").alias("d")).select("catalogue_id", "d.*")
+    latest = definitions.groupBy("catalogue_id", "test_id").agg(F.max_by(F.struct("definition_id", "phase"), F.struct("revision", "definition_id", "phase")).alias("d")).select("catalogue_id", "d.*")
     due = latest.join(catalogues.select("catalogue_id", "target_phase"), "catalogue_id").where("phase <= target_phase").select("catalogue_id", "definition_id", F.lit(True).alias("due"))
     v = definitions.select("definition_id", "severity", F.col("policy").alias("own_policy"))
     m = members.select("catalogue_id", "definition_id", "membership").join(v, "definition_id", "left").withColumn("member", F.lit(True))

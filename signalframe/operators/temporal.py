@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 
 def window_assign(events: DataFrame, windows: DataFrame, at: str = "ts") -> DataFrame:
-    """The half-open window of each event and how many hold it. The window table is small by nature; it is broadcast
-    only while Spark's own size estimate allows, and joined by day buckets otherwise."""
+    """Each event with the half-open window that holds it (window_id, window_end) and how many do (matches, 0 to many).
+
+    Windows are put together by day, so an event meets one row with the few windows of its day and stays one row, however
+    often it repeats; events are not shuffled while the windows' table is small enough for Spark to broadcast.
+    """
     day = lambda c: F.floor(F.unix_timestamp(c) / 86400)
-    w = windows.select(F.col("id").alias("window_id"), "start", "end", F.explode(F.sequence(day(F.col("start")), day(F.col("end")))).alias("day"))
-    e = events.withColumn("day", day(F.col(at)))
-    joined = e.join(w, (e["day"] == w["day"]) & (F.col(at) >= F.col("start")) & (F.col(at) < F.col("end")), "left")
-    return joined.groupBy(*events.columns).agg(F.min("window_id").alias("window_id"), F.max("end").alias("window_end"), F.count("window_id").alias("matches"))
+    days = windows.select(F.struct(F.col("id").alias("window_id"), "start", "end").alias("w"), F.explode(F.sequence(day(F.col("start")), day(F.col("end")))).alias("window day"))
+    days = days.groupBy("window day").agg(F.collect_list("w").alias("windows of the day"))
+    joined = events.join(days, day(F.col(at)) == F.col("window day"), "left")
+    held = F.filter(F.coalesce("windows of the day", F.array()), lambda w: (w["start"] <= F.col(at)) & (F.col(at) < w["end"]))
+    found = joined.withColumn("windows of the day", held)
+    of = lambda field: F.transform("windows of the day", lambda w: w[field])
+    return found.select(*events.columns, F.array_min(of("window_id")).alias("window_id"), F.array_max(of("end")).alias("window_end"), F.size("windows of the day").cast("long").alias("matches"))
 
 
 def windows_validate(windows: DataFrame, contiguous: bool = False) -> DataFrame:

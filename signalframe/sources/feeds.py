@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,11 +49,12 @@ def content_hash(title, summary, link):
 
 def item_upsert(rows: DataFrame, order: str, key: str, first: list[str], last: list[str]) -> DataFrame:
     """Merge by key: ``first`` columns keep the first arrival's value, ``last`` take the latest's. No window, one shuffle."""
-    return rows.groupBy(key).agg(*[F.min_by(c, order).alias(c) for c in first], *[F.max_by(c, order).alias(c) for c in last], F.count("*").alias("arrivals"))
+    by = lambda some: F.struct(order, F.xxhash64(*some))  # noqa: E731  equal orders go by the columns' hash
+    return rows.groupBy(key).agg(*[F.min_by(c, by(first)).alias(c) for c in first], *[F.max_by(c, by(last)).alias(c) for c in last], F.count("*").alias("arrivals"))
 
 
 def fetch_status(log: DataFrame) -> DataFrame:
-    return log.groupBy("source_id").agg(F.max_by(F.struct("fetched_at", "item_count", "error"), "fetched_at").alias("s")).select("source_id", "s.*")
+    return log.groupBy("source_id").agg(F.max(F.struct("fetched_at", "item_count", "error")).alias("s")).select("source_id", "s.*")
 
 
 def source_summary(sources: DataFrame, items: DataFrame) -> DataFrame:
@@ -64,8 +67,11 @@ def next_revision(snapshots: DataFrame) -> DataFrame:
 
 
 def publish(snapshot: DataFrame, cards: DataFrame, trends: DataFrame, base: str, surface: str, expected: int) -> int:
-    """Appends revision expected + 1 and then moves the head; refused when the head isn't at ``expected``. One writer a surface."""
-    spark = snapshot.sparkSession
+    """Appends revision expected + 1 and then moves the head; refused when the head isn't at ``expected``. One writer a surface.
+
+    Each attempt writes under its own name, and the head names the attempt, so what a failed one left is never read.
+    """
+    spark, attempt = snapshot.sparkSession, uuid.uuid4().hex
     try:
         head = spark.read.parquet(f"{base}/head/{surface}").agg(F.max("revision")).first()[0] or 0
     except Exception as e:  # noqa: BLE001
@@ -77,15 +83,15 @@ def publish(snapshot: DataFrame, cards: DataFrame, trends: DataFrame, base: str,
     if cards.limit(1).count() == 0:
         raise ValueError("CARDS_REQUIRED")
     for name, df in (("snapshots", snapshot), ("cards", cards), ("trends", trends)):
-        df.withColumn("surface_id", F.lit(surface)).withColumn("revision", F.lit(head + 1)).write.mode("append").partitionBy("surface_id", "revision").parquet(f"{base}/{name}")
-    spark.createDataFrame([(head + 1,)], "revision int").write.mode("append").parquet(f"{base}/head/{surface}")
+        df.withColumn("surface_id", F.lit(surface)).withColumn("revision", F.lit(head + 1)).withColumn("attempt", F.lit(attempt)).write.mode("append").partitionBy("surface_id", "revision", "attempt").parquet(f"{base}/{name}")
+    spark.createDataFrame([(head + 1, attempt)], "revision int, attempt string").write.mode("append").parquet(f"{base}/head/{surface}")
     return head + 1
 
 
 def read_head(spark, base: str, surface: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Snapshot, cards and trends of the head revision; partitions prune the rest."""
-    head = spark.read.parquet(f"{base}/head/{surface}").agg(F.max("revision")).first()[0]
-    at = lambda n: spark.read.parquet(f"{base}/{n}").where((F.col("surface_id") == surface) & (F.col("revision") == head))
+    head = spark.read.parquet(f"{base}/head/{surface}").agg(F.max(F.struct("revision", "attempt")).alias("h")).first()["h"]
+    at = lambda n: spark.read.parquet(f"{base}/{n}").where((F.col("surface_id") == surface) & (F.col("revision") == head["revision"]) & (F.col("attempt") == head["attempt"])).drop("attempt")
     return at("snapshots"), at("cards"), at("trends")
 
 

@@ -1,12 +1,13 @@
 import hashlib
 import math
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from signalframe.functions.text import html_clean, time_parse, tokens_han
-from signalframe.operators import planning, registers, rules, trends
+from signalframe.operators import closure, planning, registers, rules, temporal, trends
 from signalframe.operators.components import connected_components
 from signalframe.plans import catalog
 from signalframe.sources import feeds
@@ -97,6 +98,66 @@ def test_publish_moves_head(spark, tmp_path):
         feeds.publish(one, one, one, base, "home", 0)
     assert feeds.publish(one, one, one, base, "home", 1) == 2
     assert feeds.read_head(spark, base, "home")[1].count() == 1
+    broken = spark.createDataFrame([("s3",)], "snapshot_id string").withColumn("oops", F.raise_error(F.lit("midway")))
+    with pytest.raises(Exception, match="midway"):
+        feeds.publish(one, one, broken, base, "home", 2)
+    assert feeds.read_head(spark, base, "home")[0].first().revision == 2
+    assert feeds.publish(one, one, one, base, "home", 2) == 3
+    assert [x.count() for x in feeds.read_head(spark, base, "home")] == [1, 1, 1]
+
+
+def plain_cycle_edges(edges):
+    above = {}
+    for child, parent in edges:
+        above.setdefault(child, set()).add(parent)
+
+    def ancestors(node):
+        seen, todo = set(), [node]
+        while todo:
+            for p in above.get(todo.pop(), ()):
+                if p not in seen:
+                    seen.add(p)
+                    todo.append(p)
+        return seen
+
+    return {(c, p) for c, p in edges if c == p or c in ancestors(p)}
+
+
+def test_causal_cycle(spark):
+    def found(edges):
+        table = spark.createDataFrame(edges, "event_id long, parent_event_id long")
+        return {(r.event_id, r.parent_event_id) for r in closure.causal_cycle(table).collect()}
+
+    two = [(1, 2), (2, 1), (3, 4), (4, 3), (2, 3)]
+    assert found(two) == {(1, 2), (2, 1), (3, 4), (4, 3)}
+    chain = [(i + 1, i) for i in range(5000)]
+    assert found(chain) == set()
+    assert found(chain + [(4990, 5000), (7, 7)]) == {*[(i + 1, i) for i in range(4990, 5000)], (4990, 5000), (7, 7)}
+    r = random.Random(3)
+    for n in (12, 18):
+        edges = [(r.randrange(n), r.randrange(n)) for _ in range(n + 6)]
+        assert found(edges) == plain_cycle_edges(edges)
+
+
+def test_window_assign_keeps_repeated_rows(spark):
+    events = spark.createDataFrame([(1, 10), (1, 10), (2, 100_000), (3, 500_000), (4, 86_400)], "id int, s long").withColumn("ts", F.timestamp_seconds("s"))
+    windows = spark.createDataFrame([(1, 0, 86_400), (2, 86_400, 172_800), (3, 90_000, 180_000)], "id int, a long, b long").select("id", F.timestamp_seconds("a").alias("start"), F.timestamp_seconds("b").alias("end"))
+    got = sorted((r.id, r.window_id, r.matches) for r in temporal.window_assign(events, windows).collect() if r.window_id)
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 2, 2), (4, 2, 1)]
+    assert [(r.id, r.matches) for r in temporal.window_assign(events, windows).where("window_id is null").collect()] == [(3, 0)]
+
+
+def test_fragment_goes_by_names_alone(spark):
+    rows = [("en:solar", "solar", "en", "term", ["A"], 3, 5), ("en:solar flare", "solar flare", "en", "phrase", ["A", "B"], 2, 4), ("en:flares", "flares", "en", "term", ["C"], 2, 4), ("en:lar fla", "olar flar", "en", "phrase", ["B"], 2, 2)]
+    table = spark.createDataFrame(rows, "topic_key string, topic string, topic_language string, topic_kind string, source_names array<string>, source_count long, mention_count long")
+    assert {r.topic for r in trends.fragment_consolidation(table).collect()} == {"solar flare", "flares"}
+
+
+def test_state_ties_do_not_depend_on_order(spark):
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", 0, "z"), ("b", 2, "x")]
+    one, other = (spark.createDataFrame(r, "k string, n int, s string").coalesce(1) for r in (rows, rows[::-1]))
+    state = lambda t: sorted((r.k, r.s) for r in closure.current_state(t, "k", "n").collect())
+    assert state(one) == state(other)
 
 
 def test_components(spark):
