@@ -275,6 +275,28 @@ def test_language(spark, docs, rows, empty):
     assert 0.3 < out[999].score < 0.7 and out[999].mixture.count(":") == 2
 
 
+def test_language_sets_and_long_texts(monkeypatch):
+    r, texts = random.Random(6), ["", "a", "The house, naïve  über -- 12 x" * 9, "漢字 abc " * 5, " \n "]
+    whole = [tuple(map(list, language.trigrams(t))) for t in texts]
+    for most in (1, 2, 3, 7):
+        monkeypatch.setattr(language, "MOST_CHARS", most)
+        assert [tuple(map(list, language.trigrams(t))) for t in texts] == whole
+    rng = np.random.default_rng(1)
+    p = rng.dirichlet(np.full(400, 0.05), 6) + 1e-6
+    logp = np.log(p / p.sum(axis=1, keepdims=True)).astype(np.float32)
+    share = np.array([0.3, 0.25, 0.2, 0.15, 0.1, 0.0])
+    count = np.random.default_rng(2).multinomial(20_000, share @ np.exp(logp.astype(float)) / (share @ np.exp(logp.astype(float))).sum())
+    at = np.flatnonzero(count)
+    got, fit = language.mixture(logp, at, count[at])
+    assert set(got) == {0, 1, 2, 3, 4} and all(abs(got[k] - share[k]) < 0.03 for k in got)
+    start = np.full(5, 0.2)  # EM step by step
+    q, n = np.exp(logp[:5][:, at].astype(float)), count[at] / count.sum()
+    for _ in range(300):
+        post = start[:, None] * q
+        start = (post / post.sum(axis=0)) @ n
+    assert all(abs(got[k] - start[k]) < 0.01 for k in range(5)) and abs(fit - np.log(start @ q) @ n) < 1e-3
+
+
 def test_media(docs, rows, empty):
     got = {str(r.doc_id): r for r in media.media_features(media.to_media(docs)).collect()}
     for r in rows:
@@ -308,6 +330,43 @@ def test_media_idct_matches_definition():
     assert np.abs(media.luma(blocks).reshape(5, 8, 8) - want).max() <= 1
 
 
+def plain_bins(text):
+    words, mask = split(text), (1 << 64) - 1
+    words += [b" "] * (5 - len(words))
+    least = {}
+    for i in range(len(words) - 4):
+        h = 0
+        for w in words[i : i + 5]:
+            h = (h * 0x9E3779B97F4A7C15 + xxhash.xxh64_intdigest(w, 11)) & mask
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+        h ^= h >> 31
+        least[h >> 56] = min(least.get(h >> 56, mask), h)
+    out, prime = [], (1 << 31) - 1
+    for at in range(256):
+        attempt, donor = 0, at
+        while donor not in least:
+            donor = ((1 + (attempt * 2654435761 + 11) % (prime - 1)) * (at + 1) + (attempt * 40503 + 11 * 7919) % prime) % prime % 256
+            attempt += 1
+        out.append(least[donor] & 15)
+    return out
+
+
+def test_minhash_by_brute_force(docs, rows):
+    hexed = lambda bins: "".join(f"{b:x}" for b in bins)
+    like = lambda a, b: min(1.0, max(0.0, (sum(x == y for x, y in zip(a, b)) / 256 - 1 / 16) / (15 / 16)))
+    line = sorted((r for r in rows if r[0] is not None), key=lambda r: (-r[0], text_of(r)))
+    got = {(x.doc_id, x.n_chars): x for x in minhash.fingerprinted(docs.where("doc_id is not null")).collect()}
+    for r, nxt in zip(line, [*line[1:], line[0]]):
+        text, half = text_of(r), len(text_of(r)) // 2
+        own, other, after = plain_bins(text), plain_bins(text[: len(text) - half] + text_of(nxt)[:half]), plain_bins(text_of(nxt))
+        x = got[r[0], len(text)]
+        assert x.fingerprint == hexed(own)
+        if r[0] != 5:  # given twice, with either next
+            assert x.edited_fingerprint == hexed(other)
+            assert abs(x.near_edited - like(own, other)) < 1e-9 and abs(x.near_next - like(own, after)) < 1e-9
+
+
 def test_minhash(docs, rows, empty):
     line = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), text_of(r)))
     want = []
@@ -344,6 +403,33 @@ def test_mixing(docs, rows, empty):
     assert mixing.targets([10, 1000], [5, 2]) == [30.0, 980.0]
 
 
+def test_mixing_does_not_depend_on_partitions(spark):
+    r = random.Random(21)
+    made = [(i, " ".join(r.choice(WORDS) for _ in range(r.choice([0, 3, 50, 700]))), r.choice(["a", "b", "c", None])) for i in range(200)]
+    made += [made[7]] * 20 + [(None, "one text", "a"), (None, "other text of more words", "a"), (None, None, "b")]
+
+    def taken(parts):
+        table = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(parts)
+        return sorted((str(x.doc_id), x.size, x.taken) for x in mixing.mixed(table).collect())
+
+    two = taken(2)
+    assert len(two) == len(made) and two == taken(8)
+    clash = spark.createDataFrame([(*m, 1, 2, 3, "x") for m in made], "doc_id long, text string, source string, times int, key int, copy int, `mix column 0` string")
+    again = mixing.resampled(clash)
+    assert again.columns == clash.columns
+    got = {}
+    for x in again.collect():
+        got[x.doc_id, x.text] = got.get((x.doc_id, x.text), 0) + len(split(x.text))
+    want = {}
+    for (doc_id, text, _), words in zip(made, [len(split(m[1] or "")) for m in made]):
+        want[str(doc_id), words] = 0
+    for doc_id, size, words in two:
+        want[doc_id, size] += words
+    longest = max(len(split(m[1] or "")) for m in made)
+    assert abs(sum(got.values()) - sum(want.values())) <= 4 * longest + 20 * len(split(made[7][1]))
+    assert mixing.resampled(clash.limit(0)).count() == 0
+
+
 def test_token_files(docs, rows, empty):
     from tokenizers import Tokenizer
 
@@ -360,6 +446,31 @@ def test_token_files(docs, rows, empty):
     assert np.frombuffer(wavelet.WordEncoder(path).encode(odd), "<u2").tolist() == lib.encode(odd, add_special_tokens=False).ids
 
 
+def test_token_ids_equal_the_library_on_any_text():
+    from tokenizers import Tokenizer
+
+    path, r = tokenizers_dir.path("word_bpe_49k.json"), random.Random(1)
+    lib, encoder = Tokenizer.from_file(path), wavelet.WordEncoder(path, 300)
+    assert encoder.by_word
+    pool = [chr(c) for c in range(0x250)] + list("\u0130.,'\u2019\u0301\u0307\u03a3\u03c2\u2126\u212a\u212b\u6f22\uac00\u00bd\u3000<|>") + ["<|endoftext|>", "'ll"]
+    for _ in range(6000):
+        text = "".join(r.choice(pool) if r.random() < 0.8 else chr(r.choice([r.randrange(0xD800), r.randrange(0xE000, 0x110000)])) for _ in range(r.randint(0, 9)))
+        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == lib.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_wavelet_over_many_frames():
+    ids = np.random.default_rng(6).choice([1, 7, 9, 500, 40000, 41000, 3], 200_000).astype(np.uint16)
+    file = wavelet.WaveletFile(wavelet.build([3, None], [100_000, 100_000], ids))
+    assert (file.tokens() == ids).all() and [file.access(i) for i in range(0, 200_000, 997)] == ids[::997].tolist()
+    for token in (1, 500, 8):
+        at = np.flatnonzero(ids == token)
+        assert [file.rank(token, e) for e in (0, 511, 512, 65535, 65536, 65537, 200_000)] == [(at < e).sum() for e in (0, 511, 512, 65535, 65536, 65537, 200_000)]
+        assert [file.select(token, k) for k in range(0, len(at), 1111)] == at[::1111].tolist()
+    one = wavelet.WaveletFile(wavelet.build([3], [200_000], ids))
+    one.access(5)
+    assert len(one._held) <= 2 * one.planes  # one access inflates two small frames a plane
+
+
 def test_wavelet_rank_select():
     ids = np.random.default_rng(6).choice([1, 7, 9, 500, 40000], 1000).astype(np.uint16)
     file = wavelet.WaveletFile(wavelet.build([3, None], [400, 600], ids))
@@ -387,6 +498,25 @@ def test_sharding(docs, rows, empty):
     assert np.bincount(grown, weights=weight).min() > 0.99 * weight.sum() / 25 and (grown != old).mean() < 0.1
 
 
+def test_slot_map_is_stored_and_edited(spark, tmp_path):
+    r, folder = random.Random(2), f"file://{tmp_path}/map"
+    made = [(i if i % 2 else None, "x" * r.randint(1, 300) + str(i)) for i in range(6000)] + [(77, "same text")] * 3000
+    table = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    first = sharding.sharded(table, 24, folder).collect()
+    loads = np.bincount([x.shard for x in first], weights=[x.size for x in first])
+    assert len(loads) == 24 and loads.max() - loads.min() < 0.02 * loads.mean() and {x.map_version for x in first} == {1}
+    assert [sharding.stored_map(spark, folder, v)[0] for v in (0, 1)] == [0, 1]
+    grown = sharding.sharded(table, 25, folder).collect()
+    loads = np.bincount([x.shard for x in grown], weights=[x.size for x in grown])
+    assert len(loads) == 25 and loads.max() - loads.min() < 0.05 * loads.mean() and {x.map_version for x in grown} == {2}
+    old, new = sharding.stored_map(spark, folder, 1)[1], sharding.stored_map(spark, folder)[1]
+    assert 0 < (old != new).mean() < 0.15
+    for shard in range(25):
+        assert sorted(x.slot for x in grown if x.shard == shard) == list(range(sum(x.shard == shard for x in grown)))
+    with pytest.raises(ValueError, match="only grow"):
+        sharding.sharded(table, 24, folder)
+
+
 def plain_spans(text):
     out = []
     assign = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
