@@ -16,6 +16,66 @@ def closure_audit(units: DataFrame, decisions: DataFrame, key: str, group: str)
     return per.crossJoin(F.broadcast(strays))  # one row
 
 
+MEMBERSHIP_COUNTERS = (
+    "missing_decisions", "selected_without_child", "child_without_selected", "universe_missing", "universe_extra", "selected_unknown", "invalid_subject_kind",
+    "invalid_member_kind", "profile_missing_role", "profile_extra_role", "profile_roles", "snapshot_roles", "universe_roles",
+)
+
+
+def membership_closure(snapshots: DataFrame, units: DataFrame, decisions: DataFrame, members: DataFrame, universe: DataFrame, roles: DataFrame) -> DataFrame:
+    """Per snapshot the thirteen counters over its units, decisions, selected members, universe and profile, and whether it is closed.
+
+    ``snapshots``: snapshot_id, profile_id. ``units``: unit_id, snapshot_id, member_role, subject_kind, subject_key.
+    ``decisions``: unit_id, decision, member_kind. ``members``: unit_id, member_kind, member_key. ``universe``: snapshot_id,
+    member_role, subject_kind, member_kind, member_key. ``roles``: profile_id, member_role, subject_kind, member_kind. Ids of
+    snapshots and units are distinct; units of no snapshot count nowhere. Sets compare nulls as equal, joins do not, and a
+    null role is no role. Decisions and members are counted per unit before they meet units; each part ends in a few counts per
+    snapshot, and only those meet.
+    """
+    u = units.join(snapshots.select("snapshot_id", "profile_id"), "snapshot_id")
+    selected = decisions.where(F.col("decision") == "selected")
+    per_unit = decisions.groupBy("unit_id").agg(F.count("*").alias("n"), F.count_if(F.col("decision") == "selected").alias("s"))
+    children = members.groupBy("unit_id").agg(F.count("*").alias("m"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    first = u.join(per_unit, "unit_id", "left").join(children, "unit_id", "left").groupBy("snapshot_id").agg(
+        F.count_if(F.col("n").isNull()).alias("missing_decisions"), F.sum(F.when(F.col("m").isNull(), zero("s")).otherwise(0)).alias("selected_without_child"),
+        F.sum(F.when(zero("s") == 0, zero("m")).otherwise(0)).alias("child_without_selected"),
+    )
+
+    def sides(key: list[str], **frames: DataFrame) -> DataFrame:
+        """Per snapshot and key, which of the frames hold it."""
+        rows = [df.select("snapshot_id", *key, *[F.lit(n == name).alias(n) for n in frames]) for name, df in frames.items()]
+        both = rows[0]
+        for more in rows[1:]:
+            both = both.unionByName(more)
+        return both.groupBy("snapshot_id", *key).agg(*[F.bool_or(n).alias(n) for n in frames])
+
+    subjects = u.withColumnRenamed("subject_key", "member_key")
+    second = sides(["member_role", "subject_kind", "member_key"], of_universe=universe, of_units=subjects).groupBy("snapshot_id").agg(
+        F.count_if(~F.col("of_units")).alias("universe_missing"), F.count_if(~F.col("of_universe")).alias("universe_extra")
+    )
+    chosen = members.join(u.select("unit_id", "snapshot_id", "member_role"), "unit_id")
+    third = chosen.join(universe, ["snapshot_id", "member_role", "member_kind", "member_key"], "left_anti").groupBy("snapshot_id").agg(F.count("*").alias("selected_unknown"))
+    asked = roles.select("profile_id", "member_role", F.col("subject_kind").alias("role_subject"), F.col("member_kind").alias("role_member"))
+    typed = u.select("unit_id", "snapshot_id", "profile_id", "member_role", "subject_kind").join(asked, ["profile_id", "member_role"])
+    fourth = typed.groupBy("snapshot_id").agg(F.count_if(F.col("subject_kind") != F.col("role_subject")).alias("invalid_subject_kind"))
+    fifth = typed.join(selected.select("unit_id", "member_kind"), "unit_id").groupBy("snapshot_id").agg(F.count_if(F.col("member_kind") != F.col("role_member")).alias("invalid_member_kind"))
+    stated = snapshots.select("snapshot_id", "profile_id").join(roles.groupBy("profile_id", "member_role").agg(F.count("*").alias("c")), "profile_id")
+    sixth = stated.groupBy("snapshot_id").agg(F.sum("c").alias("profile_roles"))
+    named = F.col("member_role").isNotNull()
+    seventh = sides(["member_role"], of_profile=stated, of_units=u, of_universe=universe).groupBy("snapshot_id").agg(
+        F.count_if(F.col("of_profile") & ~F.col("of_units")).alias("profile_missing_role"), F.count_if(F.col("of_units") & ~F.col("of_profile")).alias("profile_extra_role"),
+        F.count_if(F.col("of_units") & named).alias("snapshot_roles"), F.count_if(F.col("of_universe") & named).alias("universe_roles"),
+    )
+    out = snapshots.select("snapshot_id")
+    for part in (first, second, third, fourth, fifth, sixth, seventh):
+        out = out.join(part, "snapshot_id", "left")
+    out = out.select("snapshot_id", *[zero(c).alias(c) for c in MEMBERSHIP_COUNTERS])
+    wrong = sum((F.col(c) for c in MEMBERSHIP_COUNTERS[1:10]), F.col(MEMBERSHIP_COUNTERS[0]))
+    closed = (wrong == 0) & (F.col("profile_roles") > 0) & (F.col("snapshot_roles") == F.col("profile_roles")) & (F.col("universe_roles") == F.col("profile_roles"))
+    return out.withColumn("closed", closed)
+
+
 def closure_anti(units: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
     side = lambda a, b, name: a.select(key).distinct().join(b, key, "left_anti").withColumn("side", F.lit(name))
     return side(units, decisions, "undecided").unionByName(side(decisions, units, "unexpected"))
@@ -40,15 +100,29 @@ def current_state(rows: DataFrame, key: str, revision: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.col(revision), F.xxhash64(*rest))).alias("s")).select(key, "s.*")
 
 
-def transition_audit(log: DataFrame, allowed: DataFrame, initial: list[str]) -> DataFrame:
-    """From states follow the state before; (from, to) is registered; the first enters an initial state from none."""
+def transition_audit(log: DataFrame, allowed: DataFrame, initial: list[str], states: list[str]) -> DataFrame:
+    """The target is a registered state; the first enters an initial one from none; later ones follow the state before by a registered pair."""
     w = Window.partitionBy("aggregate_id").orderBy("revision")
     before = F.lag("to_state").over(w)
     checked = log.withColumn("before", before).join(allowed.withColumn("legal", F.lit(True)), ["from_state", "to_state"], "left")
-    code = F.when(F.col("before").isNull() & (F.col("from_state").isNotNull() | ~F.col("to_state").isin(initial)), "BAD_INITIAL").when(F.col("before").isNotNull() & ~F.col("from_state").eqNullSafe(F.col("before")), "BAD_FROM").when(F.col("before").isNotNull() & F.col("legal").isNull(), "UNREGISTERED")
+    first = F.col("before").isNull()
+    code = (
+        F.when(~F.coalesce(F.col("to_state").isin(states), F.lit(False)), "BAD_TARGET")
+        .when(first & (F.col("from_state").isNotNull() | ~F.col("to_state").isin(initial)), "BAD_INITIAL")
+        .when(~first & ~F.col("from_state").eqNullSafe(F.col("before")), "BAD_FROM")
+        .when(~first & F.col("legal").isNull(), "UNREGISTERED")
+    )
     return checked.withColumn("error", code).where("error is not null").select("aggregate_id", "revision", "error")
 
 
+def transition_rows(events: DataFrame, states: DataFrame, exclusive: list[str]) -> DataFrame:
+    """Events of an exclusive type have exactly one state row, others none."""
+    n = states.groupBy("event_id").agg(F.count("*").alias("n"))
+    one, rows = F.coalesce(F.col("event_type").isin(exclusive), F.lit(False)), F.coalesce("n", F.lit(0))
+    code = F.when(one & (rows != 1), "NOT_ONE_STATE").when(~one & (rows != 0), "STATE_NOT_ALLOWED")
+    return events.select("event_id", "event_type").join(n, "event_id", "left").withColumn("error", code).where("error is not null").select("event_id", "error")
+
+
 def range_overlap(rows: DataFrame, series: str, begin: str, end: str, own_id: str) -> DataFrame:
     """Rows that begin before the latest end so far in their series; a null end is open. A running maximum, no pairs."""
     far = F.lit("9999-12-31 00:00:00").cast("timestamp")

@@ -110,3 +110,15 @@ def coverage_debt(debts: DataFrame, as_of: Column) -> DataFrame:
     """A checksum over immutable fields alone; the age belongs to the question, not to the record."""
     fields = ["coverage_debt_id", "opened_at", "reason_code", "next_rotation_at"]
     return debts.withColumn("checksum", F.sha2(F.concat_ws("|", *[F.col(f).cast("string") for f in fields]), 256)).withColumn("age_seconds", F.unix_timestamp(as_of) - F.unix_timestamp("opened_at")).withColumn("violation", F.col("opened_at") > as_of)
+
+
+def lineage_origins(items: DataFrame, lineages: DataFrame, key: str, group: str) -> DataFrame:
+    """Per group its items and the origins they come from: all near duplicates of a lineage are one origin.
+
+    ``lineages``: ``key`` and lineage_id; an item without a lineage is its own origin. Items are counted per (group, lineage)
+    first, so a lineage of many copies is one row before the last count.
+    """
+    named = items.select(key, group).join(lineages.select(key, "lineage_id"), key, "left")
+    alone = F.when(F.col("lineage_id").isNull(), F.col(key))
+    per = named.groupBy(group, "lineage_id", alone.alias("alone")).agg(F.count("*").alias("n"))
+    return per.groupBy(group).agg(F.sum("n").alias("items"), F.count("*").alias("origins"), F.max("n").alias("largest"))

@@ -18,12 +18,21 @@ def cusum(counts: DataFrame, series: str, bucket: str, n: str) -> DataFrame:
     return counts.withColumn("off", F.col(n) - mean).withColumn("cusum", F.sum("off").over(Window.partitionBy(series).orderBy(bucket)))
 
 
+def medians(rows: DataFrame, group: str, value: str, name: str) -> DataFrame:
+    """The mean of the two middle values, from counts per distinct value and a running sum, so that no buffer holds a group."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(group)
+    upto = counts.withColumn("hi", F.sum("c").over(w.orderBy(value))).withColumn("total", F.sum("c").over(w))
+    at = lambda i: F.max(F.when((i < F.col("hi")) & (i >= F.col("hi") - F.col("c")), F.col(value)))
+    low, high = at(F.floor((F.col("total") - 1) / 2)), at(F.floor(F.col("total") / 2))
+    return upto.groupBy(group).agg(((low + high) / 2).alias(name))
+
+
 def spike_robust(counts: DataFrame, series: str, n: str) -> DataFrame:
     """(x - median) / MAD per series; null where the MAD is 0."""
-    med = counts.groupBy(series).agg(F.percentile(n, 0.5).alias("median"))
-    off = counts.join(med, series).withColumn("off", F.abs(F.col(n) - F.col("median")))
-    mad = off.groupBy(series).agg(F.percentile("off", 0.5).alias("mad"))
-    return off.join(mad, series).withColumn("robust_z", F.when(F.col("mad") > 0, (F.col(n) - F.col("median")) / F.col("mad")))
+    off = counts.join(medians(counts, series, n, "median"), series).withColumn("off", F.abs(F.col(n) - F.col("median")))
+    out = off.join(medians(off, series, "off", "mad"), series)
+    return out.withColumn("robust_z", F.when(F.col("mad") > 0, (F.col(n) - F.col("median")) / F.col("mad")))
 
 
 def decline(counts: DataFrame, series: str, bucket: str, n: str, least: int) -> DataFrame:

@@ -208,19 +208,58 @@ def definition_strength(definitions: DataFrame) -> DataFrame:
     return d.select("definition_id", "revision", F.explode(broken).alias("error"))
 
 
-def gate_decision_closure(decisions: DataFrame, results: DataFrame) -> DataFrame:
-    """Stated counts and verdict against the results. A gate passes when it has results and all passed."""
-    r = results.groupBy("gate_id").agg(F.count("*").alias("n"), F.count_if(~F.col("result").eqNullSafe("passed")).alias("bad"))
-    own = F.when((_n("n") > 0) & (_n("bad") == 0), "pass").otherwise("fail")
-    broken = _codes((F.col("stated_total") != _n("n"), "TOTAL"), (F.col("stated_unpassed") != _n("bad"), "UNPASSED"), (~F.col("verdict").eqNullSafe(own), "VERDICT"))
-    return decisions.join(r, "gate_id", "left").select("gate_id", F.explode(broken).alias("error"))
-
-
-def gate_evaluation_closure(evaluations: DataFrame, runs: DataFrame) -> DataFrame:
-    """Run count as stated, every run terminal, blocked exactly when a run is."""
-    r = runs.groupBy("evaluation_id").agg(F.count("*").alias("n"), F.count_if(~F.coalesce("terminal", F.lit(False))).alias("unfinished"), F.count_if(F.col("status") == "blocked").alias("blocked"))
-    broken = _codes((F.col("run_count") != _n("n"), "RUN_COUNT"), (_n("unfinished") > 0, "NOT_TERMINAL"), ((F.col("status") == "blocked") != (_n("blocked") > 0), "STATUS"))
-    return evaluations.join(r, "evaluation_id", "left").select("evaluation_id", F.explode(broken).alias("error"))
+def gate_decision_closure(decisions: DataFrame, catalogs: DataFrame, members: DataFrame, definitions: DataFrame, results: DataFrame) -> DataFrame:
+    """Each rule that a gate decision breaks over its catalogue and its run's results.
+
+    ``decisions``: gate_id, catalog_id, run_id, target_phase, target_gate, required, blocking_results, unpassed (ids in
+    order), decision. ``catalogs``: catalog_id, phase, gate. ``members``: catalog_id, definition_id, membership.
+    ``definitions``: definition_id, blocking. ``results``: run_id, definition_id, result. Failures are few beside results,
+    so decisions meet those before their catalogue's members. One decision's unpassed ids are one row, as stated.
+    """
+    m = members.groupBy("catalog_id").agg(F.count("*").alias("n_members"), F.count_if(F.col("membership") == "applicable").alias("n_applicable"))
+    r = results.groupBy("run_id").agg(F.count("*").alias("n_results"))
+    failed = results.where(F.col("result").isin("fail", "blocked")).select("run_id", "definition_id")
+    applicable = members.where(F.col("membership") == "applicable").select("catalog_id", "definition_id")
+    hits = decisions.select("gate_id", "catalog_id", "run_id", "target_gate").join(failed, "run_id").join(applicable, ["catalog_id", "definition_id"]).join(definitions.select("definition_id", "blocking"), "definition_id", "left")
+    own = hits.groupBy("gate_id").agg(F.count_if(F.col("blocking") == F.col("target_gate")).alias("n_blocking"), F.array_sort(F.collect_list("definition_id")).alias("own_unpassed"))
+    known = catalogs.select("catalog_id", F.col("phase").alias("own_phase"), F.col("gate").alias("own_gate"))
+    none = F.array().cast(decisions.schema["unpassed"].dataType)
+    broken = _codes(
+        (~F.col("target_phase").eqNullSafe(F.col("own_phase")) | F.col("own_phase").isNull() | ~F.col("target_gate").eqNullSafe(F.col("own_gate")), "TARGET"),
+        (_n("n_members") != _n("n_results"), "RESULTS"),
+        (~F.col("required").eqNullSafe(_n("n_applicable")), "REQUIRED"),
+        (~F.col("blocking_results").eqNullSafe(_n("n_blocking")), "BLOCKING"),
+        (~F.col("unpassed").eqNullSafe(F.coalesce("own_unpassed", none)), "UNPASSED"),
+        ((_n("n_blocking") == 0) != F.col("decision").eqNullSafe("pass"), "VERDICT"),
+    )
+    joined = decisions.join(known, "catalog_id", "left").join(m, "catalog_id", "left").join(r, "run_id", "left").join(own, "gate_id", "left")
+    return joined.select("gate_id", F.explode(broken).alias("error"))
+
+
+def gate_evaluation_closure(evaluations: DataFrame, units: DataFrame, attempts: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Each rule that an evaluation breaks over its unit's attempts, which are terminal once decided under its catalogue.
+
+    ``evaluations``: evaluation_id, unit_id, expected_runs, observed_runs, result_set_hash, status. ``units``: unit_id,
+    unit_runs, catalog_id. ``attempts``: unit_id, run_id, attempt_ordinal. ``decisions``: run_id, catalog_id, decision. The
+    hash is over a unit's decided attempts in their order, so one unit's lines are one row; none gives null.
+    """
+    n = attempts.groupBy("unit_id").agg(F.count("*").alias("n_attempts"))
+    decided = attempts.join(units.select("unit_id", "catalog_id"), "unit_id").join(decisions, ["run_id", "catalog_id"])
+    line = F.struct("attempt_ordinal", F.concat_ws("|", F.col("run_id").cast("string"), "decision").alias("line"))
+    t = decided.groupBy("unit_id").agg(
+        F.count("*").alias("n_terminal"), F.count_if(F.col("decision") == "blocked").alias("n_blocked"),
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n"), 256).alias("own_hash"),
+    )
+    broken = _codes(
+        (~F.col("expected_runs").eqNullSafe(F.col("unit_runs")), "EXPECTED"),
+        (~F.col("observed_runs").eqNullSafe(_n("n_attempts")), "OBSERVED"),
+        (~F.col("unit_runs").eqNullSafe(_n("n_attempts")), "INCOMPLETE"),
+        (_n("n_terminal") != _n("n_attempts"), "NOT_TERMINAL"),
+        (~F.col("result_set_hash").eqNullSafe(F.col("own_hash")), "HASH"),
+        (~F.col("status").eqNullSafe(F.when(_n("n_blocked") > 0, "blocked").otherwise("closed")), "STATUS"),
+    )
+    joined = evaluations.join(units.select("unit_id", "unit_runs"), "unit_id", "left").join(n, "unit_id", "left").join(t, "unit_id", "left")
+    return joined.select("evaluation_id", F.explode(broken).alias("error"))
 
 
 def gate_selection(evaluations: DataFrame, members: DataFrame) -> DataFrame:

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from signalframe.functions.text import wilson
 
 
-def emergence_diffusion(observations: DataFrame, actions: DataFrame, least: int = 3) -> DataFrame:
+def emergence_diffusion(observations: DataFrame, actions: DataFrame, types: DataFrame, least: int = 3) -> DataFrame:
+    """Enough languages and actor classes, an action, and both signal types, per signal observed."""
     seen = observations.groupBy("signal_id").agg(F.count_distinct("language").alias("language_count"), F.count_distinct("actor_class").alias("actor_class_count"))
     acted = actions.groupBy("signal_id").agg(F.count("*").alias("actions"))
-    out = seen.join(acted, "signal_id", "left").withColumn("actions", F.coalesce("actions", F.lit(0)))
-    return out.withColumn("diffused", (F.col("language_count") >= least) & (F.col("actor_class_count") >= least) & (F.col("actions") > 0))
+    of = lambda t: F.coalesce(F.bool_or(F.col("signal_type") == t), F.lit(False))
+    typed = types.groupBy("signal_id").agg((of("emergence") & of("diffusion")).alias("typed"))
+    out = seen.join(acted, "signal_id", "left").join(typed, "signal_id", "left")
+    out = out.withColumn("actions", F.coalesce("actions", F.lit(0))).withColumn("typed", F.coalesce("typed", F.lit(False)))
+    return out.withColumn("diffused", (F.col("language_count") >= least) & (F.col("actor_class_count") >= least) & (F.col("actions") > 0) & F.col("typed"))
 
 
 def independent_adoption(rows: DataFrame, least: int = 3) -> DataFrame:
@@ -36,13 +40,32 @@ def seasonal_anomaly(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def fdr_scan(tests: DataFrame, alpha: float) -> DataFrame:
-    """q = min of p(i) n / i; discoveries p <= alpha / n. The rank comes from counts per distinct p."""
-    counts = tests.groupBy("scan_id", "p_value").agg(F.count("*").alias("c"), F.count_if(~F.col("gold_anomaly")).alias("wrong"))
+    """Per scan_id. Where every test has a p_value: q = min of p(i) n / i, discoveries p <= alpha / n, and the share of
+    them that is no gold_anomaly (null: none). Else the share of false_alarm, which every test must then have. The
+    decision holds that rate against alpha.
+
+    A p outside 0 to 1 gives P_RANGE, a missing false_alarm FALSE_ALARM_MISSING, both without measures. The rank comes
+    from counts per distinct p, so that equal p are one row.
+    """
+    wrong, alarm = ~F.coalesce("gold_anomaly", F.lit(False)), F.col("false_alarm")
+    counts = tests.groupBy("scan_id", "p_value").agg(F.count("*").alias("c"), F.count_if(wrong).alias("wrong"), F.count_if(alarm).alias("alarms"), F.count_if(alarm.isNull()).alias("silent"))
     w = Window.partitionBy("scan_id")
     ranked = counts.withColumn("rank", F.sum("c").over(w.orderBy("p_value"))).withColumn("n", F.sum("c").over(w))
-    hit = F.col("p_value") <= F.lit(alpha) / F.col("n")
-    out = ranked.groupBy("scan_id").agg(F.first("n").alias("tests"), F.min(F.col("p_value") * F.col("n") / F.col("rank")).alias("q_value"), F.coalesce(F.sum(F.when(hit, F.col("c"))), F.lit(0)).alias("discoveries"), F.coalesce(F.sum(F.when(hit, F.col("wrong"))), F.lit(0)).alias("false_discoveries"))
-    return out.withColumn("fdr", F.when(F.col("discoveries") > 0, F.col("false_discoveries") / F.col("discoveries")).otherwise(0.0))
+    p, hit = F.col("p_value"), F.col("p_value") <= F.lit(alpha) / F.col("n")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = ranked.groupBy("scan_id").agg(
+        F.first("n").alias("tests"), F.bool_and(p.isNotNull()).alias("scored"), F.coalesce(F.bool_or(~p.between(0, 1)), F.lit(False)).alias("outside"), F.min(p * F.col("n") / F.col("rank")).alias("q"),
+        total(F.when(hit, F.col("c"))).alias("d"), total(F.when(hit, F.col("wrong"))).alias("f"), F.sum("alarms").alias("alarms"), F.sum("silent").alias("silent"),
+    )
+    scored = F.col("scored")
+    error = F.when(scored & F.col("outside"), "P_RANGE").when(~scored & (F.col("silent") > 0), "FALSE_ALARM_MISSING")
+    fits = lambda value: F.when(F.col("error").isNull(), value)
+    measure = lambda value: fits(F.when(scored, value))
+    rate = F.when(scored, F.when(F.col("d") > 0, F.col("f") / F.col("d")).otherwise(0.0)).otherwise(F.col("alarms") / F.col("tests"))
+    return out.withColumn("error", error).select(
+        "scan_id", "tests", F.when(scored, "probabilistic").otherwise("non_probability").alias("detector_type"), measure(F.col("q")).alias("q_value"), measure(F.col("d")).alias("discoveries"),
+        measure(F.col("f")).alias("false_discoveries"), fits(rate).alias("rate"), fits(rate <= alpha).alias("decision"), "error",
+    )
 
 
 def sparse_series(rows: DataFrame) -> DataFrame:
@@ -95,8 +118,12 @@ def history_break(rows: DataFrame) -> DataFrame:
 
 
 def deterministic_snapshot(runs: DataFrame, fields: list[str]) -> DataFrame:
-    same = F.count_distinct(F.sha2(F.to_json(F.struct(*fields)), 256)) == 1
-    return runs.groupBy("case_id").agg(F.count("*").alias("runs"), same.alias("same")).withColumn("deterministic", (F.col("runs") >= 2) & F.col("same"))
+    """Per case: at least two runs, the same fields in all, and none that read the personal domain (personal_read_count,
+    null as 0); else the first rule broken."""
+    same = F.count_distinct(F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)) == 1
+    out = runs.groupBy("case_id").agg(F.count("*").alias("runs"), same.alias("same"), F.coalesce(F.sum("personal_read_count"), F.lit(0)).alias("personal_reads"))
+    error = F.when(F.col("runs") < 2, "TOO_FEW_RUNS").when(~F.col("same"), "DIVERGED").when(F.col("personal_reads") != 0, "PERSONAL_READ")
+    return out.withColumn("error", error).withColumn("deterministic", F.col("error").isNull())
 
 
 def reactivation(cycles: DataFrame, actions: DataFrame) -> DataFrame:

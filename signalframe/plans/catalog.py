@@ -344,20 +344,31 @@ def _(spark, sf):
     return signals.sparse_series(l.select(F.col("source").alias("series_id"), F.col("toxic").cast("long").alias("numerator"), F.col("quality").cast("long").alias("denominator"), (F.col("quality") == 1).alias("independent")))
 
 
-@op("fdr_scan", """WITH p AS (SELECT event_type AS scan_id, round(value / 500, 4) AS p, user_id % 2 = 0 AS gold FROM events), r AS (SELECT *, rank() OVER (PARTITION BY scan_id ORDER BY p) + count(*) OVER (PARTITION BY scan_id, p) - 1 AS rk, count(*) OVER (PARTITION BY scan_id) AS n FROM p),
-g AS (SELECT scan_id, max(n) AS tests, min(p * n / rk) AS q, count(*) FILTER (WHERE p <= 0.5 / n) AS d, count(*) FILTER (WHERE p <= 0.5 / n AND NOT gold) AS f FROM r GROUP BY 1)
-SELECT scan_id, tests, round(q, 9) AS q_value, d AS discoveries, f AS false_discoveries, CASE WHEN d > 0 THEN f::DOUBLE / d ELSE 0.0 END AS fdr FROM g""")
-def _(spark, sf):
-    e = table(spark, sf, "events").select(F.col("event_type").alias("scan_id"), F.round(F.col("value") / 500, 4).alias("p_value"), (F.col("user_id") % 2 == 0).alias("gold_anomaly"))
+# scans of a probabilistic detector, of one whose scores leave 0 to 1, and of two without p values
+@op("fdr_scan", """WITH t AS (SELECT event_type AS scan_id, CASE WHEN event_type IN ('click', 'signup') THEN NULL WHEN event_type = 'error' THEN value ELSE round(value / 500, 4) END AS p, user_id % 2 = 0 AS gold, CASE WHEN event_type = 'click' OR event_type = 'signup' AND user_id % 7 <> 0 THEN user_id % 5 = 0 END AS alarm FROM events),
+r AS (SELECT *, rank() OVER (PARTITION BY scan_id ORDER BY p) + count(*) OVER (PARTITION BY scan_id, p) - 1 AS rk, count(*) OVER (PARTITION BY scan_id) AS n FROM t),
+g AS (SELECT scan_id, max(n) AS tests, count(p) = max(n) AS scored, min(p * n / rk) AS q, count(*) FILTER (WHERE p <= 0.5 / n) AS d, count(*) FILTER (WHERE p <= 0.5 / n AND NOT gold) AS f, count(*) FILTER (WHERE p < 0 OR p > 1) AS outside, count(*) FILTER (WHERE alarm) AS alarms, count(*) FILTER (WHERE alarm IS NULL) AS silent FROM r GROUP BY 1),
+e AS (SELECT *, CASE WHEN scored AND outside > 0 THEN 'P_RANGE' WHEN NOT scored AND silent > 0 THEN 'FALSE_ALARM_MISSING' END AS error FROM g),
+m AS (SELECT *, CASE WHEN error IS NULL THEN CASE WHEN NOT scored THEN alarms::DOUBLE / tests WHEN d > 0 THEN f::DOUBLE / d ELSE 0.0 END END AS rate FROM e)
+SELECT scan_id, tests, CASE WHEN scored THEN 'probabilistic' ELSE 'non_probability' END AS detector_type, CASE WHEN error IS NULL AND scored THEN round(q, 9) END AS q_value, CASE WHEN error IS NULL AND scored THEN d END AS discoveries,
+CASE WHEN error IS NULL AND scored THEN f END AS false_discoveries, rate, rate <= 0.5 AS decision, error FROM m""")
+def _(spark, sf):
+    kind, value, user = F.col("event_type"), F.col("value"), F.col("user_id")
+    p = F.when(kind.isin("click", "signup"), F.lit(None)).when(kind == "error", value).otherwise(F.round(value / 500, 4))
+    alarm = F.when((kind == "click") | (kind == "signup") & (user % 7 != 0), user % 5 == 0)
+    e = table(spark, sf, "events").select(kind.alias("scan_id"), p.alias("p_value"), (user % 2 == 0).alias("gold_anomaly"), alarm.alias("false_alarm"))
     return signals.fdr_scan(e, 0.5).withColumn("q_value", F.round("q_value", 9))
 
 
-@op("emergence_diffusion", """WITH o AS (SELECT user_id AS signal_id, count(DISTINCT event_type) AS a, count(DISTINCT hour(ts)) AS b FROM events GROUP BY 1), c AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1)
-SELECT signal_id, a AS language_count, b AS actor_class_count, coalesce(n, 0) AS actions, (a >= 3 AND b >= 3 AND coalesce(n, 0) > 0) AS diffused FROM o LEFT JOIN c ON user_id = signal_id""")
+# eight events are a signal
+@op("emergence_diffusion", """WITH s AS (SELECT event_id // 8 AS s, * FROM events), o AS (SELECT s AS signal_id, count(DISTINCT event_type) AS a, count(DISTINCT hour(ts) % 4) AS b FROM s GROUP BY 1), c AS (SELECT s, count(*) AS n FROM s WHERE event_type = 'purchase' GROUP BY 1),
+k AS (SELECT s, bool_or(user_id % 2 = 0) AND bool_or(user_id % 2 <> 0) AS typed FROM s WHERE event_type <> 'error' GROUP BY 1)
+SELECT signal_id, a AS language_count, b AS actor_class_count, coalesce(n, 0) AS actions, coalesce(typed, false) AS typed, (a >= 3 AND b >= 3 AND coalesce(n, 0) > 0 AND coalesce(typed, false)) AS diffused FROM o LEFT JOIN c ON c.s = signal_id LEFT JOIN k ON k.s = signal_id""")
 def _(spark, sf):
-    e = table(spark, sf, "events")
-    o = e.select(F.col("user_id").alias("signal_id"), F.col("event_type").alias("language"), F.hour("ts").alias("actor_class"))
-    return signals.emergence_diffusion(o, e.where("event_type = 'purchase'").select(F.col("user_id").alias("signal_id")))
+    e = table(spark, sf, "events").withColumn("signal_id", F.floor(F.col("event_id") / 8))
+    o = e.select("signal_id", F.col("event_type").alias("language"), (F.hour("ts") % 4).alias("actor_class"))
+    types = e.where("event_type <> 'error'").select("signal_id", F.when(F.col("user_id") % 2 == 0, "emergence").otherwise("diffusion").alias("signal_type"))
+    return signals.emergence_diffusion(o, e.where("event_type = 'purchase'").select("signal_id"), types)
 
 
 @op("independent_adoption", """WITH g AS (SELECT l_partkey AS signal_id, count(*) AS edges, count(DISTINCT l_suppkey) AS actors, bool_or(l_returnflag = 'R') AS cited FROM lineitem GROUP BY 1) SELECT signal_id, edges, CASE WHEN edges < 3 THEN 'TOO_FEW' WHEN actors < edges THEN 'NOT_INDEPENDENT' WHEN cited THEN 'CITED' END AS first_error FROM g""")
@@ -418,9 +429,15 @@ def _(spark, sf):
     return signals.history_break(table(spark, sf, "events").select(F.col("event_type").alias("series_id"), F.col("ts").alias("observed_at")))
 
 
-@op("deterministic_snapshot", "SELECT o_custkey AS case_id, count(*) AS runs, count(DISTINCT o_orderstatus) = 1 AS same, count(*) >= 2 AND count(DISTINCT o_orderstatus) = 1 AS deterministic FROM orders GROUP BY 1")
+# runs of a case differ in one field for one case in four, each case's field another
+@op("deterministic_snapshot", """WITH g AS (SELECT l_orderkey AS case_id, count(*) AS runs, count(DISTINCT CASE WHEN l_orderkey % 4 = 1 THEN l_linenumber % 2 ELSE 0 END) = 1 AS same, CAST(sum(CASE WHEN l_orderkey % 9 = 5 THEN l_linenumber END) AS BIGINT) AS reads FROM lineitem GROUP BY 1),
+e AS (SELECT case_id, runs, same, coalesce(reads, 0) AS personal_reads, CASE WHEN runs < 2 THEN 'TOO_FEW_RUNS' WHEN NOT same THEN 'DIVERGED' WHEN reads > 0 THEN 'PERSONAL_READ' END AS error FROM g) SELECT *, error IS NULL AS deterministic FROM e""")
 def _(spark, sf):
-    return signals.deterministic_snapshot(table(spark, sf, "orders").withColumnRenamed("o_custkey", "case_id"), ["o_orderstatus"])
+    key, run = F.col("l_orderkey"), F.col("l_linenumber")
+    lists = ["candidate_ids", "feature_ids", "allocations", "surface_order"]
+    differs = lambda i: F.when((key % 4 == 1) & (F.floor(key / 4) % 4 == i), F.array(run % 2)).otherwise(F.array(F.lit(0)))
+    runs = table(spark, sf, "lineitem").select(key.alias("case_id"), *[differs(i).alias(n) for i, n in enumerate(lists)], F.when(key % 9 == 5, run).alias("personal_read_count"))
+    return signals.deterministic_snapshot(runs, lists)
 
 
 @op("reactivation", "WITH a AS (SELECT l_orderkey, bool_and(l_returnflag <> 'R') AS ok FROM lineitem GROUP BY 1) SELECT o_orderkey AS signal_id, (o_orderstatus IN ('F') AND coalesce(ok, false)) AS reactivated FROM orders LEFT JOIN a ON l_orderkey = o_orderkey")
@@ -433,4 +450,4 @@ def _(spark, sf):
 def _(spark, sf):
     return signals.concentration(table(spark, sf, "documents"), "lang", "source")
 
-from signalframe.plans import catalog_audits, catalog_feeds, catalog_rules  # noqa: E402, F401  add their queries
+from signalframe.plans import catalog_audits, catalog_closures, catalog_feeds, catalog_rules  # noqa: E402, F401  add their queries

@@ -25,7 +25,7 @@ def _(spark, sf):
     return closure.closure_anti(table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")), table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k")), "k")
 
 
-@op("membership_closure", """WITH d AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT o_custkey, count(*) AS units, count(*) FILTER (WHERE n IS NULL) AS undecided, count(*) FILTER (WHERE n > 1) AS twice,
+@op("closure_counts", """WITH d AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT o_custkey, count(*) AS units, count(*) FILTER (WHERE n IS NULL) AS undecided, count(*) FILTER (WHERE n > 1) AS twice,
 (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS strays FROM orders LEFT JOIN d ON l_orderkey = o_orderkey GROUP BY 1""")
 def _(spark, sf):
     return closure.closure_audit(table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("k")), table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k")), "k", "o_custkey")
@@ -87,11 +87,6 @@ def _(spark, sf):
 LEGAL = [("click", "view"), ("view", "click"), ("click", "purchase"), ("view", "purchase"), ("click", "click"), ("view", "view")]
 
 
-@op("transition_audit", f"""WITH {LOG}, a(f, t) AS (VALUES {', '.join(map(str, LEGAL))}), z AS (SELECT aggregate_id, revision, CASE WHEN from_state IS NULL AND to_state NOT IN ('click', 'view') THEN 'BAD_INITIAL' WHEN from_state IS NOT NULL AND f IS NULL THEN 'UNREGISTERED' END AS error FROM lg LEFT JOIN a ON f = from_state AND t = to_state) SELECT * FROM z WHERE error IS NOT NULL""")
-def _(spark, sf):
-    return closure.transition_audit(log(spark, sf), spark.createDataFrame(LEGAL, "from_state string, to_state string"), ["click", "view"])
-
-
 ACT = "a AS (SELECT o_custkey AS series, o_orderkey AS id, o_orderdate AS b, o_orderdate + to_days(CAST(o_orderkey % 90 + 1 AS INTEGER)) AS e FROM orders)"
 
 

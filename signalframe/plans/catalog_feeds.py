@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalframe.functions import text as X
-from signalframe.plans.catalog import ENT, TOKENS, op
+from signalframe.plans.catalog import ENT, STATE, TOKENS, op
 from signalframe.plans.views import items_of, table
 from signalframe.scratch import shared_dir
 from signalframe.sources import feeds
@@ -98,11 +98,16 @@ def _(spark, sf):
     return spark.read.schema(kept.schema).parquet(f"{base}/out")
 
 
-@op("trend_stream", f"""WITH {TOKENS}, k AS (SELECT topic_key, published_at, source_id, unnest([0, 1, 2, 3]) AS k FROM named)
-SELECT TIMESTAMP '1970-01-01 00:00:00' + to_hours(CAST((CAST(epoch(published_at) AS BIGINT) // 43200 - k) * 12 AS INTEGER)) AS window_start, topic_key, count(*) AS mention_count FROM k GROUP BY 1, 2""")
+COUNTED = ["topic_key", "mention_count", "recent_mention_count", "prior_mention_count", "source_count", "signal_state"]
+
+
+@op("trend_stream", f"""WITH {TOKENS}, k AS (SELECT topic_key, published_at, source_id, unnest([0, 1, 2, 3]) AS k FROM named),
+w AS (SELECT *, TIMESTAMP '1970-01-01 00:00:00' + to_hours(CAST((CAST(epoch(published_at) AS BIGINT) // 43200 - k) * 12 AS INTEGER)) AS window_start FROM k),
+agg AS (SELECT window_start, topic_key, count(*) AS mention_count, count(*) FILTER (WHERE k = 3) AS recent_mention_count, count(*) FILTER (WHERE k < 3) AS prior_mention_count, count(DISTINCT source_id) AS source_count FROM w GROUP BY 1, 2)
+SELECT *, {STATE} AS signal_state FROM agg WHERE mention_count >= 2 AND source_count >= 2 AND recent_mention_count > 0""")
 def _(spark, sf):
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    counted = streams.trend_stream(items_of(stream(spark, sf, "documents"))).select(F.col("window.start").alias("window_start"), "topic_key", "mention_count")
+    counted = streams.trend_stream(items_of(stream(spark, sf, "documents"))).select(F.col("window.start").alias("window_start"), *COUNTED)
     write = lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out")
     counted.writeStream.trigger(availableNow=True).outputMode("complete").option("checkpointLocation", f"{base}/state").foreachBatch(write).start().awaitTermination()
     return spark.read.schema(counted.schema).parquet(f"{base}/out")

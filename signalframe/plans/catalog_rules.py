@@ -360,16 +360,6 @@ def _(spark, sf):
 GATE, GRES = View("gt", "orders", "o_orderkey AS gate_id, o_orderkey AS evaluation_id, o_orderkey % 5 AS stated_total, o_orderkey % 3 AS stated_unpassed, CASE WHEN o_orderstatus = 'F' THEN 'pass' ELSE 'fail' END AS verdict, o_orderkey % 5 AS run_count, CASE WHEN o_orderstatus = 'P' THEN 'blocked' ELSE 'closed' END AS status, CAST(o_orderkey % 4 AS INT) AS k"), View("gs", "lineitem", "l_orderkey AS gate_id, l_orderkey AS evaluation_id, CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'passed' END AS result, l_tax < 0.08 AS terminal, CASE WHEN l_linenumber = 7 THEN 'blocked' ELSE 'done' END AS status, l_quantity > 35 AS selected, CASE WHEN l_quantity > 35 THEN l_partkey % 30 END AS output_id")
 
 
-@op("gate_decision_closure", f"WITH {GATE.sql}, {GRES.sql}, r AS (SELECT gate_id, count(*) AS n, count(*) FILTER (WHERE result <> 'passed') AS bad FROM gs GROUP BY 1), j AS (SELECT gt.*, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad FROM gt LEFT JOIN r USING (gate_id)) SELECT gate_id, 'TOTAL' AS error FROM j WHERE stated_total <> n UNION ALL SELECT gate_id, 'UNPASSED' FROM j WHERE stated_unpassed <> bad UNION ALL SELECT gate_id, 'VERDICT' FROM j WHERE (verdict = 'pass') <> (n > 0 AND bad = 0)")
-def _(spark, sf):
-    return registers.gate_decision_closure(GATE(spark, sf), GRES(spark, sf))
-
-
-@op("gate_evaluation_closure", f"WITH {GATE.sql}, {GRES.sql}, r AS (SELECT evaluation_id, count(*) AS n, bool_or(NOT terminal) AS u, bool_or(status = 'blocked') AS b FROM gs GROUP BY 1), j AS (SELECT gt.*, coalesce(n, 0) AS n, coalesce(u, false) AS u, coalesce(b, false) AS b FROM gt LEFT JOIN r USING (evaluation_id)) SELECT evaluation_id, 'RUN_COUNT' AS error FROM j WHERE run_count <> n UNION ALL SELECT evaluation_id, 'NOT_TERMINAL' FROM j WHERE u UNION ALL SELECT evaluation_id, 'STATUS' FROM j WHERE (status = 'blocked') <> b")
-def _(spark, sf):
-    return registers.gate_evaluation_closure(GATE(spark, sf), GRES(spark, sf))
-
-
 @op("gate_selection", f"WITH {GATE.sql}, {GRES.sql}, m AS (SELECT evaluation_id, count(*) AS p, count(*) FILTER (WHERE result = 'passed') AS g FROM gs WHERE selected GROUP BY 1), z AS (SELECT evaluation_id, CASE WHEN status = 'blocked' AND p > 0 THEN 'BLOCKED_SELECTS' WHEN status = 'closed' AND coalesce(p, 0) <> 1 THEN 'NOT_ONE' WHEN status = 'closed' AND g <> 1 THEN 'SELECTED_NOT_PASSED' END AS error FROM gt LEFT JOIN m USING (evaluation_id)) SELECT * FROM z WHERE error IS NOT NULL")
 def _(spark, sf):
     return registers.gate_selection(GATE(spark, sf), GRES(spark, sf))

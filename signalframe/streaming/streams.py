@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalframe.operators.trends import topic_tokens
+from signalframe.operators.trends import topic_tokens, with_state
 
 
 def replay_dedup_stream(events: DataFrame, at: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -13,7 +13,16 @@ def replay_dedup_stream(events: DataFrame, at: str = "ts", delay: str = "1 hour"
     return events.withWatermark(at, delay).dropDuplicatesWithinWatermark(["item_id", "version_id"])
 
 
-def trend_stream(items: DataFrame, window: str = "48 hours", slide: str = "12 hours", delay: str = "5 minutes") -> DataFrame:
-    """Topic counts in sliding windows. Distinct sources are approximate here and exact in batch."""
-    named = topic_tokens(items.withWatermark("published_at", delay))
-    return named.groupBy(F.window("published_at", window, slide), "topic_key").agg(F.count("*").alias("mention_count"), F.approx_count_distinct("source_id").alias("source_count"))
+def trend_stream(items: DataFrame, window: str = "48 hours", slide: str = "12 hours", delay: str = "5 minutes", recent_hours: int = 12, mentions: int = 2, sources: int = 2) -> DataFrame:
+    """Topics in sliding windows with the counts, thresholds and states of the batch; recent is the window's last hours.
+
+    Sources are exact: the state of a window's topic holds its distinct source ids, of which there are as many as sources
+    registered.
+    """
+    named = topic_tokens(items.withWatermark("published_at", delay)).withColumn("window", F.window("published_at", window, slide))
+    recent = F.unix_timestamp("published_at") >= F.unix_timestamp(F.col("window.end")) - recent_hours * 3600
+    counted = named.groupBy("window", "topic_key").agg(
+        F.count("*").alias("mention_count"), F.count_if(recent).alias("recent_mention_count"), F.count_if(~recent).alias("prior_mention_count"),
+        F.size(F.collect_set("source_id")).cast("long").alias("source_count"),
+    )
+    return with_state(counted.where((F.col("mention_count") >= mentions) & (F.col("source_count") >= sources) & (F.col("recent_mention_count") > 0)))

@@ -1,13 +1,14 @@
 import hashlib
 import math
 import random
+import statistics
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from signalframe.functions.text import html_clean, time_parse, tokens_han
-from signalframe.operators import closure, planning, registers, rules, temporal, trends
+from signalframe.operators import closure, coverage, measures, planning, registers, rules, signals, temporal, trends
 from signalframe.operators.components import connected_components
 from signalframe.plans import catalog
 from signalframe.sources import feeds
@@ -227,8 +228,8 @@ def test_streams(spark, tmp_path):
         mode = "append" if name == "events" else "update"
         out.writeStream.format("memory").queryName(f"s_{name}").outputMode(mode).option("checkpointLocation", f"file://{tmp_path}/c_{name}").trigger(availableNow=True).start().awaitTermination(120)
     assert {(r.item_id, r.version_id) for r in spark.table("s_events").collect()} == {(1, 1), (1, 2), (2, 1)} and spark.table("s_events").count() == 3
-    got = [(r.mention_count, r.source_count) for r in spark.table("s_topics").where("topic_key = 'en:quantum battery'").collect()]
-    assert len(got) == 4 and set(got) == {(4, 3)}
+    got = [(r.mention_count, r.recent_mention_count, r.prior_mention_count, r.source_count, r.signal_state) for r in spark.table("s_topics").where("topic_key = 'en:quantum battery'").collect()]
+    assert got == [(4, 4, 0, 3, "new")]  # recent in one of the four windows
 
 
 def test_source_registry(spark, tmp_path):
@@ -236,3 +237,32 @@ def test_source_registry(spark, tmp_path):
     path.write_text('{"sources": [{"id": "a", "url": "u1"}, {"id": "b", "url": "u2", "enabled": false}, {"id": "c", "url": "u3", "enabled": true}]}')
     ids = lambda wanted=None: sorted(r.id for r in feeds.read_sources(spark, f"file://{path}", wanted).collect())
     assert ids() == ["a", "c"] and ids(["b"]) == ["b"] and ids(["x"]) == []
+
+
+def test_fdr_branches(spark):
+    rows = [("p", 0.01, False, None), ("p", 0.5, True, None), ("range", 1.5, True, None), ("alarm", None, None, True), ("alarm", 0.2, None, False), ("silent", None, None, None)]
+    got = {r.scan_id: r for r in signals.fdr_scan(spark.createDataFrame(rows, "scan_id string, p_value double, gold_anomaly boolean, false_alarm boolean"), 0.5).collect()}
+    assert (got["p"].q_value, got["p"].discoveries, got["p"].false_discoveries, got["p"].rate, got["p"].decision) == (0.02, 1, 1, 1.0, False)
+    assert got["range"].error == "P_RANGE" and got["range"].decision is None and got["silent"].error == "FALSE_ALARM_MISSING"
+    assert (got["alarm"].detector_type, got["alarm"].rate, got["alarm"].decision, got["alarm"].q_value) == ("non_probability", 0.5, True, None)
+
+
+def test_membership_of_nothing(spark):
+    frames = [spark.createDataFrame([], s) for s in (
+        "unit_id int, snapshot_id int, member_role string, subject_kind string, subject_key string", "unit_id int, decision string, member_kind string", "unit_id int, member_kind string, member_key string",
+        "snapshot_id int, member_role string, subject_kind string, member_kind string, member_key string", "profile_id int, member_role string, subject_kind string, member_kind string")]
+    row = closure.membership_closure(spark.createDataFrame([(1, None)], "snapshot_id int, profile_id int"), *frames).first()
+    assert not row.closed and sum(row[c] for c in closure.MEMBERSHIP_COUNTERS) == 0
+
+
+def test_lineage_origins(spark):
+    items = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (3, "a"), (4, None), (5, None)], "doc_id int, source string")
+    lineages = spark.createDataFrame([(1, 1), (2, 1), (4, 9)], "doc_id int, lineage_id int")
+    got = {r.source: (r["items"], r.origins, r.largest) for r in coverage.lineage_origins(items, lineages, "doc_id", "source").collect()}
+    assert got == {"a": (4, 2, 2), None: (2, 2, 1)}
+
+
+def test_medians_against_python(spark):
+    rows = [(s, float(random.Random(s * 100 + i).randrange(9))) for s in range(5) for i in range(s + 1)] + [(9, None)]
+    got = {r.s: r.m for r in measures.medians(spark.createDataFrame(rows, "s int, v double"), "s", "v", "m").collect()}
+    assert got == {s: statistics.median(v for k, v in rows if k == s) for s in range(5)}
