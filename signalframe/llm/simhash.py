@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from signalframe.llm.common import narrowed, pieces
 from signalframe.operators.components import connected_components
+from signalframe.operators.coverage import lineage_origins
 from signalframe.scratch import written
 
 BITS = 64
@@ -396,3 +397,12 @@ def deduplicated(docs: DataFrame, words: int = WIDE_WORDS, least: float = LIKENE
     best = sets.groupBy("sid").agg(F.min(first).alias("k")).join(roots, "sid", "left")
     kept = best.groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("k").alias("k")).select(F.col("k.near_key").alias("near_key"))
     return _keyed(docs).join(kept, "near_key", "left_semi").dropDuplicates(["near_key"]).drop("near_key")
+
+
+def origins(docs: DataFrame, group: str, words: int = WIDE_WORDS, least: float = LIKENESS) -> DataFrame:
+    """Per value of ``group``: items, origins (near duplicates of a lineage, linked as in ``deduplicated``, are one) and
+    the largest lineage's items there. Rows without words are alike and one lineage; a null ``group`` is a group."""
+    sets, links = _similar(docs, words, least)
+    roots = connected_components(links).withColumnRenamed("node", "sid")
+    named = sets.select("near_key", "sid").distinct().join(roots, "sid", "left").select("near_key", F.coalesce("root", "sid").alias("lineage_id"))
+    return lineage_origins(_keyed(docs), named, "near_key", group)

@@ -96,6 +96,29 @@ def test_deduplication_finds_near_copies_of_five_words(spark):
     assert sum(i % 3 == 1 for i in kept) <= 3
 
 
+def test_origins_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
+    rows = [(r.source, frozenset(simhash.shingle_set(r.text or "").tolist())) for r in docs.collect()]
+    sets = sorted({s for _, s in rows}, key=sorted)
+    root = {s: s for s in sets}
+
+    def top(s):
+        while root[s] != s:
+            s = root[s]
+        return s
+
+    for i, a in enumerate(sets):
+        for b in sets[:i]:
+            if a and b and len(a & b) >= 0.8 * len(a | b):
+                root[top(a)] = top(b)
+    want = {}
+    for source, s in rows:
+        want.setdefault(source, []).append(top(s))
+    got = {r.source: (r["items"], r.origins, r.largest) for r in simhash.origins(docs, "source").collect()}
+    assert got == {k: (len(v), len(set(v)), max(v.count(s) for s in set(v))) for k, v in want.items()}
+    assert any(o < n for n, o, _ in got.values())
+
+
 def test_forest_spans_what_is_near():
     rng = np.random.default_rng(8)
     centres = rng.integers(0, 2**63, (5, 2), dtype=np.uint64)
