@@ -291,15 +291,21 @@ def _walked(vocab: Vocabulary, start: dict[int, Walk], code: np.ndarray, key: np
         ids[:] = [w.ids for w in known]
         sizes = np.array([len(w.draws) for w in known], np.int64)
         draws, first = np.concatenate([w.draws for w in known]), np.cumsum(sizes) - sizes
-        each = sizes[on]
-        which = np.repeat(np.arange(len(at)), each)
-        step = np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
-        skip = np.flatnonzero(_mixes(key[at][which] ^ draws[first[on][which] + step]) >> np.uint64(11) < np.uint64(rate * (1 << 53)))
-        hit, one = np.unique(which[skip], return_index=True)
+        hit, step = [], []
+        for begin in range(0, len(at), SIDE_BY_SIDE):  # an occurrence has many draws, so not all at once
+            some, own = on[begin : begin + SIDE_BY_SIDE], key[at[begin : begin + SIDE_BY_SIDE]]
+            each = sizes[some]
+            which = np.repeat(np.arange(len(some)), each)
+            nth = np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
+            skip = np.flatnonzero(_mixes(own[which] ^ draws[first[some][which] + nth]) >> np.uint64(11) < np.uint64(rate * (1 << 53)))
+            one, index = np.unique(which[skip], return_index=True)
+            hit.append(one + begin)
+            step.append(nth[skip[index]])
+        hit, step = np.concatenate(hit), np.concatenate(step)
         through = np.ones(len(at), bool)
         through[hit] = False
         out[at[through]] = ids[on[through]]
-        pair = on[hit] << 32 | step[skip[one]]
+        pair = on[hit] << 32 | step
         asked, which, times = np.unique(pair, return_inverse=True, return_counts=True)
         made, place = [], np.full(len(asked), -1, np.int64)
         for i, (p, n) in enumerate(zip(asked.tolist(), times.tolist())):
