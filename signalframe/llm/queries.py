@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalframe.llm import language, media, minhash, mixing, recurrent, secrets, segment, sharding, simhash, wavelet
+from signalframe.llm import divergence, language, media, minhash, mixing, recurrent, secrets, segment, sharding, simhash, wavelet
 from signalframe.llm.common import documents
 
 
@@ -64,12 +64,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(documents(spark, sf_dir))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_scoring, op3_sentencepiece, op4_language_id, op5_media, op6_minhash, op7_mixing, op8_token_files, op9_sharding, op10_secrets, pipeline, media_clips, near_duplicate_lineage)}
-#: None of these can be said in SQL alone; tests/llm compares each with a brute-force version.
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_scoring, op3_sentencepiece, op4_language_id, op5_media, op6_minhash, op7_mixing, op8_token_files, op9_sharding, op10_secrets, op13_divergence, pipeline, media_clips, near_duplicate_lineage)}
+#: The others can't be said in SQL alone; tests/llm compares each with a brute-force version.
+ORACLE_SQL: dict[str, str] = {"op13_divergence": divergence.SQL}
