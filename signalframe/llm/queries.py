@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalframe.llm import divergence, language, media, minhash, mixing, recurrent, secrets, segment, sharding, simhash, spelling, wavelet
+from signalframe.llm import divergence, language, media, minhash, mixing, recurrent, secrets, segment, sharding, simhash, spelling, toxicity, wavelet
 from signalframe.llm.common import documents
 
 
@@ -68,6 +68,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(documents(spark, sf_dir))
 
@@ -78,6 +82,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_scoring, op3_sentencepiece, op4_language_id, op5_media, op6_minhash, op7_mixing, op8_token_files, op9_sharding, op10_secrets, op11_spelling, op13_divergence, pipeline, media_clips, near_duplicate_lineage)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_scoring, op3_sentencepiece, op4_language_id, op5_media, op6_minhash, op7_mixing, op8_token_files, op9_sharding, op10_secrets, op11_spelling, op12_toxicity, op13_divergence, pipeline, media_clips, near_duplicate_lineage)}
 #: The others can't be said in SQL alone; tests/llm compares each with a brute-force version.
 ORACLE_SQL: dict[str, str] = {"op13_divergence": divergence.SQL}
