@@ -166,7 +166,7 @@ def priced(a: Tree, b: Tree, columns: int, width: int, same: bool) -> np.ndarray
 
 
 TILE = "lang string, a int, b int, stripe long, block int, place int, p long, width long, term string, total long"
-PART = "lang string, i long, j long, value long"
+PART = "lang string, a int, b int, x long, y long, value long"
 
 
 def tile(cells: pa.Table) -> pa.Table:
@@ -195,7 +195,8 @@ def tile(cells: pa.Table) -> pa.Table:
         trees.append(Tree(place[cell].astype(np.int64), column[number[cell].astype(np.int64)], p[cell], empty))
     got = priced(trees[0], trees[1], len(names), int(cells.column("width")[0].as_py()), a == b)[: sizes[0], : sizes[1]]
     i, j = np.triu_indices(sizes[0], 1) if a == b else (x.ravel() for x in np.indices(got.shape))
-    return pa.table([pa.array([lang] * len(i), pa.string()), pa.array(i + a * ROWS), pa.array(j + b * ROWS), pa.array(got[i, j])], ["lang", "i", "j", "value"])
+    same = lambda v, kind: pa.array([v] * len(i), kind)
+    return pa.table([same(lang, pa.string()), same(a, pa.int32()), same(b, pa.int32()), pa.array(i), pa.array(j), pa.array(got[i, j])], ["lang", "a", "b", "x", "y", "value"])
 
 
 def pair_costs(cells: DataFrame, groups: DataFrame, stripes: DataFrame) -> DataFrame:
@@ -205,7 +206,8 @@ def pair_costs(cells: DataFrame, groups: DataFrame, stripes: DataFrame) -> DataF
     heads = groups.join(stripes, "lang").select("lang", "stripe", "block", "place", F.col("empty").alias("p"), "width", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("total"))
     held = cells.join(stripes, ["lang", "stripe"]).select("lang", "stripe", "block", "place", "p", "width", "term", "total")
     tiles = heads.unionByName(held).join(blocks, "lang").withColumn("pair", pairs).select("lang", "pair.a", "pair.b", "stripe", "block", "place", "p", "width", "term", "total")
-    return tiles.groupBy("lang", "a", "b", "stripe").applyInArrow(tile, PART).groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
+    costs = tiles.groupBy("lang", "a", "b", "stripe").applyInArrow(tile, PART)
+    return costs.groupBy("lang", (F.col("a") * ROWS + F.col("x")).alias("i"), (F.col("b") * ROWS + F.col("y")).alias("j")).agg(F.sum("value").alias("value"))
 
 
 def divergences(docs: DataFrame) -> DataFrame:
