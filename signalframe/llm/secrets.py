@@ -175,7 +175,8 @@ def secrets(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind as listed. Null and empty texts have
-    none (sha256 of nothing, empty spans). Repeated rows each come back; other columns are ignored.
+    none (sha256 of nothing, empty spans). Texts are read whole at any length; repeated rows each come back; an empty
+    table gives no rows; other columns are ignored.
     """
     found = _found(docs)
     limits = thresholds(found.where("kind = 3"))
@@ -193,15 +194,35 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """The documents with every secret replaced by MASK; rows and columns stay. A second pass over the same text."""
-    limits = thresholds(_found(docs).where("kind = 3"))
-    text = F.col("text")
-    tests = (lambda m: F.length(m["value"]) >= MIN_VALUE, lambda m: F.length(m["token"]) >= MIN_ACCESS, lambda m: m["token"].isNotNull(), lambda m: accepted(m["token"], limits))
-    out = docs
-    for (pattern, group), test in zip(PATTERNS, tests):
-        out = out.withColumn("text", F.coalesce(_replaced(_parts(text, pattern, group), test), text))
-    return out
+    """The documents with the union of their secrets' spans, as ``secrets`` reports them, replaced by MASK.
+
+    Rows and columns stay, repeated rows too, and no character of any span is left; spans that overlap or touch become one
+    MASK. Null and empty texts stay as they are; texts of any length are scanned whole, once: what was found is written
+    beside the document. An empty table stays empty.
+    """
+    text = F.col("text").cast("string")
+    tagged = F.concat(*[_tagged(_parts(text, pattern, group), k) for k, (pattern, group) in enumerate(PATTERNS)])
+    scanned = written(docs.select(F.struct(*docs.columns).alias("doc"), F.filter(tagged, lambda m: m["len"].isNotNull()).alias("found")), "secret-scanned", "zstd")
+    limits = thresholds(scanned.where(F.exists("found", lambda m: m["kind"] == 3)).select(F.explode("found").alias("m")).where("m.kind = 3").select("m.token"))
+    valid = lambda m: F.when(m["kind"] == 0, m["vlen"] >= MIN_VALUE).when(m["kind"] == 1, m["len"] >= MIN_ACCESS).when(m["kind"] == 2, F.lit(True)).otherwise(accepted(m["token"], limits))
+    judged = scanned.withColumn("found", F.transform("found", lambda m: F.struct(m["kind"].alias("kind"), m["gap"].alias("gap"), m["len"].alias("len"), F.coalesce(valid(m), F.lit(False)).alias("hit"))))
+    out = F.when(F.exists("found", lambda m: m["hit"]), _without_spans(F.col("doc.text"), F.col("found"))).otherwise(F.col("doc.text"))
+    return judged.select(*[out.alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])
+
+
+def _without_spans(text: Column, found: Column) -> Column:
+    """The text by characters: those in no span, and MASK where one is first in a run of spans."""
+    size = F.length(text)
+
+    def marks(kind: int) -> Column:
+        runs = F.transform(F.filter(found, lambda m: m["kind"] == kind), lambda m: F.concat(F.repeat(F.lit("0"), m["gap"]), F.repeat(F.when(m["hit"], "1").otherwise("0"), m["len"])))
+        return F.split(F.rpad(F.array_join(runs, ""), size, F.lit("0")), "")
+
+    either = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y)), [marks(k) for k in range(len(PATTERNS))])
 
+    def cut(mark: Column) -> Column:
+        with_mark = F.zip_with(F.split(text, ""), mark, lambda c, m: F.struct(c.alias("c"), m.alias("m")))
+        before = F.concat(F.array(F.lit("0")), F.slice(mark, F.lit(1), size - 1))
+        return F.array_join(F.zip_with(with_mark, before, lambda x, b: F.when(x["m"] == "0", x["c"]).when(b == "0", MASK).otherwise("")), "")
 
-def _replaced(parts: Column, test) -> Column:
-    return F.array_join(F.transform(parts, lambda m: F.concat(m["gap"], F.coalesce(F.when(test(m), MASK).otherwise(m["token"]), F.lit("")))), "")
+    return let(either, cut)
