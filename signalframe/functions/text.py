@@ -55,21 +55,76 @@ def tokens_han(text: Column) -> Column:
     return F.filter(every, lambda t: ((F.length(t) > 2) | t.isin(SHORT_HAN)) & ~t.rlike(bad))
 
 
+ENTITY = "&(apos|amp|quot|gt|lt|#[0-9]+|#[xX][0-9A-Fa-f]+);"
+# The named references.
+NAMED = {"apos": "'", "amp": "&", "quot": '"', "gt": ">", "lt": "<"}
+
+
+def unescaped(text: Column) -> Column:
+    """Named and numeric character references undone once, from left to right. One that names no character stays."""
+
+    def character(name: Column) -> Column:
+        hexa = F.upper(F.when(name.rlike("^#[xX]"), F.substring(name, 3, 1 << 20)).otherwise(F.conv(F.substring(name, 2, 1 << 20), 10, 16)))
+        bare = F.regexp_replace(hexa, "^0+(?=.)", "")
+        point = F.when(F.length(bare) <= 6, F.conv(bare, 16, 10).cast("long"))
+        real = (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        known = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+        return F.coalesce(known[name], F.when(real, F.decode(F.unhex(F.lpad(bare, 8, "0")), "UTF-32")), F.concat(F.lit("&"), name, F.lit(";")))
+
+    names = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1)), character)
+    whole = F.zip_with(F.split(text, ENTITY), names, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit(""))))
+    return F.when(text.rlike(ENTITY), F.array_join(whole, "")).otherwise(text)
+
+
 def html_clean(text: Column) -> Column:
-    """Tags become spaces, white space collapses, then entities are undone, in this order."""
-    out = F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), r"\s+", " "))
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    """Tags become spaces, white space collapses, then character references are undone, in this order."""
+    return unescaped(F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), r"\s+", " ")))
 
 
-FORMATS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
+# Month names, and minutes east of Greenwich of the zone names that feeds use.
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+ZONES = {
+    "z": 0, "ut": 0, "utc": 0, "gmt": 0, "wet": 0, "est": -300, "edt": -240, "cst": -360, "cdt": -300, "mst": -420, "mdt": -360, "pst": -480, "pdt": -420, "akst": -540, "hst": -600,
+    "bst": 60, "cet": 60, "cest": 120, "eet": 120, "eest": 180, "msk": 180, "ist": 330, "hkt": 480, "sgt": 480, "jst": 540, "kst": 540, "aest": 600, "aedt": 660, "nzst": 720, "nzdt": 780,
+}
 
 
 def time_parse(text: Column) -> Column:
-    """A date text as a timestamp, null when blank or bad."""
-    bare = F.regexp_replace(F.trim(text), "^[A-Za-z]+, ", "")
-    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in FORMATS])
+    """A date text as a timestamp, null when blank, without a date, or with one that does not exist.
+
+    Dates: 2024-01-31, 2024/1/31, 20240131, 31 Jan 2024 (or 24), January 31, 2024. Times: with or without seconds and
+    fractions (dropped), 12 or 24 hours. Zones: offsets and ZONES; UTC where none is named. No time of day is midnight.
+    """
+    low, month = F.lower(F.trim(text)), "(" + "|".join(MONTHS) + ")[a-z]*"
+    shapes = (
+        (r"(?<!\d)(\d{4})-(\d{1,2})-(\d{1,2})(?!\d)", (1, 2, 3)), (r"(?<!\d)(\d{4})/(\d{1,2})/(\d{1,2})(?!\d)", (1, 2, 3)),
+        (r"(?<!\d)(\d{1,2})(?:st|nd|rd|th)?[\s-]+" + month + r"\.?[\s,-]+'?(\d{4}|\d{2})(?![\d:])", (3, 2, 1)),
+        (month + r"\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})(?!\d)", (3, 1, 2)), (r"(?<!\d)(\d{4})(\d{2})(\d{2})(?=t|\b)", (1, 2, 3)),
+    )
+    clock = r"(?<!\d)(\d{1,2}):(\d{2})(?::(\d{2}))?"
+    zone = r"(?::\d{2}|t\d{4,6})(?:[.,]\d+)?\s*(?:[ap]\.?m\.?\s*)?(?:(?:gmt|utc)?([+-])(\d{2}):?(\d{2})?|([a-z]{1,4})\b)"
+
+    def number(pattern: str, group: int) -> Column:
+        found = F.regexp_extract(low, pattern, group)
+        return F.when(found != "", found)
+
+    def part(k: int) -> Column:
+        """Year, month or day, by the first shape that is there."""
+        out = F.lit(None).cast("string")
+        for pattern, order in reversed(shapes):
+            out = F.when(low.rlike(pattern), number(pattern, order[k])).otherwise(out)
+        return out
+
+    named = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m, str(i + 1))])
+    year = part(0).cast("int") + F.when(F.length(part(0)) > 2, 0).when(part(0).cast("int") >= 69, 1900).otherwise(2000)
+    packed = lambda k: number(r"\d{8}t(\d{2})(\d{2})(\d{2})?", k)
+    hour, minute, second = (F.coalesce(number(clock, k), packed(k), F.lit("0")).cast("int") for k in (1, 2, 3))
+    half = F.regexp_extract(low, r"\d\s*([ap])\.?m\b", 1)
+    hour = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "p", 12).otherwise(0))
+    sign = F.when(number(zone, 1) == "-", -1).otherwise(1)
+    minutes = F.coalesce(sign * (number(zone, 2).cast("int") * 60 + F.coalesce(number(zone, 3).cast("int"), F.lit(0))), F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])[number(zone, 4)], F.lit(0))
+    at = F.try_make_timestamp(year, F.coalesce(named[part(1)], part(1)).cast("int"), part(2).cast("int"), hour, minute, second.cast("decimal(8,6)"), F.lit("UTC"))
+    return F.timestamp_seconds(F.unix_timestamp(at) - minutes * 60)
 
 
 def wilson(successes: Column, trials: Column) -> tuple[Column, Column]:

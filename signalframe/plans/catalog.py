@@ -125,14 +125,28 @@ def _(spark, sf):
 
 
 # ---- sources and items
-ENT = "trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
-for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
-    ENT = f"replace({ENT}, '{_name}', '{_char}')"
+TAGLESS = "trim(regexp_replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
+NAME = "&(apos|amp|quot|gt|lt|#[0-9]+|#[xX][0-9A-Fa-f]+);"
+POINT = "CAST(CASE WHEN lower(x[2]) = 'x' THEN '0x' || x[3:] ELSE x[2:] END AS BIGINT)"
+CHARACTER = f"CASE x WHEN 'apos' THEN chr(39) WHEN 'amp' THEN '&' WHEN 'quot' THEN '\"' WHEN 'gt' THEN '>' WHEN 'lt' THEN '<' ELSE chr(CAST({POINT} AS INTEGER)) END"
 
 
-@op("html_clean", f"SELECT page_id, sha256({ENT}) AS clean_sha256 FROM pages")
+def clean_sql(column: str) -> str:
+    """html_clean as SQL: the gaps between references and the characters they name, joined in turn."""
+    bare = TAGLESS.format(column)
+    names = f"list_transform(regexp_extract_all({bare}, '{NAME}', 1), lambda x: {CHARACTER})"
+    return f"array_to_string(list_transform(list_zip(string_split_regex({bare}, '{NAME}'), {names}), lambda z: z[1] || coalesce(z[2], '')), '')"
+
+
+# Every page gets references by number and by name, and one that is undone only once.
+MARKED = "html || ' &#' || (8000 + page_id % 300) || ';&#x' || printf('%x', 19968 + page_id % 500) || '; &amp;lt; &apos;'"
+
+
+@op("html_clean", f"SELECT page_id, sha256({clean_sql('marked')}) AS clean_sha256 FROM (SELECT page_id, {MARKED} AS marked FROM pages)")
 def _(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.sha2(X.html_clean(F.col("html")), 256).alias("clean_sha256"))
+    k = F.col("page_id")
+    marked = F.concat("html", F.lit(" &#"), (8000 + k % 300).cast("string"), F.lit(";&#x"), F.lower(F.hex(19968 + k % 500)), F.lit("; &amp;lt; &apos;"))
+    return table(spark, sf, "pages").select("page_id", F.sha2(X.html_clean(marked), 256).alias("clean_sha256"))
 
 
 @op("summary_truncate", "SELECT doc_id, substring(text, 1, 320) AS summary FROM documents")

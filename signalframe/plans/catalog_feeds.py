@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalframe.functions import text as X
-from signalframe.plans.catalog import ENT, STATE, TOKENS, op
+from signalframe.plans.catalog import STATE, TOKENS, clean_sql, op
 from signalframe.plans.views import items_of, table
 from signalframe.scratch import shared_dir
 from signalframe.sources import feeds
@@ -31,35 +31,47 @@ def _(spark, sf):
     return found.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", ",")).alias("tokens_md5"))
 
 
-# ---- feeds: one RSS body for 32 turns of a conversation, some items without a link
-FEED_TURNS = 32
+# ---- feeds: one body for 32 turns of a conversation, in five shapes, some items without a link, some texts cut short
+FEED_TURNS, SHAPES = 32, 6
 UNFIT = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 
 
 def bodies(spark: SparkSession, sf: str) -> DataFrame:
-    def tag(name: str, value):
-        safe = F.replace(F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-        return F.concat(F.lit(f"<{name}>"), safe, F.lit(f"</{name}>"))
-
-    turn = F.col("turn").cast("string")
+    """Shapes by conversation: RSS, RDF with items beside the channel, Atom with two links, prefixed Atom, RSS with CDATA and
+    elements of other namespaces, and a body that ends too soon."""
+    safe = lambda v: F.replace(F.replace(F.replace(v, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+    turn, shape = F.col("turn").cast("string"), F.col("conv_id") % SHAPES
     link = F.when(F.col("turn") % 7 == 3, "").otherwise(F.concat_ws("/", F.lit("conv:/"), F.col("conv_id").cast("string"), turn))
-    day = F.concat(F.lit("2024-01-"), F.lpad((F.col("turn") % 28 + 1).cast("string"), 2, "0"), F.lit(" 00:00:00"))
-    fields = [("title", F.concat_ws(" ", "role", turn)), ("link", link), ("description", F.regexp_replace(F.coalesce("text", F.lit("")), UNFIT, " ")), ("pubDate", day)]
-    item = F.concat(F.lit("<item>"), *[tag(n, v) for n, v in fields], F.lit("</item>"))
+    day = F.lpad((F.col("turn") % 28 + 1).cast("string"), 2, "0")
+    title, text = F.concat_ws(" ", "role", turn), F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), UNFIT, " "), F.lit(" <i>&#8217;</i> &amp;amp; &nbsp;"))
+    rss, iso = F.concat(F.lit("Mon, "), day, F.lit(" Jan 2024 03:04 GMT")), F.concat(F.lit("2024-01-"), day, F.lit("T11:04:00+08:00"))
+    href = lambda rel, value: F.concat(F.lit(f'<link rel="{rel}"'), F.when(value != "", F.concat(F.lit(' href="'), value, F.lit('"'))).otherwise(""), F.lit("/>"))
+    plain = F.concat(tag("title", safe(title)), tag("link", link))
+    atom = F.concat(F.lit('<title type="text"> '), safe(title), F.lit(" </title>"), href("alternate", link), href("edit", F.when(link != "", F.concat(F.lit("other:"), link)).otherwise("")), tag("summary", safe(text)), tag("updated", iso))
+    data = F.concat(F.lit("<description><![CDATA["), text, F.lit("]]></description>"))
+    of = F.when(shape == 0, F.concat(F.lit("<item>"), plain, tag("description", safe(text)), tag("pubDate", rss), F.lit("</item>")))
+    of = of.when(shape == 1, F.concat(F.lit('<item rdf:about="a>b">'), plain, F.lit("<description/>"), tag("summary", safe(text)), tag("pubDate", rss), F.lit("</item>")))
+    of = of.when(shape == 2, F.concat(F.lit("<entry>"), atom, F.lit("</entry>"))).when(shape == 3, F.concat(F.lit("<a:entry>"), atom, F.lit("</a:entry>")))
+    of = of.otherwise(F.concat(F.lit("<!-- <item/> --><item>"), tag("media:title", F.lit("other")), plain, data, tag("pubDate", rss), F.lit("</item>")))
     feed = F.concat_ws("-", F.col("conv_id").cast("string"), F.floor(F.col("turn") / FEED_TURNS).cast("string"))
-    rows = table(spark, sf, "conversations").select(feed.alias("source_id"), "turn", item.alias("item"))
+    rows = table(spark, sf, "conversations").select(feed.alias("source_id"), "turn", shape.alias("shape"), of.alias("item"))
     ordered = F.array_sort(F.collect_list(F.struct("turn", "item")))
-    body = F.concat(F.lit("<rss><channel>"), F.array_join(F.transform(ordered, lambda s: s["item"]), ""), F.lit("</channel></rss>"))
+    whole = F.array_join(F.transform(ordered, lambda s: s["item"]), "")
+    around = {0: ("<rss><channel>", "</channel></rss>"), 1: ('<rdf:RDF xmlns="http://purl.org/rss/1.0/" xmlns:rdf="r"><channel><items><li/></items></channel>', "</rdf:RDF>"), 2: ('<feed xmlns="http://www.w3.org/2005/Atom">', "</feed>"),
+              3: ('<a:feed xmlns:a="http://www.w3.org/2005/Atom">', "</a:feed>"), 4: ('<rss xmlns:media="m"><channel>', "</channel></rss>"), 5: ('<rss xmlns:media="m"><channel>', "</channel>")}
+    body = F.concat(F.element_at(F.create_map(*[F.lit(x) for k, (head, _) in around.items() for x in (k, head)]), F.first("shape").cast("int")), whole, F.element_at(F.create_map(*[F.lit(x) for k, (_, tail) in around.items() for x in (k, tail)]), F.first("shape").cast("int")))
     return rows.groupBy("source_id").agg(body.alias("body")).withColumns({"language": F.lit("en"), "region": F.lit(None).cast("string")})
 
 
-@op("feed_parse", f"""WITH r AS (SELECT *, conv_id || '-' || (turn // {FEED_TURNS}) AS source_id, regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', ' ', 'g') AS html,
+@op("feed_parse", f"""WITH r AS (SELECT *, conv_id || '-' || (turn // {FEED_TURNS}) AS source_id, regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', ' ', 'g') || ' <i>&#8217;</i> &amp;amp; &nbsp;' AS given,
 row_number() OVER (PARTITION BY conv_id, turn // {FEED_TURNS} ORDER BY turn) AS pos FROM conversations)
-SELECT source_id, role || ' ' || turn AS title, 'conv://' || conv_id || '/' || turn AS source_url, md5(substring({ENT}, 1, 320)) AS summary_md5,
-TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(turn % 28 AS INTEGER)) AS published_at, '未标注' AS region FROM r WHERE pos <= 20 AND turn % 7 <> 3""")
+SELECT source_id, role || ' ' || turn AS title, 'conv://' || conv_id || '/' || turn AS source_url, md5(substring({clean_sql('given')}, 1, 320)) AS summary_md5,
+TIMESTAMP '2024-01-01 03:04:00' + to_days(CAST(turn % 28 AS INTEGER)) AS published_at, '未标注' AS region, CAST(NULL AS VARCHAR) AS error FROM r WHERE pos <= 20 AND turn % 7 <> 3 AND conv_id % {SHAPES} <> 5
+UNION ALL SELECT DISTINCT source_id, NULL, NULL, NULL, NULL, '未标注', 'XML_INVALID' FROM r WHERE conv_id % {SHAPES} = 5""")
 def _(spark, sf):
-    parsed = feeds.feed_parse(bodies(spark, sf)).where("error is null")
-    return parsed.select("source_id", "title", "source_url", F.md5("summary").alias("summary_md5"), "published_at", "region")
+    parsed = feeds.feed_parse(bodies(spark, sf))
+    return parsed.select("source_id", "title", "source_url", F.md5("summary").alias("summary_md5"), "published_at", "region", "error")
 
 
 # ---- snapshots: two revisions of one surface, of open and then of filled orders

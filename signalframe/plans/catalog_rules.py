@@ -526,10 +526,18 @@ def _(spark, sf):
     return rules.model_retire(m).select("model", F.array_join("missing_fields", ",").alias("missing"), "status", "recompute_required")
 
 
-@op("time_parse", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE o_orderdate - CASE WHEN o_orderkey % 4 = 1 THEN INTERVAL 8 HOUR ELSE INTERVAL 0 HOUR END END AS at FROM orders")
+TIMES = (  # Java's pattern for a midnight in UTC, hours that its zone or clock adds
+    ("yyyy-MM-dd'T'HH:mm:ss'Z'", 0), ("'Tue, 'dd MMM yyyy HH:mm:ss' +0800'", -8), ("yyyy-MM-dd HH:mm:ss", 0), ("'no date'", None), ("'Wed, 'd MMM yy HH:mm' GMT'", 0), ("d'th 'MMMM yyyy', 5:07 pm EST'", None),
+    ("MMMM d', 'yyyy' 12:00 PM'", 12), ("yyyyMMdd'T140000-0130'", None), ("yyyy/M/d", 0), ("yyyy-MM-dd'T'HH:mm:ss.SSS'-05:00'", 5), ("yyyy'-02-30T00:00:00Z'", None), ("d-MMM-yyyy HH:mm:ss' PDT'", 7),
+)
+SHIFTS = {5: "INTERVAL 1327 MINUTE", 7: "INTERVAL 930 MINUTE"}
+
+
+@op("time_parse", f"""SELECT o_orderkey, CASE o_orderkey % {len(TIMES)} {" ".join(f"WHEN {k} THEN o_orderdate + {SHIFTS.get(k, f'to_hours({h})')}" for k, (_, h) in enumerate(TIMES) if h is not None or k in SHIFTS)} END AS at FROM orders""")
 def _(spark, sf):
-    k, d = F.col("o_orderkey"), F.col("o_orderdate")
-    text = F.when(k % 4 == 0, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k % 4 == 1, F.date_format(d, "'Tue, 'dd MMM yyyy HH:mm:ss' +0800'")).when(k % 4 == 2, F.date_format(d, "yyyy-MM-dd HH:mm:ss")).otherwise("no date")
+    text = F.lit(None).cast("string")
+    for k, (pattern, _) in enumerate(TIMES):
+        text = F.when(F.col("o_orderkey") % len(TIMES) == k, F.date_format("o_orderdate", pattern)).otherwise(text)
     return table(spark, sf, "orders").select("o_orderkey", time_parse(text).alias("at"))
 
 

@@ -9,10 +9,18 @@ from pyspark.sql import functions as F
 
 from signalframe.functions.text import html_clean, time_parse
 
-RSS_ITEM = "title string, link string, description string, pubDate string"
-RSS = f"channel struct<item: array<struct<{RSS_ITEM.replace(' string', ': string')}>>>"
-LINK = "struct<_href: string, _VALUE: string>"
-ATOM = f"entry array<struct<title: string, link: {LINK}, summary: string, published: string, updated: string>>"
+#: Children of a feed's element, as lists, since any may be repeated or missing. Names with a prefix are others.
+ELEMENT = ", ".join(f"{name} array<struct<_VALUE: string, _href: string>>" for name in ("title", "link", "description", "summary", "pubDate", "published", "updated"))
+_ATTRIBUTES = r"""(?:[^>"'/]|"[^"]*"|'[^']*'|/(?!>))*"""
+
+
+def _elements(name: str, prefix: str = "") -> str:
+    """Whole elements of this name at any depth, in document order."""
+    tag = f"{prefix}{name}"
+    return rf"(?s)<{tag}(?=[\s/>]){_ATTRIBUTES}(?:/>|>.*?</{tag}\s*>)"
+
+
+ITEMS, ENTRIES = _elements("item"), _elements("entry", r"(?:[A-Za-z_][\w.-]*:)?")
 
 
 def read_sources(spark, path: str, wanted: list[str] | None = None) -> DataFrame:
@@ -22,20 +30,47 @@ def read_sources(spark, path: str, wanted: list[str] | None = None) -> DataFrame
     return rows.where(F.col("id").isin(wanted)) if wanted else rows.where(enabled)
 
 
-def feed_parse(feeds: DataFrame, max_items: int = 20) -> DataFrame:
-    """(source_id, body, language, region) -> items. At most max_items elements a source, then those without title or
-    link go. A body that can't be parsed gives one row with ``error``."""
-    rss = F.from_xml("body", RSS, {"mode": "PERMISSIVE"})["channel"]["item"]
-    atom = F.from_xml("body", ATOM, {"mode": "PERMISSIVE"})["entry"]
-    norm = F.when(F.size(rss) > 0, F.transform(rss, lambda i: F.struct(i["title"].alias("title"), i["link"].alias("link"), i["description"].alias("summary"), i["pubDate"].alias("at")))).otherwise(
-        F.transform(atom, lambda i: F.struct(i["title"].alias("title"), F.coalesce(i["link"]["_VALUE"], i["link"]["_href"]).alias("link"), i["summary"].alias("summary"), F.coalesce(i["published"], i["updated"]).alias("at"))))
-    rows = feeds.select("source_id", F.coalesce("language", F.lit("zh-CN")).alias("language"), F.coalesce("region", F.lit("未标注")).alias("region"), norm.alias("items"))
-    good = rows.select("source_id", "language", "region", F.posexplode("items").alias("pos", "i")).where(F.col("pos") < max_items)
-    title, link, full = F.trim("i.title"), F.trim("i.link"), html_clean(F.coalesce("i.summary", F.lit("")))
-    parsed = good.where((F.coalesce(title, F.lit("")) != "") & (F.coalesce(link, F.lit("")) != "")).select(
-        "source_id", "language", "region", html_clean(title).alias("title"), link.alias("source_url"), F.substring(full, 1, 320).alias("summary"), time_parse(F.col("i.at")).alias("published_at"),
-        item_key(F.col("source_id"), link).alias("item_key"), content_hash(html_clean(title), full, link).alias("content_hash"), F.lit(None).cast("string").alias("error"))
-    empty = rows.where(F.coalesce(F.size("items"), F.lit(-1)) <= 0).select("source_id", "language", "region", F.lit("NO_ITEMS").alias("error"))
+def plain_xml(body):
+    """The body with CDATA as escaped text, without comments, and with a bare & of HTML's own references escaped."""
+
+    def escaped(part, i):
+        inside = F.substring_index(part, "]]>", 1)
+        text = F.replace(F.replace(F.replace(inside, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        return F.when((i == 0) | ~part.contains("]]>"), part).otherwise(F.concat(text, F.substring(part, F.length(inside) + 4, F.length(part))))
+
+    joined = F.when(body.contains("<![CDATA["), F.array_join(F.transform(F.split(body, r"<!\[CDATA\["), escaped), "")).otherwise(body)
+    bare = F.regexp_replace(joined, "(?s)<!--.*?-->", "")
+    return F.regexp_replace(bare, "&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)", "&amp;")
+
+
+def feed_parse(feeds: DataFrame, max_items: int = 20, max_summary: int = 320) -> DataFrame:
+    """(source_id, body, language, region; source_name, publisher_region, max_items if there) -> items.
+
+    Items are the ``item`` elements at any depth or, without any, the ``entry`` elements of any namespace, in document order;
+    the first max_items of them, then those without title or link go. A field is the text of the first child of its name;
+    a link without text is the first href of any link. A title is stripped only, the summary is cleaned and cut; it is the
+    description or, if that is empty, the summary. The date is the first of pubDate, published and updated that is there.
+    A body that is no XML (XML_INVALID) or has no element (NO_ITEMS) gives one row with ``error``; a null body is the latter.
+    """
+    given = lambda name, other: F.coalesce(F.col(name), other) if name in feeds.columns else other
+    region = F.coalesce("region", F.lit("未标注"))
+    rows = feeds.select(
+        "source_id", given("source_name", F.col("source_id").cast("string")).alias("source_name"), F.coalesce("language", F.lit("zh-CN")).alias("language"), region.alias("region"),
+        given("publisher_region", region).alias("publisher_region"), given("max_items", F.lit(max_items)).cast("int").alias("most"), plain_xml(F.col("body")).alias("xml"))
+    items = F.regexp_extract_all("xml", F.lit(ITEMS), F.lit(0))
+    found = F.when(F.size(items) > 0, items).otherwise(F.regexp_extract_all("xml", F.lit(ENTRIES), F.lit(0)))
+    bad = F.from_xml("xml", "_corrupt_record string", {"mode": "PERMISSIVE"})["_corrupt_record"].isNotNull()
+    of = ["source_id", "source_name", "language", "region", "publisher_region"]
+    rows = rows.select(*of, "most", F.when(bad, F.array().cast("array<string>")).otherwise(found).alias("items"), F.when(bad, "XML_INVALID").otherwise("NO_ITEMS").alias("error"))
+    each = rows.select(*of, F.explode(F.slice("items", F.lit(1), F.greatest("most", F.lit(0)))).alias("xml")).select(*of, F.from_xml("xml", ELEMENT, {"mode": "PERMISSIVE"}).alias("e"))
+    text = lambda name: F.trim(F.coalesce(F.get(F.col("e")[name], F.lit(0))["_VALUE"], F.lit("")))
+    first = lambda *texts: F.coalesce(*[F.when(t != "", t) for t in texts], F.lit(""))
+    link = first(text("link"), F.coalesce(F.get(F.filter(F.transform("e.link", lambda k: k["_href"]), lambda h: h.isNotNull()), F.lit(0)), F.lit("")))
+    each = each.select(*of, text("title").alias("title"), link.alias("source_url"), first(html_clean(text("description")), html_clean(text("summary"))).alias("full"), first(text("pubDate"), text("published"), text("updated")).alias("at"))
+    parsed = each.where((F.col("title") != "") & (F.col("source_url") != "")).select(
+        *of, "title", "source_url", F.substring("full", 1, max_summary).alias("summary"), time_parse(F.col("at")).alias("published_at"),
+        item_key(F.col("source_id"), F.col("source_url")).alias("item_key"), content_hash(F.col("title"), F.col("full"), F.col("source_url")).alias("content_hash"), F.lit(None).cast("string").alias("error"))
+    empty = rows.where(F.coalesce(F.size("items"), F.lit(-1)) <= 0).select(*of, "error")
     return parsed.unionByName(empty, allowMissingColumns=True)
 
 
