@@ -86,7 +86,9 @@ def published(spark: SparkSession, sf: str) -> str:
 
 @op("snapshot_publish", "SELECT CAST(CASE o_orderstatus WHEN 'O' THEN 1 ELSE 2 END AS INTEGER) AS revision, 'radar' AS surface_id, count(*) AS cards FROM orders WHERE o_orderstatus IN ('O', 'F') GROUP BY o_orderstatus")
 def _(spark, sf):
-    return spark.read.parquet(f"{published(spark, sf)}/snapshots").select(F.col("revision").cast("int").alias("revision"), "surface_id", "cards")
+    base = published(spark, sf)
+    revisions = [feeds.read_revision(spark, base, "radar", k)[0] for k in (1, 2)]
+    return revisions[0].unionByName(revisions[1]).select(F.col("revision").cast("int").alias("revision"), "surface_id", "cards")
 
 
 @op("snapshot_head", "SELECT CAST(2 AS INTEGER) AS revision, o_orderkey, o_custkey, count(*) OVER (PARTITION BY o_custkey) AS mention_count FROM orders WHERE o_orderstatus = 'F'")

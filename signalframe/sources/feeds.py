@@ -1,4 +1,4 @@
-"""Feeds to items, merges, published snapshots. Parquet and JSON only; writers replace a one-row head last."""
+"""Feeds to items, merges, published snapshots. Parquet and JSON only; the head of a revision is claimed last."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalframe.functions.text import html_clean, time_parse
+from signalframe.scratch import claim, claimed, claims
 
 #: Children of a feed's element, as lists, since any may be repeated or missing. Names with a prefix are others.
 ELEMENT = ", ".join(f"{name} array<struct<_VALUE: string, _href: string>>" for name in ("title", "link", "description", "summary", "pubDate", "published", "updated"))
@@ -50,7 +51,7 @@ def feed_parse(feeds: DataFrame, max_items: int = 20, max_summary: int = 320) ->
     the first max_items of them, then those without title or link go. A field is the text of the first child of its name;
     a link without text is the first href of any link. A title is stripped only, the summary is cleaned and cut; it is the
     description or, if that is empty, the summary. The date is the first of pubDate, published and updated that is there.
-    A body that is no XML (XML_INVALID) or has no element (NO_ITEMS) gives one row with ``error``; a null body is the latter.
+    A body of broken XML (XML_INVALID) or without elements (NO_ITEMS, as a null body or plain text) gives one row with ``error``.
     """
     given = lambda name, other: F.coalesce(F.col(name), other) if name in feeds.columns else other
     region = F.coalesce("region", F.lit("未标注"))
@@ -59,7 +60,7 @@ def feed_parse(feeds: DataFrame, max_items: int = 20, max_summary: int = 320) ->
         given("publisher_region", region).alias("publisher_region"), given("max_items", F.lit(max_items)).cast("int").alias("most"), plain_xml(F.col("body")).alias("xml"))
     items = F.regexp_extract_all("xml", F.lit(ITEMS), F.lit(0))
     found = F.when(F.size(items) > 0, items).otherwise(F.regexp_extract_all("xml", F.lit(ENTRIES), F.lit(0)))
-    bad = F.from_xml("xml", "_corrupt_record string", {"mode": "PERMISSIVE"})["_corrupt_record"].isNotNull()
+    bad = F.trim("xml").startswith("<") & F.from_xml("xml", "_corrupt_record string", {"mode": "PERMISSIVE"})["_corrupt_record"].isNotNull()
     of = ["source_id", "source_name", "language", "region", "publisher_region"]
     rows = rows.select(*of, "most", F.when(bad, F.array().cast("array<string>")).otherwise(found).alias("items"), F.when(bad, "XML_INVALID").otherwise("NO_ITEMS").alias("error"))
     each = rows.select(*of, F.explode(F.slice("items", F.lit(1), F.greatest("most", F.lit(0)))).alias("xml")).select(*of, F.from_xml("xml", ELEMENT, {"mode": "PERMISSIVE"}).alias("e"))
@@ -101,33 +102,42 @@ def next_revision(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("surface_id").agg((F.coalesce(F.max("revision"), F.lit(0)) + 1).alias("next_revision"))
 
 
+def head_of(spark, base: str, surface: str) -> tuple[int, str | None]:
+    """(revision, attempt) of the surface's head; (0, None) before the first."""
+    names = claims(spark, f"{base}/head/{surface}")
+    return (int(names[-1]), claim(spark, f"{base}/head/{surface}/{names[-1]}")) if names else (0, None)
+
+
 def publish(snapshot: DataFrame, cards: DataFrame, trends: DataFrame, base: str, surface: str, expected: int) -> int:
-    """Appends revision expected + 1 and then moves the head; refused when the head isn't at ``expected``. One writer a surface.
+    """Appends revision expected + 1 and then moves the head, if that is at ``expected`` still.
 
-    Each attempt writes under its own name, and the head names the attempt, so what a failed one left is never read.
+    Any number of writers may try: each writes its parts under an attempt's name of its own, and the head of a revision is
+    a file that only one can create. The others get the error, and what they or failed ones left is never read.
     """
     spark, attempt = snapshot.sparkSession, uuid.uuid4().hex
-    try:
-        head = spark.read.parquet(f"{base}/head/{surface}").agg(F.max("revision")).first()[0] or 0
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        head = 0
+    stale = lambda head: ValueError(f"STALE_REVISION (RADAR_HEAD_CAS_MISMATCH): head is {head}, expected {expected}")
+    head, _ = head_of(spark, base, surface)
     if head != expected:
-        raise ValueError(f"STALE_REVISION: head is {head}")
+        raise stale(head)
     if cards.limit(1).count() == 0:
         raise ValueError("CARDS_REQUIRED")
     for name, df in (("snapshots", snapshot), ("cards", cards), ("trends", trends)):
-        df.withColumn("surface_id", F.lit(surface)).withColumn("revision", F.lit(head + 1)).withColumn("attempt", F.lit(attempt)).write.mode("append").partitionBy("surface_id", "revision", "attempt").parquet(f"{base}/{name}")
-    spark.createDataFrame([(head + 1, attempt)], "revision int, attempt string").write.mode("append").parquet(f"{base}/head/{surface}")
+        parts = df.withColumns({"surface_id": F.lit(surface), "revision": F.lit(head + 1)})
+        parts.write.partitionBy("surface_id", "revision").parquet(f"{base}/{name}/attempt={attempt}")
+    if not claimed(spark, f"{base}/head/{surface}/{head + 1:012d}", attempt):
+        raise stale(head_of(spark, base, surface)[0])
     return head + 1
 
 
+def read_revision(spark, base: str, surface: str, revision: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Snapshot, cards and trends of a published revision, from its winning attempt's folder alone."""
+    attempt = claim(spark, f"{base}/head/{surface}/{revision:012d}")
+    return tuple(spark.read.parquet(f"{base}/{n}/attempt={attempt}") for n in ("snapshots", "cards", "trends"))
+
+
 def read_head(spark, base: str, surface: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Snapshot, cards and trends of the head revision; partitions prune the rest."""
-    head = spark.read.parquet(f"{base}/head/{surface}").agg(F.max(F.struct("revision", "attempt")).alias("h")).first()["h"]
-    at = lambda n: spark.read.parquet(f"{base}/{n}").where((F.col("surface_id") == surface) & (F.col("revision") == head["revision"]) & (F.col("attempt") == head["attempt"])).drop("attempt")
-    return at("snapshots"), at("cards"), at("trends")
+    """Snapshot, cards and trends of the head revision."""
+    return read_revision(spark, base, surface, head_of(spark, base, surface)[0])
 
 
 def card_projection(items: DataFrame, most: int) -> DataFrame:

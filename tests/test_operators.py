@@ -107,6 +107,40 @@ def test_publish_moves_head(spark, tmp_path):
     assert [x.count() for x in feeds.read_head(spark, base, "home")] == [1, 1, 1]
 
 
+def test_one_of_many_writers_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    base = f"file://{tmp_path}"
+    named = lambda who: spark.createDataFrame([(who,)], "snapshot_id string")
+    feeds.publish(named("first"), named("first"), named("first"), base, "home", 0)
+
+    def attempt(who):
+        try:
+            return who, feeds.publish(named(who), named(who), named(who), base, "home", 1)
+        except ValueError as e:
+            assert "RADAR_HEAD_CAS_MISMATCH" in str(e)
+            return who, None
+
+    with ThreadPoolExecutor(6) as pool:
+        tried = list(pool.map(attempt, [f"w{i}" for i in range(6)]))
+    won = [who for who, revision in tried if revision is not None]
+    assert len(won) == 1 and [r for _, r in tried if r] == [2]
+    assert [x.first().snapshot_id for x in feeds.read_head(spark, base, "home")] == won * 3
+    assert feeds.read_revision(spark, base, "home", 1)[0].first().snapshot_id == "first"
+    assert feeds.publish(named("next"), named("next"), named("next"), base, "home", 2) == 3
+
+
+def test_claims_on_other_file_systems(spark, tmp_path):
+    from signalframe.scratch import claim, claimed, claims
+
+    hadoop = spark._jsc.hadoopConfiguration()
+    hadoop.set("fs.viewfs.mounttable.claims.link./shared", f"file://{tmp_path}")
+    folder = "viewfs://claims/shared/map"
+    assert claims(spark, folder) == []
+    assert [claimed(spark, f"{folder}/1", t) for t in ("a", "b")] == [True, False]
+    assert claims(spark, folder) == ["1"] and claim(spark, f"{folder}/1") == "a"
+
+
 def plain_cycle_edges(edges):
     above = {}
     for child, parent in edges:
