@@ -27,6 +27,7 @@ ALPHA = 0.5
 ROUNDS = 12
 PENALTY = 3.0
 MOST_LANGUAGES = 512
+PIECE = 3 << 20  # bytes of text worked on at once
 MOST_CHARS = 1 << 22  # of a text at once; counts of its pieces add up
 
 
@@ -107,7 +108,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
-        for batch in pieces(batches, 8 << 20):
+        for batch in pieces(batches, PIECE):
             for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 buckets, n = trigrams(text)
                 held.setdefault(lang, np.zeros(BUCKETS, np.int64))[buckets] += n
@@ -146,7 +147,7 @@ def predict(rows: DataFrame, languages: list[str], logp: np.ndarray) -> DataFram
     """doc_id, held_out, lang_pred, score, mixture, fit; predictions see the text alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 8 << 20):
+        for batch in pieces(batches, PIECE):
             pred, score, mix, fit = zip(*judged(batch.column(1).to_pylist(), languages, logp)) if batch.num_rows else ((), (), (), ())
             held = [d is not None and zlib.crc32(str(d).encode()) % FOLDS == HELD for d in batch.column(0).to_pylist()]
             columns = [batch.column(0), pa.array(held, pa.bool_()), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mix, pa.string()), pa.array(fit, pa.float64())]
@@ -173,7 +174,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     languages, logp = train(docs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 8 << 20):
+        for batch in pieces(batches, PIECE):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([fit is not None and fit > -np.log(BUCKETS) for *_, fit in judged(texts, languages, logp)], pa.bool_()))
 

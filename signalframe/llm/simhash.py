@@ -222,6 +222,7 @@ WIDE_WORDS = 5
 LIKENESS = 0.8
 WIDE_RADIUS = 32
 KEY_BITS = 16
+PIECE = 3 << 20  # bytes of text worked on at once
 SMALL = 16
 TILE = 512
 _ROUNDS = np.random.default_rng(SEED)
@@ -268,7 +269,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     """near_key, doc_id, text_md5, sid (a hash of the shingle set), and the wide fingerprint a, b, c, d of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, PIECE):
             every = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
             sids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in every], np.uint64)
             bits = np.array([wide_fingerprint(x) for x in every], np.uint64).reshape(-1, 4).view(np.int64)
@@ -357,7 +358,7 @@ def _alike(words: int, least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces([batch]):
+            for part in pieces([batch], PIECE):
                 pairs = zip(part.column(2).to_pylist(), part.column(3).to_pylist())
                 keep = pa.array([likeness(shingle_set(x, words), shingle_set(y, words)) >= least for x, y in pairs], pa.bool_())
                 yield part.select(["u", "v"]).filter(keep)
