@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalframe.functions.text import tokens_en, tokens_han
+from signalframe.scratch import written
 
 UNSET = "未标注"
 
@@ -32,21 +35,27 @@ def topic_tokens(items: DataFrame) -> DataFrame:
 def trend_aggregate(items: DataFrame, end: Column, hours: int = 48, recent_hours: int = 12, mentions: int = 2, sources: int = 2) -> DataFrame:
     """Topics with enough mentions and sources and any recent mention; items are filtered before tokens explode.
 
-    Mentions are first counted per topic and source (with its name, region and language), so the sets that follow hold
-    sources, not mentions.
+    Hashes of topics are counted first, which leaves few topics that can pass the thresholds; only their mentions are
+    counted exactly, per source and then per topic, so a topic that is everywhere costs a row a source.
     """
     recent = F.unix_timestamp("published_at") >= F.unix_timestamp(end) - recent_hours * 3600
-    topic, of = ["topic_key", "topic", "topic_language", "topic_kind"], ["source_id", "source_name", "region", "language"]
-    set_of = lambda c: F.array_sort(F.collect_set(F.coalesce(c, F.lit(UNSET))))
-    per_source = topic_tokens(in_window(items, end, hours)).groupBy(*topic, *of).agg(F.count("*").alias("n"), F.count_if(recent).alias("r"), F.count_if(~recent).alias("p"))
-    return (
-        per_source.groupBy(*topic)
-        .agg(
-            F.sum("n").alias("mention_count"), F.sum("r").alias("recent_mention_count"), F.sum("p").alias("prior_mention_count"),
-            F.size(F.collect_set("source_id")).cast("long").alias("source_count"), set_of("source_name").alias("source_names"), set_of("region").alias("regions"), set_of("language").alias("languages"),
-        )
-        .where((F.col("mention_count") >= mentions) & (F.col("source_count") >= sources) & (F.col("recent_mention_count") > 0))
-        .withColumn("region_count", F.size("regions")).withColumn("language_count", F.size("languages"))
+    named = topic_tokens(in_window(items, end, hours)).select("topic_key", "source_id", "source_name", "region", "language", recent.alias("recent"), F.xxhash64("topic_key").alias("h"))
+    of = F.xxhash64("source_id")
+    hashed = named.groupBy("h").agg(F.count("*").alias("n"), F.min(of).alias("a"), F.max(of).alias("b"), F.max("recent").alias("recent"))
+    possible = hashed.where((F.col("n") >= mentions) & (F.lit(sources < 2) | (F.col("a") != F.col("b"))) & F.col("recent")).select("h")
+    per_source = named.join(possible, "h", "left_semi").groupBy("topic_key", "source_id", "source_name", "region", "language").agg(F.count_if("recent").alias("r"), F.count_if(~F.col("recent")).alias("p"))
+    totals = per_source.groupBy("topic_key", "source_id").agg(F.sum("r").alias("r"), F.sum("p").alias("p"), *[F.collect_set(F.coalesce(c, F.lit(UNSET))).alias(c) for c in ("source_name", "region", "language")])
+    set_of = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    passed = totals.groupBy("topic_key").agg(
+        F.sum("r").alias("recent_mention_count"), F.sum("p").alias("prior_mention_count"), F.count("source_id").alias("source_count"), set_of("source_name").alias("source_names"), set_of("region").alias("regions"), set_of("language").alias("languages"))
+    mention = F.col("recent_mention_count") + F.col("prior_mention_count")
+    passed = passed.where((mention >= mentions) & (F.col("source_count") >= sources) & (F.col("recent_mention_count") > 0))
+    topic = F.substring_index("topic_key", ":", -1)  # no topic holds a colon
+    zh = F.col("topic_key").startswith("zh:")
+    return passed.select(
+        "topic_key", topic.alias("topic"), F.when(zh, "zh-CN").otherwise("en").alias("topic_language"), F.when(~zh & topic.contains(" "), "phrase").otherwise("term").alias("topic_kind"),
+        mention.alias("mention_count"), "recent_mention_count", "prior_mention_count", "source_count", "source_names", "regions", "languages",
+        F.size("regions").alias("region_count"), F.size("languages").alias("language_count"),
     )
 
 
@@ -62,39 +71,64 @@ def with_growth(trends: DataFrame) -> DataFrame:
     return trends.withColumn("growth_rate", growth).withColumn("growth_text", text)
 
 
-def evidence_urls(items: DataFrame, end: Column, hours: int = 48, most: int = 4) -> DataFrame:
-    """Per topic its first distinct URLs, newest item first. Ranked within topics, so no topic's list grows."""
-    by = [F.col("published_at").desc_nulls_last(), F.col("fetched_at").desc_nulls_last(), F.col("item_key")]
-    named = topic_tokens(in_window(items, end, hours))
-    first = named.withColumn("u", F.row_number().over(Window.partitionBy("topic_key", "source_url").orderBy(*by))).where("u = 1")
-    kept = first.withColumn("rank", F.row_number().over(Window.partitionBy("topic_key").orderBy(*by))).where(F.col("rank") <= most)
+def evidence_urls(items: DataFrame, end: Column, hours: int = 48, most: int = 4, topics: DataFrame | None = None) -> DataFrame:
+    """Per topic its first distinct URLs, newest item first; of the topics in ``topics`` alone, if given.
+
+    Ranked within topics, so no topic's list grows; a task hands on no more than ``most`` rows of a topic.
+    """
+    named = topic_tokens(in_window(items, end, hours)).select("topic_key", "source_url", "published_at", "fetched_at", "item_key")
+    if topics is not None:
+        named = named.join(topics.select("topic_key"), "topic_key", "left_semi")
+    newest = F.struct(*[F.coalesce(-F.unix_micros(c), F.lit(2**62)).alias(c) for c in ("published_at", "fetched_at")], "item_key")
+    first = named.groupBy("topic_key", "source_url").agg(F.min(newest).alias("at"))
+    kept = first.withColumn("rank", F.row_number().over(Window.partitionBy("topic_key").orderBy("at", "source_url"))).where(F.col("rank") <= most)
     return kept.groupBy("topic_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "source_url"))), lambda s: s["source_url"]).alias("evidence_urls"))
 
 
+MOST_BITS = 1 << 24
+
+
+def topic_index(trends: DataFrame) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """(one row that holds a bit set of the topics' hashes, the test whether a text may be a topic).
+
+    Two bits a topic, 16 bits and more for each as long as MOST_BITS allow; a larger table makes the test let more pass,
+    never less. The row is 2 MB at most.
+    """
+    hashed = trends.select(F.xxhash64("topic").alias("h"))
+    bits = min(MOST_BITS, max(1 << 10, 1 << (16 * hashed.count()).bit_length()))
+    places = lambda h: (F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 32), F.lit(bits)))
+    place = hashed.select(F.explode(F.array(*places(F.col("h")))).alias("at"))
+    words = {r["word"]: r["set"] for r in place.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("set")).collect()}
+    row = trends.sparkSession.createDataFrame([([words.get(k, 0) for k in range(bits // 64)],)], "index array<long>")
+
+    def maybe(text: Column) -> Column:
+        seen = [F.call_function("getbit", F.get("index", F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1 for at in places(F.xxhash64(text))]
+        return seen[0] & seen[1]
+
+    return row, maybe
+
+
 def fragment_consolidation(trends: DataFrame, tie_mode: str = "reference") -> DataFrame:
     """Drops topics that a longer, or equal and better, topic of the same sources covers.
 
-    Blocked: each topic offers those of its substrings that could be topics (one word or two of four characters and
-    more; Han overlap: its 3-grams, or 2-grams for two characters), so coverage is an equi-join. Every topic is compared
-    with all others, survivors or not. Names of sources join the pairs that are left. ``stable`` keeps the smaller of
-    two that would drop each other.
+    A topic offers its pieces: for Latin all shorter ones of four and more characters, for Han its 3-grams (or 2-grams,
+    for topics of two). An index of all topics is asked first, so that hardly more pieces than true containments reach the
+    equi-join. Every topic is compared with all others, survivors or not. Names of sources join the pairs that are left.
+    ``stable`` keeps the smaller of two that would drop each other.
     """
+    trends = written(trends, "trends")
     han = F.col("topic").rlike(r"^\p{IsHan}+$")
     base = trends.select("topic_key", "topic", "topic_language", "source_count", "mention_count", F.length("topic").alias("len"), han.alias("han"))
+    index, maybe = topic_index(trends)
+    latin = (
+        base.where(~F.col("han")).select("*", F.explode(F.sequence(F.lit(1), F.greatest(F.col("len") - 3, F.lit(1)))).alias("at"))
+        .select("*", F.explode(F.sequence(F.lit(4), F.greatest(F.least(F.col("len") - F.col("at") + 1, F.col("len") - 1), F.lit(4)))).alias("size"))
+        .select(*base.columns, F.substring(F.col("topic"), F.col("at"), F.col("size")).alias("part")).crossJoin(F.broadcast(index)).where((F.length("part") < F.col("len")) & maybe(F.col("part"))).drop("index")
+    )
     grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("topic") - n + 1, F.lit(1))), lambda i: F.substring(F.col("topic"), i, F.lit(n)))
-    cut = lambda w, i, n: F.substring(w, i, n)
-    places = lambda w: F.sequence(F.lit(1), F.greatest(F.length(w) - 3, F.lit(1)))
-    inside = lambda w: F.flatten(F.transform(places(w), lambda i: F.transform(F.sequence(F.lit(4), F.greatest(F.length(w) - i + 1, F.lit(4))), lambda n: cut(w, i, n))))
-    tails = lambda w: F.transform(places(w), lambda i: cut(w, i, F.length(w)))
-    heads = lambda w: F.transform(F.sequence(F.lit(4), F.greatest(F.length(w), F.lit(4))), lambda n: cut(w, F.lit(1), n))
-    one, two = F.split_part("topic", F.lit(" "), F.lit(1)), F.split_part("topic", F.lit(" "), F.lit(2))
-    across = F.flatten(F.transform(tails(one), lambda a: F.transform(heads(two), lambda b: F.concat_ws(" ", a, b))))
-    latin = F.when(two == "", inside(one)).otherwise(F.concat(inside(one), inside(two), across))
     own = F.when(F.col("han"), F.when(F.length("topic") >= 3, grams(3)).otherwise(grams(2))).otherwise(F.array("topic"))
-    # A Latin topic that another holds is shorter than that one and starts with a letter.
-    offered = F.when(F.col("han"), F.concat(grams(3), grams(2))).otherwise(F.filter(latin, lambda p: (F.length(p) < F.length("topic")) & p.rlike("^[a-z]")))
-    a = base.withColumn("part", F.explode(F.array_distinct(own)))
-    b = base.select(*[F.col(c).alias(f"b_{c}") for c in base.columns], F.explode(F.array_distinct(offered)).alias("part"))
+    offered = base.where("han").withColumn("part", F.explode(F.array_distinct(F.concat(grams(3), grams(2))))).unionByName(latin)
+    a, b = base.withColumn("part", F.explode(F.array_distinct(own))), offered.select("part", *[F.col(c).alias(f"b_{c}") for c in base.columns])
     better = (F.col("b_source_count") > F.col("source_count")) | ((F.col("b_source_count") == F.col("source_count")) & (F.col("b_mention_count") >= F.col("mention_count")))
     if tie_mode == "stable":
         tied = (F.col("b_source_count") == F.col("source_count")) & (F.col("b_mention_count") == F.col("mention_count"))

@@ -112,16 +112,36 @@ def _(spark, sf):
     return spark.read.schema(kept.schema).parquet(f"{base}/out")
 
 
+@op("replay_status_stream", """WITH e AS (SELECT *, lag(event_id) OVER (PARTITION BY user_id ORDER BY value, event_id) AS b FROM events)
+SELECT CAST(user_id AS VARCHAR) AS "group", count(*) AS events, count(DISTINCT event_type) AS arrivals, count(*) - count(DISTINCT event_type) AS suppressed, CASE WHEN bool_or(event_type = 'error' AND value > 480) THEN 'COLLECTION_MISSING' END AS watermark_reason,
+  CASE WHEN bool_or(event_type = 'error' AND value > 480) THEN 'COLLECTION_MISSING' ELSE 'healthy' END AS watermark_status, count(*) FILTER (WHERE event_id < b) AS out_of_order FROM e GROUP BY 1""")
+def _(spark, sf):
+    """The whole table as one batch of the stream, so that totals equal those of ``replay_dedup``; state is RocksDB's."""
+    base, key = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    events = stream(spark, sf, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("user_id").alias("item_id"), F.col("event_type").alias("version_id"), F.col("event_id").alias("sequence"),
+        ((F.col("event_type") == "error") & (F.col("value") > 480)).alias("cursor_gap"), F.struct("value", "event_id").alias("arrival_order"))
+    totals, before = streams.replay_status_stream(events, "user_id", delay="365 days"), spark.conf.get(key, None)
+    write = lambda df, batch: df.write.mode("append").parquet(f"{base}/out/batch={batch}")
+    spark.conf.set(key, streams.ROCKSDB)
+    try:
+        totals.writeStream.trigger(availableNow=True).outputMode("update").option("checkpointLocation", f"{base}/state").foreachBatch(write).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    rows = spark.read.schema(f"{streams.REPLAYED}, batch long").parquet(f"{base}/out")
+    return rows.groupBy("group").agg(F.max_by(F.struct(*totals.columns[1:]), "batch").alias("t")).select("group", "t.*")
+
+
 COUNTED = ["topic_key", "mention_count", "recent_mention_count", "prior_mention_count", "source_count", "signal_state"]
 
 
 @op("trend_stream", f"""WITH {TOKENS}, k AS (SELECT topic_key, published_at, source_id, unnest([0, 1, 2, 3]) AS k FROM named),
 w AS (SELECT *, TIMESTAMP '1970-01-01 00:00:00' + to_hours(CAST((CAST(epoch(published_at) AS BIGINT) // 43200 - k) * 12 AS INTEGER)) AS window_start FROM k),
 agg AS (SELECT window_start, topic_key, count(*) AS mention_count, count(*) FILTER (WHERE k = 3) AS recent_mention_count, count(*) FILTER (WHERE k < 3) AS prior_mention_count, count(DISTINCT source_id) AS source_count FROM w GROUP BY 1, 2)
-SELECT *, {STATE} AS signal_state FROM agg WHERE mention_count >= 2 AND source_count >= 2 AND recent_mention_count > 0""")
+SELECT *, {STATE} AS signal_state FROM agg WHERE mention_count >= 2 AND source_count >= 2 AND recent_mention_count > 0 AND window_start + INTERVAL 48 HOUR <= (SELECT max(published_at) FROM items) - INTERVAL 5 MINUTE""")
 def _(spark, sf):
+    """Windows that the watermark has passed once all is read, each told once."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     counted = streams.trend_stream(items_of(stream(spark, sf, "documents"))).select(F.col("window.start").alias("window_start"), *COUNTED)
-    write = lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out")
-    counted.writeStream.trigger(availableNow=True).outputMode("complete").option("checkpointLocation", f"{base}/state").foreachBatch(write).start().awaitTermination()
+    counted.writeStream.trigger(availableNow=True).outputMode("append").option("checkpointLocation", f"{base}/state").format("parquet").start(f"{base}/out").awaitTermination()
     return spark.read.schema(counted.schema).parquet(f"{base}/out")

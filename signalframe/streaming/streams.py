@@ -2,27 +2,102 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from signalframe.operators.trends import topic_tokens, with_state
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_LONGS = ("events", "arrivals", "out_of_order")
+_TOTALS = StructType([*[StructField(c, LongType()) for c in _LONGS], StructField("last", StringType()), StructField("gap", BooleanType()), StructField("gap_now", BooleanType())])
+_SEEN = StructType([StructField("item", StringType()), StructField("version", StringType())])
+
 
 def replay_dedup_stream(events: DataFrame, at: str = "ts", delay: str = "1 hour") -> DataFrame:
     """The first event of each (item_id, version_id) within the watermark; state is dropped as it passes."""
     return events.withWatermark(at, delay).dropDuplicatesWithinWatermark(["item_id", "version_id"])
 
 
+class _Replay(StatefulProcessor):
+    """Per group: totals, and each (item, version) seen with the time after which it is forgotten."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.totals = handle.getValueState("totals", _TOTALS)
+        self.seen = handle.getMapState("seen", _SEEN, StructType([StructField("until", LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True)
+        arrival = [tuple(v.values()) if isinstance(v, dict) else v for v in batch["sequence_order"]]
+        batch = batch.iloc[sorted(range(len(batch)), key=arrival.__getitem__)]
+        held = self.totals.get() if self.totals.exists() else (0, 0, 0, None, False, False)
+        events, arrivals, out_of_order, last, gap, _ = held
+        last, gap_now = None if last is None else int(last), bool(batch["cursor_gap"].fillna(False).any())
+        known = {k: v[0] for k, v in self.seen.iterator()}
+        fresh = {}
+        for item, version, sequence, ms in zip(batch["item_id"], batch["version_id"], batch["sequence"].tolist(), batch["at_ms"].tolist()):
+            name, until = (item, version), ms + self.keep_ms
+            arrivals += name not in known
+            known[name] = fresh[name] = max(known.get(name, until), until)
+            out_of_order += last is not None and sequence < last
+            last = sequence
+        for name, until in fresh.items():
+            self.seen.updateValue(name, (until,))
+            self.handle.registerTimer(until)
+        events += len(batch)
+        self.totals.update((events, arrivals, out_of_order, str(last), gap or gap_now, gap_now))
+        yield self._row(key, events, arrivals, out_of_order, gap or gap_now, gap_now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        for name in [k for k, v in self.seen.iterator() if v[0] <= at]:
+            self.seen.removeKey(name)
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _row(key, events: int, arrivals: int, out_of_order: int, gap: bool, gap_now: bool) -> pd.DataFrame:
+        status = lambda g: "COLLECTION_MISSING" if g else None
+        return pd.DataFrame({"group": [str(key[0])], "events": [events], "arrivals": [arrivals], "suppressed": [events - arrivals], "watermark_reason": [status(gap)], "watermark_status": [status(gap_now) or "healthy"], "out_of_order": [out_of_order]})
+
+
+REPLAYED = "group string, events long, arrivals long, suppressed long, watermark_reason string, watermark_status string, out_of_order long"
+
+
+def replay_status_stream(events: DataFrame, group: str, order: str = "arrival_order", at: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """Totals of ``replay_dedup`` per group as they stand after each batch, a row for every group that got events.
+
+    Keyed state of our own: the totals, the last sequence number, whether any batch had a cursor gap, and every (item,
+    version) with the event time until which its repeats are suppressed. A timer at that time drops it when the watermark
+    passes, so the state holds totals and what was seen within ``delay`` of it. ``watermark_status`` follows the last batch,
+    as a source that is whole again is healthy; ``watermark_reason`` stays. Needs the RocksDB state store.
+    """
+    keep_ms = int(pd.Timedelta(delay).total_seconds() * 1000)
+    rows = events.withWatermark(at, delay).select(
+        F.col(group).cast("string").alias("group"), at, F.col("item_id").cast("string").alias("item_id"), F.col("version_id").cast("string").alias("version_id"), F.col("sequence").cast("long").alias("sequence"),
+        F.col(order).alias("sequence_order"), F.col("cursor_gap").alias("cursor_gap"), F.unix_millis(F.col(at).cast("timestamp")).alias("at_ms"))
+    return rows.groupBy("group").transformWithStateInPandas(_Replay(keep_ms), StructType.fromDDL(REPLAYED), "update", "EventTime")
+
+
 def trend_stream(items: DataFrame, window: str = "48 hours", slide: str = "12 hours", delay: str = "5 minutes", recent_hours: int = 12, mentions: int = 2, sources: int = 2) -> DataFrame:
     """Topics in sliding windows with the counts, thresholds and states of the batch; recent is the window's last hours.
 
-    Sources are exact: the state of a window's topic holds its distinct source ids, of which there are as many as sources
-    registered.
+    Two aggregations in a row, both kept by window: mentions per source, then sources per topic. In append mode a window is
+    told once, when the watermark passes its end, and leaves both states; no state holds a list.
     """
     named = topic_tokens(items.withWatermark("published_at", delay)).withColumn("window", F.window("published_at", window, slide))
     recent = F.unix_timestamp("published_at") >= F.unix_timestamp(F.col("window.end")) - recent_hours * 3600
-    counted = named.groupBy("window", "topic_key").agg(
-        F.count("*").alias("mention_count"), F.count_if(recent).alias("recent_mention_count"), F.count_if(~recent).alias("prior_mention_count"),
-        F.size(F.collect_set("source_id")).cast("long").alias("source_count"),
-    )
+    per_source = named.groupBy("window", "topic_key", "source_id").agg(F.count_if(recent).alias("r"), F.count_if(~recent).alias("p"))
+    counted = per_source.groupBy("window", "topic_key").agg(F.sum("r").alias("recent_mention_count"), F.sum("p").alias("prior_mention_count"), F.count("source_id").alias("source_count"))
+    counted = counted.withColumn("mention_count", F.col("recent_mention_count") + F.col("prior_mention_count"))
     return with_state(counted.where((F.col("mention_count") >= mentions) & (F.col("source_count") >= sources) & (F.col("recent_mention_count") > 0)))

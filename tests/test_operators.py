@@ -255,17 +255,62 @@ def test_catalog_closes(spark):
 def test_streams(spark, tmp_path):
     events = spark.createDataFrame([(1, 1, 10), (1, 1, 20), (1, 2, 30), (2, 1, 40)], "item_id int, version_id int, s long").withColumn("ts", F.timestamp_seconds("s"))
     rows = [(f"k{i}", s, s, "en", "R", "quantum battery", "", f"u{i}", None, None) for i, s in enumerate("aabc")]
-    topics = spark.createDataFrame(rows, ITEM).withColumn("published_at", F.lit("2024-01-02 10:00:00").cast("timestamp"))
+    rows.append(("later", "z", "z", "en", "R", "something else", "", "u", None, None))  # closes the windows
+    at = F.when(F.col("item_key") == "later", "2024-01-09 10:00:00").otherwise("2024-01-02 10:00:00")
+    topics = spark.createDataFrame(rows, ITEM).withColumn("published_at", at.cast("timestamp"))
     for name, df, query in (("events", events, streams.replay_dedup_stream), ("topics", topics, streams.trend_stream)):
         df.write.parquet(f"file://{tmp_path}/{name}")
         out = query(spark.readStream.schema(df.schema).parquet(f"file://{tmp_path}/{name}"))
-        mode = "append" if name == "events" else "update"
-        out.writeStream.format("memory").queryName(f"s_{name}").outputMode(mode).option("checkpointLocation", f"file://{tmp_path}/c_{name}").trigger(availableNow=True).start().awaitTermination(120)
+        out.writeStream.format("memory").queryName(f"s_{name}").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/c_{name}").trigger(availableNow=True).start().awaitTermination(120)
     assert {(r.item_id, r.version_id) for r in spark.table("s_events").collect()} == {(1, 1), (1, 2), (2, 1)} and spark.table("s_events").count() == 3
     got = [(r.mention_count, r.recent_mention_count, r.prior_mention_count, r.source_count, r.signal_state) for r in spark.table("s_topics").where("topic_key = 'en:quantum battery'").collect()]
     assert got == [(4, 4, 0, 3, "new")]  # recent in one of the four windows
 
 
+def run_by_file(spark, query, rows, tmp_path, name, mode="append"):
+    """Each of ``rows`` (tables in order of time) as a file and a batch; the query's progress per batch."""
+    for i, df in enumerate(rows):
+        df.coalesce(1).write.parquet(f"file://{tmp_path}/{name}/part={i:03d}")
+    source = spark.readStream.schema(rows[0].schema).option("maxFilesPerTrigger", 1).parquet(*[f"file://{tmp_path}/{name}/part=*"])
+    done = query(source).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"file://{tmp_path}/c_{name}").start()
+    done.processAllAvailable()
+    progress = [p for p in done.recentProgress]
+    done.stop()
+    return progress
+
+
+def test_replay_status_stream_keeps_gaps_and_forgets_keys(spark, tmp_path):
+    schema = "ts timestamp, source string, item_id string, version_id string, sequence long, cursor_gap boolean, arrival_order long"
+    made = [("2024-01-01 00:00:00", "a", "i1", "v1", 5, False), ("2024-01-01 00:10:00", "a", "i1", "v1", 4, None), ("2024-01-01 00:20:00", "b", "i1", "v1", 1, False),
+            ("2024-01-01 00:30:00", "a", "i2", "v1", 9, True), ("2024-01-01 05:00:00", "a", "i3", "v1", 10, False), ("2024-01-01 10:00:00", "b", "i9", "v1", 2, False), ("2024-01-01 15:00:00", "b", "i9", "v2", 2, False)]
+    every = spark.createDataFrame([(*r, i) for i, r in enumerate(made)], schema.replace("ts timestamp", "ts string")).withColumn("ts", F.col("ts").cast("timestamp"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    try:
+        progress = run_by_file(spark, lambda df: streams.replay_status_stream(df, "source"), [every.where(F.col("arrival_order") == i) for i in range(len(made))], tmp_path, "replayed", "update")
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    rows = spark.table("replayed").collect()
+    last = {g: max((r for r in rows if r.group == g), key=lambda r: r.events) for g in "ab"}
+    batch = {r.source: r for r in temporal.replay_dedup(every, "source").collect()}
+    for g in "ab":
+        assert (last[g].arrivals, last[g].suppressed, last[g].watermark_reason, last[g].out_of_order) == (batch[g].arrivals, batch[g].suppressed, batch[g].watermark_reason, batch[g].out_of_order)
+    assert last["a"].watermark_reason == "COLLECTION_MISSING" and last["a"].watermark_status == "healthy" and last["b"].watermark_reason is None
+    assert any(r.group == "a" and r.watermark_status == "COLLECTION_MISSING" for r in rows)
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+    assert held[-1] < max(held), held
+
+
+def test_trend_stream_tells_each_window_once_and_drops_it(spark, tmp_path):
+    at = lambda h: spark.createDataFrame([(f"k{h}{s}", s, s, "en", "R", f"quantum battery number{h}", "", f"u{h}{s}", h) for s in "ab"], ITEM.replace("published_at timestamp, fetched_at timestamp", "h int")).withColumn("published_at", F.timestamp_seconds(F.lit(1704067200) + F.col("h") * 3600)).withColumn("fetched_at", F.col("published_at")).drop("h")
+    progress = run_by_file(spark, streams.trend_stream, [at(h) for h in range(0, 120, 6)], tmp_path, "topics_by_file")
+    rows = spark.table("topics_by_file").where("topic_key = 'en:quantum battery'").collect()
+    starts = [r.window.start for r in rows]
+    assert len(starts) == len(set(starts)) and len(starts) >= 4
+    assert {r.mention_count for r in rows} == {4, 8, 12, 16}
+    held = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in progress if p["stateOperators"]]
+    assert max(held[len(held) // 2 :]) <= 1.2 * max(held[: len(held) // 2]) and sum(o["numRowsRemoved"] for p in progress for o in p["stateOperators"]) > 0
+
+
 def test_source_registry(spark, tmp_path):
     path = tmp_path / "sources.json"
     path.write_text('{"sources": [{"id": "a", "url": "u1"}, {"id": "b", "url": "u2", "enabled": false}, {"id": "c", "url": "u3", "enabled": true}]}')
