@@ -2,24 +2,80 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+
+SLICES, SLICE_ROWS = 64, 1 << 22
 
 
 def window_assign(events: DataFrame, windows: DataFrame, at: str = "ts") -> DataFrame:
-    """Each event with the half-open window that holds it (window_id, window_end) and how many do (matches, 0 to many).
+    """Each event with how many half-open windows hold it (matches), the least window_id and the latest end of them.
 
-    Windows are put together by day, so an event meets one row with the few windows of its day and stays one row, however
-    often it repeats; events are not shuffled while the windows' table is small enough for Spark to broadcast.
+    A sweep over time: starts, ends and events go through one sort, in slices of time cut at the events' quantiles; a
+    slice with many events is dealt out further, and each part gets the windows that reach into it, so a long window
+    costs a row a slice, never a row a day. A task holds the windows that are open at one time. A null start or end leaves
+    the window open there (an open end gives a null window_end); a window that ends before it begins holds nothing; an
+    event without time is held by none.
     """
-    day = lambda c: F.floor(F.unix_timestamp(c) / 86400)
-    days = windows.select(F.struct(F.col("id").alias("window_id"), "start", "end").alias("w"), F.explode(F.sequence(day(F.col("start")), day(F.col("end")))).alias("window day"))
-    days = days.groupBy("window day").agg(F.collect_list("w").alias("windows of the day"))
-    joined = events.join(days, day(F.col(at)) == F.col("window day"), "left")
-    held = F.filter(F.coalesce("windows of the day", F.array()), lambda w: (w["start"] <= F.col(at)) & (F.col(at) < w["end"]))
-    found = joined.withColumn("windows of the day", held)
-    of = lambda field: F.transform("windows of the day", lambda w: w[field])
-    return found.select(*events.columns, F.array_min(of("window_id")).alias("window_id"), F.array_max(of("end")).alias("window_end"), F.size("windows of the day").cast("long").alias("matches"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    shares = [i / SLICES for i in range(1, SLICES)]
+    row = events.agg(F.percentile_approx(micros(at), shares, 1000).alias("cuts")).first()
+    cuts = sorted(set(row["cuts"] or []))
+    place = lambda t: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= t)) if cuts else F.lit(0)
+    held = events.select(F.struct(*events.columns).alias("event"), micros(at).alias("at")).withColumn("slice", F.when(F.col("at").isNotNull(), place(F.col("at"))).otherwise(0))
+    sizes = {r["slice"]: r["n"] for r in held.groupBy("slice").agg(F.count("*").alias("n")).collect()}  # SLICES rows
+    parts = F.coalesce(*[F.when(F.col("slice") == k, -(-n // SLICE_ROWS)) for k, n in sizes.items() if n > SLICE_ROWS], F.lit(1))
+    held = held.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts))
+    known = windows.select(F.col("id").alias("window_id"), micros("start").alias("begin"), micros("end").alias("until"), "end").where("begin is null or until is null or begin < until")
+    span = F.sequence(F.when(F.col("begin").isNull(), 0).otherwise(place(F.col("begin"))), F.when(F.col("until").isNull(), len(cuts)).otherwise(place(F.col("until"))))
+    sliced = known.withColumn("slice", F.explode(span)).withColumn("part", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
+    kind = lambda k: F.lit(k).alias("kind")  # noqa: E731  at one time ends come first, then starts, then events
+    none = lambda name, of: F.lit(None).cast(of.schema[name].dataType).alias(name)
+    of = ["window_id", "until", "end"]
+    starts = sliced.select("slice", "part", F.coalesce("begin", F.lit(-(2**63) + 1)).alias("at"), kind(1), *of, none("event", held))
+    ends = sliced.where("until is not null").select("slice", "part", F.col("until").alias("at"), kind(0), *of, none("event", held))
+    marks = held.select("slice", F.col("part").cast("int").alias("part"), "at", kind(2), *[none(c, known) for c in of], "event")
+    dealt = starts.unionByName(ends).unionByName(marks).repartition("slice", "part").sortWithinPartitions("slice", "part", "at", "kind")
+    swept = dealt.mapInArrow(_sweep, StructType([StructField("event", held.schema["event"].dataType), StructField("window_id", known.schema["window_id"].dataType), StructField("window_end", known.schema["end"].dataType), StructField("matches", LongType())]))
+    return swept.select(*[F.col("event")[c].alias(c) for c in events.columns], "window_id", "window_end", "matches")
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of time, with the windows open then as two heaps whose closed entries are dropped when they come up."""
+    place, open_now, by_id, by_end = None, 0, [], []
+    for batch in batches:
+        get = lambda name: batch.column(batch.schema.get_field_index(name))
+        kinds, at = get("kind").to_numpy(), get("at").to_pylist()
+        keys = list(zip(get("slice").to_pylist(), get("part").to_pylist()))
+        ids, untils, ends = get("window_id").to_pylist(), get("until").to_pylist(), get("end")
+        taken, first, last, count = np.flatnonzero(kinds == 2), [], [], []
+        for i, kind in enumerate(kinds.tolist()):
+            if keys[i] != place:
+                place, open_now, by_id, by_end = keys[i], 0, [], []
+            if kind == 1:
+                until = 2**63 if untils[i] is None else untils[i]
+                heapq.heappush(by_id, (ids[i], until))
+                heapq.heappush(by_end, (-until, ends[i].as_py()))
+                open_now += 1
+            elif kind == 0:
+                open_now -= open_now > 0
+            else:
+                now = at[i]
+                while by_id and now is not None and by_id[0][1] <= now:
+                    heapq.heappop(by_id)
+                some = open_now > 0 and now is not None
+                first.append(by_id[0][0] if some else None)
+                last.append(by_end[0][1] if some else None)
+                count.append(open_now if some else 0)
+        events = get("event").take(pa.array(taken))
+        yield pa.RecordBatch.from_arrays([events, pa.array(first, batch.schema.field("window_id").type), pa.array(last, batch.schema.field("end").type), pa.array(count, pa.int64())], ["event", "window_id", "window_end", "matches"])
 
 
 def windows_validate(windows: DataFrame, contiguous: bool = False) -> DataFrame:

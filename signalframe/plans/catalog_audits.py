@@ -195,9 +195,19 @@ def _(spark, sf):
 
 
 # ---- time
-@op("window_assign", "SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-25' THEN CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 259200) AS BIGINT) END AS window_id, CASE WHEN ts < TIMESTAMP '2024-01-25' THEN 1 ELSE 0 END::BIGINT AS matches FROM events")
+SPANS = """w AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 50 > 0 THEN TIMESTAMP '2024-01-01' + to_hours(CAST(o_orderkey % 700 AS INTEGER)) END AS b,
+  CASE WHEN o_orderkey % 60 > 0 THEN TIMESTAMP '2024-01-01' + to_hours(CAST(o_orderkey % 700 + o_custkey % 40 - 2 AS INTEGER)) END AS e FROM orders WHERE o_orderstatus = 'P')"""
+
+
+@op("window_assign", f"""WITH {SPANS}, m AS (SELECT event_id, min(id) AS window_id, max(coalesce(e, TIMESTAMP '2200-01-01')) AS window_end, count(*) AS matches FROM events JOIN w ON (b IS NULL OR b <= ts) AND (e IS NULL OR ts < e) AND (b IS NULL OR e IS NULL OR b < e) GROUP BY 1)
+SELECT event_id, window_id, CASE WHEN window_end < TIMESTAMP '2200-01-01' THEN window_end END AS window_end, coalesce(matches, 0) AS matches FROM events LEFT JOIN m USING (event_id)""")
 def _(spark, sf):
-    return temporal.window_assign(table(spark, sf, "events"), _windows(spark).where("id < 8")).select("event_id", "window_id", "matches")
+    """Windows that overlap, that are open on either side, and that hold nothing."""
+    k, base = F.col("o_orderkey"), F.unix_timestamp(ts("2024-01-01"))
+    begin = F.when(k % 50 > 0, F.timestamp_seconds(base + k % 700 * 3600))
+    until = F.when(k % 60 > 0, F.timestamp_seconds(base + (k % 700 + F.col("o_custkey") % 40 - 2) * 3600))
+    spans = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(k.alias("id"), begin.alias("start"), until.alias("end"))
+    return temporal.window_assign(table(spark, sf, "events"), spans).select("event_id", "window_id", "window_end", "matches")
 
 
 def _windows(spark):
