@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,6 +166,53 @@ def check_rules(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     return df.select(key, F.explode(broken).alias("rule"))
 
 
+class Rule(NamedTuple):
+    """A row of the rule table: what must hold of each row of ``table``, as an expression over its columns."""
+
+    table: str
+    name: str
+    holds: str
+
+
+def _together(names: str, also: str = "true") -> str:
+    """All of the named columns are there, or none is; then ``also``."""
+    first, *rest = names.split()
+    return " AND ".join([*(f"(({first} IS NULL) = ({n} IS NULL))" for n in rest), f"coalesce({also}, true)"])
+
+
+# Names of columns and the values that they allow.
+RULES = (
+    Rule("event", "valid_time", "valid_time_status IN ('known', 'unknown', 'not_applicable') AND (valid_time_status = 'known') = (valid_effective_at IS NOT NULL)"),
+    Rule("event", "author", "actor_id IS NOT NULL OR rule_record_id IS NOT NULL"),
+    Rule("event", "actor_whole", _together("actor_id actor_kind actor_type", "trim(actor_type) <> ''")),
+    Rule("event", "rule_record_whole", _together("rule_record_id rule_record_kind rule_record_type", "trim(rule_record_type) <> '' AND rule_record_kind = 'record'")),
+    Rule("item_version", "observed_before_available", "version_observed_at <= version_available_at"),
+    Rule("item_version", "seen_before_observed", "item_first_seen_at <= version_observed_at"),
+    Rule("item_version", "predecessor", "version_ordinal >= 1 AND (version_ordinal = 1) = (previous_version_id IS NULL)"),
+    Rule("item_version", "content_hash_hex", "content_hash RLIKE '^[0-9a-f]{64}$'"),
+    Rule("decision", "member_of_selected", "(decision = 'selected') = (selected_member_kind IS NOT NULL) AND (decision = 'selected') = (selected_member_key IS NOT NULL)"),
+    Rule("snapshot", "revision_positive", "revision IS NOT NULL AND revision > 0"),
+    Rule("snapshot", "rights_epoch_positive", "rights_epoch IS NOT NULL AND rights_epoch > 0"),
+    Rule("snapshot", "status", "snapshot_status IS NOT NULL AND snapshot_status IN ('published', 'recomputing', 'unavailable')"),
+    Rule("snapshot", "filled", "comparison_watermark IS NOT NULL AND method_epoch IS NOT NULL AND render_plan_hash IS NOT NULL"),
+)
+
+
+def broken_rules(tables: dict[str, tuple[DataFrame, str]], rules: Iterable[Rule] = RULES) -> DataFrame:
+    """(table_name, key, rule) of every row that breaks a rule; each table, given with its key, is scanned once for all of its.
+
+    A rule that is null holds, as in CHECK. Tables without a rule, and rules of tables that are not given, are left out.
+    """
+    found = []
+    for name, (df, key) in tables.items():
+        mine = {r.name: F.expr(r.holds) for r in rules if r.table == name}
+        if mine:
+            found.append(check_rules(df.withColumn("rule key", F.col(key).cast("string")), "rule key", mine).select(F.lit(name).alias("table_name"), F.col("rule key").alias("key"), "rule"))
+    if not found:
+        raise ValueError("no rule of any of these tables")
+    return reduce(DataFrame.unionByName, found)
+
+
 def causal_edges(edges: DataFrame, events: DataFrame) -> DataFrame:
     e = lambda p: events.select(F.col("event_id").alias(f"{p}_id"), F.col("available_at").alias(f"{p}_at"), F.col("domain").alias(f"{p}_domain"), F.col("sequence").alias(f"{p}_seq"))
     j = edges.join(e("child"), F.col("event_id") == F.col("child_id")).join(e("parent"), F.col("parent_event_id") == F.col("parent_id"))

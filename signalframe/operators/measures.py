@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +14,27 @@ def velocity(counts: DataFrame, series: str, bucket: str, n: str) -> DataFrame:
     return first.withColumn("acceleration", F.col("velocity") - F.lag("velocity").over(w))
 
 
-def cusum(counts: DataFrame, series: str, bucket: str, n: str) -> DataFrame:
-    """Running sum of deviations from the series' mean."""
-    mean = F.avg(n).over(Window.partitionBy(series))
-    return counts.withColumn("off", F.col(n) - mean).withColumn("cusum", F.sum("off").over(Window.partitionBy(series).orderBy(bucket)))
+def cusum(counts: DataFrame, series: str, bucket: str, n: str, slack: float = 0.5, limit: float = 4.0) -> DataFrame:
+    """Two-sided change points per series: ``up``, ``down``, ``alarm`` (UP or DOWN beyond ``limit``) and ``change_start``.
+
+    In standard deviations of the series from its mean, less ``slack``. A side's sum, set back to 0 whenever it falls below,
+    equals the running sum less its running minimum (0 included), so windows say it without a loop. A change starts in the
+    bucket after the last one at 0. A series without spread has sums of 0.
+    """
+    whole, upto = Window.partitionBy(series), Window.partitionBy(series).orderBy(bucket)
+    spread = F.stddev_pop(n).over(whole)
+    z = F.when(spread > 0, F.round((F.col(n) - F.avg(n).over(whole)) / spread, 9)).otherwise(F.lit(0.0))
+    out = counts.withColumn("z", z).withColumn("place", F.row_number().over(upto))
+    for side, sign in (("up", 1), ("down", -1)):
+        out = out.withColumn("sum", F.sum(sign * F.col("z") - slack).over(upto))
+        out = out.withColumn(side, F.round(F.col("sum") - F.least(F.min("sum").over(upto), F.lit(0.0)), 6) + 0.0)
+        rest = F.coalesce(F.max(F.when(F.col(side) == 0, F.col("place"))).over(upto), F.lit(0))
+        out = out.withColumn("rest", rest)
+        first = F.min(F.when(F.col("place") > F.col("rest"), F.struct("place", F.col(bucket).alias("b")))).over(Window.partitionBy(series, "rest"))
+        out = out.withColumn(f"{side}_start", F.when(F.col(side) > 0, first["b"]))
+    rose, fell = F.col("up") > limit, F.col("down") > limit
+    out = out.withColumn("alarm", F.when(rose, "UP").when(fell, "DOWN")).withColumn("change_start", F.when(rose, F.col("up_start")).when(fell, F.col("down_start")))
+    return out.drop("z", "place", "sum", "rest", "up_start", "down_start")
 
 
 def medians(rows: DataFrame, group: str, value: str, name: str) -> DataFrame:
@@ -28,11 +47,71 @@ def medians(rows: DataFrame, group: str, value: str, name: str) -> DataFrame:
     return upto.groupBy(group).agg(((low + high) / 2).alias(name))
 
 
-def spike_robust(counts: DataFrame, series: str, n: str) -> DataFrame:
-    """(x - median) / MAD per series; null where the MAD is 0."""
-    off = counts.join(medians(counts, series, n, "median"), series).withColumn("off", F.abs(F.col(n) - F.col("median")))
-    out = off.join(medians(off, series, "off", "mad"), series)
-    return out.withColumn("robust_z", F.when(F.col("mad") > 0, (F.col(n) - F.col("median")) / F.col("mad")))
+def hourly(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """The lowest level of all scales: counts per key and hour (hours since 1970). All wider windows are sums of these."""
+    return rows.where(F.col(at).isNotNull()).groupBy(key, F.floor(F.unix_timestamp(at) / 3600).alias("hour")).agg(F.count("*").alias("n"))
+
+
+def array_median(values: Column) -> Column:
+    """The mean of the two middle values of a short array; null if it is empty."""
+    ordered, size = F.array_sort(values), F.size(values)
+    at = lambda i: F.get(ordered, F.floor(i).cast("int"))
+    return F.when(size > 0, (at((size - 1) / 2) + at(size / 2)) / 2)
+
+
+def _against(rows: DataFrame, now: Column) -> DataFrame:
+    """median, mad and robust_z of ``now`` against the array ``past``; robust_z is null where the MAD is 0 or there is no past."""
+    out = rows.withColumn("median", array_median(F.col("past")))
+    out = out.withColumn("mad", array_median(F.transform("past", lambda x: F.abs(x - F.col("median")))))
+    return out.withColumn("robust_z", F.when(F.col("mad") > 0, (now - F.col("median")) / F.col("mad")))
+
+
+def spike_robust(counts: DataFrame, series: str, days: int = 14) -> DataFrame:
+    """Each hour's count against the same hour of the ``days`` days before: baselines, median, mad, robust_z.
+
+    ``counts`` is of ``hourly``. An hour without a row counted 0, as long as anything at all was counted before it; earlier
+    days are no baseline. No list is longer than ``days``.
+    """
+    slot = Window.partitionBy(series, F.col("hour") % 24).orderBy("hour").rangeBetween(-24 * days, -24)
+    first = counts.agg(F.min("hour")).first()[0]
+    out = counts.withColumn("past", F.collect_list("n").over(slot)).withColumn("baselines", F.least(F.lit(days), F.floor((F.col("hour") - F.lit(first)) / 24)).cast("long"))
+    out = out.withColumn("past", F.concat("past", F.array_repeat(F.lit(0).cast("long"), F.greatest(F.col("baselines") - F.size("past"), F.lit(0)).cast("int"))))
+    return _against(out, F.col("n")).drop("past")
+
+
+class Scale(NamedTuple):
+    """A window of so many hours, compared with ``past`` windows that lie ``step`` hours apart."""
+
+    hours: int
+    step: int
+    past: int
+
+
+# The five scales with their baselines (same hour of 14 days, same weekday of 28 days, 13 weeks, 12 months).
+SCALES = (Scale(1, 24, 14), Scale(6, 24, 14), Scale(24, 168, 4), Scale(168, 168, 13), Scale(672, 672, 12))
+
+
+def multi_scale(counts: DataFrame, series: str, end: Column, scales: tuple[Scale, ...] = SCALES) -> DataFrame:
+    """Per series and scale the current window's count and its own baselines: a row each, also where nothing was counted.
+
+    ``counts`` is of ``hourly`` and read once: an hour belongs to one window of a scale at most, so hours go up to windows in
+    one aggregation of all scales. A baseline counts if its whole window lies after the first hour counted at all.
+    """
+    age = (F.floor(F.unix_timestamp(end) / 3600) - F.col("hour")).alias("age")
+    aged = counts.select(series, age, "n").where("age > 0")
+    oldest = counts.select(age).agg(F.max("age")).first()[0] or 0
+    which = F.explode(F.array(*[F.struct(F.lit(s.hours).alias("hours"), F.lit(s.step).alias("step"), F.lit(s.past).alias("past")) for s in scales]))
+    rows = counts.select(series).distinct().select(series, which.alias("of scale")).select(series, "`of scale`.hours", "`of scale`.past")
+    placed = aged.select(series, "age", "n", which.alias("of scale")).withColumn("windows back", F.floor((F.col("age") - 1) / F.col("`of scale`.step")).cast("int"))
+    inside = placed.where((F.col("windows back") <= F.col("`of scale`.past")) & ((F.col("age") - 1) % F.col("`of scale`.step") < F.col("`of scale`.hours")))
+    sums = inside.groupBy(series, F.col("`of scale`.hours").alias("hours"), "windows back").agg(F.sum("n").alias("n")).groupBy(series, "hours").agg(F.map_from_entries(F.collect_list(F.struct("windows back", "n"))).alias("by"))
+    step = F.coalesce(*[F.when(F.col("hours") == s.hours, s.step) for s in scales])
+    baselines = F.least(F.col("past"), F.greatest(F.floor((F.lit(oldest) - F.col("hours")) / step), F.lit(0))).cast("int")
+    value = lambda k: F.coalesce(F.try_element_at("by", k), F.lit(0).cast("long"))
+    out = rows.join(sums, [series, "hours"], "left").withColumn("by", F.coalesce("by", F.map_from_entries(F.array().cast("array<struct<k:int,n:bigint>>")))).withColumn("wanted", F.col("past")).withColumn("baselines", baselines)
+    out = out.withColumn("current", value(F.lit(0))).withColumn("past", F.when(F.col("baselines") > 0, F.transform(F.sequence(F.lit(1), F.col("baselines")), value)).otherwise(F.array().cast("array<bigint>")))
+    out = _against(out, F.col("current")).withColumn("status", F.when(F.col("baselines") == F.col("wanted"), "ready").otherwise("warming"))
+    return out.select(series, "hours", "current", F.col("baselines").cast("long").alias("baselines"), "median", "mad", "robust_z", "status")
 
 
 def decline(counts: DataFrame, series: str, bucket: str, n: str, least: int) -> DataFrame:
@@ -48,11 +127,6 @@ def first_seen(rows: DataFrame, key: str, at: str, gap_seconds: int) -> DataFram
     return rows.groupBy(key).agg(F.min(at).alias("first_at"), F.max(at).alias("last_at")).withColumn("recurred", F.unix_timestamp("last_at") - F.unix_timestamp("first_at") >= gap_seconds)
 
 
-def multi_scale(rows: DataFrame, key: str, at: str, end: Column, hours: list[int]) -> DataFrame:
-    age = F.unix_timestamp(end) - F.unix_timestamp(at)
-    return rows.groupBy(key).agg(*[F.count_if((age >= 0) & (age < h * 3600)).alias(f"h{h}") for h in hours])
-
-
 def diffusion_layers(rows: DataFrame, key: str, layer: str, at: str) -> DataFrame:
     """Per key: distinct layers, when the last new one came, entropy of their shares."""
     n = rows.groupBy(key, layer).agg(F.count("*").alias("c"), F.min(at).alias("since"))
@@ -60,9 +134,28 @@ def diffusion_layers(rows: DataFrame, key: str, layer: str, at: str) -> DataFram
     return p.groupBy(key).agg(F.count("*").alias("layers"), F.max("since").alias("newest"), F.round(F.sum(-F.col("p") * F.ln("p")), 9).alias("entropy"))
 
 
-def relation_break(pairs: DataFrame, key: str, before: Column, a: str, b: str, drop: float) -> DataFrame:
-    out = pairs.groupBy(key).agg(F.corr(F.when(before, F.col(a)), F.when(before, F.col(b))).alias("was"), F.corr(F.when(~before, F.col(a)), F.when(~before, F.col(b))).alias("now"))
-    return out.withColumn("broken", F.abs(F.col("was") - F.col("now")) > drop)
+def relation_break(rows: DataFrame, key: str, bucket: str, a: str, b: str, buckets: int, spreads: float = 3.0, least: int = 8) -> DataFrame:
+    """Rolling correlation of a and b over ``buckets`` whole buckets, against the history of such correlations.
+
+    Rows go into six moment sums per bucket once; a window's correlation is a function of the running sums, so no row is
+    read twice. History is of windows that share no bucket with this one: ``was`` its mean, ``spread`` its deviation.
+    ``status`` is broken beyond ``spreads`` deviations, warming below ``least`` earlier correlations or without one now.
+    """
+    both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    shift = both.groupBy(key).agg(F.avg(a).alias("ma"), F.avg(b).alias("mb"))  # about the means, so that no sum cancels
+    x, y = F.col(a) - F.col("ma"), F.col(b) - F.col("mb")
+    moments = {"n": F.lit(1), "x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}
+    sums = both.join(shift, key).groupBy(key, bucket).agg(*[F.sum(v).alias(k) for k, v in moments.items()])
+    recent = Window.partitionBy(key).orderBy(bucket).rangeBetween(1 - buckets, 0)
+    rolled = sums.select(key, bucket, *[F.sum(k).over(recent).alias(k) for k in moments])
+    c = F.col
+    over = c("n") * c("xy") - c("x") * c("y")
+    under = F.sqrt(F.greatest((c("n") * c("xx") - c("x") * c("x")) * (c("n") * c("yy") - c("y") * c("y")), F.lit(0.0)))
+    rolled = rolled.withColumn("now", F.when(under > 0, over / under))
+    before = Window.partitionBy(key).orderBy(bucket).rangeBetween(Window.unboundedPreceding, -buckets)
+    out = rolled.withColumns({"past": F.count("now").over(before), "was": F.avg("now").over(before), "spread": F.stddev_samp("now").over(before)})
+    status = F.when((c("past") < least) | c("now").isNull(), "warming").when(F.abs(c("now") - c("was")) > spreads * c("spread"), "broken").otherwise("holds")
+    return out.select(key, bucket, "n", "now", "was", "spread", status.alias("status"))
 
 
 def stratum_deficit(rows: DataFrame, stratum: str, targets: dict[str, float]) -> DataFrame:

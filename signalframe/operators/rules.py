@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
+from signalframe.functions.canonical import canonical_json
 from signalframe.functions.text import uuid5
 
 # Claims each purpose requires.
@@ -188,23 +190,42 @@ def signal_allocation(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("error", code)
 
 
-def revocation_set_hash(domains: dict[str, Column], epochs: Column) -> Column:
-    """sha256 of the JSON of the three domains and ``epochs`` (a map), keys sorted; null where a domain is null."""
-    missing = {"personal", "global", "rights"} - set(domains)
+# The domains that a set must have, in the order of their names.
+DOMAINS = ("global", "personal", "rights")
+
+
+def revocation_set_hash(rows: DataFrame, domains: dict[str, str], epochs: str) -> Column:
+    """sha256 of the canonical JSON of the three domains, by name, and then the epochs; for ``select`` on ``rows``.
+
+    ``domains`` names a column for each of DOMAINS, ``epochs`` another; all may be nested to any depth, and keys in another
+    order give the same hash. A missing domain is a ValueError; a null one is ``null``, as a value is.
+    """
+    missing = set(DOMAINS) - set(domains)
     if missing:
-        raise ValueError(f"domains missing: {sorted(missing)}")
-    keys = F.map_from_entries(F.array_sort(F.map_entries(epochs)))
-    inside = [domains[d].alias(d) for d in ("personal", "global", "rights")]
-    whole = F.to_json(F.struct(*inside, keys.alias("epochs")), {"ignoreNullFields": "false"})
-    known = domains["personal"].isNotNull() & domains["global"].isNotNull() & domains["rights"].isNotNull()
-    return F.when(known, F.sha2(whole, 256))
+        raise ValueError(f"revocation dependency domains missing: {sorted(missing)}")
+    part = lambda name, column: F.concat(F.lit(f'"{name}":'), canonical_json(F.col(column), rows.schema[column].dataType))
+    inside = [*[part(d, domains[d]) for d in DOMAINS], part("epochs", epochs)]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *inside), F.lit("}")), 256)
+
+
+def projection_key(rows: DataFrame, fields: list[str], namespace_hex: str) -> tuple[Column, Column]:
+    """The fields joined by ``|`` and its name-based UUID; null where any field is null. For ``select`` on ``rows``.
+
+    A list of plain values is joined by ``,``; any other nested value is written as the database writes JSON: keys by
+    length, then name, spaces after colons and commas.
+    """
 
+    def text(name: str) -> Column:
+        kind = rows.schema[name].dataType
+        plain = isinstance(kind, ArrayType) and not isinstance(kind.elementType, (ArrayType, MapType, StructType))
+        if plain:
+            return F.when(F.col(name).isNotNull(), F.array_join(F.col(name).cast("array<string>"), ","))
+        nested = isinstance(kind, (ArrayType, MapType, StructType))
+        return F.when(F.col(name).isNotNull(), canonical_json(F.col(name), kind, jsonb=True)) if nested else F.col(name).cast("string")
 
-def projection_key(fields: list[Column], namespace_hex: str) -> tuple[Column, Column]:
-    """The fields joined by ``|`` (arrays by ``,`` beforehand) and its name-based UUID; null where any field is null."""
-    key = fields[0].cast("string")
+    key = text(fields[0])
     for f in fields[1:]:
-        key = F.concat(key, F.lit("|"), f.cast("string"))
+        key = F.concat(key, F.lit("|"), text(f))
     return key, uuid5(namespace_hex, key)
 
 

@@ -162,9 +162,30 @@ def _(spark, sf):
     return closure.identity_universe(table(spark, sf, "lineitem").select(F.col("l_partkey").alias("global_id"), F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("type"), F.col("l_suppkey").alias("parent_id")))
 
 
-@op("check_rules", "SELECT o_orderkey, 'price' AS rule FROM orders WHERE NOT o_totalprice > 1000 UNION ALL SELECT o_orderkey, 'blank' FROM orders WHERE NOT trim(o_orderpriority) <> '' UNION ALL SELECT o_orderkey, 'late' FROM orders WHERE NOT o_orderdate < TIMESTAMP '1998-06-01'")
-def _(spark, sf):
-    return closure.check_rules(table(spark, sf, "orders"), "o_orderkey", {"price": F.col("o_totalprice") > 1000, "blank": F.trim("o_orderpriority") != "", "late": F.col("o_orderdate") < ts("1998-06-01")})
+@op("check_rules", """WITH k AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS key FROM orders)
+SELECT 'event' AS table_name, key, 'valid_time' AS rule FROM k WHERE k % 4 = 3 OR (k % 4 = 0) <> (k % 5 > 0) UNION ALL SELECT 'event', key, 'author' FROM k WHERE k % 3 = 0 AND k % 7 = 0
+UNION ALL SELECT 'event', key, 'actor_whole' FROM k WHERE k % 3 > 0 AND k % 11 IN (0, 1) OR k % 3 = 0 AND k % 11 > 1 AND k % 13 = 0 UNION ALL SELECT 'event', key, 'rule_record_whole' FROM k WHERE k % 7 > 0 AND k % 17 IN (0, 1)
+UNION ALL SELECT 'item_version', key, 'observed_before_available' FROM k WHERE k % 19 = 0 UNION ALL SELECT 'item_version', key, 'seen_before_observed' FROM k WHERE k % 23 = 0 AND k % 29 > 0
+UNION ALL SELECT 'item_version', key, 'predecessor' FROM k WHERE k % 3 = 0 OR (k % 3 = 1) <> (k % 31 IN (1, 4, 7)) UNION ALL SELECT 'item_version', key, 'content_hash_hex' FROM k WHERE k % 37 IN (0, 1)
+UNION ALL SELECT 'decision', key, 'member_of_selected' FROM k WHERE (k % 2 = 0) <> (k % 41 > 0) OR (k % 2 = 0) <> (k % 43 > 0)
+UNION ALL SELECT 'snapshot', key, 'revision_positive' FROM k WHERE k % 47 < 2 UNION ALL SELECT 'snapshot', key, 'rights_epoch_positive' FROM k WHERE k % 53 = 0 UNION ALL SELECT 'snapshot', key, 'status' FROM k WHERE k % 59 < 2 UNION ALL SELECT 'snapshot', key, 'filled' FROM k WHERE k % 61 = 0""")
+def _(spark, sf):
+    """Stand-in rows of four tables, in which every rule is broken in every way it can be."""
+    orders, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    when = lambda test, value: F.when(test, value)
+    day = lambda n: F.timestamp_seconds(F.unix_timestamp("o_orderdate") + n * 86400)
+    event = orders.select(
+        "o_orderkey", F.element_at(F.array(*map(F.lit, ("known", "unknown", "not_applicable", "guessed"))), (k % 4 + 1).cast("int")).alias("valid_time_status"), when(k % 5 > 0, F.col("o_orderdate")).alias("valid_effective_at"),
+        when(k % 3 > 0, k).alias("actor_id"), when((k % 3 > 0) & (k % 11 != 0) | (k % 3 == 0) & (k % 11 > 1) & (k % 13 == 0), "person").alias("actor_kind"), when(k % 3 > 0, F.when(k % 11 == 1, " ").otherwise("editor")).alias("actor_type"),
+        when(k % 7 > 0, k).alias("rule_record_id"), when(k % 7 > 0, F.when(k % 17 == 0, "actor").otherwise("record")).alias("rule_record_kind"), when((k % 7 > 0) & (k % 17 != 1), "policy").alias("rule_record_type"))
+    version = orders.select(
+        "o_orderkey", when(k % 29 > 0, day(F.when(k % 23 == 0, 1).otherwise(-1))).alias("item_first_seen_at"), F.col("o_orderdate").alias("version_observed_at"), day(F.when(k % 19 == 0, -5).otherwise(5)).alias("version_available_at"),
+        (k % 3).alias("version_ordinal"), when(~(k % 31).isin(1, 4, 7), k).alias("previous_version_id"), F.when(k % 37 == 0, F.upper(F.sha2(F.concat(F.lit("a"), k.cast("string")), 256))).when(k % 37 == 1, "").otherwise(F.sha2(k.cast("string"), 256)).alias("content_hash"))
+    decision = orders.select("o_orderkey", F.when(k % 2 == 0, "selected").otherwise("rejected").alias("decision"), when(k % 41 > 0, "card").alias("selected_member_kind"), when(k % 43 > 0, k).alias("selected_member_key"))
+    snapshot = orders.select(
+        "o_orderkey", F.when(k % 47 == 0, None).when(k % 47 == 1, 0).otherwise(k).alias("revision"), F.when(k % 53 == 0, -1).otherwise(1).alias("rights_epoch"), F.when(k % 59 == 0, None).when(k % 59 == 1, "draft").otherwise("published").alias("snapshot_status"),
+        F.lit("w").alias("comparison_watermark"), when(k % 61 > 0, "m").alias("method_epoch"), F.lit("h").alias("render_plan_hash"))
+    return closure.broken_rules({name: (df, "o_orderkey") for name, df in (("event", event), ("item_version", version), ("decision", decision), ("snapshot", snapshot))})
 
 
 EDGE = LOG + ", ed AS (SELECT event_id, pred AS parent_event_id, CASE WHEN event_id % 3 = 0 THEN 'p' END AS proof FROM lg WHERE pred IS NOT NULL UNION ALL SELECT min(event_id), max(event_id), NULL FROM lg GROUP BY aggregate_id HAVING aggregate_id % 10 = 0)"
@@ -215,9 +236,9 @@ def _windows(spark):
     return spark.range(10).select("id", F.timestamp_seconds(base + F.col("id") * 259200).alias("start"), F.timestamp_seconds(base + (F.col("id") + 1) * 259200).alias("end"))
 
 
-@op("late_classify", "SELECT event_id, CASE WHEN floor((floor(epoch(ts)) + value * 600 - epoch(TIMESTAMP '2024-01-01')) / 259200) > floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 259200) THEN 'PROCESSING_BACKFILL' ELSE 'nominal' END AS arrival_class FROM events WHERE ts < TIMESTAMP '2024-01-31'")
+@op("late_classify", "SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-31' AND floor((floor(epoch(ts)) + value * 600 - epoch(TIMESTAMP '2024-01-01')) / 259200) > floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 259200) THEN 'PROCESSING_BACKFILL' ELSE 'nominal' END AS arrival_class FROM events")
 def _(spark, sf):
-    e = table(spark, sf, "events").where(F.col("ts") < ts("2024-01-31")).select("event_id", "ts", F.timestamp_seconds(F.unix_timestamp("ts") + F.col("value") * 600).alias("available_at"))
+    e = table(spark, sf, "events").select("event_id", "ts", F.timestamp_seconds(F.unix_timestamp("ts") + F.col("value") * 600).alias("available_at"))
     return temporal.late_classify(temporal.window_assign(e, _windows(spark)), "available_at").select("event_id", "arrival_class")
 
 
@@ -293,14 +314,29 @@ def _(spark, sf):
     return measures.velocity(daily(spark, sf), "series", "day", "n")
 
 
-@op("cusum", f"WITH {DAILY}, o AS (SELECT *, n - avg(n) OVER (PARTITION BY series) AS o FROM c) SELECT series, day, round(sum(o) OVER (PARTITION BY series ORDER BY day), 6) + 0.0 AS cusum FROM o")
+@op("cusum", f"""WITH {DAILY}, m AS (SELECT *, avg(n) OVER w AS mu, stddev_pop(n) OVER w AS sd FROM c WINDOW w AS (PARTITION BY series)), z AS (SELECT *, CASE WHEN sd > 0 THEN round((n - mu) / sd, 9) ELSE 0 END AS z, row_number() OVER (PARTITION BY series ORDER BY day) AS i FROM m),
+r AS (SELECT a.series, a.day, a.i, max(b.up) AS up, max(b.down) AS down FROM z a JOIN (SELECT x.series, x.i AS since, y.i, sum(z.z - 0.5) AS up, sum(-z.z - 0.5) AS down FROM z x JOIN z y ON x.series = y.series AND x.i <= y.i JOIN z ON z.series = x.series AND z.i BETWEEN x.i AND y.i GROUP BY 1, 2, 3) b ON a.series = b.series AND a.i = b.i GROUP BY 1, 2, 3),
+g AS (SELECT series, day, i, round(greatest(up, 0), 6) AS up, round(greatest(down, 0), 6) AS down FROM r)
+SELECT series, day, up + 0.0 AS up, down + 0.0 AS down, CASE WHEN up > 2 THEN 'UP' WHEN down > 2 THEN 'DOWN' END AS alarm,
+  CASE WHEN up > 2 THEN (SELECT min(h.day) FROM g h WHERE h.series = g.series AND h.i <= g.i AND h.i > coalesce((SELECT max(k.i) FROM g k WHERE k.series = g.series AND k.i <= g.i AND k.up = 0), 0))
+       WHEN down > 2 THEN (SELECT min(h.day) FROM g h WHERE h.series = g.series AND h.i <= g.i AND h.i > coalesce((SELECT max(k.i) FROM g k WHERE k.series = g.series AND k.i <= g.i AND k.down = 0), 0)) END AS change_start FROM g""")
 def _(spark, sf):
-    return measures.cusum(daily(spark, sf), "series", "day", "n").select("series", "day", (F.round("cusum", 6) + 0.0).alias("cusum"))
+    return measures.cusum(daily(spark, sf), "series", "day", "n", slack=0.5, limit=2.0).select("series", "day", "up", "down", "alarm", "change_start")
+
+
+HOURLY = "h AS (SELECT event_type AS series, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, count(*) AS n FROM events GROUP BY 1, 2)"
+
 
+def hourly(spark, sf):
+    return measures.hourly(table(spark, sf, "events"), "event_type", "ts").withColumnRenamed("event_type", "series")
 
-@op("spike_robust", f"WITH {DAILY}, m AS (SELECT *, quantile_cont(n, 0.5) OVER (PARTITION BY series) AS med FROM c), a AS (SELECT *, quantile_cont(abs(n - med), 0.5) OVER (PARTITION BY series) AS mad FROM m) SELECT series, day, CASE WHEN mad > 0 THEN round((n - med) / mad, 9) END AS robust_z FROM a")
+
+@op("spike_robust", f"""WITH {HOURLY}, began AS (SELECT min(hour) AS first FROM h), p AS (SELECT a.series, a.hour, a.n, k, coalesce(b.n, 0) AS was FROM h a CROSS JOIN range(1, 15) t(k) CROSS JOIN began LEFT JOIN h b ON b.series = a.series AND b.hour = a.hour - 24 * k WHERE a.hour - 24 * k >= first),
+m AS (SELECT *, quantile_cont(was, 0.5) OVER (PARTITION BY series, hour) AS med FROM p), d AS (SELECT series, hour, any_value(n) AS n, count(*) AS baselines, any_value(med) AS median, quantile_cont(abs(was - med), 0.5) AS mad FROM m GROUP BY 1, 2)
+SELECT series, hour, coalesce(baselines, 0) AS baselines, median, mad, CASE WHEN mad > 0 THEN round((n - median) / mad, 9) END AS robust_z FROM h LEFT JOIN d USING (series, hour, n)""")
 def _(spark, sf):
-    return measures.spike_robust(daily(spark, sf), "series", "n").select("series", "day", F.round("robust_z", 9).alias("robust_z"))
+    """Every hour against the same hour of the 14 days before it."""
+    return measures.spike_robust(hourly(spark, sf), "series").select("series", "hour", "baselines", "median", "mad", F.round("robust_z", 9).alias("robust_z"))
 
 
 @op("decline", f"WITH {DAILY}, f AS (SELECT *, coalesce(CAST(n < lag(n) OVER (PARTITION BY series ORDER BY day) AS INTEGER), 0) AS fell FROM c), i AS (SELECT *, sum(1 - fell) OVER (PARTITION BY series ORDER BY day) AS isl FROM f) SELECT series, CAST(sum(fell) AS BIGINT) AS falls, max(day) AS ended FROM i GROUP BY series, isl HAVING sum(fell) >= 2")
@@ -313,9 +349,17 @@ def _(spark, sf):
     return measures.first_seen(table(spark, sf, "events"), "user_id", "ts", 2_500_000)
 
 
-@op("multi_scale_windows", "WITH a AS (SELECT event_type, floor(epoch(TIMESTAMP '2024-01-20')) - floor(epoch(ts)) AS age FROM events) SELECT event_type, count(*) FILTER (WHERE age >= 0 AND age < 3600) AS h1, count(*) FILTER (WHERE age >= 0 AND age < 86400) AS h24, count(*) FILTER (WHERE age >= 0 AND age < 604800) AS h168 FROM a GROUP BY 1")
+SCALED = ", ".join(f"({s.hours}, {s.step}, {s.past})" for s in measures.SCALES)
+
+
+@op("multi_scale_windows", f"""WITH {HOURLY}, o AS (SELECT series, CAST(epoch(TIMESTAMP '2024-01-29 12:00:00') AS BIGINT) // 3600 - hour AS age, n FROM h), began AS (SELECT max(age) AS oldest FROM o), s(hours, step, past) AS (VALUES {SCALED}),
+k AS (SELECT DISTINCT series, hours, step, past, k FROM (SELECT DISTINCT series FROM o) CROSS JOIN s CROSS JOIN range(0, 15) t(k) CROSS JOIN began WHERE k = 0 OR (k <= past AND k * step + hours <= oldest)),
+v AS (SELECT k.series, hours, past, k, coalesce(sum(n), 0) AS v FROM k LEFT JOIN o ON o.series = k.series AND age > k * step AND age <= k * step + hours GROUP BY ALL),
+b AS (SELECT series, hours, past, count(*) AS baselines, quantile_cont(v, 0.5) AS median FROM v WHERE k > 0 GROUP BY ALL), d AS (SELECT v.series, v.hours, quantile_cont(abs(v - median), 0.5) AS mad FROM v JOIN b ON v.series = b.series AND v.hours = b.hours WHERE k > 0 GROUP BY ALL)
+SELECT v.series, v.hours, CAST(v.v AS BIGINT) AS current, coalesce(baselines, 0) AS baselines, median, mad, CASE WHEN mad > 0 THEN round((v.v - median) / mad, 9) END AS robust_z, CASE WHEN coalesce(baselines, 0) = v.past THEN 'ready' ELSE 'warming' END AS status
+FROM v LEFT JOIN b ON v.series = b.series AND v.hours = b.hours LEFT JOIN d ON v.series = d.series AND v.hours = d.hours WHERE k = 0""")
 def _(spark, sf):
-    return measures.multi_scale(table(spark, sf, "events"), "event_type", "ts", ts("2024-01-20"), [1, 24, 168])
+    return measures.multi_scale(hourly(spark, sf), "series", ts("2024-01-29 12:00:00")).withColumn("robust_z", F.round("robust_z", 9))
 
 
 @op("diffusion_layers", "WITH n AS (SELECT user_id, event_type, count(*) AS c, min(ts) AS since FROM events GROUP BY 1, 2), p AS (SELECT *, c::DOUBLE / sum(c) OVER (PARTITION BY user_id) AS p FROM n) SELECT user_id, count(*) AS layers, max(since) AS newest, round(sum(-p * ln(p)), 9) AS entropy FROM p GROUP BY 1")
@@ -323,10 +367,15 @@ def _(spark, sf):
     return measures.diffusion_layers(table(spark, sf, "events"), "user_id", "event_type", "ts")
 
 
-@op("relation_break", "WITH c AS (SELECT l_returnflag AS k, corr(l_quantity, l_extendedprice) FILTER (WHERE l_shipdate < TIMESTAMP '1997-01-01') AS w, corr(l_quantity, l_extendedprice) FILTER (WHERE l_shipdate >= TIMESTAMP '1997-01-01') AS n FROM lineitem GROUP BY 1) SELECT k AS l_returnflag, round(w, 6) AS was, round(n, 6) AS now, abs(w - n) > 0.5 AS broken FROM c")
+@op("relation_break", """WITH d AS (SELECT l_returnflag AS k, CAST(epoch(l_shipdate) AS BIGINT) // 604800 AS week, CAST(l_quantity AS DOUBLE) AS a, CAST(l_extendedprice AS DOUBLE) AS b FROM lineitem WHERE l_partkey % 3 = 0 OR l_shipdate < TIMESTAMP '1995-01-01'),
+w AS (SELECT DISTINCT k, week FROM d), r AS (SELECT w.k, w.week, count(*) AS n, CASE WHEN var_pop(a) > 1e-12 AND var_pop(b) > 1e-12 THEN corr(a, b) END AS r FROM w JOIN d ON d.k = w.k AND d.week BETWEEN w.week - 3 AND w.week GROUP BY ALL),
+h AS (SELECT x.k, x.week, count(y.r) AS past, avg(y.r) AS was, stddev_samp(y.r) AS spread FROM r x LEFT JOIN r y ON y.k = x.k AND y.week <= x.week - 4 GROUP BY ALL)
+SELECT r.k AS l_returnflag, r.week, r.n, round(r.r, 6) AS now, round(h.was, 6) AS was, round(h.spread, 6) AS spread, CASE WHEN past < 8 OR r.r IS NULL THEN 'warming' WHEN abs(r.r - was) > 3 * spread THEN 'broken' ELSE 'holds' END AS status FROM r JOIN h ON r.k = h.k AND r.week = h.week""")
 def _(spark, sf):
-    r = measures.relation_break(table(spark, sf, "lineitem"), "l_returnflag", F.col("l_shipdate") < ts("1997-01-01"), "l_quantity", "l_extendedprice", 0.5)
-    return r.select("l_returnflag", F.round("was", 6).alias("was"), F.round("now", 6).alias("now"), "broken")
+    """Weekly sums, correlations over four weeks, against all earlier ones that share no week."""
+    rows = table(spark, sf, "lineitem").where((F.col("l_partkey") % 3 == 0) | (F.col("l_shipdate") < ts("1995-01-01")))
+    rows = rows.select("l_returnflag", F.floor(F.unix_timestamp("l_shipdate") / 604800).alias("week"), F.col("l_quantity").cast("double").alias("a"), F.col("l_extendedprice").cast("double").alias("b"))
+    return measures.relation_break(rows, "l_returnflag", "week", "a", "b", buckets=4).select("l_returnflag", "week", "n", F.round("now", 6).alias("now"), F.round("was", 6).alias("was"), F.round("spread", 6).alias("spread"), "status")
 
 
 @op("stratum_deficit", "WITH t(stratum, target) AS (VALUES ('en', 0.7::DOUBLE), ('es', 0.05::DOUBLE)), s AS (SELECT stratum, target, (SELECT count(*) FROM documents WHERE lang = stratum)::DOUBLE / (SELECT count(*) FROM documents) AS share FROM t) SELECT *, greatest(target - share, 0.0) AS deficit, greatest(target - share, 0.0) / target AS normalised FROM s")

@@ -130,21 +130,32 @@ def _(spark, sf):
     return rules.signal_allocation(table(spark, sf, "orders").select("o_orderkey", types.alias("signal_types"), lanes.alias("allocation_lanes"), sections.alias("surface_sections"))).select("o_orderkey", "error")
 
 
-@op("revocation_set_hash", """SELECT o_orderkey, sha256('{"personal":"' || CAST(o_custkey AS VARCHAR) || '","global":"' || o_orderstatus || '","rights":"' || o_orderpriority || '","epochs":{"a":' || CAST(o_orderkey % 7 AS VARCHAR) || ',"b":' || CAST(o_custkey AS VARCHAR) || '}}') AS set_hash FROM orders""")
+NESTED = """'{"a":{"n":' || CAST(o_custkey % 9 AS VARCHAR) || ',"o":[{"b":"' || o_orderpriority || '","z":null}]},"c":"\\"q\\" ' || o_orderstatus || '"}'"""
+
+
+@op("revocation_set_hash", f"""SELECT o_orderkey, sha256('{{"global":' || {NESTED} || ',"personal":"' || CAST(o_custkey AS VARCHAR) || '","rights":[],"epochs":{{"a":' || CAST(o_orderkey % 7 AS VARCHAR) || ',"bb":' || CAST(o_custkey AS VARCHAR) || ',"c":null}}}}') AS set_hash FROM orders""")
 def _(spark, sf):
-    epochs = F.create_map(F.lit("b"), F.col("o_custkey"), F.lit("a"), F.col("o_orderkey") % 7)
-    domains = {"personal": F.col("o_custkey").cast("string"), "global": F.col("o_orderstatus"), "rights": F.col("o_orderpriority")}
-    return table(spark, sf, "orders").select("o_orderkey", rules.revocation_set_hash(domains, epochs).alias("set_hash"))
+    """Nested values whose keys come in one order for odd orders and in another for even ones."""
+    inner = F.struct(F.lit(None).cast("string").alias("z"), F.col("o_orderpriority").alias("b"))
+    deep = F.struct(F.array(inner).alias("o"), (F.col("o_custkey") % 9).alias("n"))
+    pairs = [(F.lit("a"), F.col("o_orderkey") % 7), (F.lit("bb"), F.col("o_custkey")), (F.lit("c"), F.lit(None).cast("long"))]
+    epochs = lambda order: F.create_map(*[x for i in order for x in pairs[i]])
+    rows = table(spark, sf, "orders").select(
+        "o_orderkey", F.struct(F.concat(F.lit('"q" '), F.col("o_orderstatus")).alias("c"), deep.alias("a")).alias("g"), F.col("o_custkey").cast("string").alias("p"), F.array().cast("array<string>").alias("r"),
+        F.when(F.col("o_orderkey") % 2 == 0, epochs([2, 0, 1])).otherwise(epochs([1, 2, 0])).alias("e"))
+    return rows.select("o_orderkey", rules.revocation_set_hash(rows, {"global": "g", "personal": "p", "rights": "r"}, "e").alias("set_hash"))
 
 
-PKEY = "CAST(l_orderkey AS VARCHAR) || '|p1|s1|' || l_returnflag || '|' || l_linestatus || '|' || CAST(l_linenumber AS VARCHAR) || ',' || CAST(l_suppkey AS VARCHAR) || '|main'"
+PKEY = "CAST(l_orderkey AS VARCHAR) || '|p1|s1|' || l_returnflag || '|[{\"id\": ' || CAST(l_partkey AS VARCHAR) || ', \"kind\": \"' || l_linestatus || '\", \"version\": null}]|' || CAST(l_linenumber AS VARCHAR) || ',' || CAST(l_suppkey AS VARCHAR) || '|main'"
 
 
 @op("coverage_projection_key", f"WITH h AS (SELECT {PKEY} AS key, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode({PKEY})) AS m FROM lineitem) SELECT key, substring(m, 1, 8) || '-' || substring(m, 9, 4) || '-5' || substring(m, 14, 3) || '-' || substring('89ab', CAST(('0x' || substring(m, 17, 1))::INTEGER % 4 + 1 AS INTEGER), 1) || substring(m, 18, 3) || '-' || substring(m, 21, 12) AS item_id FROM h")
 def _(spark, sf):
-    strata = F.concat_ws(",", F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string"))
-    key, own = rules.projection_key([F.col("l_orderkey"), F.lit("p1"), F.lit("s1"), F.col("l_returnflag"), F.col("l_linestatus"), strata, F.lit("main")], "6ba7b8109dad11d180b400c04fd430c8")
-    return table(spark, sf, "lineitem").select(key.alias("key"), own.alias("item_id"))
+    """Typed references with their keys out of order, as lists of structs."""
+    ref = F.struct(F.lit(None).cast("int").alias("version"), F.col("l_linestatus").alias("kind"), F.col("l_partkey").alias("id"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("scope"), F.lit("p1").alias("policy"), F.lit("s1").alias("semantics"), F.col("l_returnflag").alias("kind"), F.array(ref).alias("refs"), F.array(F.col("l_linenumber").cast("long"), F.col("l_suppkey").cast("long")).alias("strata"), F.lit("main").alias("role"))
+    key, own = rules.projection_key(rows, rows.columns, "6ba7b8109dad11d180b400c04fd430c8")
+    return rows.select(key.alias("key"), own.alias("item_id"))
 
 
 @op("decline_breaker", """WITH d AS (SELECT user_id, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') < count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS decline, avg(CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END) AS health, count(DISTINCT CAST(ts AS DATE)) >= 3 AS ready FROM events GROUP BY 1),

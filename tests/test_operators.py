@@ -345,3 +345,99 @@ def test_medians_against_python(spark):
     rows = [(s, float(random.Random(s * 100 + i).randrange(9))) for s in range(5) for i in range(s + 1)] + [(9, None)]
     got = {r.s: r.m for r in measures.medians(spark.createDataFrame(rows, "s int, v double"), "s", "v", "m").collect()}
     assert got == {s: statistics.median(v for k, v in rows if k == s) for s in range(5)}
+
+
+def test_two_sided_cusum_against_the_recursion(spark):
+    r = random.Random(4)
+    series = {"flat": [5] * 12, "rise": [3 + r.random() for _ in range(10)] + [8 + r.random() for _ in range(10)], "fall": [9 + r.random() for _ in range(8)] + [2 + r.random() for _ in range(8)], "one": [7]}
+    rows = [(k, 10 * i, float(x)) for k, xs in series.items() for i, x in enumerate(xs)]
+    got = {(x.s, x.b): x for x in measures.cusum(spark.createDataFrame(rows, "s string, b int, n double").repartition(3), "s", "b", "n", 0.5, 2.0).collect()}
+    for k, xs in series.items():
+        mean, sd = statistics.mean(xs), statistics.pstdev(xs)
+        up = down = 0.0
+        since = {"UP": 0, "DOWN": 0}
+        for i, x in enumerate(xs):
+            z = round((x - mean) / sd, 9) if sd else 0.0
+            up, down = max(0.0, up + z - 0.5), max(0.0, down - z - 0.5)
+            for side, value in (("UP", up), ("DOWN", down)):
+                since[side] = 10 * (i + 1) if round(value, 6) == 0 else since[side]
+            row = got[k, 10 * i]
+            alarm = "UP" if round(up, 6) > 2 else "DOWN" if round(down, 6) > 2 else None
+            assert math.isclose(row.up, up, abs_tol=2e-6) and math.isclose(row.down, down, abs_tol=2e-6) and row.alarm == alarm
+            assert row.change_start == (since[alarm] if alarm else None)
+    assert {got["rise", 190].alarm, got["fall", 150].alarm} == {"UP", "DOWN"} and got["rise", 190].change_start == 100
+
+
+def test_scales_and_slots_on_a_made_series(spark):
+    end, first = 490_000, 490_000 - 24 * 40
+    hours = [(h, 6 if h % 24 == 3 else 1) for h in range(first, end)] + [(end - 1, 50)]
+    rows = [("s", 3600 * h, n) for h, n in hours]
+    events = spark.createDataFrame(rows, "k string, t long, n int").select("k", F.explode(F.array_repeat(F.timestamp_seconds("t"), F.col("n"))).alias("ts"))
+    counts = measures.hourly(events, "k", "ts")
+    got = {r.hours: r for r in measures.multi_scale(counts, "k", F.timestamp_seconds(F.lit(3600 * end))).collect()}
+    assert (got[1].current, got[1].baselines, got[1].median, got[1].robust_z) == (51, 14, 1.0, None)
+    assert got[24].current == 24 + 5 + 50 and got[24].baselines == 4 and got[24].median == 29.0
+    assert got[168].baselines == 4 and got[168].status == "warming" and got[672].baselines == 0 and got[672].median is None
+    slots = {r.hour: r for r in measures.spike_robust(counts, "k").collect()}
+    usual = next(h for h in range(first + 24 * 20, end) if h % 24 == 3)
+    assert slots[usual].median == 6.0 and slots[usual].baselines == 14 and slots[first].baselines == 0 and slots[first].median is None
+    assert slots[end - 1].median == 1.0
+
+
+def test_sweep_against_all_pairs(spark):
+    r = random.Random(6)
+    spans = [(i, *sorted((r.randint(0, 300), r.randint(0, 300)))) for i in range(60)] + [(100, None, 40), (101, 250, None), (102, None, None), (103, 90, 80), (104, 77, 77)]
+    marks = [(i, r.randint(-20, 320)) for i in range(300)] + [(900, None), (5, 77), (5, 77)]
+    at = lambda c: F.timestamp_seconds(F.col(c))
+    windows = spark.createDataFrame(spans, "id int, a long, b long").select("id", at("a").alias("start"), at("b").alias("end"))
+    events = spark.createDataFrame(marks, "event int, s long").withColumn("ts", at("s")).repartition(3)
+    got = sorted((x.event, str(x.s), str(x.window_id), str(x.e), x.matches) for x in temporal.window_assign(events, windows).withColumn("e", F.unix_timestamp("window_end")).collect())
+    want = []
+    for event, t in marks:
+        held = [(i, b) for i, a, b in spans if t is not None and (a is None or a <= t) and (b is None or t < b)]
+        ends = [b for _, b in held]
+        want.append((event, str(t), str(min((i for i, _ in held), default=None)), str(None if not ends or None in ends else max(ends)), len(held)))
+    assert got == sorted(want)
+    assert temporal.window_assign(events.limit(0), windows).count() == 0 and {x.matches for x in temporal.window_assign(events, windows.limit(0)).collect()} == {0}
+
+
+def test_relation_breaks_where_two_series_part(spark):
+    r = random.Random(8)
+    rows = []
+    for week in range(40):
+        for _ in range(30):
+            x = r.random()
+            rows.append(("k", week, x, x + 0.1 * r.random() if week < 30 else -x + 0.1 * r.random()))
+    rows += [("k", 3, None, 1.0), ("still", 1, 2.0, 3.0), ("still", 2, 2.0, 4.0)]
+    got = {(x.k, x.w): x for x in measures.relation_break(spark.createDataFrame(rows, "k string, w int, a double, b double").repartition(3), "k", "w", "a", "b", 4).collect()}
+    assert got["k", 20].status == "holds" and got["k", 35].status == "broken" and got["k", 5].status == "warming" and got["still", 2].now is None
+    mine = [(a, b) for _, w, a, b in rows[:1200] if 17 <= w <= 20]
+    assert math.isclose(got["k", 20].now, statistics.correlation(*zip(*mine)), rel_tol=1e-9)
+
+
+def test_canonical_json_goes_by_keys_alone(spark):
+    import json
+
+    from signalframe.functions.canonical import canonical_json
+
+    kind = "s struct<zz:int,b:array<struct<y:string,x:double>>,a:map<string,array<long>>,t:string,f:boolean>"
+    value = {"zz": None, "b": [{"y": 'q"é\\\n', "x": 1.5}, None], "a": {"k2": [3, None], "é": [], "k": None, "k10": [1]}, "t": "漢/", "f": True}
+    df = spark.createDataFrame([(value,), (None,)], kind)
+    one, none = df.select(canonical_json(F.col("s"), df.schema["s"].dataType).alias("j"), canonical_json(F.col("s"), df.schema["s"].dataType, jsonb=True).alias("b")).collect()
+    assert one.j == json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":")) and none.j == none.b == "null"
+    assert one.b == '{"a": {"k": null, "k2": [3, null], "é": [], "k10": [1]}, "b": [{"x": 1.5, "y": "q\\"é\\\\\\n"}, null], "f": true, "t": "漢/", "zz": null}'
+
+
+def test_set_hash_vector_and_missing_domain(spark):
+    rows = spark.createDataFrame([({"b": 1, "a": [2]}, "x", None, {"rights": 2, "global": 1})], "p struct<b:int,a:array<int>>, g string, r string, e map<string,int>")
+    got = rows.select(rules.revocation_set_hash(rows, {"personal": "p", "global": "g", "rights": "r"}, "e").alias("h")).first().h
+    assert got == hashlib.sha256(b'{"global":"x","personal":{"a":[2],"b":1},"rights":null,"epochs":{"global":1,"rights":2}}').hexdigest()
+    with pytest.raises(ValueError, match="domains missing"):
+        rules.revocation_set_hash(rows, {"personal": "p", "global": "g"}, "e")
+
+
+def test_rules_of_tables_that_are_not_given_are_left_out(spark):
+    t = spark.createDataFrame([(1, None, None), (2, "selected", "card")], "id int, decision string, selected_member_kind string").withColumn("selected_member_key", F.lit(None).cast("string"))
+    assert [tuple(r) for r in closure.broken_rules({"decision": (t, "id")}).collect()] == [("decision", "2", "member_of_selected")]
+    with pytest.raises(ValueError):
+        closure.broken_rules({"unknown": (t, "id")})
