@@ -22,15 +22,15 @@ def closure_audit(units: DataFrame, decisions: DataFrame, key: str, group: str)
 
 MEMBERSHIP_COUNTERS = (
     "missing_decisions", "selected_without_child", "child_without_selected", "universe_missing", "universe_extra", "selected_unknown", "invalid_subject_kind",
-    "invalid_member_kind", "profile_missing_role", "profile_extra_role", "profile_roles", "snapshot_roles", "universe_roles",
+    "invalid_member_kind", "profile_missing_role", "profile_extra_role", "member_differs", "profile_roles", "snapshot_roles", "universe_roles",
 )
 
 
 def membership_closure(snapshots: DataFrame, units: DataFrame, decisions: DataFrame, members: DataFrame, universe: DataFrame, roles: DataFrame) -> DataFrame:
-    """Per snapshot the thirteen counters over its units, decisions, selected members, universe and profile, and whether it is closed.
+    """Per snapshot the fourteen counters over its units, decisions, selected members, universe and profile, and whether it is closed.
 
     ``snapshots``: snapshot_id, profile_id. ``units``: unit_id, snapshot_id, member_role, subject_kind, subject_key.
-    ``decisions``: unit_id, decision, member_kind. ``members``: unit_id, member_kind, member_key. ``universe``: snapshot_id,
+    ``decisions``: unit_id, decision, member_kind, member_key. ``members``: unit_id, member_kind, member_key. ``universe``: snapshot_id,
     member_role, subject_kind, member_kind, member_key. ``roles``: profile_id, member_role, subject_kind, member_kind. Ids of
     snapshots and units are distinct; units of no snapshot count nowhere. Sets compare nulls as equal, joins do not, and a
     null role is no role. Decisions and members are counted per unit before they meet units; each part ends in a few counts per
@@ -58,6 +58,9 @@ def membership_closure(snapshots: DataFrame, units: DataFrame, decisions: DataFr
     second = sides(["member_role", "subject_kind", "member_key"], of_universe=universe, of_units=subjects).groupBy("snapshot_id").agg(
         F.count_if(~F.col("of_units")).alias("universe_missing"), F.count_if(~F.col("of_universe")).alias("universe_extra")
     )
+    decided = decisions.select("unit_id", "decision", F.col("member_kind").alias("decided_kind"), F.col("member_key").alias("decided_key"))
+    differs = F.col("decision").isNull() | (F.col("decision") != "selected") | (F.col("decided_kind") != F.col("member_kind")) | (F.col("decided_key") != F.col("member_key"))
+    bound = members.join(u.select("unit_id", "snapshot_id"), "unit_id").join(decided, "unit_id", "left").groupBy("snapshot_id").agg(F.count_if(differs).alias("member_differs"))
     chosen = members.join(u.select("unit_id", "snapshot_id", "member_role"), "unit_id")
     third = chosen.join(universe, ["snapshot_id", "member_role", "member_kind", "member_key"], "left_anti").groupBy("snapshot_id").agg(F.count("*").alias("selected_unknown"))
     asked = roles.select("profile_id", "member_role", F.col("subject_kind").alias("role_subject"), F.col("member_kind").alias("role_member"))
@@ -72,10 +75,10 @@ def membership_closure(snapshots: DataFrame, units: DataFrame, decisions: DataFr
         F.count_if(F.col("of_units") & named).alias("snapshot_roles"), F.count_if(F.col("of_universe") & named).alias("universe_roles"),
     )
     out = snapshots.select("snapshot_id")
-    for part in (first, second, third, fourth, fifth, sixth, seventh):
+    for part in (first, second, third, fourth, fifth, sixth, seventh, bound):
         out = out.join(part, "snapshot_id", "left")
     out = out.select("snapshot_id", *[zero(c).alias(c) for c in MEMBERSHIP_COUNTERS])
-    wrong = sum((F.col(c) for c in MEMBERSHIP_COUNTERS[1:10]), F.col(MEMBERSHIP_COUNTERS[0]))
+    wrong = sum((F.col(c) for c in MEMBERSHIP_COUNTERS[1:11]), F.col(MEMBERSHIP_COUNTERS[0]))
     closed = (wrong == 0) & (F.col("profile_roles") > 0) & (F.col("snapshot_roles") == F.col("profile_roles")) & (F.col("universe_roles") == F.col("profile_roles"))
     return out.withColumn("closed", closed)
 
@@ -104,19 +107,34 @@ def current_state(rows: DataFrame, key: str, revision: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.col(revision), F.xxhash64(*rest))).alias("s")).select(key, "s.*")
 
 
-def transition_audit(log: DataFrame, allowed: DataFrame, initial: list[str], states: list[str]) -> DataFrame:
-    """The target is a registered state; the first enters an initial one from none; later ones follow the state before by a registered pair."""
-    w = Window.partitionBy("aggregate_id").orderBy("revision")
-    before = F.lag("to_state").over(w)
-    checked = log.withColumn("before", before).join(allowed.withColumn("legal", F.lit(True)), ["from_state", "to_state"], "left")
-    first = F.col("before").isNull()
+TYPED = ("registry_version", "event_type", "family", "aggregate_id", "revision")
+
+
+def transition_audit(events: DataFrame, states: DataFrame, types: DataFrame, targets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """State rows of events that break a rule, each with the first that it breaks.
+
+    ``events``: event_id and TYPED. ``states``: event_id, TYPED as the row states them, from_state, to_state. ``types``:
+    registry_version, event_type, semantics. ``targets``: registry_version, event_type, state_key, is_initial. ``pairs``:
+    registry_version, event_type, from_state, to_state. The event is there and of an exclusive type; the row is typed as its
+    event; the target is registered for the type; revision 1 comes from nothing into an initial state; later ones follow a
+    registered pair, from the state that the revision before entered.
+    """
+    kind, own = ["registry_version", "event_type"], [f"own_{c}" for c in TYPED]
+    e = events.select("event_id", *[F.col(c).alias(o) for c, o in zip(TYPED, own)])
+    named = lambda df, *more: df.select(F.col("registry_version").alias("own_registry_version"), F.col("event_type").alias("own_event_type"), *more)
+    rows = states.join(e, "event_id", "left").join(named(types, "semantics"), ["own_registry_version", "own_event_type"], "left")
+    rows = rows.join(targets.select(*kind, F.col("state_key").alias("to_state"), F.lit(True).alias("target"), "is_initial"), [*kind, "to_state"], "left")
+    rows = rows.join(pairs.select(*kind, "from_state", "to_state", F.lit(True).alias("legal")), [*kind, "from_state", "to_state"], "left")
+    before = Window.partitionBy("aggregate_id").orderBy("revision")
+    rows = rows.withColumn("before", F.when(F.lag("revision").over(before) == F.col("revision") - 1, F.lag("to_state").over(before)))
+    first = F.col("revision") == 1
+    typed = reduce(lambda a, b: a | b, [F.col(c) != F.col(o) for c, o in zip(TYPED, own)])
     code = (
-        F.when(~F.coalesce(F.col("to_state").isin(states), F.lit(False)), "BAD_TARGET")
-        .when(first & (F.col("from_state").isNotNull() | ~F.col("to_state").isin(initial)), "BAD_INITIAL")
-        .when(~first & ~F.col("from_state").eqNullSafe(F.col("before")), "BAD_FROM")
-        .when(~first & F.col("legal").isNull(), "UNREGISTERED")
+        F.when(F.col("own_revision").isNull(), "EVENT_MISSING").when(~F.col("semantics").eqNullSafe("exclusive_transition"), "TYPE_NOT_EXCLUSIVE").when(typed, "NOT_TYPED_TO_EVENT")
+        .when(F.col("target").isNull(), "BAD_TARGET").when(first & (F.col("from_state").isNotNull() | ~F.coalesce(F.col("is_initial"), F.lit(False))), "BAD_INITIAL")
+        .when(~first & F.col("legal").isNull(), "UNREGISTERED").when(~first & ~F.col("from_state").eqNullSafe(F.col("before")), "BAD_FROM")
     )
-    return checked.withColumn("error", code).where("error is not null").select("aggregate_id", "revision", "error")
+    return rows.withColumn("error", code).where("error is not null").select("event_id", "aggregate_id", "revision", "error")
 
 
 def transition_rows(events: DataFrame, states: DataFrame, exclusive: list[str]) -> DataFrame:

@@ -216,13 +216,32 @@ def four_state(rows: DataFrame) -> DataFrame:
 
 
 def collection_metrics(rows: DataFrame, group: str) -> DataFrame:
+    """Weighted shares: observability of all opportunities, completion and cursor completeness of the observable ones.
+
+    ``cursor_fraction`` is what of the planned cursor range is proven; unknown is 0, never all of it. Null without any.
+    """
     w = lambda c: F.sum(F.when(F.col(c), F.col("weight")).otherwise(0.0))
-    return rows.groupBy(group).agg((w("observed") / F.sum("weight")).alias("observability"), F.try_divide(w("complete"), w("observed")).alias("completion"))
+    cursor = F.sum(F.when(F.col("observed"), F.col("weight") * F.coalesce(F.col("cursor_fraction"), F.lit(0.0))).otherwise(0.0))
+    return rows.groupBy(group).agg(F.try_divide(w("observed"), F.sum("weight")).alias("observability"), F.try_divide(w("complete"), w("observed")).alias("completion"), F.try_divide(cursor, w("observed")).alias("cursor_completeness"))
 
 
-def horizon_obligations(candidates: DataFrame, results: DataFrame, days: list[int]) -> DataFrame:
-    due = candidates.select("candidate_id", F.explode(F.array(*map(F.lit, days))).alias("horizon"))
-    return due.join(results, ["candidate_id", "horizon"], "left_anti")
+# Days after which a candidate is decided on and its result recorded.
+HORIZONS = (7, 30, 90, 180, 365, 730)
+
+
+def horizon_obligations(candidates: DataFrame, decisions: DataFrame, results: DataFrame, days: tuple[int, ...] = HORIZONS) -> DataFrame:
+    """(candidate_id, horizon, error) wherever a candidate has not exactly one decision and one result at a horizon.
+
+    Both are counted per candidate and horizon before they meet; those of unknown candidates or horizons are NOT_DUE.
+    """
+    due = candidates.select("candidate_id").distinct().select("candidate_id", F.explode(F.array(*map(F.lit, days))).alias("horizon"), F.lit(True).alias("due"))
+    count = lambda df, name: df.groupBy("candidate_id", F.col("horizon").cast("int").alias("horizon")).agg(F.count("*").alias(name))
+    met = due.join(count(decisions, "decisions"), ["candidate_id", "horizon"], "full").join(count(results, "results"), ["candidate_id", "horizon"], "full")
+    wrong = [F.when(F.col("due").isNull(), "NOT_DUE")]
+    for name in ("decisions", "results"):
+        n = F.coalesce(F.col(name), F.lit(0))
+        wrong += [F.when(F.col("due") & (n == 0), f"{name[:-1].upper()}_MISSING"), F.when(F.col("due") & (n > 1), f"{name[:-1].upper()}_DOUBLE")]
+    return met.select("candidate_id", "horizon", F.explode(F.array_compact(F.array(*wrong))).alias("error"))
 
 
 def independence_bounds(rows: DataFrame, group: str) -> DataFrame:
@@ -231,9 +250,12 @@ def independence_bounds(rows: DataFrame, group: str) -> DataFrame:
     return out.select(group, "lower", (F.col("lower") + F.col("unknown")).alias("upper"), (F.col("unknown") / F.col("n")).alias("unknown_share"))
 
 
-def ledger_chain(rows: DataFrame, key: str, order: str) -> DataFrame:
+def ledger_chain(rows: DataFrame, key: str, order: str, within_seconds: int = 300) -> DataFrame:
+    """Rows whose previous hash is not that of the row before, or that were not anchored in time, each with every error."""
     before = F.lag("hash").over(Window.partitionBy(key).orderBy(order))
-    return rows.withColumn("before", before).where(~F.col("previous_hash").eqNullSafe(F.col("before"))).select(key, order)
+    late = F.unix_timestamp("anchored_at") - F.unix_timestamp("at")
+    wrong = [F.when(~F.col("previous_hash").eqNullSafe(before), "CHAIN_BROKEN"), F.when(F.col("anchored_at").isNull(), "ANCHOR_MISSING"), F.when((late < 0) | (late > within_seconds), "ANCHOR_LATE")]
+    return rows.withColumn("errors", F.array_compact(F.array(*wrong))).select(key, order, F.explode("errors").alias("error"))
 
 
 def emission_dedup(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -244,3 +266,64 @@ def emission_dedup(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
 
 def supersession(rows: DataFrame, key: str, order: list[str], begin: str) -> DataFrame:
     return rows.withColumn("projected_to", F.lead(begin).over(Window.partitionBy(key).orderBy(*order)))
+
+
+class Cross(NamedTuple):
+    """A cross table: each value of ``row`` wants ``least`` distinct ``column`` values in the last ``days``, and one row with ``also``."""
+
+    row: str
+    column: str
+    days: int
+    least: int
+    also: str | None = None
+
+
+def cross_cells(items: DataFrame, at: str, end: Column, tables: list[Cross]) -> DataFrame:
+    """A row per table and row value ever seen: distinct columns held and items in the rolling window, the target and whether it is met.
+
+    One pass: an item offers a cell to each table; cells are made distinct before columns are counted, so a large cell is one
+    row. A row value that nothing was seen of lately stays, with 0 held.
+    """
+    age = F.unix_timestamp(end) - F.unix_timestamp(at)
+    cell = lambda t: F.struct(F.lit(f"{t.row} x {t.column}").alias("cross_table"), F.lit(t.least).alias("target"), F.col(t.row).cast("string").alias("cell_row"), F.col(t.column).cast("string").alias("cell"),
+                              ((age > 0) & (age <= t.days * 86400)).alias("recent"), F.coalesce(F.expr(t.also or "true"), F.lit(False)).alias("special"))
+    cells = items.select(F.explode(F.array(*map(cell, tables))).alias("c")).select("c.*")
+    by = ["cross_table", "target", "cell_row"]
+    distinct = cells.groupBy(*by, "cell").agg(F.count_if("recent").alias("n"), F.bool_or(F.col("recent") & F.col("special")).alias("special"))
+    rows = distinct.groupBy(*by).agg(F.count_if((F.col("n") > 0) & F.col("cell").isNotNull()).alias("held"), F.sum("n").alias("items"), F.coalesce(F.bool_or("special"), F.lit(False)).alias("special"))
+    return rows.withColumn("met", (F.col("held") >= F.col("target")) & F.col("special"))
+
+
+def signal_admission(rows: DataFrame, stratum: str, kind: str, score: str, admit: float = 0.9, strong: float = 0.95) -> DataFrame:
+    """Rows at or above the percentiles of their stratum, with how many of their kind the stratum admits."""
+    pr = F.percent_rank().over(Window.partitionBy(stratum).orderBy(score))
+    got = rows.withColumn("admission", F.when(pr >= strong, "strong").when(pr >= admit, "admitted")).where("admission is not null")
+    return got.withColumn("of_type", F.count("*").over(Window.partitionBy(stratum, kind)))
+
+
+# Days of history after which hourly, daily and seasonal baselines may be used.
+HISTORY = ((28, "hourly"), (90, "daily"), (365, "seasonal"))
+
+
+def baseline_status(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """Per key the days between its first and last row, the widest baseline they allow, and what the next one needs."""
+    days = F.datediff(F.max(at), F.min(at))
+    out = rows.groupBy(key).agg(days.cast("long").alias("days"))
+    status, after = F.lit("warming"), F.lit(None).cast("int")
+    for least, name in HISTORY:
+        status = F.when(F.col("days") >= least, name).otherwise(status)
+    for least, _ in reversed(HISTORY):
+        after = F.when(F.col("days") < least, least).otherwise(after)
+    return out.select(key, "days", status.alias("status"), after.alias("next_at"))
+
+
+def candidate_conversion(rows: DataFrame, kind: str, outcomes: list[str]) -> DataFrame:
+    """Per kind: candidates, the share that is watched and after how many days, and of those the share of each outcome, the
+    share still open, and the days from watching to an outcome. Shares of nothing are null."""
+    days = lambda a, b: F.avg(F.floor((F.unix_timestamp(b) - F.unix_timestamp(a)) / 86400))
+    watched = F.count("watched_at")
+    share = lambda test: F.try_divide(F.count_if(F.col("watched_at").isNotNull() & test), watched)
+    return rows.groupBy(kind).agg(
+        F.count("*").alias("candidates"), (watched / F.count("*")).alias("watch_rate"), days("at", "watched_at").alias("days_to_watch"),
+        *[share(F.col("outcome") == o).alias(f"{o}_share") for o in outcomes], share(F.col("outcome").isNull()).alias("open_share"), days("watched_at", "ended_at").alias("days_to_outcome"),
+    )

@@ -131,8 +131,21 @@ def reactivation(cycles: DataFrame, actions: DataFrame) -> DataFrame:
     return cycles.join(good, "signal_id", "left").select("signal_id", (F.col("state").isin("decayed", "extinct") & F.coalesce("ok", F.lit(False))).alias("reactivated"))
 
 
-def concentration(rows: DataFrame, group: str, part: str) -> DataFrame:
-    """HHI, effective number and largest share of ``part`` within ``group``."""
-    n = rows.groupBy(group, part).agg(F.count("*").alias("c"))
-    share = n.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy(group)))
-    return share.groupBy(group).agg(F.round(F.sum(F.col("p") * F.col("p")), 9).alias("hhi"), F.round(1 / F.sum(F.col("p") * F.col("p")), 6).alias("effective"), F.round(F.max("p"), 9).alias("max_share"))
+# The largest shares that a lineage, an owner and the ten largest lineages may have, and the least effective number.
+LIMITS = {"max_lineage": 0.05, "max_owner": 0.10, "top_ten": 0.35}
+LEAST_EFFECTIVE = 30
+
+
+def concentration(rows: DataFrame, group: str, lineage: str, owner: str) -> DataFrame:
+    """Per group: hhi and effective number of lineages, the largest lineage's, the largest owner's and the ten largest
+    lineages' shares, and the limits broken. Counted per lineage first, so ranks are over lineages, not rows."""
+    n = rows.groupBy(group, lineage, owner).agg(F.count("*").alias("c"))
+    whole = Window.partitionBy(group)
+    lineages = n.groupBy(group, lineage).agg(F.sum("c").alias("c")).withColumn("p", F.col("c") / F.sum("c").over(whole))
+    lineages = lineages.withColumn("rank", F.row_number().over(whole.orderBy(F.col("c").desc(), lineage)))
+    squares = F.sum(F.col("p") * F.col("p"))
+    by_lineage = lineages.groupBy(group).agg(squares.alias("hhi"), (1 / squares).alias("effective"), F.max("p").alias("max_lineage"), F.sum(F.when(F.col("rank") <= 10, F.col("p"))).alias("top_ten"))
+    owners = n.groupBy(group, owner).agg(F.sum("c").alias("c")).withColumn("p", F.col("c") / F.sum("c").over(whole)).groupBy(group).agg(F.max("p").alias("max_owner"))
+    out = by_lineage.join(owners, by_lineage[group].eqNullSafe(owners[group])).drop(owners[group])
+    broken = [F.when(F.round(F.col(c), 9) > limit, c) for c, limit in LIMITS.items()] + [F.when(F.round("effective", 9) < LEAST_EFFECTIVE, "effective")]
+    return out.withColumn("broken", F.array_compact(F.array(*broken)))

@@ -462,8 +462,14 @@ def _(spark, sf):
     return signals.reactivation(c, table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("signal_id"), (F.col("l_returnflag") != "R").alias("independent"), F.lit("e").alias("evidence_id")))
 
 
-@op("source_concentration", "WITH n AS (SELECT lang, source, count(*) AS c FROM documents GROUP BY 1, 2), p AS (SELECT lang, c::DOUBLE / sum(c) OVER (PARTITION BY lang) AS p FROM n) SELECT lang, round(sum(p * p), 9) AS hhi, round(1 / sum(p * p), 6) AS effective, round(max(p), 9) AS max_share FROM p GROUP BY 1")
+@op("source_concentration", """WITH n AS (SELECT lang, source, 'R' || CAST(CAST(substring(source, 4) AS INTEGER) % 5 AS VARCHAR) AS owner, count(*) AS c FROM documents GROUP BY 1, 2, 3), p AS (SELECT lang, source, c::DOUBLE / sum(c) OVER (PARTITION BY lang) AS p, row_number() OVER (PARTITION BY lang ORDER BY c DESC, source) AS r FROM n),
+o AS (SELECT lang, max(s) AS max_owner FROM (SELECT lang, owner, sum(c)::DOUBLE / (SELECT sum(c) FROM n m WHERE m.lang = n.lang) AS s FROM n GROUP BY lang, owner) GROUP BY 1),
+g AS (SELECT lang, round(sum(p * p), 9) AS hhi, round(1 / sum(p * p), 6) AS effective, round(max(p), 9) AS max_lineage, round(sum(p) FILTER (WHERE r <= 10), 9) AS top_ten FROM p GROUP BY 1)
+SELECT g.*, round(max_owner, 9) AS max_owner, concat_ws(',', CASE WHEN max_lineage > 0.05 THEN 'max_lineage' END, CASE WHEN round(max_owner, 9) > 0.1 THEN 'max_owner' END, CASE WHEN top_ten > 0.35 THEN 'top_ten' END, CASE WHEN effective < 30 THEN 'effective' END) AS broken FROM g JOIN o USING (lang)""")
 def _(spark, sf):
-    return signals.concentration(table(spark, sf, "documents"), "lang", "source")
+    rows = table(spark, sf, "documents").select("lang", "source", F.concat(F.lit("R"), (F.substring("source", 4, 10).cast("int") % 5).cast("string")).alias("owner"))
+    got = signals.concentration(rows, "lang", "source", "owner")
+    return got.select("lang", F.round("effective", 6).alias("effective"), F.array_join("broken", ",").alias("broken"), *[F.round(c, 9).alias(c) for c in ("hhi", "max_lineage", "top_ten", "max_owner")])
+
 
 from signalframe.plans import catalog_audits, catalog_closures, catalog_feeds, catalog_rules  # noqa: E402, F401  add their queries

@@ -420,15 +420,30 @@ def _(spark, sf):
     return measures.four_state(c).select("c_custkey", "state")
 
 
-@op("collection_metrics", "SELECT l_returnflag, round(sum(CASE WHEN l_quantity > 5 THEN l_tax + 1 ELSE 0 END) / sum(l_tax + 1), 9) AS observability, round(sum(CASE WHEN l_quantity > 20 THEN l_tax + 1 ELSE 0 END) / sum(CASE WHEN l_quantity > 5 THEN l_tax + 1 ELSE 0 END), 9) AS completion FROM lineitem GROUP BY 1")
+@op("collection_metrics", """WITH l AS (SELECT l_returnflag, CAST(l_tax AS DOUBLE) + 1 AS w, l_quantity > 5 AS o, l_quantity > 20 AS c, CASE WHEN l_linenumber < 6 THEN CAST(l_discount AS DOUBLE) * 10 END AS f FROM lineitem)
+SELECT l_returnflag, round(sum(w) FILTER (WHERE o) / sum(w), 9) AS observability, round(sum(w) FILTER (WHERE c) / sum(w) FILTER (WHERE o), 9) AS completion, round(sum(w * coalesce(f, 0)) FILTER (WHERE o) / sum(w) FILTER (WHERE o), 9) AS cursor_completeness FROM l GROUP BY 1""")
 def _(spark, sf):
-    l = table(spark, sf, "lineitem").select("l_returnflag", (F.col("l_tax") + 1).alias("weight"), (F.col("l_quantity") > 5).alias("observed"), (F.col("l_quantity") > 20).alias("complete"))
-    return measures.collection_metrics(l, "l_returnflag").select("l_returnflag", F.round("observability", 9).alias("observability"), F.round("completion", 9).alias("completion"))
+    fraction = F.when(F.col("l_linenumber") < 6, F.col("l_discount").cast("double") * 10)
+    l = table(spark, sf, "lineitem").select("l_returnflag", (F.col("l_tax").cast("double") + 1).alias("weight"), (F.col("l_quantity") > 5).alias("observed"), (F.col("l_quantity") > 20).alias("complete"), fraction.alias("cursor_fraction"))
+    return measures.collection_metrics(l, "l_returnflag").select("l_returnflag", *[F.round(c, 9).alias(c) for c in ("observability", "completion", "cursor_completeness")])
 
 
-@op("horizon_obligations", "SELECT o_orderkey AS candidate_id, h AS horizon FROM orders, (VALUES (1), (2), (3), (7)) v(h) WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = h)")
+DUE = "(VALUES (7), (30), (90), (180), (365), (730)) v(h)"
+
+
+@op("horizon_obligations", f"""WITH due AS (SELECT o_orderkey AS k, h FROM orders, {DUE}), dc AS (SELECT l_orderkey AS k, CASE l_linenumber WHEN 1 THEN 7 WHEN 2 THEN 30 WHEN 3 THEN 90 WHEN 4 THEN 180 WHEN 5 THEN 365 WHEN 6 THEN 730 ELSE 7 END AS h FROM lineitem),
+rs AS (SELECT o_orderkey AS k, h FROM orders, {DUE} WHERE (o_orderkey + h) % 9 > 0 UNION ALL SELECT o_orderkey, 365 FROM orders WHERE o_orderkey % 13 = 0 UNION ALL SELECT o_orderkey, 8 FROM orders WHERE o_orderkey % 50 = 0),
+d AS (SELECT k, h, count(*) AS n FROM dc GROUP BY ALL), r AS (SELECT k, h, count(*) AS n FROM rs GROUP BY ALL), j AS (SELECT due.k, due.h, coalesce(d.n, 0) AS d, coalesce(r.n, 0) AS r FROM due LEFT JOIN d ON d.k = due.k AND d.h = due.h LEFT JOIN r ON r.k = due.k AND r.h = due.h)
+SELECT k AS candidate_id, CAST(h AS INTEGER) AS horizon, 'DECISION_MISSING' AS error FROM j WHERE d = 0 UNION ALL SELECT k, h, 'DECISION_DOUBLE' FROM j WHERE d > 1 UNION ALL SELECT k, h, 'RESULT_MISSING' FROM j WHERE r = 0 UNION ALL SELECT k, h, 'RESULT_DOUBLE' FROM j WHERE r > 1
+UNION ALL SELECT k, h, 'NOT_DUE' FROM (SELECT k, h FROM d UNION SELECT k, h FROM r) x WHERE NOT EXISTS (SELECT 1 FROM due WHERE due.k = x.k AND due.h = x.h)""")
 def _(spark, sf):
-    return measures.horizon_obligations(table(spark, sf, "orders").select(F.col("o_orderkey").alias("candidate_id")), table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("candidate_id"), F.col("l_linenumber").alias("horizon")), [1, 2, 3, 7])
+    """Line numbers stand for horizons, a seventh line decides on the first again."""
+    orders, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    nth = F.element_at(F.array(*map(F.lit, (*measures.HORIZONS, 7))), F.col("l_linenumber").cast("int"))
+    decisions = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("candidate_id"), nth.alias("horizon"))
+    every = orders.select(k.alias("candidate_id"), F.explode(F.array(*map(F.lit, measures.HORIZONS))).alias("horizon")).where("(candidate_id + horizon) % 9 > 0")
+    again = orders.where(k % 13 == 0).select(k.alias("candidate_id"), F.lit(365).alias("horizon")).unionByName(orders.where(k % 50 == 0).select(k.alias("candidate_id"), F.lit(8).alias("horizon")))
+    return measures.horizon_obligations(orders.select(k.alias("candidate_id")), decisions, every.unionByName(again))
 
 
 @op("independence_bounds", "SELECT o_custkey, count(DISTINCT CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END) AS lower, count(DISTINCT CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END) + count(*) FILTER (WHERE o_orderstatus = 'P') AS upper, count(*) FILTER (WHERE o_orderstatus = 'P')::DOUBLE / count(*) AS unknown_share FROM orders GROUP BY 1")
@@ -456,22 +471,46 @@ def _(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"))
 
 
-@op("candidate_conversion", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F')::DOUBLE / count(*) AS conversion FROM orders GROUP BY 1")
+@op("candidate_conversion", """WITH c AS (SELECT o_orderpriority AS kind, o_orderkey, o_orderdate AS begun, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + to_days(CAST(o_orderkey % 40 AS INTEGER)) END AS watched, CASE o_orderstatus WHEN 'F' THEN CASE WHEN o_orderkey % 3 = 0 THEN 'confirmed' ELSE 'faded' END END AS outcome,
+  CASE WHEN o_orderstatus = 'F' THEN o_orderdate + to_days(CAST(o_orderkey % 40 + o_orderkey % 11 AS INTEGER)) END AS ended FROM orders)
+SELECT kind, count(*) AS candidates, round(count(watched)::DOUBLE / count(*), 9) AS watch_rate, round(avg(date_diff('day', begun, watched)), 6) AS days_to_watch, round(count(*) FILTER (WHERE outcome = 'confirmed')::DOUBLE / count(watched), 9) AS confirmed_share,
+  round(count(*) FILTER (WHERE outcome = 'faded')::DOUBLE / count(watched), 9) AS faded_share, round(count(*) FILTER (WHERE watched IS NOT NULL AND outcome IS NULL)::DOUBLE / count(watched), 9) AS open_share, round(avg(date_diff('day', watched, ended)), 6) AS days_to_outcome FROM c GROUP BY 1""")
 def _(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_orderpriority").agg((F.count_if(F.col("o_orderstatus") == "F") / F.count("*")).alias("conversion"))
+    k, day = F.col("o_orderkey"), lambda n: F.timestamp_seconds(F.unix_timestamp("o_orderdate") + n * 86400)
+    c = table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("kind"), F.col("o_orderdate").alias("at"), F.when(F.col("o_orderstatus") != "P", day(k % 40)).alias("watched_at"), F.when(F.col("o_orderstatus") == "F", F.when(k % 3 == 0, "confirmed").otherwise("faded")).alias("outcome"),
+        F.when(F.col("o_orderstatus") == "F", day(k % 40 + k % 11)).alias("ended_at"))
+    got = measures.candidate_conversion(c, "kind", ["confirmed", "faded"])
+    return got.select("kind", "candidates", *[F.round(x, 9 if "days" not in x else 6).alias(x) for x in got.columns[2:]])
+
+
+CELLS = (  # rows, columns, days, distinct columns wanted, a condition of which one row must hold
+    ("region", "language", 7, 2, None), ("region", "role", 7, 5, "role IN ('role1', 'role4')"), ("region", "medium", 7, 4, "medium = 'm0'"), ("domain", "role", 7, 3, None),
+    ("domain", "medium", 7, 2, "medium IN ('m0', 'm1')"), ("language", "source", 7, 4, None), ("region", "domain", 30, 10, None),
+)
+CELL_ITEMS = """i AS (SELECT lang AS language, source, 'R' || CAST(CAST(substring(source, 4) AS INTEGER) % 5 AS VARCHAR) AS region, 'role' || (doc_id % 7) AS role, 'm' || (doc_id // 7 % 6) AS medium, 'd' || (doc_id // 3 % 14) AS domain,
+  TIMESTAMP '2024-01-01' + to_hours(CAST((doc_id * 7919) % 1440 AS INTEGER)) AS seen_at FROM documents)"""
 
 
-@op("cross_cell_sla", "SELECT lang, source, count(*) AS n, count(*) >= 30 AS met FROM documents GROUP BY 1, 2")
+@op("cross_cell_sla", f"WITH {CELL_ITEMS} " + " UNION ALL ".join(
+    f"""SELECT '{a} x {b}' AS cross_table, {a} AS cell_row, count(DISTINCT {b}) FILTER (WHERE recent) AS held, count(*) FILTER (WHERE recent) AS items, {least} AS target,
+  coalesce(bool_or(recent AND {also or 'true'}), false) AS special, count(DISTINCT {b}) FILTER (WHERE recent) >= {least} AND coalesce(bool_or(recent AND {also or 'true'}), false) AS met
+  FROM (SELECT *, seen_at >= TIMESTAMP '2024-02-28' - INTERVAL {days} DAY AND seen_at < TIMESTAMP '2024-02-28' AS recent FROM i) GROUP BY {a}""" for a, b, days, least, also in CELLS))
 def _(spark, sf):
-    return table(spark, sf, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), (F.count("*") >= 30).alias("met"))
+    k, h = F.col("doc_id"), F.unix_timestamp(ts("2024-01-01"))
+    items = table(spark, sf, "documents").select(
+        F.col("lang").alias("language"), "source", F.concat(F.lit("R"), (F.substring("source", 4, 10).cast("int") % 5).cast("string")).alias("region"), F.concat(F.lit("role"), (k % 7).cast("string")).alias("role"),
+        F.concat(F.lit("m"), (F.floor(k / 7) % 6).cast("string")).alias("medium"), F.concat(F.lit("d"), (F.floor(k / 3) % 14).cast("string")).alias("domain"), F.timestamp_seconds(h + k * 7919 % 1440 * 3600).alias("seen_at"))
+    return measures.cross_cells(items, "seen_at", ts("2024-02-28"), [measures.Cross(*c) for c in CELLS])
 
 
-@op("signal_admission", "WITH p AS (SELECT p_partkey, p_brand, percent_rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS pr FROM part) SELECT p_partkey, p_brand FROM p WHERE pr >= 0.9")
+@op("signal_admission", """WITH p AS (SELECT p_partkey, p_brand, p_type, percent_rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS pr FROM part), a AS (SELECT *, CASE WHEN pr >= 0.95 THEN 'strong' WHEN pr >= 0.9 THEN 'admitted' END AS admission FROM p)
+SELECT p_partkey, p_brand, p_type, admission, count(*) OVER (PARTITION BY p_brand, p_type) AS of_type FROM a WHERE admission IS NOT NULL""")
 def _(spark, sf):
-    pr = F.percent_rank().over(Window.partitionBy("p_brand").orderBy("p_retailprice"))
-    return table(spark, sf, "part").withColumn("pr", pr).where("pr >= 0.9").select("p_partkey", "p_brand")
+    return measures.signal_admission(table(spark, sf, "part"), "p_brand", "p_type", "p_retailprice").select("p_partkey", "p_brand", "p_type", "admission", "of_type")
 
 
-@op("baseline_status", "SELECT user_id, CASE WHEN d >= 28 THEN 'ready' ELSE 'warming' END AS status FROM (SELECT user_id, date_diff('day', min(ts)::DATE, max(ts)::DATE) AS d FROM events GROUP BY 1)")
+@op("baseline_status", """WITH d AS (SELECT o_custkey, date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) AS days FROM orders GROUP BY 1)
+SELECT o_custkey, days, CASE WHEN days < 28 THEN 'warming' WHEN days < 90 THEN 'hourly' WHEN days < 365 THEN 'daily' ELSE 'seasonal' END AS status, CASE WHEN days < 28 THEN 28 WHEN days < 90 THEN 90 WHEN days < 365 THEN 365 END AS next_at FROM d""")
 def _(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.when(F.datediff(F.max("ts"), F.min("ts")) >= 28, "ready").otherwise("warming").alias("status"))
+    return measures.baseline_status(table(spark, sf, "orders"), "o_custkey", "o_orderdate")

@@ -30,7 +30,7 @@ def long_form(counters: dict[str, str]) -> str:
 # ---- snapshots: a customer is a snapshot, its orders are units
 SNAP = View("sn", "customer", "c_custkey AS snapshot_id, c_custkey % 7 AS profile_id")
 UNIT = View("un", "orders", "o_orderkey AS unit_id, o_custkey AS snapshot_id, 'r' || CAST(o_orderkey % 2 AS STRING) AS member_role, CASE WHEN o_custkey % 5 = 1 AND o_orderkey % 4 = 0 THEN 'page' ELSE 'item' END AS subject_kind, o_orderkey AS subject_key")
-DECI = View("de", "orders WHERE NOT (o_custkey % 11 = 3 AND o_orderkey % 3 = 0)", "o_orderkey AS unit_id, CASE WHEN o_orderkey % 3 = 0 THEN 'rejected' ELSE 'selected' END AS decision, CASE WHEN o_custkey % 13 = 4 THEN 'clip' ELSE 'version' END AS member_kind")
+DECI = View("de", "orders WHERE NOT (o_custkey % 11 = 3 AND o_orderkey % 3 = 0)", "o_orderkey AS unit_id, CASE WHEN o_orderkey % 3 = 0 THEN 'rejected' ELSE 'selected' END AS decision, CASE WHEN o_custkey % 13 = 4 THEN 'clip' ELSE 'version' END AS member_kind, o_orderkey + CASE WHEN o_custkey % 31 = 9 THEN 5 ELSE 0 END AS member_key")
 MEMB = View("mb", "orders WHERE o_orderkey % 3 <> 0 AND o_custkey % 17 <> 5 OR o_custkey % 19 = 6", "o_orderkey AS unit_id, 'version' AS member_kind, o_orderkey + CASE WHEN o_custkey % 23 = 7 THEN 1000000000 ELSE 0 END AS member_key")
 UNIV = View("uv", "orders WHERE NOT (o_custkey % 29 = 8 AND o_orderkey % 2 = 0)", "o_custkey AS snapshot_id, 'r' || CAST(o_orderkey % 2 AS STRING) AS member_role, 'item' AS subject_kind, 'version' AS member_kind, o_orderkey AS member_key")
 ROLE = View("rl", "orders WHERE o_custkey % 7 <> 5", "DISTINCT o_custkey % 7 AS profile_id, 'r' || CAST(o_orderkey % CASE WHEN o_custkey % 7 = 2 THEN 3 ELSE 2 END AS STRING) AS member_role, 'item' AS subject_kind, 'version' AS member_kind")
@@ -46,12 +46,13 @@ COUNTS = long_form({
     "invalid_member_kind": "un JOIN sn USING (snapshot_id) JOIN rl USING (profile_id, member_role) JOIN de USING (unit_id) WHERE decision = 'selected' AND de.member_kind <> rl.member_kind",
     "profile_missing_role": "(SELECT snapshot_id, member_role FROM sn JOIN rl USING (profile_id) EXCEPT SELECT snapshot_id, member_role FROM un)",
     "profile_extra_role": "(SELECT snapshot_id, member_role FROM un EXCEPT SELECT snapshot_id, member_role FROM sn JOIN rl USING (profile_id))",
+    "member_differs": "un JOIN mb USING (unit_id) LEFT JOIN de USING (unit_id) WHERE decision IS NULL OR decision <> 'selected' OR de.member_kind <> mb.member_kind OR de.member_key <> mb.member_key",
     "profile_roles": "sn JOIN rl USING (profile_id)",
     "snapshot_roles": "(SELECT DISTINCT snapshot_id, member_role FROM un)",
     "universe_roles": "(SELECT DISTINCT snapshot_id, member_role FROM uv)",
 })
 WIDE = ", ".join(f"CAST(coalesce(sum(n) FILTER (WHERE k = '{c}'), 0) AS BIGINT) AS {c}" for c in closure.MEMBERSHIP_COUNTERS)
-RIGHT = " AND ".join([*[f"{c} = 0" for c in closure.MEMBERSHIP_COUNTERS[:10]], "profile_roles > 0", "snapshot_roles = profile_roles", "universe_roles = profile_roles"])
+RIGHT = " AND ".join([*[f"{c} = 0" for c in closure.MEMBERSHIP_COUNTERS[:11]], "profile_roles > 0", "snapshot_roles = profile_roles", "universe_roles = profile_roles"])
 
 
 @op("membership_closure", f"WITH {', '.join(v.sql for v in PARTS)}, c AS ({COUNTS}), w AS (SELECT snapshot_id, {WIDE} FROM sn LEFT JOIN c USING (snapshot_id) GROUP BY 1) SELECT *, {RIGHT} AS closed FROM w")
@@ -127,13 +128,25 @@ def _(spark, sf):
 STATES = ["click", "view", "purchase", "signup"]
 
 
-@op("transition_audit", f"""WITH lg AS (SELECT user_id AS aggregate_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS revision, event_type AS to_state, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
-s AS (SELECT *, CASE WHEN before IS NOT NULL AND revision % 11 = 0 THEN 'view' ELSE before END AS from_state FROM lg), a(f, t) AS (VALUES {', '.join(map(str, LEGAL))}), z AS (SELECT aggregate_id, revision,
-CASE WHEN to_state NOT IN ({', '.join(map(repr, STATES))}) THEN 'BAD_TARGET' WHEN before IS NULL AND to_state NOT IN ('click', 'view') THEN 'BAD_INITIAL' WHEN from_state <> before THEN 'BAD_FROM' WHEN before IS NOT NULL AND f IS NULL THEN 'UNREGISTERED' END AS error
-FROM s LEFT JOIN a ON f = from_state AND t = to_state) SELECT * FROM z WHERE error IS NOT NULL""")
+@op("transition_audit", f"""WITH lg AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS revision, event_type AS to_state, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+s AS (SELECT *, user_id % 3 AS v, CASE WHEN user_id % 2 = 0 THEN 'order' ELSE 'visit' END AS t, CASE WHEN before IS NULL THEN (CASE WHEN user_id % 7 = 3 THEN 'click' END) WHEN revision % 11 = 0 THEN 'view' WHEN revision % 37 = 5 THEN NULL ELSE before END AS from_state FROM lg),
+a(f, g) AS (VALUES {', '.join(map(str, LEGAL))}), z AS (SELECT event_id, user_id AS aggregate_id, revision,
+CASE WHEN event_id % 101 = 0 THEN 'EVENT_MISSING' WHEN v = 2 AND t = 'visit' THEN 'TYPE_NOT_EXCLUSIVE' WHEN event_id % 23 = 4 THEN 'NOT_TYPED_TO_EVENT' WHEN to_state NOT IN ({', '.join(map(repr, STATES))}) OR (v = 1 AND to_state = 'signup') THEN 'BAD_TARGET'
+ WHEN revision = 1 AND (from_state IS NOT NULL OR to_state NOT IN ('click', 'view') OR (t = 'order' AND to_state = 'view')) THEN 'BAD_INITIAL' WHEN revision > 1 AND (f IS NULL OR (t = 'order' AND f = 'click' AND g = 'click')) THEN 'UNREGISTERED' WHEN revision > 1 AND from_state <> before THEN 'BAD_FROM' END AS error
+FROM s LEFT JOIN a ON f = from_state AND g = to_state) SELECT * FROM z WHERE error IS NOT NULL""")
 def _(spark, sf):
-    rows = log(spark, sf).withColumn("from_state", F.when(F.col("from_state").isNotNull() & (F.col("revision") % 11 == 0), "view").otherwise(F.col("from_state")))
-    return closure.transition_audit(rows, spark.createDataFrame(LEGAL, "from_state string, to_state string"), ["click", "view"], STATES)
+    """Three registry versions, two families of types; some rows of no event, of a plain type, or typed otherwise than it."""
+    user, type_of = F.col("aggregate_id"), F.when(F.col("aggregate_id") % 2 == 0, "order").otherwise("visit")
+    rows = log(spark, sf).select("event_id", (user % 3).alias("registry_version"), type_of.alias("event_type"), F.concat(F.lit("f-"), type_of).alias("family"), "aggregate_id", "revision", "from_state", "to_state")
+    revision, first = F.col("revision"), F.col("from_state").isNull()
+    given = F.when(first, F.when(user % 7 == 3, "click")).when(revision % 11 == 0, "view").when(revision % 37 == 5, None).otherwise(F.col("from_state"))
+    states = rows.withColumn("from_state", given).withColumn("family", F.when(F.col("event_id") % 23 == 4, "f-other").otherwise(F.col("family")))
+    kinds = [(v, t) for v in range(3) for t in ("order", "visit")]
+    table_of = lambda rows, schema: spark.createDataFrame(rows, f"registry_version long, event_type string, {schema}")
+    types = table_of([(v, t, "append_only" if (v, t) == (2, "visit") else "exclusive_transition") for v, t in kinds], "semantics string")
+    targets = table_of([(v, t, s, s == "click" or (s == "view" and t == "visit")) for v, t in kinds for s in STATES if (v, s) != (1, "signup")], "state_key string, is_initial boolean")
+    pairs = table_of([(v, t, a, b) for v, t in kinds for a, b in LEGAL if (t, a, b) != ("order", "click", "click")], "from_state string, to_state string")
+    return closure.transition_audit(rows.where("event_id % 101 <> 0"), states, types, targets, pairs)
 
 
 # ---- source registries: one JSON file for 1,000 suppliers

@@ -475,10 +475,12 @@ def _(spark, sf):
     return measures.comparison_watermark(table(spark, sf, "events").groupBy("event_type").agg(F.max("ts").alias("frontier")), 5)
 
 
-@op("ledger_chain", "WITH h AS (SELECT user_id, event_id, CASE WHEN event_id % 50 = 0 THEN 'x' ELSE lag(md5(CAST(event_id AS VARCHAR))) OVER w END AS p, lag(md5(CAST(event_id AS VARCHAR))) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id FROM h WHERE p IS DISTINCT FROM b")
+@op("ledger_chain", """WITH h AS (SELECT user_id, event_id, CASE WHEN event_id % 50 = 0 THEN 'x' ELSE lag(md5(CAST(event_id AS VARCHAR))) OVER w END AS p, lag(md5(CAST(event_id AS VARCHAR))) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, event_id, 'CHAIN_BROKEN' AS error FROM h WHERE p IS DISTINCT FROM b UNION ALL SELECT user_id, event_id, 'ANCHOR_MISSING' FROM events WHERE event_id % 41 = 0 UNION ALL SELECT user_id, event_id, 'ANCHOR_LATE' FROM events WHERE event_id % 41 > 0 AND (event_id % 320 > 300 OR event_id % 97 = 1)""")
 def _(spark, sf):
-    own = table(spark, sf, "events").select("user_id", "event_id", F.md5(F.col("event_id").cast("string").cast("binary")).alias("hash"))
-    chained = own.withColumn("previous_hash", F.when(F.col("event_id") % 50 == 0, "x").otherwise(F.lag("hash").over(Window.partitionBy("user_id").orderBy("event_id"))))
+    k = F.col("event_id")
+    own = table(spark, sf, "events").select("user_id", "event_id", F.col("ts").alias("at"), F.md5(k.cast("string").cast("binary")).alias("hash"), F.when(k % 41 > 0, F.timestamp_seconds(F.unix_timestamp("ts") + F.when(k % 97 == 1, -5).otherwise(k % 320))).alias("anchored_at"))
+    chained = own.withColumn("previous_hash", F.when(k % 50 == 0, "x").otherwise(F.lag("hash").over(Window.partitionBy("user_id").orderBy("event_id"))))
     return measures.ledger_chain(chained, "user_id", "event_id")
 
 
