@@ -114,24 +114,47 @@ def multi_scale(counts: DataFrame, series: str, end: Column, scales: tuple[Scale
     return out.select(series, "hours", "current", F.col("baselines").cast("long").alias("baselines"), "median", "mad", "robust_z", "status")
 
 
-def decline(counts: DataFrame, series: str, bucket: str, n: str, least: int) -> DataFrame:
-    """Ends of runs of at least ``least`` falls in a row."""
+def decline(counts: DataFrame, health: DataFrame, series: str, bucket: str, n: str, least: int) -> DataFrame:
+    """Runs of at least ``least`` falls in a row, with how far they fell, while collection was healthy.
+
+    ``health``: series, bucket, healthy. A fall into or out of a bucket that was not known to be healthy is none, and ends the
+    run, so a broken collection never looks like a decline.
+    """
     w = Window.partitionBy(series).orderBy(bucket)
-    fell = counts.withColumn("fell", F.coalesce((F.col(n) < F.lag(n).over(w)).cast("int"), F.lit(0)))
+    h = health.select(series, bucket, "healthy")
+    known = counts.join(h, [series, bucket], "left").withColumn("healthy", F.coalesce("healthy", F.lit(False)))
+    drop = F.lag(n).over(w) - F.col(n)
+    fell = known.withColumn("drop", drop).withColumn("fell", F.coalesce(((drop > 0) & F.col("healthy") & F.lag("healthy").over(w)).cast("int"), F.lit(0)))
     run = fell.withColumn("island", F.sum(1 - F.col("fell")).over(w))
-    return run.groupBy(series, "island").agg(F.sum("fell").alias("falls"), F.max(bucket).alias("ended")).where(F.col("falls") >= least).select(series, "falls", "ended")
+    return run.groupBy(series, "island").agg(F.sum("fell").alias("falls"), F.max(bucket).alias("ended"), F.sum(F.when(F.col("fell") == 1, F.col("drop")).otherwise(0)).alias("fallen")).where(F.col("falls") >= least).select(series, "falls", "fallen", "ended")
 
 
-def first_seen(rows: DataFrame, key: str, at: str, gap_seconds: int) -> DataFrame:
-    """First time of each key and whether it came back after the gap."""
-    return rows.groupBy(key).agg(F.min(at).alias("first_at"), F.max(at).alias("last_at")).withColumn("recurred", F.unix_timestamp("last_at") - F.unix_timestamp("first_at") >= gap_seconds)
+def first_seen(rows: DataFrame, key: str, source: str, at: str, gap_seconds: int) -> DataFrame:
+    """First time and source of each key, and its first recurrence that is independent: after the gap, and by a source that
+    had no part in the time before. Sources are pre-aggregated per key, so no row meets another."""
+    per = rows.where(F.col(at).isNotNull()).groupBy(key, source).agg(F.min(at).alias("since"), F.count("*").alias("n"))
+    first = F.min("since").over(Window.partitionBy(key))
+    after = F.unix_timestamp("since") - F.unix_timestamp(first) >= gap_seconds
+    marked = per.withColumn("first_at", first).withColumn("later", F.when(after, F.struct(F.col("since").alias("at"), F.col(source).alias("by"))))
+    out = marked.groupBy(key).agg(F.min("first_at").alias("first_at"), F.min_by(source, F.struct("since", source)).alias("first_source"), F.min("later").alias("later"), F.count_if(F.col("later").isNotNull()).alias("independent_sources"), F.sum("n").alias("n"))
+    return out.select(key, "first_at", "first_source", F.col("later.at").alias("recurred_at"), F.col("later.by").alias("recurred_by"), "independent_sources", "n")
 
 
 def diffusion_layers(rows: DataFrame, key: str, layer: str, at: str) -> DataFrame:
-    """Per key: distinct layers, when the last new one came, entropy of their shares."""
-    n = rows.groupBy(key, layer).agg(F.count("*").alias("c"), F.min(at).alias("since"))
-    p = n.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy(key)))
-    return p.groupBy(key).agg(F.count("*").alias("layers"), F.max("since").alias("newest"), F.round(F.sum(-F.col("p") * F.ln("p")), 9).alias("entropy"))
+    """Per key and day: new layers, layers so far, mentions so far and the entropy of their shares so far.
+
+    Entropy is ln T - (sum of c ln c) / T, and a day changes c ln c only of the layers it mentions, so running sums of those
+    changes give every day's entropy without a row per layer and day.
+    """
+    day = F.to_date(at).alias("day")
+    daily = rows.where(F.col(at).isNotNull()).groupBy(key, layer, day).agg(F.count("*").alias("n"))
+    upto = daily.withColumn("c", F.sum("n").over(Window.partitionBy(key, layer).orderBy("day")))
+    weigh = lambda c: F.when(c > 0, c * F.ln(c)).otherwise(0.0)
+    days = upto.groupBy(key, "day").agg(F.sum("n").alias("n"), F.count_if(F.col("c") == F.col("n")).alias("new_layers"), F.sum(weigh(F.col("c")) - weigh(F.col("c") - F.col("n"))).alias("change"))
+    w = Window.partitionBy(key).orderBy("day")
+    total = F.sum("n").over(w)
+    entropy = F.round(F.ln(total) - F.sum("change").over(w) / total, 6) + 0.0
+    return days.select(key, "day", "new_layers", F.sum("new_layers").over(w).alias("layers"), total.alias("mentions"), entropy.alias("entropy"))
 
 
 def relation_break(rows: DataFrame, key: str, bucket: str, a: str, b: str, buckets: int, spreads: float = 3.0, least: int = 8) -> DataFrame:

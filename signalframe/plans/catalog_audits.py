@@ -339,14 +339,21 @@ def _(spark, sf):
     return measures.spike_robust(hourly(spark, sf), "series").select("series", "hour", "baselines", "median", "mad", F.round("robust_z", 9).alias("robust_z"))
 
 
-@op("decline", f"WITH {DAILY}, f AS (SELECT *, coalesce(CAST(n < lag(n) OVER (PARTITION BY series ORDER BY day) AS INTEGER), 0) AS fell FROM c), i AS (SELECT *, sum(1 - fell) OVER (PARTITION BY series ORDER BY day) AS isl FROM f) SELECT series, CAST(sum(fell) AS BIGINT) AS falls, max(day) AS ended FROM i GROUP BY series, isl HAVING sum(fell) >= 2")
+HEALTH = "h AS (SELECT event_type AS series, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, max(event_id) % 5 > 0 AS ok FROM events GROUP BY 1, 2)"
+
+
+@op("decline", f"""WITH {DAILY}, {HEALTH}, f AS (SELECT c.series, c.day, lag(n) OVER w - n AS fall, n < lag(n) OVER w AND ok AND lag(ok) OVER w AS fell FROM c JOIN h USING (series, day) WINDOW w AS (PARTITION BY c.series ORDER BY c.day)),
+i AS (SELECT *, sum(CASE WHEN fell THEN 0 ELSE 1 END) OVER (PARTITION BY series ORDER BY day) AS isl FROM f) SELECT series, count(*) FILTER (WHERE fell) AS falls, CAST(sum(fall) FILTER (WHERE fell) AS BIGINT) AS fallen, max(day) AS ended FROM i GROUP BY series, isl HAVING count(*) FILTER (WHERE fell) >= 2""")
 def _(spark, sf):
-    return measures.decline(daily(spark, sf), "series", "day", "n", 2)
+    health = table(spark, sf, "events").groupBy(F.col("event_type").alias("series"), F.floor(F.unix_timestamp("ts") / 86400).alias("day")).agg((F.max("event_id") % 5 > 0).alias("healthy"))
+    return measures.decline(daily(spark, sf), health, "series", "day", "n", 2)
 
 
-@op("first_seen", "SELECT user_id, min(ts) AS first_at, max(ts) AS last_at, floor(epoch(max(ts))) - floor(epoch(min(ts))) >= 2500000 AS recurred FROM events GROUP BY 1")
+@op("first_seen", """WITH p AS (SELECT user_id, event_type, min(ts) AS since, count(*) AS n FROM events GROUP BY 1, 2), f AS (SELECT user_id, min(since) AS first_at, arg_min(event_type, (since, event_type)) AS first_source, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY 1),
+l AS (SELECT p.user_id, min(since) AS recurred_at, arg_min(event_type, (since, event_type)) AS recurred_by, count(*) AS independent_sources FROM p JOIN f USING (user_id) WHERE floor(epoch(since)) - floor(epoch(first_at)) >= 500000 GROUP BY 1)
+SELECT user_id, first_at, first_source, recurred_at, recurred_by, coalesce(independent_sources, 0) AS independent_sources, n FROM f LEFT JOIN l USING (user_id)""")
 def _(spark, sf):
-    return measures.first_seen(table(spark, sf, "events"), "user_id", "ts", 2_500_000)
+    return measures.first_seen(table(spark, sf, "events"), "user_id", "event_type", "ts", 500_000)
 
 
 SCALED = ", ".join(f"({s.hours}, {s.step}, {s.past})" for s in measures.SCALES)
@@ -362,9 +369,11 @@ def _(spark, sf):
     return measures.multi_scale(hourly(spark, sf), "series", ts("2024-01-29 12:00:00")).withColumn("robust_z", F.round("robust_z", 9))
 
 
-@op("diffusion_layers", "WITH n AS (SELECT user_id, event_type, count(*) AS c, min(ts) AS since FROM events GROUP BY 1, 2), p AS (SELECT *, c::DOUBLE / sum(c) OVER (PARTITION BY user_id) AS p FROM n) SELECT user_id, count(*) AS layers, max(since) AS newest, round(sum(-p * ln(p)), 9) AS entropy FROM p GROUP BY 1")
+@op("diffusion_layers", """WITH d AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events), s AS (SELECT d.user_id, d.day, e.event_type, count(*) AS c, min(e.ts::DATE) = d.day AS fresh FROM d JOIN events e ON e.user_id = d.user_id AND e.ts::DATE <= d.day GROUP BY 1, 2, 3),
+p AS (SELECT *, c::DOUBLE / sum(c) OVER (PARTITION BY user_id, day) AS p FROM s)
+SELECT user_id, CAST(day AS VARCHAR) AS day, count(*) FILTER (WHERE fresh) AS new_layers, count(*) AS layers, CAST(sum(c) AS BIGINT) AS mentions, round(sum(-p * ln(p)), 6) + 0.0 AS entropy FROM p GROUP BY user_id, p.day""")
 def _(spark, sf):
-    return measures.diffusion_layers(table(spark, sf, "events"), "user_id", "event_type", "ts")
+    return measures.diffusion_layers(table(spark, sf, "events"), "user_id", "event_type", "ts").withColumn("day", F.col("day").cast("string"))
 
 
 @op("relation_break", """WITH d AS (SELECT l_returnflag AS k, CAST(epoch(l_shipdate) AS BIGINT) // 604800 AS week, CAST(l_quantity AS DOUBLE) AS a, CAST(l_extendedprice AS DOUBLE) AS b FROM lineitem WHERE l_partkey % 3 = 0 OR l_shipdate < TIMESTAMP '1995-01-01'),

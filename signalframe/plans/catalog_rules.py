@@ -428,11 +428,16 @@ def _(spark, sf):
     return planning.reportable_arrivals(seen, versions, table(spark, sf, "events").select(F.col("event_id").alias("decision_id"), F.when(F.col("event_type") != "error", F.col("ts")).alias("available_at")))
 
 
-@op("display_diversity", """WITH g AS (SELECT l_orderkey AS surface, count(*) AS size, count(DISTINCT l_returnflag) AS l_returnflag, count(DISTINCT l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1)
-SELECT *, CASE WHEN size >= 5 THEN concat_ws(',', CASE WHEN l_returnflag < 3 THEN 'l_returnflag' END, CASE WHEN l_suppkey < 5 THEN 'l_suppkey' END) WHEN size >= 3 THEN CASE WHEN l_returnflag < 2 THEN 'l_returnflag' ELSE '' END ELSE '' END AS short FROM g""")
+FLOORS = ((3, {"l_returnflag": 2, "l_suppkey": 2}), (5, {"l_returnflag": 2, "l_suppkey": 4, "l_linestatus": 2, "l_shipmode": 3, "l_partkey": 5}), (7, {"l_returnflag": 3, "l_suppkey": 6, "l_linestatus": 2, "l_shipmode": 4, "l_partkey": 7}))
+DIVERSE = list(FLOORS[-1][1])
+
+
+@op("display_diversity", f"""WITH l AS (SELECT l_orderkey, l_returnflag, l_suppkey, l_linestatus, l_partkey, 'm' || (l_partkey % 5) AS l_shipmode FROM lineitem), g AS (SELECT l_orderkey AS surface, count(*) AS size, {", ".join(f"count(DISTINCT {c}) AS {c}" for c in DIVERSE)} FROM l GROUP BY 1)
+SELECT *, CASE {" ".join(f"WHEN size >= {n} THEN concat_ws(',', " + ", ".join(f"CASE WHEN {c} < {k} THEN '{c}' END" for c, k in floors.items()) + ")" for n, floors in reversed(FLOORS))} ELSE '' END AS short FROM g""")
 def _(spark, sf):
-    l = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "surface")
-    return planning.display_diversity(l, "surface", ["l_returnflag", "l_suppkey"], [(3, {"l_returnflag": 2}), (5, {"l_returnflag": 3, "l_suppkey": 5})])
+    """Five floors, by the size of the list."""
+    l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("surface"), "l_returnflag", "l_suppkey", "l_linestatus", "l_partkey", F.concat(F.lit("m"), (F.col("l_partkey") % 5).cast("string")).alias("l_shipmode"))
+    return planning.display_diversity(l, "surface", DIVERSE, list(FLOORS))
 
 
 @op("coverage_floor_greedy", """WITH d AS (SELECT o_custkey % 20 AS stratum, (count(*) + o_custkey % 20)::DOUBLE AS target, count(*) FILTER (WHERE o_orderstatus = 'F')::DOUBLE AS debt FROM orders GROUP BY 1), c AS (SELECT o_orderkey AS candidate_id, o_custkey % 20 AS stratum, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderdate, o_orderkey) AS nth FROM orders)
