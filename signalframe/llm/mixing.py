@@ -9,11 +9,7 @@ the word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalframe.llm.common import narrowed
@@ -25,7 +21,6 @@ MOST_TIMES = 3
 SEED = 7
 GOLDEN = 0.6180339887498949
 RANK_CHUNK = 1 << 16
-MOST_SOURCES = 100_000
 
 
 def targets(sizes: list[int], weights: list[float]) -> list[float]:
@@ -57,39 +52,63 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
+def in_turn(df: DataFrame, key: Column, name: str, of: Column | None = None) -> DataFrame:
+    """``df`` (written) with ``name``: how many rows, or how much of ``of``, stand before a row in the order of ``key``.
+
+    The order is dealt out by ranges; each range is counted, and only the counts of ranges are summed up in one place.
+    """
+    dealt = written(df.repartitionByRange(key).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    amount = F.lit(1).cast("long") if of is None else of
+    ranges = dealt.groupBy("range").agg(F.sum(amount).alias("amount"))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    base = ranges.select("range", F.coalesce(F.sum("amount").over(before().orderBy("range")), F.lit(0)).alias("base"))  # a row per range
+    inner = F.coalesce(F.sum(amount).over(before("range").orderBy(key)), F.lit(0))
+    return dealt.withColumn("inner", inner).join(base, "range").withColumn(name, F.col("base") + F.col("inner")).drop("range", "inner", "base")
+
+
 def source_plan(sizes: DataFrame) -> DataFrame:
-    """One row per source: number, size, target, words to take, blocks a pass, slots due. Small: the sources."""
-    rows = sizes.groupBy("source").agg(F.sum("size").alias("size")).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"{len(rows)} sources; the schedule's weights are kept for at most {MOST_SOURCES}")
-    rows = sorted(rows, key=lambda r: (r["source"] is None, r["source"] or ""))
-    total = [int(r["size"]) for r in rows]
-    plan = []
-    for i, (r, size, target) in enumerate(zip(rows, total, targets(total, [WEIGHTS[i % 3] for i in range(len(rows))]))):
-        take = min(round(target), MOST_TIMES * size)
-        blocks = -(-size // BLOCK)
-        due = take // size * blocks + -(-(take % size) // BLOCK) if size else 0
-        plan.append((i, r["source"], size, target, take, blocks, due))
-    return sizes.sparkSession.createDataFrame(
-        plan, "src int, source string, source_size long, target double, take long, blocks long, due long"
-    )
+    """One row per source: number, size, target, words to take, blocks a pass, slots due. Written; Spark holds it, however
+    many sources there are.
+
+    A source is full if its share by weight would pass MOST_TIMES its size. Full ones leave their excess to the others,
+    whose shares rise, until none is full any more: each round is one aggregation, and its two sums go to the driver.
+    """
+    rows = in_turn(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), F.col("source").asc_nulls_last(), "src")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("src") % len(WEIGHTS) + 1).cast("int")).cast("long")
+    rows = written(rows.withColumn("weight", weight), "mix-sources")
+    most = F.lit(MOST_TIMES) * F.col("source_size")
+    unit, full = None, F.lit(False)
+    while True:
+        left = rows.agg(F.sum("source_size").alias("all"), F.sum(F.when(full, most)).alias("given"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        now = None if not left["open"] else float(left["all"] - (left["given"] or 0)) / left["open"]
+        if now is None or now == unit:
+            break
+        unit, full = now, F.lit(now) * F.col("weight") > most
+    target = F.when(full, most.cast("double")).otherwise(F.lit(unit if unit is not None else 0.0) * F.col("weight"))
+    size, take = F.col("source_size"), F.col("take")
+    plan = rows.withColumn("target", target).withColumn("take", F.least(F.bround("target").cast("long"), most)).withColumn("blocks", F.ceil(size / BLOCK))
+    rest = F.expr("take % source_size")
+    due = F.when(size > 0, F.expr("take div source_size") * F.col("blocks") + F.ceil(rest / BLOCK)).otherwise(0)
+    return written(plan.select("src", "source", "source_size", "target", take, "blocks", due.cast("long").alias("due")), "mix-plan")
 
 
 def schedule(plan: DataFrame) -> DataFrame:
-    """The mix: slot, src, rank (from 0 within the source), pass, block and the words taken from that block."""
+    """The mix: slot, src, rank (from 0 within the source), pass, block and the words taken from that block.
+
+    A slot's point falls into the weights' interval of one source. Both meet by cells of [0, 1), about as many as sources,
+    so a slot meets the few sources of its cell.
+    """
     spark = plan.sparkSession
-    due = np.array([r["due"] for r in plan.orderBy("src").collect()], np.int64)
-    slots = int(due.sum())
-    edges = np.cumsum(due) / max(1, slots)
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.column(0).to_numpy()
-            src = np.searchsorted(edges, np.modf((k + 0.5) * GOLDEN)[0], side="right")
-            src = np.minimum(src, len(due) - 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(src)], ["slot", "src"])
-
-    dealt = written(spark.range(slots).mapInArrow(choose, "slot long, src int"), "mix-slots")
+    whole = plan.agg(F.coalesce(F.sum("due"), F.lit(0)).alias("slots"), F.count("*").alias("sources")).first()
+    slots, cells = int(whole["slots"]), max(1 << 10, int(whole["sources"]))
+    upto = in_turn(plan.where("due > 0"), F.col("src").asc(), "upto", F.col("due"))
+    edges = upto.select("src", (F.col("upto") / max(1, slots)).alias("low"), ((F.col("upto") + F.col("due")) / max(1, slots)).alias("high"))
+    cell = lambda x: F.least(F.floor(x * cells), F.lit(cells - 1))
+    edges = edges.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
+    point = (F.col("slot") + 0.5) * GOLDEN
+    drawn = spark.range(slots).withColumnRenamed("id", "slot").withColumn("point", point - F.floor(point)).withColumn("cell", cell(F.col("point")))
+    dealt = drawn.join(edges, "cell").where("low <= point and point < high").select("slot", "src")
+    dealt = written(dealt, "mix-slots")
     dealt = dealt.withColumn("part", F.floor(F.col("slot") / RANK_CHUNK))
     parts = dealt.groupBy("src", "part").agg(F.count("*").alias("n"))
     parts = parts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -101,7 +120,7 @@ def schedule(plan: DataFrame) -> DataFrame:
         plan.join(reached, "src", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < due")
         .select(F.lit(slots).cast("long").alias("slot"), "src", F.explode(F.sequence("n", F.col("due") - 1)).alias("rank"))
     )
-    kept = ranked.unionByName(tail).join(F.broadcast(plan), "src").where("rank < due")  # a row per source, MOST_SOURCES at most
+    kept = ranked.unionByName(tail).join(plan, "src").where("rank < due")
     kept = kept.withColumn("pass", F.floor(F.col("rank") / F.col("blocks"))).withColumn("block", F.col("rank") % F.col("blocks"))
     begins = F.col("block") * BLOCK
     words = F.least(F.lit(BLOCK), F.col("source_size") - begins, F.col("take") - F.col("pass") * F.col("source_size") - begins)
@@ -110,7 +129,7 @@ def schedule(plan: DataFrame) -> DataFrame:
 
 def streams(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     """Each document that has words, with the word its shuffled source stream reaches it at (``begins``)."""
-    keyed = sizes.where("size > 0").join(F.broadcast(plan.select("src", "source")), sizes["source"].eqNullSafe(plan["source"])).select("src", "row", "doc_id", "size", "key")
+    keyed = sizes.where("size > 0").join(plan.select("src", "source"), sizes["source"].eqNullSafe(plan["source"])).select("src", "row", "doc_id", "size", "key")
     dealt = written(keyed.repartitionByRange("src", "key", "row").withColumn("pid", F.spark_partition_id()), "mix-streams")
     ahead = Window.partitionBy("src").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     base = dealt.groupBy("src", "pid").agg(F.sum("size").alias("n")).select("src", "pid", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
@@ -136,12 +155,11 @@ def mixed(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted), key.
 
     Texts that are null or have no words have size 0 and nothing taken. A null source is a source, last in order.
-    Repeated rows are apart: each is taken in its own place. An empty table gives an empty result. Sources are at most
-    MOST_SOURCES, since their targets are settled on the driver; more are refused.
+    Repeated rows are apart: each is taken in its own place. An empty table gives an empty result.
     """
     rows, plan = taken(docs)
     rows = rows.withColumnRenamed("source", "of")
-    return rows.join(F.broadcast(plan), rows["of"].eqNullSafe(plan["source"])).select(
+    return rows.join(plan, rows["of"].eqNullSafe(plan["source"])).select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "key"
     )
 
@@ -151,8 +169,8 @@ def resampled(docs: DataFrame) -> DataFrame:
 
     A source's blocks are taken in order, pass after pass, so but for one document where its last pass ends every
     document is taken a whole number of times: sources end on their targets to within half a document. Rows that share
-    doc_id and text share the rounded mean of what is taken of them. Null and empty texts are not taken. Columns may have
-    any name.
+    doc_id and text share the rounded mean of what is taken of them. Null and empty texts are not taken; an empty table stays
+    empty. Columns may have any name.
     """
     times = mixed(docs).where("size > 0").groupBy("key").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("times")).where("times > 0")
     own = [f"mix column {i}" for i in range(len(docs.columns))]  # apart from ours, whatever they are called
