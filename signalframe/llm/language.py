@@ -24,7 +24,7 @@ from signalframe.llm.common import narrowed, pieces
 BUCKETS = 1 << 15
 FOLDS, HELD = 4, 2
 ALPHA = 0.5
-ROUNDS = 12
+SETTLED = 1e-4  # nats by which a step must still raise a document's likelihood
 PENALTY = 3.0
 MOST_LANGUAGES = 512
 PIECE = 3 << 20  # bytes of text worked on at once
@@ -65,11 +65,14 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_mixture(p: np.ndarray, count: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
     """EM for the proportions of p's rows (languages) over trigrams with counts; (proportions, log-likelihood)."""
-    share, n = start, count.sum()
-    for _ in range(ROUNDS):
+    share, n, before = start, count.sum(), -np.inf
+    while True:
         part = share[:, None] * p
-        share = (part / part.sum(axis=0)) @ count / n
-    return share, float(np.log(share @ p) @ count)
+        whole = part.sum(axis=0)
+        reached = float(np.log(whole) @ count)
+        if reached - before < SETTLED:
+            return share, reached
+        share, before = (part / whole) @ count / n, reached
 
 
 def mixture(logp: np.ndarray, buckets: np.ndarray, count: np.ndarray) -> tuple[dict[int, float], float]:
