@@ -1,45 +1,49 @@
 """Fixed virtual slots: records hash into SLOTS slots for good; a versioned map sends slots to shards.
 
 Only the map changes when data or shards change: bytes are summed per slot, and slots move from the fullest to the
-emptiest shard until the shards are as even as slots allow. The map is a table with a folder per version; a run takes
-the latest version, edits it and stores the next. It has SLOTS rows whatever the input, so it is edited on the driver
+emptiest shard until the shards are as even as slots allow. The map is a small file per version, which one run alone can
+create; a run takes the latest version, edits it and stores the next. It has SLOTS rows whatever the input, so it is edited on the driver
 and broadcast; records never pass through it.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import numpy as np
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalframe.llm.common import narrowed
-from signalframe.scratch import shared_dir, written
+from signalframe.scratch import claim, claimed, claims, shared_dir, written
 
 SLOTS = 8192
 SEED = 2024
 LAW = "bytes"
-CROWD = 16
 
 
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size (UTF-8 bytes plus 8), text_crc32 and the record's fixed virtual slot (a hash of doc_id and text).
 
-    Rows of one doc_id, or of none, so spread by their texts. Records that repeat more than CROWD times in all columns
-    are alike and spread by where they stand.
+    Rows of one doc_id, or of none, so spread by their texts. Records that repeat in all columns are alike: they are numbered
+    and the hash takes the number in, so they spread from the second on, and more of them move none of the others. Numbers
+    are counted per part of the table first, so no part of it is large.
     """
     rows = written(
         narrowed(docs).select(
             "doc_id", (F.octet_length("text") + 8).cast("long").alias("size"), F.crc32("text").alias("text_crc32"),
-            F.xxhash64(F.lit(SEED), "doc_id", "text").alias("hash"), F.monotonically_increasing_id().alias("place"),
+            F.xxhash64(F.lit(SEED), "doc_id", "text").alias("hash"), F.monotonically_increasing_id().alias("place"), F.spark_partition_id().alias("part"),
         ),
         "shard-records",
     )
-    crowds = rows.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("hash", F.lit(True).alias("crowded"))
-    spread = F.when(F.col("crowded"), F.xxhash64("hash", "place")).otherwise(F.col("hash"))
-    return rows.join(crowds, "hash", "left").select("doc_id", "size", "text_crc32", F.pmod(spread, F.lit(slots)).cast("int").alias("vslot"))
+    parts = rows.groupBy("hash", "part").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("hash").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    later = parts.withColumn("before", F.sum("n").over(ahead)).where("before is not null").select("hash", "part", "before")
+    own = F.row_number().over(Window.partitionBy("hash", "part").orderBy("place")) - 1
+    number = F.col("own") + F.coalesce("before", F.lit(0))
+    spread = F.when(number > 0, F.xxhash64("hash", number.cast("long"))).otherwise(F.col("hash"))
+    return rows.withColumn("own", own).join(later, ["hash", "part"], "left").select("doc_id", "size", "text_crc32", F.pmod(spread, F.lit(slots)).cast("int").alias("vslot"))
 
 
 def first_map(slots: int, shards: int) -> np.ndarray:
@@ -83,19 +87,16 @@ def rebalance(held: np.ndarray, weight: np.ndarray, shards: int) -> np.ndarray:
 
 def stored_map(spark: SparkSession, folder: str, version: int | None = None) -> tuple[int, np.ndarray] | None:
     """(version, shard of each slot): the latest or the named version of the map in ``folder``; none there gives None."""
-    try:
-        table = spark.read.parquet(folder)
-    except AnalysisException:
+    names = claims(spark, folder)
+    if not names:
         return None
-    at = table.agg(F.max("version")).first()[0] if version is None else version
-    held = table.where(F.col("version") == at).select("vslot", "shard").orderBy("vslot").collect()
-    return int(at), np.array([r["shard"] for r in held])
+    at = int(names[-1]) if version is None else version
+    return at, np.array(json.loads(claim(spark, f"{folder}/{at:012d}")), np.int64)
 
 
-def store_map(spark: SparkSession, folder: str, version: int, held: np.ndarray) -> None:
-    """Writes one version; a retry writes the same folder again."""
-    rows = spark.createDataFrame([(s, int(x)) for s, x in enumerate(held)], "vslot int, shard int")
-    rows.coalesce(1).write.mode("overwrite").parquet(f"{folder}/version={version}")
+def store_map(spark: SparkSession, folder: str, version: int, held: np.ndarray) -> bool:
+    """Stores one version, a small file that only one writer can create; False if another run has stored that version."""
+    return claimed(spark, f"{folder}/{version:012d}", json.dumps(held.tolist()))
 
 
 def next_map(records: DataFrame, folder: str, shards: int, slots: int = SLOTS) -> tuple[int, DataFrame]:
@@ -109,17 +110,18 @@ def next_map(records: DataFrame, folder: str, shards: int, slots: int = SLOTS) -
     weight, n = np.zeros(slots), np.zeros(slots, np.int64)
     for row in got:
         weight[row["vslot"]], n[row["vslot"]] = row["bytes"], row["n"]
-    latest = stored_map(spark, folder)
-    if latest is None:
+    if stored_map(spark, folder) is None:
         store_map(spark, folder, 0, first_map(slots, shards))
-        latest = stored_map(spark, folder)
-    version, held = latest
-    if len(held) != slots or held.max() >= shards:
-        raise ValueError(f"the stored map has {len(held)} slots over {held.max() + 1} shards; slots are fixed and shards only grow")
-    edited = rebalance(held, weight, shards)
-    if not np.array_equal(edited, held):
-        store_map(spark, folder, version + 1, edited)
-        version, held = stored_map(spark, folder, version + 1)
+    while True:  # again from the latest if another run stores a version meanwhile
+        version, held = stored_map(spark, folder)
+        if len(held) != slots or held.max() >= shards:
+            raise ValueError(f"the stored map has {len(held)} slots over {held.max() + 1} shards; slots are fixed and shards only grow")
+        edited = rebalance(held, weight, shards)
+        if np.array_equal(edited, held):
+            break
+        if store_map(spark, folder, version + 1, edited):
+            version, held = version + 1, edited
+            break
     before, filled = np.zeros(slots, np.int64), np.zeros(shards, np.int64)
     for s, shard in enumerate(held):
         before[s] = filled[shard]
