@@ -276,7 +276,11 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def clips(media: DataFrame) -> DataFrame:
-    """Timed clip rows of a media column: doc_id, clip, first_frame, last_frame, start_s, end_s."""
+    """Timed clip rows of a media column: doc_id, clip, first_frame, last_frame, start_s, end_s.
+
+    Clips of a row meet and cover all of its frames, at any length; a row has one at least, also where its text was null or
+    empty (one block of zeros). A null doc_id stays null; repeated rows each have their clips; an empty table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 8 << 20, "media"):
@@ -290,7 +294,8 @@ def clips(media: DataFrame) -> DataFrame:
 def media_features(media: DataFrame) -> DataFrame:
     """One row per media row, all from the stored bytes: payload and media sizes and digests, feature, frames' clips.
 
-    Equal media give equal values; an empty text is one block of zeros; an empty table gives an empty result.
+    Equal media give equal values; a null or empty text is one block of zeros; a null doc_id stays null; repeated rows each
+    come back; texts of any length are read whole; an empty table gives an empty result.
     """
     out = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_clips long"
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]

@@ -556,7 +556,8 @@ def scored(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), whole texts.
 
     Held out: crc32(doc_id) mod 7 is 2; the rest is learned from, null doc_ids too. Null and empty texts are one end
-    token. Without training texts every count is zero and both scores are still defined. Repeated rows each come back.
+    token. Without training texts every count is zero and both scores are still defined. Repeated rows each come back;
+    an empty table gives an empty result.
     """
     gathered = gather(docs)
     counts = word_counts(gathered)

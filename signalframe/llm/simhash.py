@@ -390,7 +390,8 @@ def deduplicated(docs: DataFrame, words: int = WIDE_WORDS, least: float = LIKENE
     of the smallest doc_id, then of the smallest text_md5.
 
     A document without doc_id stays only where its whole group has none. Rows that share doc_id and text are one
-    document; rows that share doc_id alone are apart.
+    document; rows that share doc_id alone are apart. Null and empty texts, and those without words, are alike: one of them
+    stays. Texts are compared whole at any length; an empty table stays empty; columns may have any name.
     """
     sets, links = _similar(docs, words, least)
     roots = connected_components(links).withColumnRenamed("node", "sid")
@@ -402,7 +403,8 @@ def deduplicated(docs: DataFrame, words: int = WIDE_WORDS, least: float = LIKENE
 
 def origins(docs: DataFrame, group: str, words: int = WIDE_WORDS, least: float = LIKENESS) -> DataFrame:
     """Per value of ``group``: items, origins (near duplicates of a lineage, linked as in ``deduplicated``, are one) and
-    the largest lineage's items there. Rows without words are alike and one lineage; a null ``group`` is a group."""
+    the largest lineage's items there. Rows without words are alike and one lineage; a null ``group`` is a group; an empty
+    table gives no rows."""
     sets, links = _similar(docs, words, least)
     roots = connected_components(links).withColumnRenamed("node", "sid")
     named = sets.select("near_key", "sid").distinct().join(roots, "sid", "left").select("near_key", F.coalesce("root", "sid").alias("lineage_id"))
