@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalframe.scratch import written
+from signalframe.scratch import measured, released, written
 
 
 def closure_audit(units: DataFrame, decisions: DataFrame, key: str, group: str) -> DataFrame:
@@ -244,30 +244,31 @@ def _ends(links: DataFrame, own: str, to: str) -> DataFrame:
     takes log n rounds; a round that settles nothing new shows that only cycles are left."""
     only = links.groupBy(own).agg(F.min(to).alias("at"), F.max(to).alias("other")).where(F.col("at") == F.col("other")).select(F.col(own).alias("node"), "at")
     every = links.select(F.col(own).alias("at")).distinct().withColumn("goes_on", F.lit(True))
-    paths = written(only.join(every, "at", "left").select("node", "at", F.col("goes_on").isNull().alias("ended")), "paths")
-    before = paths.where("not ended").count()
+    open_paths = {"n": F.count_if(~F.col("ended"))}
+    paths, left = measured(only.join(every, "at", "left").select("node", "at", F.col("goes_on").isNull().alias("ended")), "paths", **open_paths)
+    before = left["n"]
     while before:
         then = paths.select(F.col("node").alias("at"), F.col("at").alias("on"), F.col("ended").alias("on_ended"))
-        paths = written(paths.join(then, "at", "left").select("node", F.when(F.col("ended"), F.col("at")).otherwise(F.coalesce("on", "at")).alias("at"), (F.col("ended") | F.coalesce("on_ended", F.lit(False))).alias("ended")), "paths")
-        now = paths.where("not ended").count()
-        if now == before:
+        further = paths.join(then, "at", "left").select("node", F.when(F.col("ended"), F.col("at")).otherwise(F.coalesce("on", "at")).alias("at"), (F.col("ended") | F.coalesce("on_ended", F.lit(False))).alias("ended"))
+        old, (paths, left) = paths, measured(further, "paths", **open_paths)
+        released(old)
+        if left["n"] == before:
             break
-        before = now
+        before = left["n"]
     return paths.where("ended").select(F.col("node").alias(own))
 
 
-def _peeled(left: DataFrame) -> DataFrame:
-    """Without the edges that only lead to an end or only come from one; what stays is on or between cycles."""
-    n = left.count()
+def _peeled(left: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """Without the edges that only lead to an end or only come from one; what stays is on or between cycles. And its number."""
     while n:
+        before = n
         for own, to in (("event_id", "parent_event_id"), ("parent_event_id", "event_id")):
             kept = left.join(_ends(left, own, to), own, "left_anti")
-            left = written(kept.join(kept.select(F.col(own).alias(to)).distinct(), to, "left_semi"), "cycle")
-        now = left.count()
-        if now == n:
+            left, rows = measured(kept.join(kept.select(F.col(own).alias(to)).distinct(), to, "left_semi"), "cycle", n=F.count("*"))
+            n = rows["n"]
+        if n == before:
             break
-        n = now
-    return left
+    return left, n
 
 
 def _highest(edges: DataFrame, own: str, to: str) -> DataFrame:
@@ -276,18 +277,25 @@ def _highest(edges: DataFrame, own: str, to: str) -> DataFrame:
     rank = lambda c: F.struct(F.xxhash64(c).alias("h"), c.alias("id"))
     edges = edges.select(own, to)
     both = edges.select(F.explode(F.array(own, to)).alias("node")).distinct()
-    labels, changed = written(both.select("node", rank(F.col("node")).alias("label")), "labels"), 1
-    while changed:
+    labels, rows = measured(both.select("node", rank(F.col("node")).alias("label")), "labels", n=F.count("*"))
+    while rows["n"]:
         near = edges.join(labels, edges[own] == labels["node"]).groupBy(to).agg(F.max("label").alias("near")).withColumnRenamed(to, "node")
         met = labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.greatest("label", "near").alias("label"))
         far = labels.select(F.col("node").alias("through"), F.col("label").alias("far"))
-        met = met.join(far, F.col("label.id") == F.col("through"), "left").select("node", "was", F.greatest("label", "far").alias("label"))
-        met = written(met, "labels")
-        changed = met.where("was <> label").limit(1).count()
-        labels = met.select("node", "label")
+        met = met.join(far, F.col("label.id") == F.col("through"), "left").select("node", F.greatest("label", "far").alias("label"), "was")
+        moved = {"n": F.count_if(F.col("was") != F.col("label"))}
+        old, (labels, rows) = labels, measured(met, "labels", **moved)
+        released(old)
+        labels = _as_labels(labels)
     return labels.select("node", F.col("label.id").alias("label"))
 
 
+def _as_labels(table: DataFrame) -> DataFrame:
+    labels = table.select("node", "label")
+    labels.scratch_path = table.scratch_path
+    return labels
+
+
 def causal_cycle(edges: DataFrame) -> DataFrame:
     """Edges on a cycle: those whose child is among its parent's ancestors, that is, both lie in one strongly connected part.
 
@@ -295,10 +303,11 @@ def causal_cycle(edges: DataFrame) -> DataFrame:
     and, within a label, by the highest that it reaches: where both agree the node is in its label's part. Edges between
     labels are on no cycle. Every step is a written table, so lineage does not grow with rounds.
     """
-    left = written(edges.select("event_id", "parent_event_id").where("event_id is not null and parent_event_id is not null").distinct(), "cycle")
+    rows = edges.select("event_id", "parent_event_id").where("event_id is not null and parent_event_id is not null").distinct()
+    left, seen = measured(rows, "cycle", n=F.count("*"))
     found = left.limit(0)
-    left = _peeled(left)
-    while not left.isEmpty():
+    left, n = _peeled(left, seen["n"])
+    while n:
         down = _highest(left, "parent_event_id", "event_id")
         of = lambda labels, end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
         within = left.join(of(down, "event_id"), "event_id").join(of(down, "parent_event_id"), "parent_event_id").where("event_id_label = parent_event_id_label")
@@ -307,5 +316,6 @@ def causal_cycle(edges: DataFrame) -> DataFrame:
         marked = within.join(of(up, "event_id"), "event_id").join(of(up, "parent_event_id"), "parent_event_id")
         marked = written(marked.select("event_id", "parent_event_id", (F.col("event_id_label") == F.col("label")).alias("a"), (F.col("parent_event_id_label") == F.col("label")).alias("b")), "cycle")
         found = written(found.unionByName(marked.where("a and b").select("event_id", "parent_event_id")), "cycle")
-        left = _peeled(written(marked.where("not a and not b").select("event_id", "parent_event_id"), "cycle"))
+        left, seen = measured(marked.where("not a and not b").select("event_id", "parent_event_id"), "cycle", n=F.count("*"))
+        left, n = _peeled(left, seen["n"])
     return found

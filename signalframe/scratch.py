@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _OWN: dict[str, str] = {}
 
@@ -29,7 +29,23 @@ def written(df: DataFrame, tag: str, compression: str | None = None) -> DataFram
     """``df`` as a Parquet table in the shared folder. A lost executor costs a reread, never a recompute."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def measured(df: DataFrame, tag: str, **sums: Column) -> tuple[DataFrame, dict]:
+    """``written``, and aggregates of the rows by name, taken as they were written, without another pass."""
+    seen = Observation(f"{tag}-{uuid.uuid4().hex}")
+    table = written(df.observe(seen, *[c.alias(k) for k, c in sums.items()]), tag)
+    got = seen.get
+    return table, {k: got.get(k) or 0 for k in sums}  # nothing is told of a plan found to be empty
+
+
+def released(table: DataFrame) -> None:
+    """Deletes a table of ``written`` that no later step reads, such as that of a past round."""
+    files, where = _files(table.sparkSession, table.scratch_path)
+    files.delete(where, True)
 
 
 def _files(spark: SparkSession, path: str):
