@@ -18,11 +18,6 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-def near_duplicate_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items and independent origins of each source."""
-    return simhash.origins(documents(spark, sf_dir), "source")
-
-
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent.scored(documents(spark, sf_dir))
 
@@ -82,6 +77,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_scoring, op3_sentencepiece, op4_language_id, op5_media, op6_minhash, op7_mixing, op8_token_files, op9_sharding, op10_secrets, op11_spelling, op12_toxicity, op13_divergence, pipeline, media_clips, near_duplicate_lineage)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_scoring, op3_sentencepiece, op4_language_id, op5_media, op6_minhash, op7_mixing, op8_token_files, op9_sharding, op10_secrets, op11_spelling, op12_toxicity, op13_divergence, pipeline, media_clips)}
 #: The others can't be said in SQL alone; tests/llm compares each with a brute-force version.
 ORACLE_SQL: dict[str, str] = {"op13_divergence": divergence.SQL}
