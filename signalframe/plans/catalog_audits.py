@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from signalframe.functions import text as X
-from signalframe.operators import closure, measures, temporal
+from signalframe.operators import closure, coverage, measures, similarity, temporal
 from signalframe.plans.catalog import op, ts
 from signalframe.plans.views import table
 
@@ -523,3 +523,16 @@ def _(spark, sf):
 SELECT o_custkey, days, CASE WHEN days < 28 THEN 'warming' WHEN days < 90 THEN 'hourly' WHEN days < 365 THEN 'daily' ELSE 'seasonal' END AS status, CASE WHEN days < 28 THEN 28 WHEN days < 90 THEN 90 WHEN days < 365 THEN 365 END AS next_at FROM d""")
 def _(spark, sf):
     return measures.baseline_status(table(spark, sf, "orders"), "o_custkey", "o_orderdate")
+
+
+# ---- lineages of near duplicates
+@op("near_duplicate_lineage", r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+c AS (SELECT k, unnest(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM d),
+h AS (SELECT DISTINCT k, s FROM c), t AS (SELECT k, md5(string_agg(s, chr(10) ORDER BY s)) AS sid FROM h GROUP BY k), n AS (SELECT d.k, source, coalesce(sid, '-') AS sid FROM d LEFT JOIN t USING (k)),
+u AS (SELECT DISTINCT sid, s FROM h JOIN t USING (k)), z AS (SELECT sid, count(*) AS n FROM u GROUP BY 1), o AS (SELECT a.sid AS x, b.sid AS y, count(*) AS o FROM u a JOIN u b ON a.s = b.s AND a.sid <> b.sid GROUP BY 1, 2),
+l AS (SELECT x, y FROM o JOIN z p ON p.sid = x JOIN z q ON q.sid = y WHERE 5 * o >= 4 * (p.n + q.n - o)), r(x, y) AS (SELECT DISTINCT sid, sid FROM n UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+g AS (SELECT x AS sid, min(y) AS lineage FROM r GROUP BY 1), p AS (SELECT source, lineage, count(*) AS n FROM n JOIN g USING (sid) GROUP BY 1, 2) SELECT source, CAST(sum(n) AS BIGINT) AS items, count(*) AS origins, max(n) AS largest FROM p GROUP BY 1""")
+def _(spark, sf):
+    """Items and independent origins of each source, from all pairs of whole texts of which four fifths agree."""
+    documents = table(spark, sf, "documents").select("source", "text", F.monotonically_increasing_id().alias("item"))
+    return coverage.lineage_origins(documents, similarity.lineages(documents, "item"), "item", "source")

@@ -441,3 +441,37 @@ def test_rules_of_tables_that_are_not_given_are_left_out(spark):
     assert [tuple(r) for r in closure.broken_rules({"decision": (t, "id")}).collect()] == [("decision", "2", "member_of_selected")]
     with pytest.raises(ValueError):
         closure.broken_rules({"unknown": (t, "id")})
+
+
+def test_similar_sets_lose_no_pair(spark, monkeypatch):
+    from signalframe.operators import similarity
+
+    r = random.Random(12)
+    made = []
+    for k in range(12):
+        base = [f"w{r.randrange(60)}" for _ in range([3, 6, 20, 150][k % 4])]
+        for _ in range(8):  # crowded: all of a family share most of their shingles
+            words = list(base)
+            for _ in range(r.randrange(0, 3)):
+                words[r.randrange(len(words))] = f"n{r.randrange(10)}"
+            made.append(" ".join(words) + " tail" * r.randrange(0, 2))
+    made += [None, "", " \t", "One two", "one TWO", "É one two three four five", "é one two three four five"]
+    lower = str.maketrans(similarity.UPPER, similarity.LOWER)
+
+    def plain(text):
+        w = (text or "").translate(lower).split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = {i: plain(t) for i, t in enumerate(made)}
+    df = spark.createDataFrame(list(enumerate(made)), "id int, text string").repartition(5)
+    for chunk in (1024, 3):
+        monkeypatch.setattr(similarity, "CHUNK", chunk)
+        hashed = df.select("id", similarity.shingles(F.col("text")).alias("shingles")).withColumn("sid", F.xxhash64("shingles")).cache()
+        sid = {x.id: x.sid for x in hashed.collect()}
+        assert len(set(sid.values())) == len(set(sets.values()))
+        got = {(x.u, x.v) for x in similarity.similar_pairs(hashed.select("sid", "shingles").dropDuplicates(["sid"])).collect()}
+        want = {(min(sid[i], sid[j]), max(sid[i], sid[j])) for i in sets for j in sets if sid[i] != sid[j] and sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+        assert got == want and len(want) > 50
+    lines = {x.id: x.lineage_id for x in similarity.lineages(df, "id").collect()}
+    assert len(lines) == len(made) and lines[96] == lines[97] == lines[98] and lines[99] == lines[100] and lines[101] != lines[102]
+    assert similarity.lineages(df.limit(0), "id").count() == 0
