@@ -23,8 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan dealt out to all cores if it has fewer parts than there are cores, as a file of one row group has; a table of
+    many files stays as it is. For scans only: counting the parts of other plans would run them."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items_of(table(spark, sf_dir, "documents"))
+    return items_of(spread(table(spark, sf_dir, "documents")))
 
 
 def items_of(documents: DataFrame) -> DataFrame:
