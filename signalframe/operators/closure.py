@@ -30,7 +30,7 @@ def membership_closure(snapshots: DataFrame, units: DataFrame, decisions: DataFr
     """Per snapshot the fourteen counters over its units, decisions, selected members, universe and profile, and whether it is closed.
 
     ``snapshots``: snapshot_id, profile_id. ``units``: unit_id, snapshot_id, member_role, subject_kind, subject_key.
-    ``decisions``: unit_id, decision, member_kind, member_key. ``members``: unit_id, member_kind, member_key. ``universe``: snapshot_id,
+    ``decisions``: unit_id, decision, member_kind, and member_key (without it, members' keys are not held against decisions). ``members``: unit_id, member_kind, member_key. ``universe``: snapshot_id,
     member_role, subject_kind, member_kind, member_key. ``roles``: profile_id, member_role, subject_kind, member_kind. Ids of
     snapshots and units are distinct; units of no snapshot count nowhere. Sets compare nulls as equal, joins do not, and a
     null role is no role. Decisions and members are counted per unit before they meet units; each part ends in a few counts per
@@ -58,7 +58,8 @@ def membership_closure(snapshots: DataFrame, units: DataFrame, decisions: DataFr
     second = sides(["member_role", "subject_kind", "member_key"], of_universe=universe, of_units=subjects).groupBy("snapshot_id").agg(
         F.count_if(~F.col("of_units")).alias("universe_missing"), F.count_if(~F.col("of_universe")).alias("universe_extra")
     )
-    decided = decisions.select("unit_id", "decision", F.col("member_kind").alias("decided_kind"), F.col("member_key").alias("decided_key"))
+    decided_key = F.col("member_key") if "member_key" in decisions.columns else F.lit(None)
+    decided = decisions.select("unit_id", "decision", F.col("member_kind").alias("decided_kind"), decided_key.alias("decided_key"))
     differs = F.col("decision").isNull() | (F.col("decision") != "selected") | (F.col("decided_kind") != F.col("member_kind")) | (F.col("decided_key") != F.col("member_key"))
     bound = members.join(u.select("unit_id", "snapshot_id"), "unit_id").join(decided, "unit_id", "left").groupBy("snapshot_id").agg(F.count_if(differs).alias("member_differs"))
     chosen = members.join(u.select("unit_id", "snapshot_id", "member_role"), "unit_id")
