@@ -201,11 +201,10 @@ def tile(cells: pa.Table) -> pa.Table:
 
 def pair_costs(cells: DataFrame, groups: DataFrame, stripes: DataFrame) -> DataFrame:
     """(lang, i, j, value) of every two groups i < j of a lang. A cell goes to as many tiles as its lang has row blocks."""
-    blocks = groups.groupBy("lang").agg((F.max("block") + 1).alias("blocks"))
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("a"), F.greatest("block", k).alias("b"))))
-    heads = groups.join(stripes, "lang").select("lang", "stripe", "block", "place", F.col("empty").alias("p"), "width", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("total"))
-    held = cells.join(stripes, ["lang", "stripe"]).select("lang", "stripe", "block", "place", "p", "width", "term", "total")
-    tiles = heads.unionByName(held).join(blocks, "lang").withColumn("pair", pairs).select("lang", "pair.a", "pair.b", "stripe", "block", "place", "p", "width", "term", "total")
+    heads = groups.join(stripes, "lang").select("lang", "blocks", "stripe", "block", "place", F.col("empty").alias("p"), "width", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("total"))
+    held = cells.join(stripes, ["lang", "stripe"]).select("lang", "blocks", "stripe", "block", "place", "p", "width", "term", "total")
+    tiles = heads.unionByName(held).withColumn("pair", pairs).select("lang", "pair.a", "pair.b", "stripe", "block", "place", "p", "width", "term", "total")
     costs = tiles.groupBy("lang", "a", "b", "stripe").applyInArrow(tile, PART)
     return costs.groupBy("lang", (F.col("a") * ROWS + F.col("x")).alias("i"), (F.col("b") * ROWS + F.col("y")).alias("j")).agg(F.sum("value").alias("value"))
 
@@ -229,16 +228,17 @@ def divergences(docs: DataFrame) -> DataFrame:
         counts.where("term = ''").select("lang", "source").join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")
         .select("lang", "source", *[F.coalesce(c, zero).alias(c) for c in ("whole", "size", "lang_whole")])
     )
+    joined = joined.join(joined.groupBy("lang").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks")), "lang")
     number = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("whole").desc(), "source")) - 1
     groups = written(
         joined.withColumn("number", number).select(
-            "lang", "source", "whole", "size", "lang_whole", "number", F.call_function("div", F.col("number"), F.lit(ROWS)).cast("int").alias("block"), (F.col("number") % ROWS).cast("int").alias("place"),
+            "lang", "source", "whole", "size", "lang_whole", "blocks", "number", F.call_function("div", F.col("number"), F.lit(ROWS)).cast("int").alias("block"), (F.col("number") % ROWS).cast("int").alias("place"),
             F.coalesce(share(zero, F.col("whole"), F.col("size")), F.lit(1).cast("long")).alias("empty")), "divergence-groups")
     octaves = vocabulary.groupBy("lang", "octave").agg(F.ceil(F.count("*") / STRIPE).alias("cuts"))
     stripe = (F.col("octave") * (1 << 40) + F.pmod(F.xxhash64("term"), "cuts")).alias("stripe")
     placed = written(
         cells.withColumn("octave", F.floor(F.log2(F.col("total").cast("double")))).join(octaves, ["lang", "octave"]).join(groups.drop("number", "empty"), ["lang", "source"])
-        .select("lang", "source", "term", "n", "total", stripe, "block", "place", share(F.col("n"), F.col("whole"), F.col("size")).alias("p"), share(F.col("total"), F.col("lang_whole"), F.col("size")).alias("q")),
+        .select("lang", "source", "term", "n", "total", stripe, "blocks", "block", "place", share(F.col("n"), F.col("whole"), F.col("size")).alias("p"), share(F.col("total"), F.col("lang_whole"), F.col("size")).alias("q")),
         "divergence-placed")
     stripes = vocabulary.join(octaves, ["lang", "octave"]).groupBy("lang", stripe).agg(F.count("*").alias("width"))
     bare = groups.select("lang").distinct().join(langs, "lang", "left_anti").select("lang", zero.alias("stripe"), zero.alias("width"))
