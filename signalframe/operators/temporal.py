@@ -79,7 +79,8 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def windows_validate(windows: DataFrame, contiguous: bool = False) -> DataFrame:
-    nxt = F.lead("start").over(Window.partitionBy("series").orderBy("start"))
+    """Windows of a series in order of start, then id, each against the next one; a null start comes last."""
+    nxt = F.lead("start").over(Window.partitionBy("series").orderBy(F.col("start").asc_nulls_last(), "id"))
     code = F.when(F.col("end") <= F.col("start"), "WINDOW_EMPTY").when(F.col("end") > nxt, "WINDOWS_OVERLAP").when(F.lit(contiguous) & (F.col("end") != nxt), "REPORT_WINDOWS_GAP")
     return windows.withColumn("error", code).where("error is not null").select("series", "id", "error")
 

@@ -208,6 +208,16 @@ def test_nominal_windows_meet(spark):
     assert all(a[1] == b[0] for a, b in zip(got, got[1:]))
 
 
+def test_windows_that_start_together_go_by_id(spark):
+    """In either order of rows: by id, the windows of series 1 meet or overlap in one way only; a null start comes last."""
+    rows = [(1, 1, 0, 9), (1, 2, 0, 2), (1, 3, 2, 4), (2, 1, None, 9), (2, 2, 5, 6)]
+    for given in (rows, rows[::-1]):
+        windows = spark.createDataFrame(given, "series int, id int, start int, end int").coalesce(1)
+        for contiguous in (False, True):
+            got = sorted((r.series, r.id, r.error) for r in temporal.windows_validate(windows, contiguous).collect())
+            assert got == [(1, 1, "WINDOWS_OVERLAP")], given
+
+
 def test_fronts_of_ties_and_nulls(spark):
     df = spark.createDataFrame([(1, 3.0, 1.0), (2, 3.0, 1.0), (3, 1.0, 3.0), (4, 1.0, 1.0), (5, None, 9.0), (6, 3.0, 0.0), (7, 0.0, 3.0)], "k int, a double, b double")
     got = {r.k: r.front for r in planning.pareto_fronts(df, "k", "a", "b", 2).collect()}
