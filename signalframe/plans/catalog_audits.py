@@ -65,7 +65,10 @@ def _(spark, sf):
 
 @op("dedup_union", "SELECT l_partkey, arg_min(l_suppkey, l_orderkey * 10 + l_linenumber) AS first_supplier FROM lineitem GROUP BY 1")
 def _(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.min_by("l_suppkey", F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first_supplier"))
+    """The supplier of the least line that names one; of lines that share a number, the first in the table's order."""
+    line = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    first = F.when(line.isNotNull() & F.col("l_suppkey").isNotNull(), F.struct(line.alias("line"), "_metadata.file_path", "_metadata.row_index"))
+    return table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.min_by("l_suppkey", first).alias("first_supplier"))
 
 
 @op("chain_contiguity", f"WITH {LOG}, x AS (SELECT * FROM lg WHERE to_state <> 'error'), y AS (SELECT *, lag(revision) OVER w AS b, lag(event_id) OVER w AS p FROM x WINDOW w AS (PARTITION BY aggregate_id ORDER BY revision)), z AS (SELECT aggregate_id, revision, CASE WHEN b IS NULL AND (revision <> 1 OR pred IS NOT NULL) THEN 'CHAIN_START' WHEN b IS NOT NULL AND revision <> b + 1 THEN 'CHAIN_GAP' WHEN b IS NOT NULL AND pred IS DISTINCT FROM p THEN 'CHAIN_PREDECESSOR' END AS error FROM y) SELECT * FROM z WHERE error IS NOT NULL")

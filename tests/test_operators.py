@@ -218,6 +218,19 @@ def test_windows_that_start_together_go_by_id(spark):
             assert got == [(1, 1, "WINDOWS_OVERLAP")], given
 
 
+def test_first_supplier_of_lines_that_share_a_number(spark, tmp_path):
+    """Ties go to the first row of the table, whatever the order of tasks; lines without a supplier are passed over."""
+    rows = [(i % 50, 1000 + i, 5, 1, i) for i in range(5000)] + [(7, None, 1, 1, -1), (99, None, 1, 1, -2)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_orderkey long, l_linenumber int, i int").coalesce(1).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/lineitem.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = {r.l_partkey: r.first_supplier for r in catalog.QUERIES["dedup_union"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {**{i: 1000 + i for i in range(50)}, 99: None}
+
+
 def test_fronts_of_ties_and_nulls(spark):
     df = spark.createDataFrame([(1, 3.0, 1.0), (2, 3.0, 1.0), (3, 1.0, 3.0), (4, 1.0, 1.0), (5, None, 9.0), (6, 3.0, 0.0), (7, 0.0, 3.0)], "k int, a double, b double")
     got = {r.k: r.front for r in planning.pareto_fronts(df, "k", "a", "b", 2).collect()}
