@@ -63,6 +63,19 @@ def test_rising_topic(spark):
     assert (got.mention_count, got.recent_mention_count, got.prior_mention_count, got.source_count, got.signal_state, got.growth_text) == (4, 3, 1, 3, "rising", "+200.0%")
 
 
+def test_topics_are_cut_once_and_sets_of_sources_agree(spark, monkeypatch):
+    """Sources as bits and as a list give the same, null ones too; no plan cuts texts into topics twice."""
+    made = [(s, "en", f"quantum battery number{i % 3}", 2.0 + 9 * (i % 5)) for i, s in enumerate(["a", "b", None, "c", "a", None, "d"] * 3 + [f"s{k}" for k in range(70)])]
+    got = []
+    for most in (512, 1):
+        monkeypatch.setattr(trends, "MASKED", most)
+        found = trends.trend_aggregate(item(spark, made), F.lit(END).cast("timestamp"))
+        got.append(rows_of(found.collect(), found.columns))
+        assert most == 1 or found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(") == 1
+    whole = {r.topic: r for r in found.collect()}["quantum battery"]
+    assert got[0] == got[1] and (whole.mention_count, whole.source_count) == (91, 74)
+
+
 def test_single_source_is_no_trend(spark):
     assert trends.trend_aggregate(item(spark, [("a", "en", "solar flares", 1.0)] * 3), F.lit(END).cast("timestamp")).count() == 0
 
