@@ -101,3 +101,28 @@ def trend_stream(items: DataFrame, window: str = "48 hours", slide: str = "12 ho
     counted = per_source.groupBy("window", "topic_key").agg(F.sum("r").alias("recent_mention_count"), F.sum("p").alias("prior_mention_count"), F.count("source_id").alias("source_count"))
     counted = counted.withColumn("mention_count", F.col("recent_mention_count") + F.col("prior_mention_count"))
     return with_state(counted.where((F.col("mention_count") >= mentions) & (F.col("source_count") >= sources) & (F.col("recent_mention_count") > 0)))
+
+
+def trend_panes(items: DataFrame, pane: str = "12 hours") -> DataFrame:
+    """Mentions per pane of time, topic and source. For each batch of a stream: panes of all batches add up, so a batch is
+    kept as a few counts, no state is held and no late item is dropped."""
+    named = topic_tokens(items).where("published_at is not null")
+    return named.groupBy(F.window("published_at", pane)["start"].alias("pane"), "topic_key", "source_id").agg(F.count("*").alias("mentions"))
+
+
+def trend_windows(panes: DataFrame, pane_hours: int = 12, window_panes: int = 4, recent_panes: int = 1, mentions: int = 2, sources: int = 2) -> DataFrame:
+    """``trend_stream``'s windows, the last ones too, from the panes of ``trend_panes``: a window starts with every pane.
+
+    Topics of too few sources go before their panes are dealt out to windows.
+    """
+    kept = panes
+    if sources > 1:
+        of = F.xxhash64("source_id")
+        several = panes.where("source_id is not null").groupBy("topic_key").agg(F.min(of).alias("a"), F.max(of).alias("b")).where("a <> b")
+        kept = panes.join(several.select("topic_key"), "topic_key", "left_semi")
+    placed = kept.withColumn("back", F.explode(F.sequence(F.lit(0), F.lit(window_panes - 1)))).withColumn("window_start", F.timestamp_seconds(F.unix_timestamp("pane") - F.col("back") * pane_hours * 3600))
+    recent = F.col("back") >= window_panes - recent_panes
+    per_source = placed.groupBy("window_start", "topic_key", "source_id").agg(F.sum(F.when(recent, F.col("mentions")).otherwise(0)).alias("r"), F.sum(F.when(~recent, F.col("mentions")).otherwise(0)).alias("p"))
+    counted = per_source.groupBy("window_start", "topic_key").agg(F.sum("r").alias("recent_mention_count"), F.sum("p").alias("prior_mention_count"), F.count("source_id").alias("source_count"))
+    counted = counted.withColumn("mention_count", F.col("recent_mention_count") + F.col("prior_mention_count"))
+    return with_state(counted.where((F.col("mention_count") >= mentions) & (F.col("source_count") >= sources) & (F.col("recent_mention_count") > 0)))

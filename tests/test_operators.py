@@ -347,6 +347,16 @@ def test_trend_stream_tells_each_window_once_and_drops_it(spark, tmp_path):
     assert max(held[len(held) // 2 :]) <= 1.2 * max(held[: len(held) // 2]) and sum(o["numRowsRemoved"] for p in progress for o in p["stateOperators"]) > 0
 
 
+def test_windows_open_at_the_end_of_a_stream_are_told(spark):
+    """Panes of two batches, the second late, add up; an item at hour 47 opens windows that no later item closes."""
+    made = [("a", "en", "quantum battery", 47.0), ("b", "en", "quantum battery", 1.0), ("b", "en", "quantum battery", 30.0), ("a", "en", "lonely topic", 2.0), (None, "en", "lonely topic", 3.0)]
+    panes = streams.trend_panes(item(spark, made[:2])).unionByName(streams.trend_panes(item(spark, made[2:])))
+    got = sorted((str(r.window_start), r.recent_mention_count, r.prior_mention_count, r.source_count, r.signal_state) for r in streams.trend_windows(panes).where("topic_key = 'en:quantum battery'").collect())
+    assert got == [("2023-12-31 00:00:00", 1, 1, 2, "watching"), ("2024-01-01 00:00:00", 1, 2, 2, "watching")]
+    assert streams.trend_windows(panes).where("topic_key like '%lonely%'").count() == 0
+    assert "max(published_at)" not in catalog.ORACLES["trend_stream"]
+
+
 def test_source_registry(spark, tmp_path):
     path = tmp_path / "sources.json"
     path.write_text('{"sources": [{"id": "a", "url": "u1"}, {"id": "b", "url": "u2", "enabled": false}, {"id": "c", "url": "u3", "enabled": true}]}')
