@@ -195,6 +195,20 @@ def test_window_assign_keeps_repeated_rows(spark):
     assert [(r.id, r.matches) for r in temporal.window_assign(events, windows).where("window_id is null").collect()] == [(3, 0)]
 
 
+def test_fragments_against_all_pairs(spark):
+    """Words within words, ends and starts of words, phrases of three words, short ones, names that differ or are many."""
+    rng = random.Random(5)
+    parts = ["port", "report", "reporter", "ports", "able", "table", "tables", "unable", "era", "opera", "term", "terms", "ab", "x'-y", "lesson"]
+    topics = sorted({" ".join(rng.choice(parts) for _ in range(rng.choice([1, 1, 2, 2, 2, 3]))) for _ in range(260)} | {"tables term", "able ter", "port table ter", " able", "able "})
+    rows = [(f"{lang}:{t}", t, lang, n, n, [f"s{k}" for k in rng.sample(range(90), n)] if rng.random() < 0.2 else ["s1", "s2", "s3"][:n]) for t in topics for lang in ("en", "zh-CN") for n in [rng.choice([1, 2, 3])]]
+    df = spark.createDataFrame(rows, "topic_key string, topic string, topic_language string, source_count long, mention_count long, source_names array<string>")
+    wanted = {a[0] for a in rows if not any(len(a[1]) >= 4 and len(b[1]) > len(a[1]) and a[1] in b[1] and a[2] == b[2] and set(a[5]) <= set(b[5]) for b in rows)}
+    got = {r.topic_key for r in trends.fragment_consolidation(df).collect()}
+    assert got == wanted and len(wanted) < len(rows)
+    plan = trends.contained(spark.createDataFrame([], "topic_key string, topic string, topic_language string, len int, n int, names_set long"))
+    assert plan.count() == 0
+
+
 def test_fragment_goes_by_names_alone(spark):
     rows = [("en:solar", "solar", "en", "term", ["A"], 3, 5), ("en:solar flare", "solar flare", "en", "phrase", ["A", "B"], 2, 4), ("en:flares", "flares", "en", "term", ["C"], 2, 4), ("en:lar fla", "olar flar", "en", "phrase", ["B"], 2, 2)]
     table = spark.createDataFrame(rows, "topic_key string, topic string, topic_language string, topic_kind string, source_names array<string>, source_count long, mention_count long")
