@@ -297,7 +297,8 @@ def _apart(a: np.ndarray, b: np.ndarray, i, j) -> np.ndarray:
 
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int = WIDE_RADIUS) -> list[tuple[int, int]]:
-    """Index pairs of a minimum spanning forest of the pairs within ``radius``, nearest first from each tree's start."""
+    """Index pairs of a minimum spanning forest of the pairs within ``radius``, nearest first from each tree's start. For
+    views of a cluster only: links are sought among all pairs, since a near pair of fingerprints may be an unlike one of sets."""
     n, at, out = len(a), 0, []
     nearest, parent, left = np.full(n, 300, np.int16), np.zeros(n, np.int64), np.ones(n, bool)
     for _ in range(n - 1):
@@ -311,30 +312,29 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int = WIDE_RADIUS) -> list[tupl
     return out
 
 
-def _candidates(keys: np.ndarray, sids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whole buckets -> sid pairs within the radius: all of buckets up to SMALL, a minimum spanning forest of larger ones."""
+def _candidates(keys: np.ndarray, sids: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Whole buckets -> all sid pairs (u, v) within the radius, a tile of a large bucket at a time."""
+
+    def told(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(sids[left], sids[right])), pa.array(np.maximum(sids[left], sids[right]))], ["u", "v"])
+
     starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
     sizes = np.diff(np.append(starts, len(sids)))
-    ends, left, right = np.repeat(starts + sizes, sizes), [], []
+    ends = np.repeat(starts + sizes, sizes)
     small = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
     for step in range(1, SMALL):
         small = small[small + step < ends[small]]
         hit = small[_apart(a, b, small, small + step) <= WIDE_RADIUS]
-        left.append(hit)
-        right.append(hit + step)
+        yield told(hit, hit + step)
     for begin, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-        p, q = a[begin : begin + size], b[begin : begin + size]
-        near = np.zeros(size, bool)
-        for t in range(0, size, TILE):
-            rows = np.arange(t, min(size, t + TILE))
-            near[rows] = (_apart(p, q, rows[:, None], np.arange(size)[None]) <= WIDE_RADIUS).sum(axis=1) > 1
-        near = np.flatnonzero(near)
-        if len(near):
-            pairs = np.array(forest(p[near], q[near]), np.int64).reshape(-1, 2)
-            left.append(begin + near[pairs[:, 0]])
-            right.append(begin + near[pairs[:, 1]])
-    left, right = np.concatenate(left), np.concatenate(right)
-    return np.minimum(sids[left], sids[right]), np.maximum(sids[left], sids[right])
+        end = begin + size
+        for t in range(begin, end, TILE):
+            rows = np.arange(t, min(end, t + TILE))
+            for other in range(t, end, TILE):
+                columns = np.arange(other, min(end, other + TILE))
+                i, j = np.nonzero((_apart(a, b, rows[:, None], columns[None]) <= WIDE_RADIUS) & (rows[:, None] < columns[None]))
+                if len(i):
+                    yield told(rows[i], columns[j])
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,12 +345,10 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held.shape[1]:
             open_from = int(np.argmax((held[:3] == held[:3, -1:]).all(axis=0)))
             if open_from:
-                u, v = _candidates(held[:3, :open_from], held[3, :open_from], *held[4:, :open_from])
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                yield from _candidates(held[:3, :open_from], held[3, :open_from], *held[4:, :open_from])
                 held = held[:, open_from:]
     if held.shape[1]:
-        u, v = _candidates(held[:3], held[3], *held[4:])
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        yield from _candidates(held[:3], held[3], *held[4:])
 
 
 def _alike(words: int, least: float):

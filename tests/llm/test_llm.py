@@ -127,6 +127,19 @@ def test_forest_spans_what_is_near():
     assert len(pairs) == 35 and all(i // 8 == j // 8 for i, j in pairs)
 
 
+def test_large_buckets_give_every_pair_within_the_radius():
+    """Two buckets over SMALL and one below, the largest over several tiles: no pair within the radius is left out."""
+    rng = np.random.default_rng(3)
+    sizes = [700, 40, 9]
+    keys = np.stack([np.repeat(np.arange(3), sizes), np.zeros(749, np.int64), np.zeros(749, np.int64)])
+    bits = np.unpackbits(rng.integers(0, 256, (5, 16), dtype=np.uint8), axis=1)[rng.integers(0, 5, 749)] ^ (rng.random((749, 128)) < 0.12)
+    a, b = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64).T.copy()
+    got = [pair for part in simhash._candidates(keys, np.arange(749), a, b) for pair in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+    near = (bits[:, None] != bits[None]).sum(axis=2) <= simhash.WIDE_RADIUS
+    wanted = {(i, j) for i, j in zip(*np.nonzero(near)) if i < j and keys[0, i] == keys[0, j]}
+    assert len(got) == len(set(got)) and set(got) == wanted and len(wanted) > 749
+
+
 def test_bit_sliced_pairs_and_crowded_buckets(spark, monkeypatch):
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 2**63, 6, dtype=np.uint64)
