@@ -258,6 +258,13 @@ def test_first_supplier_of_lines_that_share_a_number(spark, tmp_path):
     assert got == {**{i: 1000 + i for i in range(50)}, 99: None}
 
 
+def test_keys_of_one_side_alone_are_found_without_a_join(spark):
+    df = lambda *keys: spark.createDataFrame([(k,) for k in keys], "k int")
+    found = closure.closure_anti(df(1, 1, 2, None), df(2, 3, 3, None), "k")
+    assert sorted(map(str, found.collect())) == sorted(map(str, df(1).selectExpr("k", "'undecided' as side").collect() + df(3).selectExpr("k", "'unexpected' as side").collect() + spark.sql("select cast(null as int) as k, explode(array('undecided', 'unexpected')) as side").collect()))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_fronts_of_ties_and_nulls(spark):
     df = spark.createDataFrame([(1, 3.0, 1.0), (2, 3.0, 1.0), (3, 1.0, 3.0), (4, 1.0, 1.0), (5, None, 9.0), (6, 3.0, 0.0), (7, 0.0, 3.0)], "k int, a double, b double")
     got = {r.k: r.front for r in planning.pareto_fronts(df, "k", "a", "b", 2).collect()}
