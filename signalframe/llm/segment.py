@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from signalframe.llm.common import Memory, narrowed, pieces
+from signalframe.llm.common import Memory, narrowed, pieces, unused_returned
 
 DROPOUT = 0.1
 SEED = 97
@@ -368,12 +368,25 @@ OUT = "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, lossle
 KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
 
 
-def _in_batches(docs: DataFrame, model: str, rate: float, finish, out: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def forgotten() -> None:
+    """Drops this worker's vocabularies and walks, so that a worker that waits for other steps holds none of them."""
+    walks.cache_clear()
+    vocabulary.cache_clear()
+    Walk.made = 0
+    unused_returned()
+
+
+def _in_batches(docs: DataFrame, model: str, rate: float, finish, out: str, batch_bytes: int = BATCH_BYTES, remember: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
-        for batch in pieces(batches, batch_bytes):
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            yield finish(vocab, ids, texts, encode_all(model, texts, ids, rate))
+        try:
+            for batch in pieces(batches, batch_bytes):
+                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                yield finish(vocab, ids, texts, encode_all(model, texts, ids, rate))
+        finally:
+            if not remember:
+                vocab = None
+                forgotten()
 
     return narrowed(docs).mapInArrow(run, out)
 
@@ -387,13 +400,14 @@ def segmented(docs: DataFrame, model: str, rate: float = DROPOUT) -> DataFrame:
     return _in_batches(docs, model, rate, finish, "doc_id long, ids array<int>")
 
 
-def round_trip(docs: DataFrame, model: str, rate: float = DROPOUT, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def round_trip(docs: DataFrame, model: str, rate: float = DROPOUT, batch_bytes: int = BATCH_BYTES, remember: bool = True) -> DataFrame:
     """One row per document: n_tokens, crc32 of the ids as little-endian unsigned 32-bit, the decoded text's sha256, and
     whether it equals the text.
 
     Null and empty texts have no ids. Repeated rows get the same ids (the keys depend on doc_id and place). A literal meta symbol
     becomes bytes, so it comes back. An empty table gives an empty result. ``batch_bytes`` of text are
-    worked on at once; results do not depend on it.
+    worked on at once; results do not depend on it. Without ``remember`` a worker drops its vocabulary and walks after each
+    task, as a stage among others should, since idle workers stay in the executor's memory.
     """
 
     def finish(vocab, ids, texts, got) -> pa.RecordBatch:
@@ -403,4 +417,4 @@ def round_trip(docs: DataFrame, model: str, rate: float = DROPOUT, batch_bytes:
         columns = [ids, [len(x) for x in got], crc, sha, [a == b for a, b in zip(back, texts)]]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS)], [x.split()[0] for x in OUT.split(", ")])
 
-    return _in_batches(docs, model, rate, finish, OUT, batch_bytes)
+    return _in_batches(docs, model, rate, finish, OUT, batch_bytes, remember)
