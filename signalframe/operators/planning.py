@@ -30,9 +30,28 @@ def reportable_arrivals(first_seen: DataFrame, versions: DataFrame, decisions: D
     return part(first_seen, "item_id", "first_seen_at", "item").unionByName(part(versions, "version_id", "observed_at", "version")).unionByName(part(decisions, "decision_id", "available_at", "decision"))
 
 
+MANY = 4096  # rows of a surface whose distinct values one group holds
+
+
 def display_diversity(rows: DataFrame, surface: str, dimensions: list[str], floors: list[tuple[int, dict[str, int]]]) -> DataFrame:
-    """Distinct counts against the floors of the largest list size reached; ``floors`` rise in size."""
-    out = rows.groupBy(surface).agg(F.count("*").alias("size"), *[F.count_distinct(d).alias(d) for d in dimensions])
+    """Distinct counts against the floors of the largest list size reached; ``floors`` rise in size.
+
+    Every row is shuffled once, and a surface's sets are counted where its rows are. A surface of more than MANY rows is
+    counted by distinct values that are dealt out, so that no group holds them all.
+    """
+    sizes = rows.groupBy(surface).agg(F.count("*").alias("size"))
+    large = written(sizes.where(F.col("size") > MANY), "diversity-large")
+    small, large_rows = rows, None
+    if not large.isEmpty():
+        of = large.select(F.col(surface).alias("of_large"))
+        small = rows.join(of, F.col(surface).eqNullSafe(F.col("of_large")), "left_anti")
+        large_rows = rows.join(of, F.col(surface).eqNullSafe(F.col("of_large")), "left_semi")
+    told = lambda d: F.when(F.col(d) == 0, "0").otherwise(F.col(d).cast("string"))  # noqa: E731  of fractions, as a set holds zeros and NaNs apart
+    plain = {d: told(d) if kind in ("double", "float") else F.col(d) for d, kind in rows.dtypes if d in dimensions}
+    sets = [F.size(F.collect_set(plain[d])).cast("long").alias(d) for d in dimensions]
+    out = small.repartition(surface).groupBy(surface).agg(F.count("*").alias("size"), *sets)
+    if large_rows is not None:
+        out = out.unionByName(large_rows.groupBy(surface).agg(F.count("*").alias("size"), *[F.count_distinct(d).alias(d) for d in dimensions]))
     short = F.array().cast("array<string>")
     for size, least in floors:
         short = F.when(F.col("size") >= size, F.array_compact(F.array(*[F.when(F.col(d) < n, d) for d, n in least.items()]))).otherwise(short)
