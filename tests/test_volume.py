@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from signalframe.operators import planning
+from signalframe.operators import planning, similarity
 
 
 def plan_of(df):
@@ -20,3 +20,15 @@ def test_display_diversity_shuffles_rows_once_and_counts_large_surfaces_apart(sp
         got = {r["surface"]: (r["size"], r["a"], r["b"]) for r in planning.display_diversity(rows, "surface", ["a", "b"], floors).collect()}
         want = rows.groupBy("surface").agg(F.count("*").alias("size"), F.count_distinct("a").alias("a"), F.count_distinct("b").alias("b")).collect()
         assert got == {r["surface"]: (r["size"], r["a"], r["b"]) for r in want}
+
+
+def test_similar_prefixes_come_without_a_shuffle_of_all_shingles(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words[:58] + ["x", "y"]), " ".join(reversed(words)), " ".join(words), "", None, "one two"]
+    sets = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select(similarity.shingles(F.col("text")).alias("shingles")).withColumn("sid", F.xxhash64("shingles"))
+    plans, real = {}, similarity.written
+    monkeypatch.setattr(similarity, "written", lambda df, tag, *more: plans.setdefault(tag, plan_of(df)) and None or real(df, tag, *more))
+    got = similarity.similar_pairs(sets.select("sid", "shingles")).collect()
+    a, b = (r["sid"] for r in sets.limit(2).collect())
+    assert [(r["u"], r["v"]) for r in got] == [(min(a, b), max(a, b))]  # repeated sets meet once
+    assert plans["similar-prefix"].count("Exchange") == 1  # of prefixes alone
