@@ -8,7 +8,9 @@ are abandoned. A bucket over ``CHUNK`` distinct fingerprints is dealt out as pai
 so no group is unbounded and no link is lost. Buckets yield one edge per member, never all pairs.
 
 The pipeline's stage (``deduplicated``) is wider: 256 bits over the set of five-word shingles, 64 tables keyed by 16
-bits, pairs within 32 of 128 bits as candidates, and a link where the exact shingle Jaccard is 0.8 or more.
+bits, pairs within 32 of 128 bits as candidates, and a link where the exact shingle Jaccard is 0.8 or more. Buckets yield
+a star per group of candidates; the candidates of a group are then compared where its texts lie, unless links join them
+already, so no step has a row per pair.
 """
 
 from __future__ import annotations
@@ -126,17 +128,22 @@ def roots_of(fps: np.ndarray) -> np.ndarray:
     """For each fingerprint the index of its group's first member within this block."""
     root = np.arange(len(fps))
     for a, b in close_pairs(fps):
-        while True:
-            x, y = root[a], root[b]
-            apart = x != y
-            if not apart.any():
-                break
-            np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
-            while not np.array_equal(up := root[root], root):
-                root = up
+        join_roots(root, a, b)
     return root
 
 
+def join_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the groups of a and b in ``root``, which names each member's first."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not np.array_equal(up := root[root], root):
+            root[:] = up
+
+
 def _edges(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     root = roots_of(fps)
     tied = root != np.arange(len(fps))
@@ -225,6 +232,9 @@ KEY_BITS = 16
 PIECE = 3 << 20  # bytes of text worked on at once
 SMALL = 16
 TILE = 512
+FRONT = 64  # members of a large bucket whose neighbours are sought at once
+WHOLE = 128  # members of a group of candidates that are compared in one task
+WEIGHT = 1 << 20  # shingles of a share of a group
 _ROUNDS = np.random.default_rng(SEED)
 POSITIONS = np.concatenate([_ROUNDS.permutation(256).reshape(-1, KEY_BITS) for _ in range(4)])
 
@@ -266,17 +276,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """near_key, doc_id, text_md5, sid (a hash of the shingle set), and the wide fingerprint a, b, c, d of every row."""
+    """near_key, doc_id, text_md5, sid (a hash of the shingle set), its size, and the wide fingerprint a, b, c, d of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, PIECE):
             every = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
             sids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in every], np.uint64)
             bits = np.array([wide_fingerprint(x) for x in every], np.uint64).reshape(-1, 4).view(np.int64)
-            columns = [batch.column(2), batch.column(0), batch.column(3), pa.array(sids.view(np.int64)), *(pa.array(bits[:, i]) for i in range(4))]
-            yield pa.RecordBatch.from_arrays(columns, ["near_key", "doc_id", "text_md5", "sid", "a", "b", "c", "d"])
+            columns = [batch.column(2), batch.column(0), batch.column(3), pa.array(sids.view(np.int64)), pa.array(list(map(len, every)), pa.int64()), *(pa.array(bits[:, i]) for i in range(4))]
+            yield pa.RecordBatch.from_arrays(columns, ["near_key", "doc_id", "text_md5", "sid", "size", "a", "b", "c", "d"])
 
-    return narrowed(_keyed(docs), "near_key", _text_md5().alias("text_md5")).mapInArrow(run, "near_key string, doc_id long, text_md5 string, sid long, a long, b long, c long, d long")
+    return narrowed(_keyed(docs), "near_key", _text_md5().alias("text_md5")).mapInArrow(run, "near_key string, doc_id long, text_md5 string, sid long, size long, a long, b long, c long, d long")
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,50 +347,128 @@ def _candidates(keys: np.ndarray, sids: np.ndarray, a: np.ndarray, b: np.ndarray
                     yield told(rows[i], columns[j])
 
 
+def reached(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each member of a bucket the first one that it reaches by pairs within the radius; who is reached is not compared again."""
+    root, left = np.empty(len(a), np.int64), np.arange(len(a))
+    while len(left):
+        first, front, left = left[0], left[:1], left[1:]
+        root[first] = first
+        while len(front) and len(left):
+            now, front = front[:FRONT], front[FRONT:]
+            near = (_apart(a, b, now[:, None], left[None]) <= WIDE_RADIUS).any(axis=0)
+            root[left[near]] = first
+            front, left = np.concatenate([front, left[near]]), left[~near]
+    return root
+
+
+def _stars(keys: np.ndarray, sids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Whole buckets -> (u, v) from each group of members that pairs within the radius join to its first member."""
+    starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+    sizes = np.diff(np.append(starts, len(sids)))
+    at, root = np.flatnonzero(np.repeat(sizes <= TILE, sizes)), np.arange(len(sids))
+    if len(at):
+        for part in _candidates(keys[:, at], at, a[at], b[at]):
+            join_roots(root, *(c.to_numpy() for c in part.columns))
+    for begin, size in zip(starts[sizes > TILE].tolist(), sizes[sizes > TILE].tolist()):
+        root[begin : begin + size] = begin + reached(a[begin : begin + size], b[begin : begin + size])
+    tied = np.flatnonzero(root != np.arange(len(sids)))
+    return pa.RecordBatch.from_arrays([pa.array(sids[tied]), pa.array(sids[root[tied]])], ["u", "v"])
+
+
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket -> candidate pairs (u, v)."""
+    """Rows sorted by bucket -> (u, v) that join every candidate pair into one group, fewer than there are rows."""
     held = np.empty((6, 0), np.int64)
     for batch in batches:
         held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
         if held.shape[1]:
             open_from = int(np.argmax((held[:3] == held[:3, -1:]).all(axis=0)))
             if open_from:
-                yield from _candidates(held[:3, :open_from], held[3, :open_from], *held[4:, :open_from])
+                yield _stars(held[:3, :open_from], held[3, :open_from], *held[4:, :open_from])
                 held = held[:, open_from:]
     if held.shape[1]:
-        yield from _candidates(held[:3], held[3], *held[4:])
+        yield _stars(held[:3], held[3], *held[4:])
+
+
+def links_of(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, own: np.ndarray, within: bool, least: float) -> list[tuple[int, int]]:
+    """Index pairs of likeness ``least`` or more that join all such pairs within the radius; of different ``own`` unless ``within``.
+
+    A member is compared with more and more of each group that it is not in yet, until it is linked or none is left.
+    """
+    n, sizes, out = len(sets), np.array(list(map(len, sets))), []
+    root = np.arange(n)
+    for x in range(1, n):
+        fits = np.minimum(sizes[:x], sizes[x]) >= least * np.maximum(np.maximum(sizes[:x], sizes[x]), 1) - 1e-6
+        left = np.flatnonzero(fits & (within | (own[:x] != own[x])) & (_apart(a, b, slice(x), x) <= WIDE_RADIUS))
+        left, many = left[root[left] != root[x]], 1
+        while len(left):
+            left = left[np.argsort(root[left], kind="stable")]
+            groups = root[left]
+            now = np.arange(len(left)) - np.searchsorted(groups, groups) < many
+            tried, many = left[now], many * 4
+            found = np.concatenate([sets[y] for y in tried])
+            there = np.minimum(np.searchsorted(sets[x], found), sizes[x] - 1)
+            both = np.add.reduceat((sets[x][there] == found).astype(np.int64), np.cumsum(sizes[tried]) - sizes[tried])
+            for y in tried[both / (sizes[tried] + sizes[x] - both) >= least].tolist():
+                if root[y] != root[x]:
+                    out.append((x, y))
+                    root[root == root[x]] = root[y]
+            left = left[~now]
+            left = left[root[left] != root[x]]
+    return out
 
 
 def _alike(words: int, least: float):
-    """(u, v, text, other) -> the (u, v) whose texts' exact Jaccard is ``least`` or more."""
+    """Rows (grp, i, j, own, sid, a, b, text) sorted by (grp, i, j) -> (u, v) of ``links_of`` each such share."""
+
+    def told(held: list[tuple], key: tuple) -> Iterator[pa.RecordBatch]:
+        if len(held) > 1:
+            own, sids, a, b, sets = zip(*held)
+            pairs = links_of(list(sets), np.array(a, np.int64), np.array(b, np.int64), np.array(own), key[1] == key[2], least)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([sids[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
         for batch in batches:
             for part in pieces([batch], PIECE):
-                pairs = zip(part.column(2).to_pylist(), part.column(3).to_pylist())
-                keep = pa.array([likeness(shingle_set(x, words), shingle_set(y, words)) >= least for x, y in pairs], pa.bool_())
-                yield part.select(["u", "v"]).filter(keep)
+                for *key, own, sid, a, b, text in zip(*(c.to_pylist() for c in part.columns)):
+                    if key != last:
+                        yield from told(held, last)
+                        held, last = [], key
+                    held.append((own, sid, a, b, shingle_set(text, words)))
+        yield from told(held, last)
 
     return run
 
 
+def _paired(rows: DataFrame, of: str) -> DataFrame:
+    """``rows`` with i and j: each in ``k`` shares of its group, which together hold every pair of rows; own is its part."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(of), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    return rows.withColumns({"i": F.least("own", "other").cast("int"), "j": F.greatest("own", "other").cast("int")})
+
+
 def _similar(docs: DataFrame, words: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """(one row per document with its sid, links (u, v) between sids of likeness ``least`` or more)."""
+    """(one row per document with its sid, links (u, v) between sids of likeness ``least`` or more that join all such candidates)."""
     sets = written(_sets(docs, words), "simhash-wide")
     named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_md5", "near_key")
-    distinct = written(sets.groupBy("sid", "a", "b", "c", "d").agg(F.min(named)["near_key"].alias("near_key")), "simhash-sets")
+    distinct = written(sets.groupBy("sid", "size", "a", "b", "c", "d").agg(F.min(named)["near_key"].alias("near_key")), "simhash-sets")
     tables = distinct.select("sid", "a", "b", "c", "d").mapInArrow(_dealt, "slot int, sid long, a long, b long")
     crowded = tables.groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
     shares = tables.join(F.broadcast(crowded), "slot", "left").withColumn("k", F.coalesce(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("long"))
-    shares = shares.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     by = ["slot", "i", "j"]
-    shares = shares.select("slot", F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j"), "sid", "a", "b")
-    close = written(shares.repartition(*by).sortWithinPartitions(*by).mapInArrow(_close, "u long, v long").distinct(), "simhash-close")
-    nodes = close.select(F.explode(F.array("u", "v")).alias("sid")).distinct().join(distinct, "sid").select("sid", "near_key")
+    shares = _paired(shares, "sid").select(*by, "sid", "a", "b")
+    close = written(shares.repartition(*by).sortWithinPartitions(*by, "sid").mapInArrow(_close, "u long, v long").distinct(), "simhash-close")
+    groups = connected_components(close)
+    groups = groups.select(F.col("node").alias("sid"), F.col("root").alias("grp")).unionByName(groups.select(F.col("root").alias("sid"), F.col("root").alias("grp")).distinct())
+    nodes = written(distinct.join(groups, "sid").select("sid", "grp", "size", "a", "b", "near_key"), "simhash-nodes")
     texts = _keyed(docs).select("near_key", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = written(texts.join(nodes, "near_key").dropDuplicates(["near_key"]).select("sid", "text"), "simhash-texts")
-    both = close.join(texts.withColumnRenamed("sid", "u"), "u").join(texts.select(F.col("sid").alias("v"), F.col("text").alias("other")), "v")
-    return sets, both.select("u", "v", "text", "other").mapInArrow(_alike(words, least), "u long, v long")
+    texts = written(texts.join(nodes.select("near_key", "sid"), "near_key").dropDuplicates(["near_key"]).select("sid", "text"), "simhash-texts")
+    # As many shares as half the square root of a group's members, so that a share and the copies of a text grow with that root alone.
+    many = F.greatest(F.when(F.col("n") > WHOLE, F.ceil(F.sqrt("n") / 2)).otherwise(1), F.ceil(F.col("weight") / WEIGHT)).cast("long")
+    sized = nodes.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).select("grp", many.alias("k"))
+    by = ["grp", "i", "j"]
+    shares = _paired(nodes.join(sized, "grp"), "sid").join(texts, "sid").select(*by, "own", "sid", "a", "b", "text")
+    return sets, shares.repartition(*by).sortWithinPartitions(*by, "sid").mapInArrow(_alike(words, least), "u long, v long")
 
 
 def deduplicated(docs: DataFrame, words: int = WIDE_WORDS, least: float = LIKENESS) -> DataFrame:

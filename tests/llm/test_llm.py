@@ -7,6 +7,7 @@ import zlib
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -140,6 +141,44 @@ def test_large_buckets_give_every_pair_within_the_radius():
     assert len(got) == len(set(got)) and set(got) == wanted and len(wanted) > 749
 
 
+@pytest.mark.parametrize("size", [40, 700])
+def test_buckets_of_near_copies_give_fewer_rows_than_members(size):
+    """As many groups as all pairs make, by a row a member at most."""
+    rng = np.random.default_rng(4)
+    bits = np.unpackbits(rng.integers(0, 256, (5, 16), dtype=np.uint8), axis=1)[rng.integers(0, 5, size)] ^ (rng.random((size, 128)) < 0.1)
+    a, b = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64).T.copy()
+    near = (bits[:, None] != bits[None]).sum(axis=2) <= simhash.WIDE_RADIUS
+    want = np.arange(size)
+    simhash.join_roots(want, *np.nonzero(near))
+    columns = [np.zeros(size, np.int64)] * 3 + [np.arange(size), a, b]
+    got, rows = np.arange(size), 0
+    for part in simhash._close(iter([pa.RecordBatch.from_arrays([pa.array(c[k : k + 300]) for c in columns], list("xijsab")) for k in range(0, size, 300)])):
+        rows += part.num_rows
+        simhash.join_roots(got, *(c.to_numpy() for c in part.columns))
+    assert rows < size < near.sum() / 4 and (got == want).all()
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_links_of_candidates_join_what_all_pairs_join(k):
+    """Sets in a chain and apart; the shares of a group together leave out no link and give no row a pair."""
+    rng = np.random.default_rng(5)
+    base = [rng.integers(0, 2**63, 100, dtype=np.uint64) for _ in range(3)]
+    sets = [np.unique(np.concatenate([base[i % 3][:90 - i // 9], rng.integers(0, 2**63, 4 + i // 9, dtype=np.uint64)])) for i in range(90)]
+    a, own = np.zeros(90, np.int64), np.arange(90) // 7 % k
+    want, got, rows = np.arange(90), np.arange(90), 0
+    pairs = [(i, j) for i in range(90) for j in range(i) if simhash.likeness(sets[i], sets[j]) >= 0.8]
+    simhash.join_roots(want, *np.array(pairs).T)
+    for i in range(k):
+        for j in range(i, k):
+            at = np.flatnonzero((own == i) | (own == j))
+            links = simhash.links_of([sets[x] for x in at], a[at], a[at], own[at], i == j, 0.8)
+            assert all((max(at[x], at[y]), min(at[x], at[y])) in pairs for x, y in links)
+            rows += len(links)
+            if links:
+                simhash.join_roots(got, *at[np.array(links).T])
+    assert (got == want).all() and len(set(want.tolist())) > 3 and rows < 90 * k < len(pairs)
+
+
 def test_bit_sliced_pairs_and_crowded_buckets(spark, monkeypatch):
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 2**63, 6, dtype=np.uint64)
