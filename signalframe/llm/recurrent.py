@@ -196,6 +196,7 @@ def run_window(p: Params, x: np.ndarray, h: np.ndarray, kept: SimpleNamespace |
     """
     gates = np.ascontiguousarray(p["gates"].take(x, axis=0).transpose(0, 2, 1))
     fresh, state, bias = x == END, np.ascontiguousarray(p["state"].T), p["bias"][:, None]
+    state[: 2 * HIDDEN] *= -1
     resets, out = fresh.any(axis=1).tolist(), np.empty((len(x), HIDDEN, x.shape[1]), gates.dtype)
     if kept is not None:
         kept.h, kept.inner, kept.n, kept.zr = np.empty_like(out), np.empty_like(out), np.empty_like(out), gates
@@ -203,8 +204,7 @@ def run_window(p: Params, x: np.ndarray, h: np.ndarray, kept: SimpleNamespace |
         if resets[t]:
             h = h * ~fresh[t]
         u, zr = state @ h, gates[t, : 2 * HIDDEN]
-        zr += u[: 2 * HIDDEN]
-        np.negative(zr, out=zr)
+        np.subtract(u[: 2 * HIDDEN], zr, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
@@ -253,16 +253,16 @@ def log_probs(p: Params, h: np.ndarray, y: np.ndarray, grads: Params | None = No
     ends = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
     if grads is not None:
         back -= outer.T[cls]
-        for c in range(CLASSES):
-            if ends[c] < ends[c + 1]:
-                d_outer[:, c] -= h[ends[c] : ends[c + 1]].sum(axis=0)
+        filled = np.flatnonzero(np.diff(ends))
+        d_outer[:, filled] -= np.add.reduceat(h, np.array(ends)[filled], axis=0).T
         grads["outer"] += d_outer[:-1]
         grads["outer_bias"] += d_outer[-1]
+    inners = np.concatenate([p["inner"], p["inner_bias"][:, None]], axis=1)
+    d_inners = np.zeros_like(inners) if grads is not None else None
     for c in range(WORD_CLASSES):
         if ends[c] == ends[c + 1]:
             continue
-        inner = np.concatenate([p["inner"][c], p["inner_bias"][c][None]])
-        d_inner = np.zeros_like(inner)
+        inner = inners[c]
         for i in range(ends[c], ends[c + 1], BLOCK):
             j = min(ends[c + 1], i + BLOCK)
             q, row = h[i:j] @ inner, at[: j - i]
@@ -271,13 +271,13 @@ def log_probs(p: Params, h: np.ndarray, y: np.ndarray, grads: Params | None = No
             total = q @ ones[:PER_CLASS]
             whole[i:j] *= total
             if grads is not None:
-                q *= (1 / total)[:, None]
-                q[row, word[i:j]] -= 1
-                d_inner += h[i:j].T @ q
-                back[i:j] += q @ inner.T
-        if grads is not None:
-            grads["inner"][c] += d_inner[:-1]
-            grads["inner_bias"][c] += d_inner[-1]
+                q[row, word[i:j]] -= total
+                share = (1 / total)[:, None]
+                d_inners[c] += (h[i:j] * share).T @ q
+                back[i:j] += (q @ inner.T) * share
+    if grads is not None:
+        grads["inner"] += d_inners[:, :-1]
+        grads["inner_bias"] += d_inners[:, -1]
     out = np.empty(n)
     out[order] = got - np.log(whole)
     if back is None:
@@ -320,9 +320,10 @@ def backward(p: Params, grads: Params, x: np.ndarray, kept: SimpleNamespace, dh_
             dh *= live[t]
     grads["state"] += d_state.T
     grads["bias"] += d_bias
-    seen = x.ravel()
-    for k in range(3 * HIDDEN):
-        grads["gates"][:, k] += np.bincount(seen, dgates[:, k].ravel(), END + 1)
+    seen = x.ravel().astype(np.int16)
+    order = np.argsort(seen, kind="stable")
+    begins = np.flatnonzero(np.diff(seen[order], prepend=-1))
+    grads["gates"][seen[order[begins]]] += np.add.reduceat(by_row(dgates)[order], begins, axis=0)
 
 
 class Adam:

@@ -5,11 +5,12 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 
-from signalframe.llm import divergence, spelling, toxicity
+from signalframe.llm import divergence, recurrent, spelling, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, word string, n long, term string, p long, rank int, block int"
 
@@ -216,3 +217,24 @@ def test_windows_cover_every_word_and_the_highest_counts():
         ids = np.array([number[w] for w in found], np.int64)
         each = [toxicity.logits(model.params, terms, toxicity.laid_out(ids, np.array([s])))[0] for s in toxicity.windows(len(ids))]
         assert math.isclose(got, toxicity.sigmoid(np.array(max(each))), rel_tol=1e-4)
+
+
+def test_gradients_of_input_weights_are_summed_in_one_pass(monkeypatch):
+    rng = np.random.default_rng(6)
+    known = recurrent.Known([], np.zeros(0, np.int64), 1, 1, 1, np.ones(recurrent.SPELLINGS, np.int64), np.ones(recurrent.SPELLINGS, np.int64))
+    p = recurrent.first_params(known)
+    x = rng.choice([0, 3, 17, recurrent.END], (5, 8)).astype(np.int32)
+    targets, kept = rng.standard_normal((5, recurrent.HIDDEN, 8)).astype(np.float32), SimpleNamespace()
+    h0 = np.zeros((recurrent.HIDDEN, 8), np.float32)
+    recurrent.run_window(p, x, h0, kept)
+    grads = {k: np.zeros_like(a) for k, a in p.items()}
+    monkeypatch.setattr(np, "bincount", lambda *a: pytest.fail("a pass a column"))
+    recurrent.backward(p, grads, x, kept, targets)
+    loss = lambda q: float((recurrent.run_window(q, x, h0)[0] * targets).sum(dtype=np.float64))
+    for row in (3, recurrent.END):
+        for column in (1, recurrent.HIDDEN + 2, 2 * recurrent.HIDDEN + 5):
+            up, down = ({**p, "gates": p["gates"].copy()} for _ in range(2))
+            up["gates"][row, column] += 0.01
+            down["gates"][row, column] -= 0.01
+            assert abs((loss(up) - loss(down)) / 0.02 - grads["gates"][row, column]) < 2e-2
+    assert not grads["gates"][1].any()
