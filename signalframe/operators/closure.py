@@ -247,34 +247,37 @@ def causal_edges(edges: DataFrame, events: DataFrame) -> DataFrame:
 
 def _ends(links: DataFrame, own: str, to: str) -> DataFrame:
     """``own`` nodes whose links, each node's only one, lead to a node without any. Paths double, so a chain of n links
-    takes log n rounds; a round that settles nothing new shows that only cycles are left."""
+    takes log n rounds; a round that settles nothing new shows that only cycles are left. A round carries the paths that are
+    still open alone; one that meets a node of several links is dropped."""
     only = links.groupBy(own).agg(F.min(to).alias("at"), F.max(to).alias("other")).where(F.col("at") == F.col("other")).select(F.col(own).alias("node"), "at")
     every = links.select(F.col(own).alias("at")).distinct().withColumn("goes_on", F.lit(True))
-    open_paths = {"n": F.count_if(~F.col("ended"))}
-    paths, left = measured(only.join(every, "at", "left").select("node", "at", F.col("goes_on").isNull().alias("ended")), "paths", **open_paths)
-    before = left["n"]
-    while before:
-        then = paths.select(F.col("node").alias("at"), F.col("at").alias("on"), F.col("ended").alias("on_ended"))
-        further = paths.join(then, "at", "left").select("node", F.when(F.col("ended"), F.col("at")).otherwise(F.coalesce("on", "at")).alias("at"), (F.col("ended") | F.coalesce("on_ended", F.lit(False))).alias("ended"))
-        old, (paths, left) = paths, measured(further, "paths", **open_paths)
-        released(old)
-        if left["n"] == before:
-            break
-        before = left["n"]
-    return paths.where("ended").select(F.col("node").alias(own))
-
-
-def _peeled(left: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """Without the edges that only lead to an end or only come from one; what stays is on or between cycles. And its number."""
+    told = {"open": F.count_if(~F.col("ended")), "settled": F.count_if("ended")}
+    paths, rows = measured(only.join(every, "at", "left").select("node", "at", F.col("goes_on").isNull().alias("ended")), "paths", **told)
+    ended = paths.where("ended").select("node")
+    while rows["open"] and rows["settled"]:
+        paths = paths.where("not ended")
+        then = paths.select(F.col("node").alias("at"), F.col("at").alias("on"), "ended")
+        then = then.unionByName(ended.select(F.col("node").alias("at"), F.col("node").alias("on"), F.lit(True).alias("ended")))
+        paths, rows = measured(paths.select("node", "at").join(then, "at").select("node", F.col("on").alias("at"), "ended"), "paths", **told)
+        ended = ended.unionByName(paths.where("ended").select("node"))
+    return ended.withColumnRenamed("node", own)
+
+
+def _peeled(left: DataFrame, n: int) -> tuple[DataFrame, int, bool]:
+    """Without the edges that only lead to an end or only come from one; what stays is on or between cycles. And its number,
+    and whether all of it is known to lie on cycles: each node of a step's last table is both a child and a parent, so where no
+    node has a second parent or a second child, every node is on one cycle."""
     while n:
         before = n
         for own, to in (("event_id", "parent_event_id"), ("parent_event_id", "event_id")):
             kept = left.join(_ends(left, own, to), own, "left_anti")
             left, rows = measured(kept.join(kept.select(F.col(own).alias(to)).distinct(), to, "left_semi"), "cycle", n=F.count("*"))
             n = rows["n"]
+        if n and all(left.select(end).distinct().count() == n for end in ("event_id", "parent_event_id")):
+            return left, n, True
         if n == before:
             break
-    return left, n
+    return left, n, False
 
 
 def _highest(edges: DataFrame, own: str, to: str) -> DataFrame:
@@ -312,8 +315,10 @@ def causal_cycle(edges: DataFrame) -> DataFrame:
     rows = edges.select("event_id", "parent_event_id").where("event_id is not null and parent_event_id is not null").distinct()
     left, seen = measured(rows, "cycle", n=F.count("*"))
     found = left.limit(0)
-    left, n = _peeled(left, seen["n"])
+    left, n, whole = _peeled(left, seen["n"])
     while n:
+        if whole:
+            return written(found.unionByName(left), "cycle")
         down = _highest(left, "parent_event_id", "event_id")
         of = lambda labels, end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
         within = left.join(of(down, "event_id"), "event_id").join(of(down, "parent_event_id"), "parent_event_id").where("event_id_label = parent_event_id_label")
@@ -323,5 +328,5 @@ def causal_cycle(edges: DataFrame) -> DataFrame:
         marked = written(marked.select("event_id", "parent_event_id", (F.col("event_id_label") == F.col("label")).alias("a"), (F.col("parent_event_id_label") == F.col("label")).alias("b")), "cycle")
         found = written(found.unionByName(marked.where("a and b").select("event_id", "parent_event_id")), "cycle")
         left, seen = measured(marked.where("not a and not b").select("event_id", "parent_event_id"), "cycle", n=F.count("*"))
-        left, n = _peeled(left, seen["n"])
+        left, n, whole = _peeled(left, seen["n"])
     return found

@@ -201,6 +201,17 @@ def test_causal_cycle(spark):
         assert found(edges) == plain_cycle_edges(edges)
 
 
+def test_causal_cycle_labels_nothing_where_only_plain_cycles_are_left(spark, monkeypatch):
+    """Chains, trees on cycles and cycles without chords end with the peeling; a chord brings the labels back."""
+    labelled = []
+    highest = closure._highest
+    monkeypatch.setattr(closure, "_highest", lambda *a: labelled.append(a) or highest(*a))
+    found = lambda edges: {(r.event_id, r.parent_event_id) for r in closure.causal_cycle(spark.createDataFrame(edges, "event_id long, parent_event_id long")).collect()}
+    cycles = [(i * 10 + j, i * 10 + (j + 1) % (i + 1)) for i in range(5) for j in range(i + 1)]
+    assert found([*cycles, (100, 40), (101, 100), (41, 200), (200, 201), (300, 301)]) == set(cycles) and not labelled
+    assert found([*cycles, (40, 42)]) == {*cycles, (40, 42)} and labelled
+
+
 def test_window_assign_keeps_repeated_rows(spark):
     events = spark.createDataFrame([(1, 10), (1, 10), (2, 100_000), (3, 500_000), (4, 86_400)], "id int, s long").withColumn("ts", F.timestamp_seconds("s"))
     windows = spark.createDataFrame([(1, 0, 86_400), (2, 86_400, 172_800), (3, 90_000, 180_000)], "id int, a long, b long").select("id", F.timestamp_seconds("a").alias("start"), F.timestamp_seconds("b").alias("end"))
