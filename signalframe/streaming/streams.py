@@ -15,7 +15,7 @@ from signalframe.operators.trends import topic_tokens, with_state
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _LONGS = ("events", "arrivals", "out_of_order")
 _TOTALS = StructType([*[StructField(c, LongType()) for c in _LONGS], StructField("last", StringType()), StructField("gap", BooleanType()), StructField("gap_now", BooleanType())])
-_SEEN = StructType([StructField("item", StringType()), StructField("version", StringType())])
+_SEEN = StructType([StructField("item", StringType()), StructField("version", StringType()), StructField("until", LongType())])
 
 
 def replay_dedup_stream(events: DataFrame, at: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -24,7 +24,12 @@ def replay_dedup_stream(events: DataFrame, at: str = "ts", delay: str = "1 hour"
 
 
 class _Replay(StatefulProcessor):
-    """Per group: totals, and each (item, version) seen with the time after which it is forgotten."""
+    """Per group: totals, and each (item, version) seen with the time after which it is forgotten.
+
+    Each call to the state is a round trip, so what a batch saw is added by one call, and one timer stands for a group's next
+    time to forget. A pair whose time moved on is added again; the latest counts, and the list is renewed once it is twice
+    as long as its pairs.
+    """
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
@@ -32,34 +37,48 @@ class _Replay(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.totals = handle.getValueState("totals", _TOTALS)
-        self.seen = handle.getMapState("seen", _SEEN, StructType([StructField("until", LongType())]))
+        self.seen = handle.getListState("seen", _SEEN)
+
+    def _known(self) -> tuple[dict[tuple, int], int]:
+        known, rows = {}, 0
+        for item, version, until in self.seen.get():
+            known[item, version] = max(known.get((item, version), until), until)
+            rows += 1
+        return known, rows
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)
         arrival = [tuple(v.values()) if isinstance(v, dict) else v for v in batch["sequence_order"]]
         batch = batch.iloc[sorted(range(len(batch)), key=arrival.__getitem__)]
-        held = self.totals.get() if self.totals.exists() else (0, 0, 0, None, False, False)
-        events, arrivals, out_of_order, last, gap, _ = held
+        held = self.totals.get()
+        events, arrivals, out_of_order, last, gap, _ = held or (0, 0, 0, None, False, False)
         last, gap_now = None if last is None else int(last), bool(batch["cursor_gap"].fillna(False).any())
-        known = {k: v[0] for k, v in self.seen.iterator()}
+        known, held_rows = self._known() if held else ({}, 0)
         fresh = {}
         for item, version, sequence, ms in zip(batch["item_id"], batch["version_id"], batch["sequence"].tolist(), batch["at_ms"].tolist()):
             name, until = (item, version), ms + self.keep_ms
             arrivals += name not in known
-            known[name] = fresh[name] = max(known.get(name, until), until)
+            if known.get(name, until - 1) < until:
+                known[name] = fresh[name] = until
             out_of_order += last is not None and sequence < last
             last = sequence
-        for name, until in fresh.items():
-            self.seen.updateValue(name, (until,))
-            self.handle.registerTimer(until)
+        if held_rows + len(fresh) > 2 * len(known):
+            self.seen.put([(*name, until) for name, until in known.items()])
+        elif fresh:
+            self.seen.appendList([(*name, until) for name, until in fresh.items()])
+        self.handle.registerTimer(min(known.values()))
         events += len(batch)
         self.totals.update((events, arrivals, out_of_order, str(last), gap or gap_now, gap_now))
         yield self._row(key, events, arrivals, out_of_order, gap or gap_now, gap_now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()
-        for name in [k for k, v in self.seen.iterator() if v[0] <= at]:
-            self.seen.removeKey(name)
+        left = {name: until for name, until in self._known()[0].items() if until > at}
+        if left:
+            self.seen.put([(*name, until) for name, until in left.items()])
+            self.handle.registerTimer(min(left.values()))
+        else:
+            self.seen.clear()
         yield from ()
 
     def close(self) -> None:

@@ -382,6 +382,42 @@ def test_replay_status_stream_keeps_gaps_and_forgets_keys(spark, tmp_path):
     assert held[-1] < max(held), held
 
 
+def test_replay_state_is_called_a_few_times_a_group():
+    """However many pairs a batch holds: one read, one addition and one timer; repeats renew the list, expiry drops pairs."""
+    calls, held = [], []
+
+    class Held:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, what):
+            def call(*a):
+                calls.append(f"{self.name}.{what}")
+                if self.name == "seen":
+                    if what == "get":
+                        return iter(list(held))
+                    held[:] = {"put": lambda: list(a[0]), "appendList": lambda: [*held, *a[0]], "clear": list}[what]()
+                elif what == "get":
+                    return totals[-1] if totals else None
+                elif what == "update":
+                    totals.append(a[0])
+            return call
+
+    class Handle:
+        getValueState = lambda self, *a: Held("totals")
+        getListState = getMapState = lambda self, *a: Held("seen")
+        registerTimer = lambda self, at: timers.append(at)
+
+    totals, timers, replay = [], [], streams._Replay(100)
+    replay.init(Handle())
+    rows = lambda ms: iter([streams.pd.DataFrame({"item_id": [f"i{k}" for k in range(50)], "version_id": "v", "sequence": range(50), "sequence_order": range(50), "cursor_gap": False, "at_ms": [ms + k for k in range(50)]})])
+    counts = [next(iter(replay.handleInputRows(("a",), rows(ms), None))) for ms in (0, 10, 20, 30)]
+    assert [c["arrivals"][0] for c in counts] == [50] * 4 and [c["suppressed"][0] for c in counts] == [0, 50, 100, 150]
+    assert len(calls) <= 16 and len(timers) == 4 and len(held) <= 100 and timers[-1] == 130
+    expired = type("E", (), {"getExpiryTimeInMs": lambda self: 154})()
+    assert not list(replay.handleExpiredTimer(("a",), None, expired)) and len(held) == 25 and timers[-1] == 155
+
+
 def test_trend_stream_tells_each_window_once_and_drops_it(spark, tmp_path):
     at = lambda h: spark.createDataFrame([(f"k{h}{s}", s, s, "en", "R", f"quantum battery number{h}", "", f"u{h}{s}", h) for s in "ab"], ITEM.replace("published_at timestamp, fetched_at timestamp", "h int")).withColumn("published_at", F.timestamp_seconds(F.lit(1704067200) + F.col("h") * 3600)).withColumn("fetched_at", F.col("published_at")).drop("h")
     progress = run_by_file(spark, streams.trend_stream, [at(h) for h in range(0, 120, 6)], tmp_path, "topics_by_file")
