@@ -230,6 +230,7 @@ LIKENESS = 0.8
 WIDE_RADIUS = 32
 KEY_BITS = 16
 PIECE = 3 << 20  # bytes of text worked on at once
+PILOT = 2  # tables that name most of a group before the others are read
 SMALL = 16
 TILE = 512
 FRONT = 64  # members of a large bucket whose neighbours are sought at once
@@ -289,16 +290,20 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return narrowed(_keyed(docs), "near_key", _text_md5().alias("text_md5")).mapInArrow(run, "near_key string, doc_id long, text_md5 string, sid long, size long, a long, b long, c long, d long")
 
 
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """sid, a, b, c, d -> a row per table: slot (table and key), sid, a, b."""
-    weights = 1 << np.arange(KEY_BITS)
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1024):
-            columns = np.stack([c.to_numpy(zero_copy_only=False) for c in whole.slice(at, 1024).columns])
-            bits = np.unpackbits(np.ascontiguousarray(columns[1:].T).view(np.uint8), axis=1, bitorder="little")
-            keys = bits[:, POSITIONS] @ weights + (np.arange(len(POSITIONS)) << KEY_BITS)
-            repeated = [np.repeat(columns[i], len(POSITIONS)) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int32)), *map(pa.array, repeated)], ["slot", "sid", "a", "b"])
+def _dealt(tables: range):
+    """sid, a, b, c, d -> a row for each of ``tables``: slot (table and key), sid, a, b."""
+    weights, positions = 1 << np.arange(KEY_BITS), POSITIONS[tables.start : tables.stop]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                columns = np.stack([c.to_numpy(zero_copy_only=False) for c in whole.slice(at, 1024).columns])
+                bits = np.unpackbits(np.ascontiguousarray(columns[1:].T).view(np.uint8), axis=1, bitorder="little")
+                keys = bits[:, positions] @ weights + (np.array(tables) << KEY_BITS)
+                repeated = [np.repeat(columns[i], len(positions)) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int32)), *map(pa.array, repeated)], ["slot", "sid", "a", "b"])
+
+    return run
 
 
 def _apart(a: np.ndarray, b: np.ndarray, i, j) -> np.ndarray:
@@ -441,33 +446,50 @@ def _alike(words: int, least: float):
     return run
 
 
-def _paired(rows: DataFrame, of: str) -> DataFrame:
+def _paired(rows: DataFrame, *of: str) -> DataFrame:
     """``rows`` with i and j: each in ``k`` shares of its group, which together hold every pair of rows; own is its part."""
-    rows = rows.withColumn("own", F.pmod(F.xxhash64(of), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(*of), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     return rows.withColumns({"i": F.least("own", "other").cast("int"), "j": F.greatest("own", "other").cast("int")})
 
 
+def _stars_of(rows: DataFrame, tables: range) -> DataFrame:
+    """sid, a, b, c, d -> links (u, v) between sids that join all candidate pairs of ``tables``; a sid may have several rows."""
+    dealt = rows.select("sid", "a", "b", "c", "d").mapInArrow(_dealt(tables), "slot int, sid long, a long, b long")
+    crowded = dealt.groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+    shares = dealt.join(F.broadcast(crowded), "slot", "left").withColumn("k", F.coalesce(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("long"))
+    by = ["slot", "i", "j"]
+    shares = _paired(shares, "sid", "a", "b").select(*by, "sid", "a", "b")
+    return written(shares.repartition(*by).sortWithinPartitions(*by, "sid").mapInArrow(_close, "u long, v long").where("u <> v").distinct(), "simhash-close")
+
+
+def candidate_groups(distinct: DataFrame) -> DataFrame:
+    """``distinct`` (a row per sid, with a, b, c, d) with grp: sets that candidate pairs of any table join share it.
+
+    The first tables tell most of a group. For the others a set goes by the name of its group so far, so members of one group
+    have one centre in every table: a group costs a link a member, not one for each of its many centres.
+    """
+    least = connected_components(_stars_of(distinct, range(PILOT))).select(F.col("node").alias("sid"), F.col("root").alias("rep"))
+    named = written(distinct.join(least, "sid", "left").withColumn("rep", F.coalesce("rep", "sid")), "simhash-named")
+    links = _stars_of(named.select(F.col("rep").alias("sid"), "a", "b", "c", "d"), range(PILOT, len(POSITIONS)))
+    last = connected_components(links).select(F.col("node").alias("rep"), F.col("root").alias("grp"))
+    return named.join(last, "rep", "left").withColumn("grp", F.coalesce("grp", "rep")).drop("rep")
+
+
 def _similar(docs: DataFrame, words: int, least: float) -> tuple[DataFrame, DataFrame]:
     """(one row per document with its sid, links (u, v) between sids of likeness ``least`` or more that join all such candidates)."""
     sets = written(_sets(docs, words), "simhash-wide")
     named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_md5", "near_key")
     distinct = written(sets.groupBy("sid", "size", "a", "b", "c", "d").agg(F.min(named)["near_key"].alias("near_key")), "simhash-sets")
-    tables = distinct.select("sid", "a", "b", "c", "d").mapInArrow(_dealt, "slot int, sid long, a long, b long")
-    crowded = tables.groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
-    shares = tables.join(F.broadcast(crowded), "slot", "left").withColumn("k", F.coalesce(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("long"))
-    by = ["slot", "i", "j"]
-    shares = _paired(shares, "sid").select(*by, "sid", "a", "b")
-    close = written(shares.repartition(*by).sortWithinPartitions(*by, "sid").mapInArrow(_close, "u long, v long").distinct(), "simhash-close")
-    groups = connected_components(close)
-    groups = groups.select(F.col("node").alias("sid"), F.col("root").alias("grp")).unionByName(groups.select(F.col("root").alias("sid"), F.col("root").alias("grp")).distinct())
-    nodes = written(distinct.join(groups, "sid").select("sid", "grp", "size", "a", "b", "near_key"), "simhash-nodes")
-    texts = _keyed(docs).select("near_key", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = written(texts.join(nodes.select("near_key", "sid"), "near_key").dropDuplicates(["near_key"]).select("sid", "text"), "simhash-texts")
+    groups = written(candidate_groups(distinct), "simhash-groups")
     # As many shares as half the square root of a group's members, so that a share and the copies of a text grow with that root alone.
     many = F.greatest(F.when(F.col("n") > WHOLE, F.ceil(F.sqrt("n") / 2)).otherwise(1), F.ceil(F.col("weight") / WEIGHT)).cast("long")
-    sized = nodes.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).select("grp", many.alias("k"))
+    sized = groups.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).where("n > 1").select("grp", many.alias("k"))
+    nodes = written(groups.join(sized, "grp").select("sid", "grp", "a", "b", "near_key", "k"), "simhash-nodes")
+    texts = _keyed(docs).select("near_key", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # Merged at any size: what is sent to all tasks while the table is small would not be later.
+    texts = written(texts.join(nodes.select("near_key", "sid").hint("merge"), "near_key").dropDuplicates(["near_key"]).select("sid", "text"), "simhash-texts")
     by = ["grp", "i", "j"]
-    shares = _paired(nodes.join(sized, "grp"), "sid").join(texts, "sid").select(*by, "own", "sid", "a", "b", "text")
+    shares = _paired(nodes, "sid").join(texts, "sid").select(*by, "own", "sid", "a", "b", "text")
     return sets, shares.repartition(*by).sortWithinPartitions(*by, "sid").mapInArrow(_alike(words, least), "u long, v long")
 
 
@@ -484,7 +506,7 @@ def deduplicated(docs: DataFrame, words: int = WIDE_WORDS, least: float = LIKENE
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_md5", "near_key")
     best = sets.groupBy("sid").agg(F.min(first).alias("k")).join(roots, "sid", "left")
     kept = best.groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("k").alias("k")).select(F.col("k.near_key").alias("near_key"))
-    return _keyed(docs).join(kept, "near_key", "left_semi").dropDuplicates(["near_key"]).drop("near_key")
+    return _keyed(docs).join(kept.hint("merge"), "near_key", "left_semi").dropDuplicates(["near_key"]).drop("near_key")
 
 
 def origins(docs: DataFrame, group: str, words: int = WIDE_WORDS, least: float = LIKENESS) -> DataFrame:

@@ -120,6 +120,23 @@ def test_origins_against_all_pairs(spark):
     assert any(o < n for n, o, _ in got.values())
 
 
+def test_group_of_near_copies_costs_few_links_a_member(spark, monkeypatch):
+    """Copies that differ from one text in 20 of 256 bits have many centres over 64 tables; links stay near the members."""
+    rng, edges = np.random.default_rng(5), []
+    bits = np.tile(rng.integers(0, 2, 256, np.uint8), (1200, 1))
+    for row in bits:
+        row[rng.choice(256, 20, replace=False)] ^= 1
+    words = np.packbits(bits, axis=1, bitorder="little").view(np.int64).tolist()
+    table = spark.createDataFrame([(k * 7919 % 1201, *w) for k, w in enumerate(words)], "sid long, a long, b long, c long, d long")
+    find = simhash.connected_components
+    monkeypatch.setattr(simhash, "connected_components", lambda e: edges.append(e.count()) or find(e))
+    grouped = simhash.candidate_groups(table).groupBy("grp").count().collect()
+    every = simhash._stars_of(table, range(64)).count()  # as it was: the stars of all tables at once
+    assert sum(r["count"] for r in grouped) == 1200 and sum(edges) < 2 * 1200 < every
+    once = {r.node: r.root for r in find(simhash._stars_of(table, range(64))).collect()}
+    assert len(grouped) == 1200 - len(once)
+
+
 def test_forest_spans_what_is_near():
     rng = np.random.default_rng(8)
     centres = rng.integers(0, 2**63, (5, 2), dtype=np.uint64)
