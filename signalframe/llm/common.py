@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,15 +29,6 @@ def pieces(batches: Iterator[pa.RecordBatch], max_bytes: int = 16 << 20, sized_b
             yield batch.slice(at, each)
 
 
-def unused_returned() -> None:
-    """Gives freed memory of this worker back to the system, which an idle worker would keep otherwise."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
-    if trim:
-        trim(0)
-
-
 class Memory(dict):
     """key -> make(key), remembering the last ``most`` to twice as many keys."""
 

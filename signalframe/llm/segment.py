@@ -28,7 +28,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from signalframe.llm.common import Memory, narrowed, pieces, unused_returned
+from signalframe.functions.memory import unused_returned
+from signalframe.llm.common import Memory, narrowed, pieces
 
 DROPOUT = 0.1
 SEED = 97

@@ -9,13 +9,15 @@ so no group is unbounded and no link is lost. Buckets yield one edge per member,
 
 The pipeline's stage (``deduplicated``) is wider: 256 bits over the set of five-word shingles, 64 tables keyed by 16
 bits, pairs within 32 of 128 bits as candidates, and a link where the exact shingle Jaccard is 0.8 or more. Buckets yield
-a star per group of candidates; the candidates of a group are then compared where its texts lie, unless links join them
-already, so no step has a row per pair.
+a star per group of candidates. Fingerprints miss some pairs: those between groups come from an exact search by prefixes
+(``similarity.nearby``), which joins their groups. The sets of a group are then compared where its texts lie, nearest
+fingerprints first, unless links join them already, so no link is lost and no step has a row per pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -24,9 +26,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signalframe.functions.memory import returning
 from signalframe.llm.common import narrowed, pieces
+from signalframe.operators import similarity
 from signalframe.operators.components import connected_components
 from signalframe.operators.coverage import lineage_origins
+from signalframe.operators.similarity import paired, shingle_set
 from signalframe.scratch import written
 
 BITS = 64
@@ -234,24 +239,10 @@ PILOT = 2  # tables that name most of a group before the others are read
 SMALL = 16
 TILE = 512
 FRONT = 64  # members of a large bucket whose neighbours are sought at once
-WHOLE = 128  # members of a group of candidates that are compared in one task
-WEIGHT = 1 << 20  # shingles of a share of a group
 _ROUNDS = np.random.default_rng(SEED)
 POSITIONS = np.concatenate([_ROUNDS.permutation(256).reshape(-1, KEY_BITS) for _ in range(4)])
 
 
-def shingle_set(text: str, words: int = WIDE_WORDS) -> np.ndarray:
-    """Sorted hashes of the text's distinct shingles; a text of fewer words is one shingle, one without words has none."""
-    found = text.encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    begins = np.concatenate([[0], ends[:-1] + 1])[: max(1, len(found) - words + 1)].tolist()
-    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
-    hashes = (digest(joined[b:e], SEED) for b, e in zip(begins, ends[min(words, len(found)) - 1 :].tolist()))
-    return np.unique(np.fromiter(hashes, np.uint64, len(begins)))
-
-
 def likeness(one: np.ndarray, other: np.ndarray) -> float:
     """Exact Jaccard of two shingle sets."""
     both = len(np.intersect1d(one, other, assume_unique=True))
@@ -277,17 +268,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """near_key, doc_id, text_md5, sid (a hash of the shingle set), its size, and the wide fingerprint a, b, c, d of every row."""
+    """near_key, doc_id, text_md5, sid (a hash of the shingle set), its size n and sketch, and the wide fingerprint a, b, c, d of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, PIECE):
             every = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
-            sids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in every], np.uint64)
+            told = [pa.array(list(map(similarity.set_id, every)), pa.int64()), pa.array(list(map(len, every)), pa.int64()), pa.array(list(map(similarity.sketch, every)), pa.binary())]
             bits = np.array([wide_fingerprint(x) for x in every], np.uint64).reshape(-1, 4).view(np.int64)
-            columns = [batch.column(2), batch.column(0), batch.column(3), pa.array(sids.view(np.int64)), pa.array(list(map(len, every)), pa.int64()), *(pa.array(bits[:, i]) for i in range(4))]
-            yield pa.RecordBatch.from_arrays(columns, ["near_key", "doc_id", "text_md5", "sid", "size", "a", "b", "c", "d"])
+            columns = [batch.column(2), batch.column(0), batch.column(3), *told, *(pa.array(bits[:, i]) for i in range(4))]
+            yield pa.RecordBatch.from_arrays(columns, ["near_key", "doc_id", "text_md5", "sid", "n", "sketch", "a", "b", "c", "d"])
 
-    return narrowed(_keyed(docs), "near_key", _text_md5().alias("text_md5")).mapInArrow(run, "near_key string, doc_id long, text_md5 string, sid long, size long, a long, b long, c long, d long")
+    return narrowed(_keyed(docs), "near_key", _text_md5().alias("text_md5")).mapInArrow(returning(run), "near_key string, doc_id long, text_md5 string, sid long, n long, sketch binary, a long, b long, c long, d long")
 
 
 def _dealt(tables: range):
@@ -395,71 +386,22 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links_of(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, own: np.ndarray, within: bool, least: float) -> list[tuple[int, int]]:
-    """Index pairs of likeness ``least`` or more that join all such pairs within the radius; of different ``own`` unless ``within``.
-
-    A member is compared with more and more of each group that it is not in yet, until it is linked or none is left.
-    """
-    n, sizes, out = len(sets), np.array(list(map(len, sets))), []
-    root = np.arange(n)
-    for x in range(1, n):
-        fits = np.minimum(sizes[:x], sizes[x]) >= least * np.maximum(np.maximum(sizes[:x], sizes[x]), 1) - 1e-6
-        left = np.flatnonzero(fits & (within | (own[:x] != own[x])) & (_apart(a, b, slice(x), x) <= WIDE_RADIUS))
-        left, many = left[root[left] != root[x]], 1
-        while len(left):
-            left = left[np.argsort(root[left], kind="stable")]
-            groups = root[left]
-            now = np.arange(len(left)) - np.searchsorted(groups, groups) < many
-            tried, many = left[now], many * 4
-            found = np.concatenate([sets[y] for y in tried])
-            there = np.minimum(np.searchsorted(sets[x], found), sizes[x] - 1)
-            both = np.add.reduceat((sets[x][there] == found).astype(np.int64), np.cumsum(sizes[tried]) - sizes[tried])
-            for y in tried[both / (sizes[tried] + sizes[x] - both) >= least].tolist():
-                if root[y] != root[x]:
-                    out.append((x, y))
-                    root[root == root[x]] = root[y]
-            left = left[~now]
-            left = left[root[left] != root[x]]
-    return out
-
-
-def _alike(words: int, least: float):
-    """Rows (grp, i, j, own, sid, a, b, text) sorted by (grp, i, j) -> (u, v) of ``links_of`` each such share."""
-
-    def told(held: list[tuple], key: tuple) -> Iterator[pa.RecordBatch]:
-        if len(held) > 1:
-            own, sids, a, b, sets = zip(*held)
-            pairs = links_of(list(sets), np.array(a, np.int64), np.array(b, np.int64), np.array(own), key[1] == key[2], least)
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([sids[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
-        for batch in batches:
-            for part in pieces([batch], PIECE):
-                for *key, own, sid, a, b, text in zip(*(c.to_pylist() for c in part.columns)):
-                    if key != last:
-                        yield from told(held, last)
-                        held, last = [], key
-                    held.append((own, sid, a, b, shingle_set(text, words)))
-        yield from told(held, last)
-
-    return run
+    """``similarity.links_of``, the nearest by fingerprint first; pairs beyond the radius are compared as well."""
+    return similarity.links_of(sets, own, within, _fraction(least), lambda left, x: _apart(a, b, left, x))
 
 
-def _paired(rows: DataFrame, *of: str) -> DataFrame:
-    """``rows`` with i and j: each in ``k`` shares of its group, which together hold every pair of rows; own is its part."""
-    rows = rows.withColumn("own", F.pmod(F.xxhash64(*of), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    return rows.withColumns({"i": F.least("own", "other").cast("int"), "j": F.greatest("own", "other").cast("int")})
+def _fraction(least: float) -> tuple[int, int]:
+    return Fraction(str(least)).limit_denominator(1000).as_integer_ratio()
 
 
 def _stars_of(rows: DataFrame, tables: range) -> DataFrame:
     """sid, a, b, c, d -> links (u, v) between sids that join all candidate pairs of ``tables``; a sid may have several rows."""
-    dealt = rows.select("sid", "a", "b", "c", "d").mapInArrow(_dealt(tables), "slot int, sid long, a long, b long")
+    dealt = rows.select("sid", "a", "b", "c", "d").mapInArrow(returning(_dealt(tables)), "slot int, sid long, a long, b long")
     crowded = dealt.groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
     shares = dealt.join(F.broadcast(crowded), "slot", "left").withColumn("k", F.coalesce(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("long"))
     by = ["slot", "i", "j"]
-    shares = _paired(shares, "sid", "a", "b").select(*by, "sid", "a", "b")
-    return written(shares.repartition(*by).sortWithinPartitions(*by, "sid").mapInArrow(_close, "u long, v long").where("u <> v").distinct(), "simhash-close")
+    shares = paired(shares, "sid", "a", "b").select(*by, "sid", "a", "b")
+    return written(shares.repartition(*by).sortWithinPartitions(*by, "sid").mapInArrow(returning(_close), "u long, v long").where("u <> v").distinct(), "simhash-close")
 
 
 def candidate_groups(distinct: DataFrame) -> DataFrame:
@@ -476,21 +418,15 @@ def candidate_groups(distinct: DataFrame) -> DataFrame:
 
 
 def _similar(docs: DataFrame, words: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """(one row per document with its sid, links (u, v) between sids of likeness ``least`` or more that join all such candidates)."""
+    """(one row per document with its sid, links (u, v) between sids of likeness ``least`` or more that join all such pairs)."""
+    bound = _fraction(least)
     sets = written(_sets(docs, words), "simhash-wide")
     named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_md5", "near_key")
-    distinct = written(sets.groupBy("sid", "size", "a", "b", "c", "d").agg(F.min(named)["near_key"].alias("near_key")), "simhash-sets")
+    distinct = written(sets.groupBy("sid", "n", "sketch", "a", "b", "c", "d").agg(F.min(named)["near_key"].alias("near_key")), "simhash-sets")
     groups = written(candidate_groups(distinct), "simhash-groups")
-    # As many shares as half the square root of a group's members, so that a share and the copies of a text grow with that root alone.
-    many = F.greatest(F.when(F.col("n") > WHOLE, F.ceil(F.sqrt("n") / 2)).otherwise(1), F.ceil(F.col("weight") / WEIGHT)).cast("long")
-    sized = groups.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).where("n > 1").select("grp", many.alias("k"))
-    nodes = written(groups.join(sized, "grp").select("sid", "grp", "a", "b", "near_key", "k"), "simhash-nodes")
-    texts = _keyed(docs).select("near_key", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # Merged at any size: what is sent to all tasks while the table is small would not be later.
-    texts = written(texts.join(nodes.select("near_key", "sid").hint("merge"), "near_key").dropDuplicates(["near_key"]).select("sid", "text"), "simhash-texts")
-    by = ["grp", "i", "j"]
-    shares = _paired(nodes, "sid").join(texts, "sid").select(*by, "own", "sid", "a", "b", "text")
-    return sets, shares.repartition(*by).sortWithinPartitions(*by, "sid").mapInArrow(_alike(words, least), "u long, v long")
+    texts = _keyed(docs).select("near_key", F.col("text").cast("string").alias("text"))
+    groups = written(similarity.grouped(groups, similarity.nearby(texts.select("text"), groups.where("n > 0"), words, bound)), "simhash-joined")
+    return sets, similarity.links(groups, texts, "near_key", words, bound, _apart, ("a", "b"))
 
 
 def deduplicated(docs: DataFrame, words: int = WIDE_WORDS, least: float = LIKENESS) -> DataFrame:

@@ -97,6 +97,18 @@ def test_deduplication_finds_near_copies_of_five_words(spark):
     assert sum(i % 3 == 1 for i in kept) <= 3
 
 
+def test_deduplication_loses_no_near_copy_of_unlike_fingerprint(spark):
+    """Texts of eight and nine words share four of five shingles, a Jaccard of 0.8, but often not 96 of 128 bits, or no table's key."""
+    r, made = random.Random(13), []
+    for k in range(300):
+        words = [f"w{r.randrange(4000)}" for _ in range(9)]
+        made += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:8]))]
+    bits = {i: simhash.wide_fingerprint(simhash.shingle_set(t)) for i, t in made}
+    assert sum(np.bitwise_count(bits[i][:2] ^ bits[i + 1][:2]).sum() > simhash.WIDE_RADIUS for i in range(0, 600, 2)) > 5
+    kept = simhash.deduplicated(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(x.doc_id for x in kept) == list(range(0, 600, 2))
+
+
 def test_origins_against_all_pairs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
     rows = [(r.source, frozenset(simhash.shingle_set(r.text or "").tolist())) for r in docs.collect()]
